@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, substring_dedup, suffix_dedup
+from . import byte_bpe, near_dedup, packing, substring_dedup, suffix_dedup, token_counts
 from .common import documents
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages_report(documents(spark, sf_dir))
 
@@ -16,6 +22,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), digest=True)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.later_copies_report(documents(spark, sf_dir))
 
@@ -23,6 +43,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op4_packing": op4_packing,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
