@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dedup, packing, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, licenses, media, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,18 +23,37 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    grammar = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = toxicity.scored(docs, grammar)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "clauses")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), digest=True)
+    return packing.packed(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), digest=True)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, sf_dir)).drop("detections")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return byte_bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(documents(spark, sf_dir))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +63,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
+#: None of these can be said in SQL: fingerprints of kept words or bytes, learned or adaptive
+#: verdicts, tokenizers and files. tests/llm holds each against a brute-force version.
 ORACLES: dict[str, str] = {}
