@@ -4,16 +4,18 @@ Every string of the given length ("window") has an anchor in it that its own con
 picks, so equal windows have equal anchors at equal offsets. A row of the parse is a run
 of consecutive windows with one anchor:
 
-    anchor   name of the anchor's content
-    span     name of the whole stretch that the run's windows cover, with the offset
+    anchor   name of what all windows of the run have in common
+    span     name of the whole stretch that they cover, with the offset of the anchor
     doc_id   document
-    code     first window << 16 | number of windows << 2 | state
+    code     first window << 24 | offset of the anchor << 16 | number of windows << 2 | state
 
 Rows go to the anchors' partitions once. A span that is met again settles all its windows
 at once, which is how long repeats are settled. Only where an anchor comes with different
-spans (at the edges of a repeat) are the windows themselves named and compared.
+spans (at the edges of a repeat) are its windows looked at more closely: in blocks of a few
+windows, by the same step (the anchor is then what the block's windows share, the span what
+they cover), and at last one by one.
 
-Before the shuffle, rows that repeat within a slice are settled on the spot and sent to a
+Before a shuffle, rows that repeat within a slice are settled on the spot and sent to a
 partition of their own choice, so a group of copies has one row a slice at most in its
 anchor's partition.
 """
@@ -27,19 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, flat_lists, id_and_text, mix, same_id, signed, slices, spread
+from .common import checkpointed, id_and_text, mix, same_id, signed, slices, spread
 
 _U = np.uint64
 PLAIN, SETTLED, ASIDE = 0, 1, 2
 PARSE = "anchor long, span long, doc_id long, code long"
-WINDOWS = "name long, name_2 long, doc_id long, code long"
+#: names(slice, document, start, end) -> two fingerprints of each stretch of units.
+Names = Callable[[object, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _aside(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return signed(mix(mix(code.astype(np.uint64)) ^ doc.astype(np.uint64)))
+def encoded(start: np.ndarray, offset: np.ndarray, count: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return (start << 24) | (offset << 16) | (count << 2) | state
 
 
-def presettle(names: list[np.ndarray], doc: np.ndarray, at: np.ndarray, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return code >> 24, (code >> 16) & 0xFF, (code >> 2) & 0x3FFF, code & 3
+
+
+def presettle(names: list[np.ndarray], doc: np.ndarray, at: np.ndarray, first_only: bool) -> np.ndarray:
     """States of rows of one slice: the first of each name stands for the others.
 
     first_only: only rows after the first are repeats, else all of them are. Rows of a
@@ -53,37 +60,34 @@ def presettle(names: list[np.ndarray], doc: np.ndarray, at: np.ndarray, first_on
         new[1:] = np.logical_or.reduce([x[a] != x[b] for x in names])
         place[1:] = new[1:] | (doc[a] != doc[b]) | (at[a] != at[b])
     group = np.cumsum(new) - 1
-    places = np.bincount(group, weights=place).astype(np.int64)  # distinct places by group
-    first_place = np.cumsum(place)
-    base = first_place[np.flatnonzero(new)][group] if len(order) else first_place
-    later = first_place > base
-    state = np.full(len(order), PLAIN)
-    state[later] = ASIDE
+    places = np.bincount(group, weights=place)[group] if len(order) else group
+    nth_place = np.cumsum(place)
+    later = nth_place > nth_place[np.flatnonzero(new)][group] if len(order) else new
+    state = np.where(later, ASIDE, PLAIN)
     if not first_only:
-        state[new & (places[group] > 1)] = SETTLED
-        state[~later & ~new & (places[group] > 1)] = ASIDE
+        state[new & (places > 1)] = SETTLED
+        state[~later & ~new & (places > 1)] = ASIDE
     out = np.empty(len(order), dtype=np.int64)
     out[order] = state
-    return out, places
-
-
-def repeated_windows(
-    docs: DataFrame,
-    parse: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    names: Callable[[object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    first_only: bool,
-) -> DataFrame:
-    """doc_id, settled and single: the repeated windows of each document that has any.
-
-    settled: list of codes (runs of windows), single: list of windows' starts.
-    parse makes PARSE rows of (doc_id, text) batches; names(slice, document, start) gives
-    two fingerprints of windows. With first_only, a window counts if it also starts earlier
-    (smaller doc_id, null first, or same document and earlier start), else if it starts
-    anywhere else.
-    """
-    docs = id_and_text(docs)
-    rows = docs.mapInArrow(parse, PARSE).repartition("anchor")
-    rows = rows.withColumn("start", F.shiftright("code", 16))
+    return out
+
+
+def parse_rows(part, own: np.ndarray, anchor: np.ndarray, span: np.ndarray, run: tuple, first_only: bool, done: np.ndarray | None = None) -> pa.RecordBatch:
+    """PARSE rows of a slice; run: start, offset and count of each, done: known to repeat."""
+    start, offset, count = run
+    ids = part.column("doc_id").take(pa.array(own))
+    key = np.asarray(ids.fill_null(-(1 << 63)))
+    state = presettle([anchor, span], key, start, first_only)
+    if done is not None:
+        state = np.where((state == PLAIN) & done, SETTLED, state)
+    code = encoded(start, offset, count, state)
+    anchor = np.where(state == ASIDE, mix(mix(code.astype(np.uint64)) ^ key.astype(np.uint64)), anchor)
+    return pa.record_batch([pa.array(signed(anchor)), pa.array(signed(span)), ids, pa.array(code)], names=["anchor", "span", "doc_id", "code"])
+
+
+def _settled(rows: DataFrame, first_only: bool) -> DataFrame:
+    """doc_id, settled, open: codes of runs that repeat, and of runs to look at more closely."""
+    rows = rows.repartition("anchor").withColumn("start", F.shiftright("code", 24))
     state, here = F.col("code").bitwiseAND(3), F.struct("doc_id", "start")
     same_span = Window.partitionBy("anchor", "span")
     in_order = same_span.orderBy(F.col("doc_id").asc_nulls_first(), F.col("start"))
@@ -96,61 +100,101 @@ def repeated_windows(
         repeat = (state > 0) | F.col("others")
     mixed = F.min("span").over(same_anchor) != F.max("span").over(same_anchor)
     rows = rows.withColumn("mixed", mixed).withColumn("repeat", repeat)
-    rows = rows.withColumn("fine", F.col("mixed") & (F.col("n") == 1) & (state < ASIDE)).where("repeat or fine")
-    by_doc = checkpointed(
-        rows.groupBy("doc_id").agg(
-            F.collect_list(F.when(F.col("repeat"), F.col("code"))).alias("settled"),
-            F.collect_list(F.when(F.col("fine"), F.col("code"))).alias("open"),
-        )
+    rows = rows.withColumn("open", F.col("mixed") & (F.col("n") == 1) & (state < ASIDE)).where("repeat or open")
+    return rows.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("repeat"), F.col("code"))).alias("settled"),
+        F.collect_list(F.when(F.col("open"), F.col("code"))).alias("open"),
     )
 
-    def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _runs(part) -> tuple[np.ndarray, ...]:
+    """Document, start, offset, count and state of the open runs of a slice."""
+    codes = part.column("open")
+    owner = np.repeat(np.arange(len(part)), np.asarray(codes.value_lengths()).astype(np.int64))
+    return owner, *decoded(np.asarray(codes.flatten()).astype(np.int64))
+
+
+def _blocks(names: Names, sizes: Callable, length: int, block: int, first_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            owner, start, offset, count, state = _runs(part)
+            # Block j: windows that begin block * j to block * (j + 1) - 1 before the anchor.
+            low, high = (offset - count + 1) // block, offset // block
+            n = high - low + 1
+            j = spread(low, n)
+            owner, start, offset, count, state = (np.repeat(x, n) for x in (owner, start, offset, count, state))
+            anchor = start + offset
+            early = anchor - block * (j + 1) + 1  # the block's first window, also if outside the run
+            first, last = np.maximum(early, start), np.minimum(early + block - 1, start + count - 1)
+            common, _ = names(part, owner, early + block - 1, early + length)
+            fits = (early >= 0) & (early + block - 1 + length <= sizes(part)[owner])
+            begin, end = np.where(fits, early, 0), np.where(fits, early + block - 1 + length, 0)
+            _, hull = names(part, owner, begin, end)
+            of_run = encoded(np.zeros_like(j), anchor - first, last - first + 1, np.zeros_like(j)).astype(np.uint64)
+            place = mix(mix(first.astype(np.uint64)) ^ owner.astype(np.uint64))
+            span = mix(np.where(fits, hull, place) ^ mix(of_run))
+            core = mix(common + j.astype(np.uint64))
+            yield parse_rows(part, owner, core, span, (first, anchor - first, last - first + 1), first_only, state > 0)
+
+    return run
+
+
+def _singles(names: Names, length: int, first_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            codes = part.column("open")
-            flat = np.asarray(codes.flatten()).astype(np.int64)
-            owner = np.repeat(np.arange(len(part)), np.asarray(codes.value_lengths()).astype(np.int64))
-            count = (flat >> 2) & 0x3FFF
-            at = spread(flat >> 16, count)
-            doc = np.repeat(owner, count)
-            # A window of a settled run is a repeat already, but others need its name.
-            done = np.repeat(flat & 3, count) > 0
-            one, two = names(part, doc, at)
-            ids = part.column("doc_id").take(pa.array(doc))
-            key = np.asarray(ids.fill_null(-(1 << 63)))
-            state, _ = presettle([one, two], key, at, first_only)
-            state = np.where((state == PLAIN) & done, SETTLED, state)
-            code = (at << 16) | 4 | state
-            name = np.where(state == ASIDE, _aside(code, key), signed(one))
-            yield pa.record_batch([pa.array(name), pa.array(signed(two)), ids, pa.array(code)], names=["name", "name_2", "doc_id", "code"])
+            owner, start, offset, count, state = _runs(part)
+            at, doc, done = spread(start, count), np.repeat(owner, count), np.repeat(state, count) > 0
+            one, two = names(part, doc, at, at + length)
+            yield parse_rows(part, doc, one, two, (at, np.zeros_like(at), np.ones_like(at)), first_only, done)
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, parse: Callable, names: Names, sizes: Callable, length: int, first_only: bool, block: int = 1) -> DataFrame:
+    """docs (doc_id, text) with the lists settled, settled_2 and single of its repeated windows.
 
+    settled*: codes of runs of windows, single: windows' starts; null if there are none.
+    parse makes PARSE rows of (doc_id, text) batches; sizes(slice) counts the units of each
+    document. With first_only, a window counts if it also starts earlier (smaller doc_id, null
+    first, or same document and earlier start), else if it starts anywhere else. block: windows
+    of a block, 1 for none. Blocks and single windows share one exchange of the texts.
+    """
+    docs = id_and_text(docs)
+    by_doc = checkpointed(_settled(docs.mapInArrow(parse, PARSE), first_only))
+    out = same_id(docs, by_doc.select("doc_id", "settled"))
     todo = by_doc.where(F.size("open") > 0).select("doc_id", "open")
-    single = same_id(docs, todo, "inner").select("doc_id", "text", "open").mapInArrow(name_windows, WINDOWS)
-    key = Window.partitionBy("name", "name_2")
-    single = single.withColumn("start", F.shiftright("code", 16))
+    if block > 1:
+        rows = same_id(docs, todo, "inner").select("doc_id", "text", "open").mapInArrow(_blocks(names, sizes, length, block, first_only), PARSE)
+        closer = _settled(rows, first_only)
+        out = same_id(out, closer.select("doc_id", F.col("settled").alias("settled_2")))
+        todo = closer.where(F.size("open") > 0).select("doc_id", "open")
+    else:
+        out = out.withColumn("settled_2", F.lit(None).cast("array<long>"))
+    rows = same_id(docs, todo, "inner").select("doc_id", "text", "open").mapInArrow(_singles(names, length, first_only), PARSE)
+    rows = rows.withColumn("start", F.shiftright("code", 24))
+    key = Window.partitionBy("anchor", "span")
     if first_only:
         again = F.rank().over(key.orderBy(F.col("doc_id").asc_nulls_first(), F.col("start"))) > 1
     else:
+        here = F.struct("doc_id", "start")
         again = F.min(here).over(key) != F.max(here).over(key)
-    single = single.withColumn("again", (state > 0) | again).where("again")
-    single = single.groupBy("doc_id").agg(F.collect_list("start").alias("single"))
-    both = by_doc.select("doc_id", "settled")
-    out = both.withColumnRenamed("doc_id", "_left_id").join(single, F.col("_left_id").eqNullSafe(F.col("doc_id")), "left")
-    return out.select(F.col("_left_id").alias("doc_id"), "settled", "single")
+    rows = rows.withColumn("again", (F.col("code").bitwiseAND(3) > 0) | again).where("again")
+    return same_id(out, rows.groupBy("doc_id").agg(F.collect_list("start").alias("single")))
 
 
 def covered(part, n_units: np.ndarray, length: int) -> np.ndarray:
     """Which units (all documents in a row, n_units each) some repeated window covers."""
     base = np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)
     delta = np.zeros(int(base[-1]) + 1, dtype=np.int64)
-    for name in ("settled", "single"):
+    for name in ("settled", "settled_2", "single"):
         lists = part.column(name)
         lengths = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
         flat = np.asarray(lists.flatten()).astype(np.int64)
         owner = base[np.repeat(np.arange(len(part)), lengths)]
-        start, count = (flat >> 16, (flat >> 2) & 0x3FFF) if name == "settled" else (flat, np.ones_like(flat))
+        if name == "single":
+            start, count = flat, np.ones_like(flat)
+        else:
+            start, _, count, _ = decoded(flat)
         np.add.at(delta, owner + start, 1)
         np.add.at(delta, owner + start + count - 1 + length, -1)
     return np.cumsum(delta)[:-1] > 0
-
-
-__all__ = ["ASIDE", "PARSE", "PLAIN", "SETTLED", "covered", "flat_lists", "presettle", "repeated_windows"]

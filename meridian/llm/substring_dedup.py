@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, id_and_text, mix, same_id, signed, slices, word_names, words_of
-from .repeats import PARSE, covered, presettle, repeated_windows
+from .common import Rolling, mix, slices, word_names, words_of
+from .repeats import covered, parse_rows, repeated_windows
 
 _U = np.uint64
 WINDOW = 35
@@ -140,23 +140,19 @@ def _parse(window: int, rounds: int):
             anchor = mix(name[first] + height[first].astype(np.uint64))
             own = doc[begin]
             start = begin - np.searchsorted(doc, own, side="left")
-            ids = part.column("doc_id").take(pa.array(own))
-            key = np.asarray(ids.fill_null(-(1 << 63)))
-            state, _ = presettle([anchor, span], key, start, False)
-            code = (start << 16) | (count << 2) | state
-            anchor = np.where(state == 2, mix(mix(code.astype(np.uint64)) ^ key.astype(np.uint64)), anchor)
-            yield pa.record_batch([pa.array(signed(anchor)), pa.array(signed(span)), ids, pa.array(code)], names=["anchor", "span", "doc_id", "code"])
+            yield parse_rows(part, own, anchor, span, (start, where[first] - begin, count), False)
 
     return parse
 
 
-def _names(window: int):
-    def names(part, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, ends, own = words_of(part)
-        begin = np.searchsorted(own, np.arange(len(part)), side="left")[doc] + at
-        return tuple(Rolling(word_names(part, starts, ends, second)).of(begin, begin + window) for second in (False, True))
+def _names(part, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, own = words_of(part)
+    base = np.searchsorted(own, np.arange(len(part)), side="left")[doc]
+    return tuple(Rolling(word_names(part, starts, ends, second)).of(base + start, base + end) for second in (False, True))
 
-    return names
+
+def _sizes(part) -> np.ndarray:
+    return np.bincount(words_of(part)[2], minlength=len(part))
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -173,7 +169,7 @@ def repeated_passages_report(docs: DataFrame, window: int = WINDOW, rounds: int
 
 
 def _finished(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
-    found = repeated_windows(docs, _parse(window, rounds), _names(window), first_only=False)
+    found = repeated_windows(docs, _parse(window, rounds), _names, _sizes, window, first_only=False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -193,21 +189,7 @@ def _finished(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFr
             pieces = [text[a : max(a, b - 1)].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             last = [hashlib.sha256(x).hexdigest() for x in pieces] if digest else [x.decode() for x in pieces]
             removed = n - np.diff(bounds)
-            yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(removed), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "last"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(removed), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
 
-    docs = same_id(id_and_text(docs), found)
     schema = REPORT if digest else REPORT.replace("kept_sha256", "kept_text")
-    return docs.mapInArrow(_named(finish, schema), schema)
-
-
-def _named(finish, schema: str):
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def renamed(batches):
-        for x in finish(batches):
-            yield pa.record_batch(x.columns, names=names)
-
-    return renamed
-
-
-__all__ = ["PARSE", "remove_repeated_passages", "repeated_passages_report"]
+    return found.mapInArrow(finish, schema)

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rolling, id_and_text, mix, same_id, signed, slices
-from .repeats import covered, presettle, repeated_windows
+from .common import byte_rolling, mix, same_id, slices
+from .repeats import covered, parse_rows, repeated_windows
 
 _U = np.uint64
 LENGTH = 100
 TRIGGER = 32
+#: Suffixes of a phrase that are compared at once before they are compared one by one.
+BLOCK = 8
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -71,26 +73,19 @@ def _parse(length: int, trigger: int):
             span = rolling.of(begin, begin + count - 1 + length)
             span = mix(span ^ mix(((where - begin) << 16 | count).astype(np.uint64)))
             anchor, start = grams[where], begin - part.off[own]
-            ids = part.column("doc_id").take(pa.array(own))
-            key = np.asarray(ids.fill_null(-(1 << 63)))
-            state, _ = presettle([anchor, span], key, start, True)
-            code = (start << 16) | (count << 2) | state
-            anchor = np.where(state == 2, mix(mix(code.astype(np.uint64)) ^ key.astype(np.uint64)), anchor)
-            yield pa.record_batch([pa.array(signed(anchor)), pa.array(signed(span)), ids, pa.array(code)], names=["anchor", "span", "doc_id", "code"])
+            yield parse_rows(part, own, anchor, span, (start, where - begin, count), True)
 
     return parse
 
 
-def _names(length: int):
-    def names(part, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = part.off[doc] + at
-        return tuple(byte_rolling(part.data, second).of(begin, begin + length) for second in (False, True))
-
-    return names
+def _names(part, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    base = part.off[doc]
+    return tuple(byte_rolling(part.data, second).of(base + start, base + end) for second in (False, True))
 
 
 def _with_repeats(docs: DataFrame, length: int, trigger: int) -> DataFrame:
-    return repeated_windows(docs, _parse(length, trigger), _names(length), first_only=True)
+    sizes = lambda part: np.diff(part.off)
+    return repeated_windows(docs, _parse(length, trigger), _names, sizes, length, first_only=True, block=BLOCK)
 
 
 def _cut(part, length: int):
@@ -123,8 +118,7 @@ def later_copies_report(docs: DataFrame, length: int = LENGTH, trigger: int = TR
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    found = _with_repeats(docs, length, trigger)
-    return same_id(id_and_text(docs), found).mapInArrow(finish, REPORT)
+    return _with_repeats(docs, length, trigger).mapInArrow(finish, REPORT)
 
 
 def remove_later_copies(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -132,21 +126,17 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, trigger: int = TR
 
     A character of which only some bytes go, goes whole. A null text stays null.
     """
-    found = _with_repeats(docs, length, trigger)
-    rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    found = found.withColumnRenamed("doc_id", "_found")
-    rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_found")), "left").drop("_found", "_doc")
-    names = docs.columns
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             gone, removed, _ = _cut(part, length)
             kept = part.data[~gone]
             edge = np.concatenate([[0], np.cumsum(np.diff(part.off) - removed)])
             text = [kept[a:b].tobytes().decode(errors="ignore") for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            old = part.column("text")
-            text = [y if x else None for x, y in zip(old.is_valid().to_pylist(), text, strict=True)]
-            columns = [pa.array(text, pa.string()) if x == "text" else part.column(x) for x in names]
-            yield pa.record_batch(columns, names=names)
+            yield pa.record_batch([part.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "cut"])
 
-    return rows.select(*names, "settled", "single").mapInArrow(finish, docs.schema)
+    found = _with_repeats(docs, length, trigger)
+    changed = found.where("coalesce(size(settled), 0) + coalesce(size(settled_2), 0) + coalesce(size(single), 0) > 0")
+    changed = changed.mapInArrow(finish, "doc_id long, cut string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_cut_id")
+    rows = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")), "left")
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("cut", "text"))
+    return rows.select(*[text.alias("text") if x == "text" else F.col(x) for x in docs.columns])
