@@ -68,9 +68,9 @@ def byte_ranges(messages: DataFrame, gap: int = GAP) -> DataFrame:
 
 def index_keys(fields: DataFrame) -> DataFrame:
     """key columns, param, level: what to ask an index for. Level fields give a pair for each level. fields: id, pos, variable."""
-    level = F.explode(F.array(*map(F.lit, canon.LEVELS)))
+    level = F.explode(F.array(*[F.lit(str(x)) for x in canon.LEVELS]))
     atmos = F.col("variable").isin(list(canon.ATMOS))
-    on_levels = fields.where(atmos).select("*", level.cast("string").alias("level")).withColumn("param", F.col("variable"))
+    on_levels = fields.where(atmos).select("*", level.alias("level")).withColumn("param", F.col("variable"))
     param, place = F.col("variable"), F.lit("")
     for k, (p, lv) in canon.INDEX_NAMES.items():
         param, place = F.when(F.col("variable") == k, p).otherwise(param), F.when(F.col("variable") == k, lv).otherwise(place)

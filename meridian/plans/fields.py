@@ -1 +1,396 @@
-"""Queries."""
+"""Queries of the normalisation, message and history operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import canon
+from ..functions.fields import epoch_seconds, iso
+from ..operators import history as H
+from ..operators import messages as M
+from ..operators import normalize as N
+from ..sources import fixtures as fx
+from ..sources.fixtures import NOW, with_tables
+from .registry import query
+from .requests import ISO, axes
+
+_RAW_NAMES = "(VALUES ('gfs-analysis', 't2m', '2t', 270.0, 0.1, 1.0), ('gfs-analysis', 'prmsl', 'msl', 100825.0, 10.0, 1.0), ('gfs-analysis', 'gh', 'z', 0.0, 1.0, 9.80665), ('ifs-analysis', 'd2m', '2d', 265.0, 0.1, 1.0), ('ifs-analysis', 'mystery', NULL, 0.0, 1.0, 1.0)) t(source, provider_name, variable, base, slope, factor)"
+_RAW = f"fx_raw AS (SELECT source, provider_name, variable, time, lat_i, lon_i, lat, lon, (base + slope * v)::FLOAT AS raw, factor FROM fx_grid, {_RAW_NAMES})"
+_CANON = f"{_RAW}, fx_canon AS (SELECT source, variable, time, lat_i, lon_i, lat, lon, (raw * factor::FLOAT)::FLOAT AS value FROM fx_raw WHERE variable IS NOT NULL)"
+
+
+def raw(spark, d):
+    """Decoded provider rows: provider names, longitudes from 0 to 360, ascending latitudes as stored."""
+    table = [("gfs-analysis", "t2m", 270.0, 0.1), ("gfs-analysis", "prmsl", 100825.0, 10.0), ("gfs-analysis", "gh", 0.0, 1.0), ("ifs-analysis", "d2m", 265.0, 0.1), ("ifs-analysis", "mystery", 0.0, 1.0)]
+    names = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(p).alias("provider_name"), F.lit(b).alias("base"), F.lit(k).alias("slope")) for s, p, b, k in table]))
+    cells = fx.grid(spark, d).select("*", names.alias("x"))
+    lon = F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon"))
+    return cells.select(
+        "x.source", "x.provider_name", (F.col("time") - F.expr("interval 6 hours")).alias("time"), F.col("time").alias("valid_time"), F.lit(None).cast("string").alias("isobaricInhPa"),
+        F.col("lat").alias("latitude"), lon.alias("longitude"), (F.col("x.base") + F.col("x.slope") * F.col("v")).cast("float").alias("value"),
+    )
+
+
+@query("to_canonical", with_tables(f"{_CANON} SELECT source, variable, {ISO.format('time')} AS time, lat_i, lon_i, round(CASE WHEN isnan(value) THEN NULL ELSE value::DOUBLE END, 2) AS value FROM fx_canon", "fx_grid"))
+def to_canonical(spark, d):
+    rows = N.to_canonical(raw(spark, d), *axes(spark))
+    return rows.select("source", "variable", iso(F.col("time")).alias("time"), "lat_i", "lon_i", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 2).alias("value"))
+
+
+@query("rename_variables", with_tables(f"{_RAW} SELECT source, provider_name, variable, count(*) AS n FROM fx_raw GROUP BY ALL", "fx_grid"))
+def rename_variables(spark, d):
+    return N.rename_variables(raw(spark, d)).groupBy("source", "provider_name", "variable").agg(F.count("*").alias("n"))
+
+
+@query("unlisted_names", with_tables(f"{_RAW} SELECT source, string_agg(DISTINCT provider_name, ',') AS names FROM fx_raw WHERE variable IS NULL GROUP BY source", "fx_grid"))
+def unlisted_names(spark, d):
+    return N.unlisted_names(N.rename_variables(raw(spark, d))).select("source", F.array_join("names", ",").alias("names"))
+
+
+@query("name_tables", "SELECT * FROM (VALUES ('ifs-analysis', 25), ('gfs-analysis', 13), ('era5', 23)) t(source, n), (SELECT count(*) > 0 AS used FROM events)")
+def name_tables(spark, d):
+    used = fx.table(spark, d, "events").agg((F.count("*") > 0).alias("used"))
+    return canon.names(spark).groupBy("source").agg(F.count("*").cast("int").alias("n")).crossJoin(used)
+
+
+@query("lon_wrap", "SELECT c_custkey AS id, CASE WHEN l >= 180 THEN l - 360 ELSE l END AS lon FROM (SELECT c_custkey, (c_custkey * 25 % 36000 / 100.0)::DOUBLE AS l FROM customer)")
+def lon_wrap(spark, d):
+    rows = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 25 % 36000 / 100.0).alias("lon"))
+    return N.lon_wrap(rows).select("id", "lon")
+
+
+@query("axis_index", with_tables("SELECT variable, lat_i, lon_i, count(*) AS n FROM fx_field GROUP BY ALL", "fx_field"))
+def axis_index(spark, d):
+    rows = N.axis_index(N.lat_round(fx.field(spark, d).drop("lat_i", "lon_i")), *axes(spark))
+    return rows.groupBy("variable", "lat_i", "lon_i").agg(F.count("*").alias("n"))
+
+
+@query("grid_check", with_tables("SELECT time, count(DISTINCT lat) AS got_lat, count(DISTINCT lon) AS got_lon, 0::BIGINT AS off_axis, count(DISTINCT lat) = 6 AND count(DISTINCT lon) = 8 AS ok FROM fx_grid GROUP BY time", "fx_grid").replace("SELECT time,", f"SELECT {ISO.format('time')} AS time,").replace("GROUP BY time", "GROUP BY fx_grid.time"))
+def grid_check(spark, d):
+    rows = N.grid_check(fx.grid(spark, d), *axes(spark), ["time"])
+    return rows.withColumn("time", iso(F.col("time")))
+
+
+@query("valid_time", with_tables(f"SELECT {ISO.format('time')} AS time, {ISO.format("time - INTERVAL 6 HOUR")} AS init_time, count(*) * 5 AS n FROM fx_grid GROUP BY fx_grid.time", "fx_grid"))
+def valid_time(spark, d):
+    rows = N.valid_time(raw(spark, d))
+    return rows.groupBy(iso(F.col("time")).alias("time"), iso(F.col("init_time")).alias("init_time")).agg(F.count("*").alias("n"))
+
+
+@query("scale_to_si", with_tables(f"{_CANON} SELECT source, variable, count(*) AS n, round(max(CASE WHEN NOT isnan(value) THEN value END)::DOUBLE, 2) AS high FROM fx_canon GROUP BY ALL", "fx_grid"))
+def scale_to_si(spark, d):
+    rows = N.scale_to_si(N.rename_variables(raw(spark, d)).where("variable is not null"))
+    return rows.groupBy("source", "variable").agg(F.count("*").alias("n"), F.round(F.max(F.when(~F.isnan("value"), F.col("value"))).cast("double"), 2).alias("high"))
+
+
+@query("with_provenance", with_tables(f"{_RAW} SELECT source, 'https://example.org' AS source_url, 'analysis' AS kind, true AS source_known, count(*) AS n FROM fx_raw GROUP BY source", "fx_grid"))
+def with_provenance(spark, d):
+    rows = N.with_provenance(raw(spark, d), "https://example.org", "2024-01-31T00:00:00Z")
+    return rows.groupBy("source", "source_url", "kind", "source_known").agg(F.count("*").alias("n"))
+
+
+@query("select_layer", with_tables("SELECT variable, count(*) AS n FROM fx_field WHERE variable <> 'tp_1h' AND variable <> 'i10fg' GROUP BY variable", "fx_field"))
+def select_layer(spark, d):
+    return N.select_layer(fx.field(spark, d), "analysis").groupBy("variable").agg(F.count("*").alias("n"))
+
+
+@query("missing_fields", with_tables("SELECT unnest(['tcwv', '100u', '100v', 'sp', 'lcc', 'mcc', 'hcc', 'skt', 'stl1', 'swvl1', 'ci', 'sd', 't', 'u', 'v', 'q', 'z']) AS variable FROM (SELECT count(*) FROM fx_field)", "fx_field"))
+def missing_fields(spark, d):
+    return N.missing_fields(fx.field(spark, d), "analysis")
+
+
+@query("source_version", f"SELECT o_orderkey AS id, CASE WHEN ({NOW} - epoch_us(o_orderdate) // 1000000 - 680000000 + o_orderkey * 90000 * 86400 // 1000000000) / 86400.0 >= 90 THEN 'era5-final' ELSE 'era5t' END AS version FROM orders".replace(" - 680000000 + o_orderkey * 90000 * 86400 // 1000000000", " - 700000000"))
+def source_version(spark, d):
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (epoch_seconds(F.col("o_orderdate").cast("timestamp_ntz")) + 700000000).alias("at"))
+    return N.source_versions(rows, NOW).select("id", "version")
+
+
+_ACCUM = """fx_accum AS (SELECT file, n, CASE WHEN file % 11 = 0 AND n >= 3 THEN n + 1 ELSE n END AS e, CASE WHEN file % 2 = 0 THEN 0 WHEN file % 11 = 0 AND n >= 3 THEN n ELSE n - 1 END AS s, length AS value, file % 2 AS kind FROM fx_message)"""
+
+
+def accum(spark, d):
+    """file, start_step, end_step (hours, 6 apart), value: even files from the run's start, odd ones by interval, some with a gap."""
+    gap = (F.col("file") % 11 == 0) & (F.col("n") >= 3)
+    end = F.when(gap, F.col("n") + 1).otherwise(F.col("n"))
+    start = F.when(F.col("file") % 2 == 0, 0).when(gap, F.col("n")).otherwise(F.col("n") - 1)
+    return fx.messages(spark, d).select("file", (6 * start).alias("start_step"), (6 * end).alias("end_step"), F.col("length").alias("value"))
+
+
+@query(
+    "interval_amount",
+    with_tables(
+        f"""{_ACCUM}, p AS (SELECT *, lag(value) OVER w AS pv, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM fx_accum WINDOW w AS (PARTITION BY file ORDER BY e, s))
+    SELECT file, 6 * e AS end_step, CASE WHEN pe IS NULL THEN value WHEN e > pe AND s = ps THEN value - pv WHEN e > pe AND s = pe THEN value END AS amount,
+    CASE WHEN pe IS NULL OR (e > pe AND s = pe) THEN 6 * s || '-' || 6 * e WHEN e > pe AND s = ps THEN 6 * pe || '-' || 6 * e END AS step_range,
+    CASE WHEN pe IS NULL OR (e > pe AND (s = ps OR s = pe)) THEN NULL ELSE 'step_range' END AS refusal FROM p""",
+        "fx_message",
+    ),
+)
+def interval_amount(spark, d):
+    return N.interval_amount(accum(spark, d), ["file"])
+
+
+@query("same_grid", with_tables(f"t AS (SELECT time, count(*) AS n, list_sort(list(lat_i * 8 + lon_i)) AS nodes FROM fx_grid GROUP BY time) SELECT {ISO.format('time')} AS time, n, nodes = lag(nodes) OVER (ORDER BY time) AS same FROM t", "fx_grid"))
+def same_grid(spark, d):
+    rows = N.same_grid(fx.grid(spark, d).withColumn("run", F.lit(1)), ["run"], "time")
+    return rows.select(iso(F.col("time")).alias("time"), "n", "same")
+
+
+@query("assemble", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN 'time' END AS refusal, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN NULL ELSE 100 END AS time FROM lineitem")
+def assemble(spark, d):
+    foreign = F.col("l_partkey") % 4 == 0
+    rows = fx.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.lit(100).alias("target"), F.when(foreign, 95).otherwise(100).alias("valid_time"), F.when(F.col("l_suppkey") % 2 == 1, "2t").otherwise("ci").alias("variable")
+    )
+    return N.assemble(rows).select("id", "n", "refusal", "time")
+
+
+_PARAMS = "['2t', 'ci', 'lcc', 't', 'stl1', 'z_surf'][param + 1]"
+
+
+def _asked_fields(spark, d):
+    names = F.array(*map(F.lit, ("2t", "ci", "lcc", "t", "stl1", "z_surf")))
+    return fx.messages(spark, d).select(F.col("file").alias("id"), F.col("n").alias("pos"), F.element_at(names, F.col("param") + 1).alias("variable"))
+
+
+@query(
+    "plan_requests",
+    with_tables(
+        f"""f AS (SELECT file AS id, ({_PARAMS}) AS v, min(n) AS pos FROM fx_message GROUP BY ALL), g AS (SELECT *, CASE WHEN v = 'ci' THEN 'era5t' ELSE 'ifs-analysis' END AS source,
+    CASE WHEN v = 'ci' THEN 'reanalysis-era5-single-levels' WHEN v = 'lcc' THEN 'aifs-single/0p25/oper' ELSE 'ifs/0p25/oper' END AS stream, CASE WHEN v = 'ci' THEN {NOW} - 432000 ELSE {NOW} END AS valid FROM f)
+    SELECT id, source, stream, valid, string_agg(v, ',' ORDER BY pos, v) AS names, min(pos) AS pos FROM g GROUP BY id, source, stream, valid""",
+        "fx_message",
+    ),
+)
+def plan_requests(spark, d):
+    rows = M.plan_requests(_asked_fields(spark, d).withColumn("at", F.lit(NOW)))
+    return rows.select("id", "source", "stream", F.col("at").alias("valid"), F.array_join("names", ",").alias("names"), "pos")
+
+
+@query("manifest_inputs", with_tables(f"f AS (SELECT DISTINCT file AS id, CASE WHEN ({_PARAMS}) = 'ci' THEN 'era5t' ELSE 'ifs-analysis' END AS source FROM fx_message) SELECT id, source, CASE WHEN id % 5 = 0 THEN 'checksum' END AS refusal FROM f", "fx_message"))
+def manifest_inputs(spark, d):
+    rows = M.plan_requests(_asked_fields(spark, d).withColumn("at", F.lit(NOW) + F.col("id"))).select("id", "source", "at").distinct().withColumn("stream", F.lit("s"))
+    sums = rows.where("id % 5 <> 0").select("source", "stream", "at", F.lit("sha256:0").alias("checksum"))
+    return M.manifest_inputs(rows, sums).select("id", "source", "refusal")
+
+
+@query("index_keys", with_tables(f"f AS (SELECT DISTINCT file AS id, ({_PARAMS}) AS v FROM fx_message) SELECT id, CASE v WHEN 'stl1' THEN 'sot' WHEN 'z_surf' THEN 'z' ELSE v END AS param, unnest(CASE WHEN v = 't' THEN ['50', '100', '150', '200', '250', '300', '400', '500', '600', '700', '850', '925', '1000'] WHEN v = 'stl1' THEN ['1'] ELSE [''] END) AS level FROM f", "fx_message"))
+def index_keys(spark, d):
+    return M.index_keys(_asked_fields(spark, d).select("id", "variable").distinct()).select("id", "param", "level")
+
+
+def _json_lines(spark, d):
+    good = F.to_json(F.struct(F.col("offset").alias("_offset"), F.col("length").alias("_length"), F.col("param").cast("string").alias("param"), F.col("level").cast("string").alias("levelist")))
+    line = F.when(F.col("n") == 6, "{broken").when(F.col("n") == 7, '{"param": "x"}').otherwise(good)
+    return fx.messages(spark, d).select("file", F.col("n").alias("line"), line.alias("value"))
+
+
+@query("parse_json_index", with_tables("SELECT file, n AS line, CASE WHEN n < 6 THEN \"offset\" END AS \"offset\", CASE WHEN n < 6 THEN length END AS length, CASE WHEN n < 6 THEN param::VARCHAR WHEN n = 7 THEN 'x' ELSE '' END AS param, CASE WHEN n < 6 THEN level::VARCHAR ELSE '' END AS level, CASE WHEN n >= 6 THEN 'offset, length' END AS refusal FROM fx_message WHERE n < 8", "fx_message"))
+def parse_json_index(spark, d):
+    return M.parse_json_index(_json_lines(spark, d)).where("line < 8")
+
+
+def _colon_lines(spark, d):
+    line = F.concat_ws(":", F.col("n").cast("string"), F.when(F.col("n") == 6, "x").otherwise(F.col("offset").cast("string")), F.lit("d=2024"), F.col("param").cast("string"), F.col("level").cast("string"), F.lit("anl"))
+    return fx.messages(spark, d).select("file", F.col("n").alias("line"), F.when(F.col("n") == 7, "1:2").otherwise(line).alias("value"))
+
+
+@query(
+    "parse_colon_index",
+    with_tables(
+        """x AS (SELECT file, n AS line, CASE WHEN n = 6 THEN NULL WHEN n = 7 THEN 2 ELSE "offset" END AS "offset",
+    CASE WHEN n NOT IN (6, 7) THEN lead("offset") OVER (PARTITION BY file, n IN (6, 7) ORDER BY "offset") - "offset" END AS length,
+    CASE n WHEN 6 THEN 'offset' WHEN 7 THEN 'fields' END AS refusal FROM fx_message) SELECT * FROM x WHERE line < 8""",
+        "fx_message",
+    ),
+)
+def parse_colon_index(spark, d):
+    return M.parse_colon_index(_colon_lines(spark, d)).where("line < 8").select("file", "line", "offset", "length", "refusal")
+
+
+def _wanted(spark, d):
+    rows = fx.messages(spark, d).select("file").distinct()
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(lv).alias("level")) for p, lv in ((0, 0), (1, 5), (2, 9), (3, 3))]))
+    return rows.select("file", pairs.alias("x")).select("file", "x.param", "x.level")
+
+
+_PAIRS = "(param, level) IN ((0, 0), (1, 5), (2, 9), (3, 3))"
+
+
+@query("select_messages", with_tables(f"SELECT file, n, param, level FROM fx_message WHERE {_PAIRS}", "fx_message"))
+def select_messages(spark, d):
+    return M.select_messages(fx.messages(spark, d), _wanted(spark, d)).select("file", "n", "param", "level")
+
+
+@query("missing_messages", with_tables("SELECT file, p AS param, l AS level FROM (SELECT DISTINCT file FROM fx_message), (VALUES (0, 0), (1, 5), (2, 9), (3, 3)) t(p, l) WHERE NOT EXISTS (SELECT 1 FROM fx_message m WHERE m.file = fx_message.file AND m.param = p AND m.level = l)".replace("FROM (SELECT DISTINCT file FROM fx_message),", "FROM (SELECT DISTINCT file FROM fx_message) f,").replace("m.file = fx_message.file", "m.file = f.file"), "fx_message"))
+def missing_messages(spark, d):
+    return M.missing_messages(fx.messages(spark, d), _wanted(spark, d)).select("file", "param", "level")
+
+
+_KEPT = "kept AS (SELECT file, \"offset\" AS o, CASE WHEN file % 7 = 0 AND n = 3 THEN NULL ELSE length END AS l FROM fx_message WHERE param <> 2)"
+
+
+@query(
+    "byte_ranges",
+    with_tables(
+        f"""{_KEPT}, e AS (SELECT *, coalesce(o + l, 9223372036854775807) AS e FROM kept), r AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+    i AS (SELECT *, sum(CASE WHEN reach IS NOT NULL AND o - 20000 <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY o ROWS UNBOUNDED PRECEDING) AS island FROM r)
+    SELECT file, min(o) AS start, CASE WHEN max(e) < 9223372036854775807 THEN max(e) - 1 END AS stop, count(*) AS n FROM i GROUP BY file, island""",
+        "fx_message",
+    ),
+)
+def byte_ranges(spark, d):
+    length = F.when(~((F.col("file") % 7 == 0) & (F.col("n") == 3)), F.col("length"))
+    return M.byte_ranges(fx.messages(spark, d).where("param <> 2").withColumn("length", length), 20000)
+
+
+@query("message_order", with_tables("SELECT file, n, row_number() OVER (PARTITION BY file ORDER BY \"offset\") AS place FROM fx_message", "fx_message"))
+def message_order(spark, d):
+    from pyspark.sql import Window
+
+    return fx.messages(spark, d).select("file", "n", F.row_number().over(Window.partitionBy("file").orderBy("offset")).cast("long").alias("place"))
+
+
+@query("undownloadable", with_tables("SELECT file AS id, n AS pos FROM fx_message WHERE param = 5", "fx_message").replace("WHERE param = 5", "WHERE false"))
+def undownloadable(spark, d):
+    return M.undownloadable(_asked_fields(spark, d)).select("id", "pos")
+
+
+_HIST = "SELECT variable, lat_i, lon_i, {p} AS {n}, round(avg(CASE WHEN NOT isnan(value) THEN value::DOUBLE END), 5) AS mean{x}, count(*) AS n FROM {t} GROUP BY variable, lat_i, lon_i, {p}"
+_LOHI = ", round(min(CASE WHEN NOT isnan(value) THEN value::DOUBLE END), 5) AS low, round(max(CASE WHEN NOT isnan(value) THEN value::DOUBLE END), 5) AS high"
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({x: F.round(x, 5) for x in names})
+
+
+@query("history_agg", with_tables(_HIST.format(p="strftime(date_trunc('month', time), '%Y-%m-%d')", n="period", x=_LOHI, t="fx_field"), "fx_field"))
+def history_agg(spark, d):
+    return _rounded(H.period_aggregate(fx.field(spark, d), "month"), "mean", "low", "high")
+
+
+@query("daily_from_hourly", with_tables(_HIST.format(p="strftime(date_trunc('day', time), '%Y-%m-%d')", n="period", x=_LOHI, t="fx_hourly"), "fx_hourly"))
+def daily_from_hourly(spark, d):
+    return _rounded(H.period_aggregate(fx.field(spark, d, hourly=True), "day"), "mean", "low", "high")
+
+
+@query("thin_to_6h", with_tables("SELECT variable, count(*) AS n, count(DISTINCT time) AS steps FROM fx_hourly WHERE hour(time) % 6 = 0 GROUP BY variable", "fx_hourly"))
+def thin_to_6h(spark, d):
+    return H.thin_to_6h(fx.field(spark, d, hourly=True)).groupBy("variable").agg(F.count("*").alias("n"), F.count_distinct("time").alias("steps"))
+
+
+@query("monthly_climatology", with_tables(_HIST.format(p="month(time)", n="month", x="", t="fx_field"), "fx_field"))
+def monthly_climatology(spark, d):
+    return _rounded(H.climatology(fx.field(spark, d)).withColumn("month", F.col("month").cast("long")), "mean")
+
+
+def _forecast(spark, d):
+    """The hourly field at six-hourly moments as a forecast, by day of start."""
+    rows = H.thin_to_6h(fx.field(spark, d, hourly=True))
+    return H.persistence(rows.withColumn("run", F.date_format(F.date_trunc("DAY", "time"), "yyyy-MM-dd")), ["run"])
+
+
+_FC = """fc AS (SELECT *, strftime(date_trunc('day', time), '%Y-%m-%d') AS run FROM fx_hourly WHERE hour(time) % 6 = 0), held AS (SELECT run, variable, lat_i, lon_i, arg_min(value, time) AS held FROM fc GROUP BY ALL),
+    pairs AS (SELECT fc.*, held.held, f.value AS truth, cos(radians(fc.lat)) AS w FROM fc JOIN held USING (run, variable, lat_i, lon_i) JOIN fx_field f USING (variable, lat_i, lon_i, time))"""
+
+
+@query("persistence", with_tables(f"{_FC} SELECT run, variable, count(*) AS n, round(sum(CASE WHEN NOT isnan(held) THEN held::DOUBLE END), 2) AS total FROM (SELECT fc.run, fc.variable, held FROM fc JOIN held USING (run, variable, lat_i, lon_i)) GROUP BY ALL", "fx_hourly", "fx_field"))
+def persistence(spark, d):
+    return _forecast(spark, d).groupBy("run", "variable").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.isnan("held"), F.col("held").cast("double"))), 2).alias("total"))
+
+
+_RMSE = "sqrt(sum(w * ({0}::DOUBLE - truth) ** 2) FILTER (NOT isnan({0}) AND NOT isnan(truth)) / sum(w) FILTER (NOT isnan({0}) AND NOT isnan(truth)))"
+
+
+@query("rmse_weighted", with_tables(f"{_FC} SELECT variable, round({_RMSE.format('value')}, 5) AS rmse, count(*) FILTER (NOT isnan(value) AND NOT isnan(truth)) AS n FROM pairs GROUP BY variable", "fx_hourly", "fx_field"))
+def rmse_weighted(spark, d):
+    return _rounded(H.rmse_weighted(_forecast(spark, d), fx.field(spark, d), ["variable"]), "rmse")
+
+
+@query("skill_table", with_tables(f"{_FC} SELECT variable, round({_RMSE.format('value')}, 5) AS forecast, round({_RMSE.format('held')}, 5) AS persistence, round(1 - {_RMSE.format('value')} / {_RMSE.format('held')}, 5) AS skill FROM pairs GROUP BY variable", "fx_hourly", "fx_field"))
+def skill_table(spark, d):
+    return _rounded(H.skill_table(_forecast(spark, d), fx.field(spark, d), ["variable"]), "forecast", "persistence", "skill")
+
+
+@query(
+    "anomaly_correlation",
+    with_tables(
+        f"""{_FC}, clim AS (SELECT variable, lat_i, lon_i, month(time) AS m, avg(CASE WHEN NOT isnan(value) THEN value::DOUBLE END) AS mean FROM fx_field GROUP BY ALL), a AS (SELECT p.variable, w, value::DOUBLE - mean AS x, truth::DOUBLE - mean AS y FROM pairs p
+    JOIN clim c ON c.variable = p.variable AND c.lat_i = p.lat_i AND c.lon_i = p.lon_i AND c.m = month(p.time) WHERE NOT isnan(value) AND NOT isnan(truth)) SELECT variable, round(sum(w * x * y) / sqrt(sum(w * x * x) * sum(w * y * y)), 4) AS acc FROM a GROUP BY variable""",
+        "fx_hourly",
+        "fx_field",
+    ),
+)
+def anomaly_correlation(spark, d):
+    truth = fx.field(spark, d)
+    rows = H.anomaly_correlation(_forecast(spark, d), truth, H.climatology(truth), ["variable"])
+    return rows.select("variable", F.round("acc", 4).alias("acc"))
+
+
+@query("run_comparison", with_tables("SELECT f.variable, count(*) AS n, round(avg(abs(h.value::DOUBLE - f.value::DOUBLE)), 5) AS change FROM fx_hourly h JOIN fx_field f USING (variable, lat_i, lon_i, time) WHERE NOT isnan(h.value) AND NOT isnan(f.value) GROUP BY f.variable", "fx_hourly", "fx_field"))
+def run_comparison(spark, d):
+    rows = H.run_comparison(fx.field(spark, d, hourly=True), fx.field(spark, d)).where(~F.isnan("change"))
+    return rows.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("change")), 5).alias("change"))
+
+
+@query(
+    "period_gaps",
+    with_tables(
+        "lost AS (SELECT sec FROM (SELECT unnest(range(1704067200, 1706659200 + 1, 3600)) AS sec) WHERE sec NOT IN (SELECT epoch_us(time) // 1000000 FROM fx_hour WHERE lat_i = 0)), i AS (SELECT sec, sec - 3600 * row_number() OVER (ORDER BY sec) AS island FROM lost) SELECT min(sec) AS start, max(sec) AS stop, count(*) AS steps FROM i GROUP BY island",
+        "fx_hour",
+    ),
+)
+def period_gaps(spark, d):
+    have = fx.grid(spark, d, 3600, 1.0).where("lat_i = 0").select(epoch_seconds(F.col("time")).alias("at")).distinct()
+    return H.period_gaps(have, 1704067200, 1706659200, 3600)
+
+
+@query("preliminary_flag", with_tables(f"SELECT {ISO.format('time')} AS time, ({NOW} + 6480000 - epoch_us(time) // 1000000) / 86400.0 < 90 AS preliminary FROM (SELECT DISTINCT time FROM fx_grid)", "fx_grid"))
+def preliminary_flag(spark, d):
+    rows = fx.grid(spark, d).select("time", epoch_seconds(F.col("time")).alias("at")).distinct()
+    return N.source_versions(rows, NOW + 6480000).select(iso(F.col("time")).alias("time"), (F.col("version") == "era5t").alias("preliminary"))
+
+
+@query("replace_preliminary", with_tables("SELECT key, source_version, bytes FROM fx_cache WHERE access_count <> 2 UNION ALL SELECT key, 'era5-final', bytes + 1 FROM fx_cache WHERE access_count = 2", "fx_cache"))
+def replace_preliminary(spark, d):
+    old = fx.cache_index(spark, d).select("key", "source_version", "bytes", "access_count")
+    final = old.where("access_count = 2").select("key", F.lit("era5-final").alias("source_version"), (F.col("bytes") + 1).alias("bytes"))
+    return H.replace_preliminary(old.drop("access_count"), final, ["key"])
+
+
+@query("history_limits", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN 'start' WHEN o_orderkey % 7 = 6 THEN 'order' WHEN o_orderkey % 2 = 1 AND o_orderkey % 4 = 1 THEN 'years' END AS code FROM orders")
+def history_limits(spark, d):
+    k = F.col("o_orderkey")
+    start = F.when(k % 6 == 5, -1000000000).otherwise(0).cast("long")
+    length = F.when(k % 7 == 6, -5).when(k % 4 == 1, 40000000).otherwise(20000000)
+    rows = fx.table(spark, d, "orders").select(k.alias("id"), F.when(k % 2 == 1, "grid").otherwise("point").alias("kind"), start.alias("start"), (start + length).alias("stop"))
+    return H.history_limits(rows).select("id", "code")
+
+
+@query("export_region", with_tables(f"SELECT variable, {ISO.format('time')} AS time, lat, lon, round(CASE WHEN NOT isnan(value) THEN value::DOUBLE END, 5) AS value FROM fx_field WHERE variable IN ('2t', 'msl') AND lat BETWEEN -20 AND 60 AND lon BETWEEN -50 AND 100", "fx_field"))
+def export_region(spark, d):
+    rows = H.export_region(fx.field(spark, d), -20, 60, -50, 100, ["2t", "msl"])
+    return rows.select("variable", iso(F.col("time")).alias("time"), "lat", "lon", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 5).alias("value"))
+
+
+@query("canonical_order", with_tables(f"SELECT {ISO.format('time')} AS time, lat_i, lon_i, row_number() OVER (PARTITION BY time ORDER BY lat DESC, lon) AS place FROM fx_grid", "fx_grid"))
+def canonical_order(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("time").orderBy(F.desc("lat"), "lon")
+    return fx.grid(spark, d).select(iso(F.col("time")).alias("time"), "lat_i", "lon_i", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("archive_covers", with_tables(f"SELECT variable, {ISO.format('min(time)')} AS first, {ISO.format('max(time)')} AS last FROM fx_hourly GROUP BY variable", "fx_hourly"))
+def archive_covers(spark, d):
+    from ..operators import reading as R
+
+    rows = R.coverage(fx.field(spark, d, hourly=True).withColumn("archive", F.col("variable")), ["archive"])
+    return rows.select(F.col("archive").alias("variable"), iso(F.col("first")).alias("first"), iso(F.col("last")).alias("last"))
+
+
+@query("archive_gap", with_tables("c AS (SELECT min(epoch_us(time) // 1000000) AS a, max(epoch_us(time) // 1000000) AS b FROM fx_hour) SELECT o_orderkey AS id, CASE WHEN w > b THEN 'not_yet' WHEN w < a THEN 'error' ELSE 'served' END AS status FROM (SELECT o_orderkey, 1703800000 + o_orderkey * 997 % 4000000 AS w FROM orders), c", "fx_hour"))
+def archive_gap(spark, d):
+    span = fx.grid(spark, d, 3600, 1.0).agg(F.min(epoch_seconds(F.col("time"))).alias("a"), F.max(epoch_seconds(F.col("time"))).alias("b"))
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.lit(1703800000) + F.col("o_orderkey") * 997 % 4000000).alias("w")).crossJoin(F.broadcast(span))
+    return rows.select("id", F.when(F.col("w") > F.col("b"), "not_yet").when(F.col("w") < F.col("a"), "error").otherwise("served").alias("status"))
