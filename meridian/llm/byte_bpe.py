@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
-from .pieces import PieceTable, joined, once, summed
+from .pieces import PieceTable, joined, once, rows_of, summed
 
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, ids array<int>, ends array<int>"
@@ -70,7 +70,7 @@ class Codec:
         ranks = read_ranks(path)
         tokenizer = tokenizer_of(ranks)
         self.split = regex.compile(pattern).findall
-        self.table = PieceTable(lambda x: [y.ids for y in tokenizer.encode_batch_fast(x, add_special_tokens=False)])
+        self.table = PieceTable(lambda x: (x, *rows_of([y.ids for y in tokenizer.encode_batch_fast(x, add_special_tokens=False)])))
         top = max(ranks.values()) + 1
         known: list[bytes] = [b""] * top
         for token, k in ranks.items():

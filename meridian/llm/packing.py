@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text, slices, spread
-from .pieces import PieceTable, joined, once, summed
+from .common import SLICE_BYTES, checkpointed, id_and_text, slices, spread
+from .pieces import PieceTable, distinct_parts, gathered, once, rows_of, summed
 
 LENGTH, END = 2048, 1
+#: Words that a Python worker remembers: about 150 bytes each.
+REMEMBERED_WORDS = 1_000_000
 #: Above so many partitions, their totals are joined by a shuffle instead of a broadcast.
 BROADCAST_PARTITIONS = 1_000_000
 ENCODED = "doc_id long, part long, before long, n long, ids binary"
@@ -33,40 +35,46 @@ PIECES = REPORT.replace("ids_crc32 long", "ids array<int>")
 
 
 def word_table(path: str) -> PieceTable:
-    """Ids of the stretches between blanks; the tokenizer drops white space before it splits."""
+    """Ids of parts of stretches between blanks; the tokenizer drops white space before it splits."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    plain = re.compile(r"([^\W\d_]+)([.,])")
-
-    def encode(pieces: list[str]) -> list[list[int]]:
-        # Letters and one full stop or comma are split there by the tokenizer's own pattern.
-        cut = [m.groups() if (m := plain.fullmatch(x)) and m[1].isalpha() else (x,) for x in pieces]
-        parts = list(dict.fromkeys(y for x in cut for y in x))
-        ids = dict(zip(parts, (x.ids for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)), strict=True))
-        return [[k for y in x for k in ids[y]] for x in cut]
-
-    return PieceTable(encode)
-
-
-def stretches(text: str) -> list[str]:
-    """What stands between blanks and line ends; plain ASCII is lower-cased, as the tokenizer would."""
-    if text.isascii() and "<|" not in text:
-        text = text.lower()
-    return text.replace("\n", " ").split(" ")
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    last[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+    plain = re.compile("[a-z]+").fullmatch
+
+    def encode(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        # A word of plain letters is one unit of the tokenizer and ends with an end-of-word token,
+        # so many words can be encoded as one text.
+        words = [x for x in pieces if plain(x)]
+        other = [x for x in pieces if not plain(x)]
+        ids, lengths = rows_of([x.ids for x in tokenizer.encode_batch_fast(other, add_special_tokens=False)])
+        for k in range(0, len(words), 1024):
+            some = np.array(tokenizer.encode_batch_fast([" ".join(words[k : k + 1024])], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ids, lengths = np.concatenate([ids, some]), np.concatenate([lengths, np.diff(np.flatnonzero(last[some]), prepend=-1)])
+        return other + words, ids, lengths
+
+    return PieceTable(encode, REMEMBERED_WORDS)
+
+
+def encoded_texts(part, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a slice's documents in a row and how many each has."""
+    parts, number, edge = distinct_parts(part, b" \n", b".,")
+    lower = [x.lower() if x.isascii() and "<|" not in x else x for x in parts]  # as the tokenizer would
+    ids, lengths = table.tokens(table.numbers(lower))
+    ids, lengths = gathered(ids, lengths, number)
+    return ids, summed(lengths, edge)
 
 
 def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = once(("word", path), lambda: word_table(path))
         here, before = TaskContext.get().partitionId(), 0
-        for part in slices(batches):
-            texts = part.column("text").fill_null("").to_pylist()
-            pieces, edge = joined([stretches(x) for x in texts])
-            ids, lengths = table.tokens(table.numbers(pieces))
-            n = summed(lengths, edge)
+        for part in slices(batches, limit=2 * SLICE_BYTES):
+            ids, n = encoded_texts(part, table)
             ends = np.concatenate([[0], np.cumsum(n)])
             ids = ids.astype("<u2") if ids.max(initial=0) < 65536 else ids.astype("<u4")
             raw = [zlib.compress(ids[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import TextSlice, runs_of, word_names
+
 #: Pieces that a Python worker remembers; the table starts anew beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class PieceTable:
-    """Piece -> number; number -> token ids. New pieces are encoded once each, in one call."""
+    """Piece -> number; number -> token ids. New pieces are encoded once each, in one call.
+
+    encode gives the pieces in an order of its choice, all their ids in a row, and their lengths.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -24,14 +29,13 @@ class PieceTable:
         self.used = self.n = 0
 
     def _add(self, pieces: list[str]) -> None:
-        encoded = self.encode(pieces)
-        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        total = int(lengths.sum())
+        pieces, ids, lengths = self.encode(pieces)
+        total = len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(pieces) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + total] = np.fromiter((x for y in encoded for x in y), dtype=np.int32, count=total)
+        self.ids[self.used : self.used + total] = ids
         self.ends[self.n : self.n + len(pieces)] = self.used + np.cumsum(lengths)
         self.index.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
         self.used += total
@@ -42,10 +46,12 @@ class PieceTable:
         if self.n > self.limit:
             self._clear()
         get = self.index.get
-        found = [get(x, -1) for x in pieces]
-        if -1 in found:
-            self._add(list(dict.fromkeys(x for x, k in zip(pieces, found, strict=True) if k < 0)))
-            found = [get(x) for x in pieces]
+        found = list(map(get, pieces))
+        if None in found:
+            gaps = [i for i, k in enumerate(found) if k is None]
+            self._add(list(dict.fromkeys(pieces[i] for i in gaps)))
+            for i in gaps:
+                found[i] = get(pieces[i])
         return np.array(found, dtype=np.int64)
 
     def lengths(self, numbers: np.ndarray) -> np.ndarray:
@@ -85,3 +91,57 @@ def joined(lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
 def summed(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[edge[1:]] - sums[edge[:-1]]
+
+
+def rows_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries in a row, and the lengths."""
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter((x for y in lists for x in y), dtype=np.int32, count=int(lengths.sum())), lengths
+
+
+_LETTER, _UPPER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def distinct_parts(part: TextSlice, cuts: bytes, stops: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts of a slice, the number of each part in turn, and each document's first.
+
+    Parts are the stretches between cut bytes. One of plain letters, with one stop behind it or
+    none, is lower-cased and gives letters and stop as two parts. Parts of a slice are told
+    apart by 64-bit names (some ten thousand at a time).
+    """
+    cut, stop = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+    cut[list(cuts)] = True
+    stop[list(stops)] = True
+    data = part.data
+    starts, ends = runs_of(~cut[data], part.off)
+    if not len(starts):
+        return [], np.zeros(0, np.int64), np.zeros(len(part) + 1, np.int64)
+    odd = np.concatenate([[0], np.cumsum(~_LETTER[data], dtype=np.int64)])
+    stopped = stop[data[ends - 1]] & (ends - starts > 1)
+    plain = odd[ends - stopped] == odd[starts]
+    stopped &= plain
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[starts[plain]] += 1
+    inside[ends[plain]] -= 1
+    data = data + 32 * (_UPPER[data] & (np.cumsum(inside[:-1], dtype=np.int8) > 0)).astype(np.uint8)
+    # Where a stretch is cut in two, its stop is a part of its own.
+    at = np.arange(len(starts)) + np.cumsum(stopped) - stopped
+    total = len(starts) + int(stopped.sum())
+    begin, end = np.empty(total, np.int64), np.empty(total, np.int64)
+    begin[at], end[at] = starts, ends - stopped
+    begin[at[stopped] + 1], end[at[stopped] + 1] = ends[stopped] - 1, ends[stopped]
+    low = TextSlice(part.batch, data, part.off)
+    _, first, number = np.unique(word_names(low, begin, end), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    texts = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+    return texts, number, np.searchsorted(begin, part.off)
+
+
+def gathered(values: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of values (lengths of each in a row) that number names, in a row, and their lengths."""
+    size = lengths[number]
+    begin = (np.cumsum(lengths) - lengths)[number]
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
+    return values[at], size
