@@ -126,17 +126,18 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, trigger: int = TR
 
     A character of which only some bytes go, goes whole. A null text stays null.
     """
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             gone, removed, _ = _cut(part, length)
             kept = part.data[~gone]
             edge = np.concatenate([[0], np.cumsum(np.diff(part.off) - removed)])
             text = [kept[a:b].tobytes().decode(errors="ignore") for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "cut"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "_cut_text"])
 
     found = _with_repeats(docs, length, trigger)
     changed = found.where("coalesce(size(settled), 0) + coalesce(size(settled_2), 0) + coalesce(size(single), 0) > 0")
-    changed = changed.mapInArrow(finish, "doc_id long, cut string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_cut_id")
+    changed = changed.mapInArrow(finish, "doc_id long, _cut_text string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_cut_id")
     rows = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")), "left")
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("cut", "text"))
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("_cut_text", "text"))
     return rows.select(*[text.alias("text") if x == "text" else F.col(x) for x in docs.columns])
