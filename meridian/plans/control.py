@@ -11,7 +11,7 @@ from ..operators import normalize as N
 from ..operators import runs as U
 from ..sources import fixtures as fx
 from ..sources.fixtures import NOW, with_tables
-from .registry import query
+from .book import query
 
 SCORE = f"cost_ms / (bytes + 1)::DOUBLE * pow(0.5, greatest({NOW} - last_access, 0) / 86400.0)"
 _CAPACITY = "SELECT floor(sum(bytes) / 0.9)::BIGINT AS cap FROM fx_cache"

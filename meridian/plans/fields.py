@@ -11,7 +11,7 @@ from ..operators import messages as M
 from ..operators import normalize as N
 from ..sources import fixtures as fx
 from ..sources.fixtures import NOW, with_tables
-from .registry import query
+from .book import query
 from .requests import ISO, axes
 
 _RAW_NAMES = "(VALUES ('gfs-analysis', 't2m', '2t', 270.0, 0.1, 1.0), ('gfs-analysis', 'prmsl', 'msl', 100825.0, 10.0, 1.0), ('gfs-analysis', 'gh', 'z', 0.0, 1.0, 9.80665), ('ifs-analysis', 'd2m', '2d', 265.0, 0.1, 1.0), ('ifs-analysis', 'mystery', NULL, 0.0, 1.0, 1.0)) t(source, provider_name, variable, base, slope, factor)"

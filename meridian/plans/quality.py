@@ -8,7 +8,7 @@ from ..functions.fields import iso
 from ..operators import validate as V
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_tables
-from .registry import query
+from .book import query
 
 _DAY = "strftime(date_trunc('day', time), '%Y-%m-%d')"
 _F = f"f AS (SELECT *, {_DAY} AS artifact, CASE WHEN NOT isnan(value) THEN value::DOUBLE END AS x FROM fx_field)"

@@ -1,26 +1,6 @@
 """All registered queries of the weather operators, and the SQL that each must agree with."""
 
-from __future__ import annotations
+from . import control, fields, quality, requests, streams  # noqa: F401  they register themselves
+from .book import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, if SQL can say it, its oracle."""
-
-    def keep(function: Query) -> Query:
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return keep
-
-
-from . import control, fields, quality, requests  # noqa: E402, F401  they register themselves
+__all__ = ["ORACLES", "QUERIES"]

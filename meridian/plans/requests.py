@@ -10,7 +10,7 @@ from ..operators import reading as R
 from ..operators import requests as Q
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_tables
-from .registry import query
+from .book import query
 
 ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 #: The catalogue as SQL rows: asked, name, first and second input, human scale and offset.

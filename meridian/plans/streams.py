@@ -1,0 +1,35 @@
+"""Streaming operators over the driver tables: the same plans, run to the end of the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.fields import iso
+from ..sources import fixtures as fx
+from ..sources.fixtures import with_tables
+from ..streaming import streams as S
+from .book import query
+
+_KIND = "CASE WHEN endpoint LIKE '%point%' THEN 'point' WHEN endpoint LIKE '%grid%' THEN 'grid' ELSE 'other' END"
+
+
+@query("stream_hit_rate", with_tables(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, {_KIND} AS kind, count(*) AS total, count(*) FILTER (hit) AS hits FROM fx_log GROUP BY ALL", "fx_log"))
+def stream_hit_rate(spark, d):
+    return S.hit_rate(fx.query_log(spark, d)).select(iso(F.col("start")).alias("start"), "kind", "total", "hits")
+
+
+@query("stream_miss_latency", with_tables("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS misses, avg(latency_ms) AS mean FROM fx_log WHERE NOT hit GROUP BY ALL", "fx_log"))
+def stream_miss_latency(spark, d):
+    return S.miss_latency(fx.query_log(spark, d)).select(iso(F.col("start")).alias("start"), "misses", "mean")
+
+
+@query("stream_access_state", with_tables("SELECT area AS key, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_access, count(*) AS access_count FROM fx_log WHERE area IS NOT NULL GROUP BY area", "fx_log"))
+def stream_access_state(spark, d):
+    log = fx.query_log(spark, d).where("area is not null").withColumnRenamed("area", "key")
+    return S.access_state(log).withColumn("last_access", iso(F.col("last_access")))
+
+
+@query("stream_lateness", "SELECT o_orderkey AS id, CASE WHEN w < 30600 THEN 'on_time' WHEN w < 34200 THEN 'fallback' ELSE 'missed' END AS state, CASE WHEN w >= 30600 AND w < 34200 THEN 'late_input' END AS degraded FROM (SELECT o_orderkey, o_orderkey * 600 % 43200 AS w FROM orders)")
+def stream_lateness(spark, d):
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("init"), (F.col("o_orderkey") * 600 % 43200).alias("arrived"))
+    return S.lateness(rows).select("id", "state", "degraded")
