@@ -136,7 +136,7 @@ def same_grid(spark, d):
     return rows.select(iso(F.col("time")).alias("time"), "n", "same")
 
 
-@query("assemble", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN 'time' END AS refusal, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN NULL ELSE 100 END AS time FROM lineitem")
+@query("assemble_slice", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN 'time' END AS refusal, CASE WHEN l_partkey % 4 = 0 AND l_suppkey % 2 = 1 THEN NULL ELSE 100 END AS time FROM lineitem")
 def assemble(spark, d):
     foreign = F.col("l_partkey") % 4 == 0
     rows = fx.table(spark, d, "lineitem").select(
@@ -185,7 +185,7 @@ def _json_lines(spark, d):
     return fx.messages(spark, d).select("file", F.col("n").alias("line"), line.alias("value"))
 
 
-@query("parse_json_index", with_tables("SELECT file, n AS line, CASE WHEN n < 6 THEN \"offset\" END AS \"offset\", CASE WHEN n < 6 THEN length END AS length, CASE WHEN n < 6 THEN param::VARCHAR WHEN n = 7 THEN 'x' ELSE '' END AS param, CASE WHEN n < 6 THEN level::VARCHAR ELSE '' END AS level, CASE WHEN n >= 6 THEN 'offset, length' END AS refusal FROM fx_message WHERE n < 8", "fx_message"))
+@query("parse_ecmwf_index", with_tables("SELECT file, n AS line, CASE WHEN n < 6 THEN \"offset\" END AS \"offset\", CASE WHEN n < 6 THEN length END AS length, CASE WHEN n < 6 THEN param::VARCHAR WHEN n = 7 THEN 'x' ELSE '' END AS param, CASE WHEN n < 6 THEN level::VARCHAR ELSE '' END AS level, CASE WHEN n >= 6 THEN 'offset, length' END AS refusal FROM fx_message WHERE n < 8", "fx_message"))
 def parse_json_index(spark, d):
     return M.parse_json_index(_json_lines(spark, d)).where("line < 8")
 
@@ -196,7 +196,7 @@ def _colon_lines(spark, d):
 
 
 @query(
-    "parse_colon_index",
+    "parse_gfs_idx",
     with_tables(
         """x AS (SELECT file, n AS line, CASE WHEN n = 6 THEN NULL WHEN n = 7 THEN 2 ELSE "offset" END AS "offset",
     CASE WHEN n NOT IN (6, 7) THEN lead("offset") OVER (PARTITION BY file, n IN (6, 7) ORDER BY "offset") - "offset" END AS length,
