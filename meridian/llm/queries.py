@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, media, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, licenses, media, near_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -72,6 +72,10 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-#: None of these can be said in SQL: fingerprints of kept words or bytes, learned or adaptive
-#: verdicts, tokenizers and files. tests/llm holds each against a brute-force version.
-ORACLES: dict[str, str] = {}
+#: The others are beyond SQL: removed bytes, learned scores, tokenizers, rules and files. tests/llm
+#: holds each operator against a brute-force version.
+ORACLES = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op2_near_dedup": oracles.NEAR_DEDUP,
+    "op5_quality_rules": oracles.QUALITY_RULES,
+}
