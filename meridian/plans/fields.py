@@ -251,9 +251,10 @@ def message_order(spark, d):
     return fx.messages(spark, d).select("file", "n", F.row_number().over(Window.partitionBy("file").orderBy("offset")).cast("long").alias("place"))
 
 
-@query("undownloadable", with_tables("SELECT file AS id, n AS pos FROM fx_message WHERE param = 5", "fx_message").replace("WHERE param = 5", "WHERE false"))
+@query("undownloadable", with_tables("SELECT file AS id, n AS pos FROM fx_message WHERE param = 5", "fx_message"))
 def undownloadable(spark, d):
-    return M.undownloadable(_asked_fields(spark, d)).select("id", "pos")
+    rows = fx.messages(spark, d).select(F.col("file").alias("id"), F.col("n").alias("pos"), F.when(F.col("param") == 5, "insolation").otherwise("2t").alias("variable"))
+    return M.undownloadable(rows).select("id", "pos")
 
 
 _HIST = "SELECT variable, lat_i, lon_i, {p} AS {n}, round(avg(CASE WHEN NOT isnan(value) THEN value::DOUBLE END), 5) AS mean{x}, count(*) AS n FROM {t} GROUP BY variable, lat_i, lon_i, {p}"
