@@ -67,7 +67,7 @@ LAYERS: dict[str, tuple[tuple[str, ...], tuple[str, ...], int, int]] = {
 }
 LAYER_BY_STEP = {6: "coarse", 1: "hourly"}
 #: Where data may come from.
-SOURCES = ("aurora-forecast", "ifs-analysis", "gfs-analysis", "era5t", "era5-final", "climatology")
+SOURCES = ("forecast", "ifs-analysis", "gfs-analysis", "era5t", "era5-final", "climatology")
 #: Provider -> provider's name -> canonical name.
 NAMES: dict[str, dict[str, str]] = {
     "ifs-analysis": {
