@@ -9,12 +9,13 @@ probability of about the Jaccard similarity.
 
 Steps: sets that are equal become one class. Classes that agree on the four registers of any
 of 48 bands meet in a bucket; at a similarity of 0.75 a pair misses all bands with a
-probability of 1.2e-8. In a bucket, each class is held against the bucket's smallest one
+probability of 1.2e-8. In a bucket, each class is held against the bucket's centre
 (never all against all): by length, then by the joint likelihood of the registers, then
 exactly, on full shingle sets. Links give components by label propagation. Pairs of a bucket
-that are then in different components are still open; the triangle inequality of the Jaccard
-distance, with the exact distances to the smallest class, rules out nearly all; the rest is
-checked in the same three steps, so no link between classes that met is lost.
+that are then in different components are still open. Two such sets with a link share part of
+what sets them apart from such a centre; they meet by an exact prefix filter on
+these deviations (see _deviations) instead of by all pairs, and are checked in the same three
+steps, so no link between classes that met is lost.
 
 Null and empty texts, and texts without words, have an empty set and no links. Rows with a
 null doc_id have no links, a null component and are kept. Rows that repeat a doc_id are one
@@ -182,22 +183,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and may still be linked.
+def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys by which two members of a bucket that deviate from a class b in their midst must meet.
 
-    stars: a, b, both, union of the pairs held against a bucket's smallest class so far.
+    For sets x and y with a link, U = x - b, P = b - x, and x without a link to b:
+    at most a quarter of x is not in y, so the U have at least |U| - |x| / 4 shingles in
+    common, and the first |x| / 4 + 1 of each U (by name) share one if the U meet at all. If
+    they don't, both U are at most a quarter of their sets, and fewer than 3/7 (|P_y| - |U_y|)
+    of P_y are outside of P_x: any that many of P_y meet P_x.
     """
-    label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = label.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    label = label.join(split.select("bucket"), "bucket")
-    # Exact distance to the bucket's smallest class; 0 for itself, unknown where the sketch ruled it out.
-    known = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("union")).alias("far"))
-    label = label.join(known, ["pivot", "node"], "left").withColumn("far", F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("far")))
-    side = lambda x: label.select("bucket", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("far").alias(f"far_{x}"), F.col("pivot").alias(f"pivot_{x}"))
-    limit = 1 - PERCENT / 100 + 1e-9
-    both = side("a").join(side("b").drop("pivot_b"), "bucket").where("a < b and label_a != label_b and a != pivot_a")
-    both = both.where((F.abs(F.col("far_a") - F.col("far_b")) <= limit) | F.col("far_a").isNull() | F.col("far_b").isNull())
-    return both.select("a", "b").distinct()
+    for part in slices(batches, "text_a"):
+        other = next(slices(iter([part.batch]), "text_b", 1 << 62))
+        (own_a, name_a), (own_b, name_b) = shingles(part), shingles(other)
+        own, name = np.concatenate([own_a, own_b]), np.concatenate([name_a, name_b])
+        extra = np.arange(len(own)) >= len(own_a)
+        order = np.lexsort((name, own))
+        own, name, extra = own[order], name[order], extra[order]
+        same = (own[1:] == own[:-1]) & (name[1:] == name[:-1])
+        alone = ~(np.append(same, False) | np.append(False, same))
+        own, name, extra = own[alone], name[alone], extra[alone]
+        n = np.bincount(own_b, minlength=len(part)).astype(np.int64)
+        far = np.asarray(part.column("far"))
+        chosen = []
+        n_u, n_p = (np.bincount(own[k], minlength=len(part)).astype(np.int64) for k in (extra, ~extra))
+        nth = np.zeros(len(own), dtype=np.int64)
+        for k in (extra, ~extra):
+            doc = own[k]
+            nth[k] = np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
+        near_all = 4 * n_u <= n
+        some = n_p - ((4 * n_p + 3 * n_u) // 7 + 1) + 1
+        for role, pick in enumerate((extra & (nth <= (n // 4)[own]), ~extra & near_all[own] & (nth < some[own]), ~extra & (near_all & far)[own])):
+            at = np.flatnonzero(pick)
+            chosen.append((own[at], name[at], np.full(len(at), role, dtype=np.int32)))
+        own, name, role = (np.concatenate(x) for x in zip(*chosen, strict=True))
+        doc = pa.array(own)
+        whole = n_u <= n // 4 + 1
+        columns = [part.column("a").take(doc), pa.array(signed(name)), pa.array(role), part.column("b").take(doc), part.column("label").take(doc)]
+        columns += [pa.array(x[own]) for x in (n, n_u, n_p, whole)]
+        yield pa.record_batch(columns, names=["hub", "name", "role", "node", "label", "n", "u", "p", "whole"])
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket, neither its centre, that are in different components and may be linked.
+
+    A class's hub is the most central of its buckets' centres. Members of a bucket are set
+    against the most central of their hubs, so a family of copies has one or few. A hub that
+    is a member of the bucket is its centre, so its pairs are measured already.
+    """
+    rank = F.struct("central", (-F.col("pivot")).alias("k"))
+    hubs = members.groupBy("node").agg(F.max(rank).alias("hub"))
+    label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(hubs, "node")
+    others = label.where("node != pivot")
+    split = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("hub").alias("x")).where("low != high")
+    split = split.select("bucket", (-F.col("x.k")).alias("a"))
+    known = others.select("bucket", F.col("node").alias("b"), "label").join(split, "bucket").select("a", "b", "label").distinct()
+    of_hub = labels.select(F.col("node").alias("a"), F.col("label").alias("of_hub"))
+    known = known.join(of_hub, "a", "left").withColumn("far", F.col("label") != F.coalesce("of_hub", "a"))
+    known = checkpointed(known.select("a", "b", "label", "far"))
+    needed = known.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(needed, "doc_id", "left_semi")
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    rows = known.join(text("b"), "b").join(text("a"), "a").select("a", "b", "label", "far", "text_a", "text_b")
+    rows = checkpointed(rows.mapInArrow(_deviations, "hub long, name long, role int, node long, label long, n long, u long, p long, whole boolean"))
+    side = lambda x: rows.select("hub", "name", *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "whole")])
+    # Seven times what the deviations must have in common, and what they can have at most.
+    need = F.expr("4 * (p_a + p_b) + 3 * (u_a + u_b) - (n_a - u_a + p_a)")
+    alike, most = 7 * F.least("p_a", "p_b"), 7 * (F.least("u_a", "u_b") + F.least("p_a", "p_b"))
+    roles = "(role_a = 0 and role_b = 0 and node_a < node_b) or (role_a = 1 and role_b = 2)"
+    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    both = side("a").join(side("b"), ["hub", "name"]).where("label_a != label_b").where(roles).where(sizes).where(most >= need)
+    both = both.withColumn("missing", need - alike)
+    pair = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    counted = both.groupBy("hub", *pair, "role_a").agg(F.count("*").alias("shared"), F.first("missing").alias("missing"), F.bool_and(F.col("whole_a") & F.col("whole_b")).alias("whole"))
+    enough = F.when(F.col("role_a") == 0, ~F.col("whole") | (7 * F.col("shared") >= F.col("missing"))).otherwise(F.col("missing") <= 0)
+    return counted.where(enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,14 +267,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(full.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")))
     bands = classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top")
-    members = checkpointed(bands.join(buckets.select("bucket", "pivot"), "bucket"))
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(bands.join(buckets, "bucket"))
+    # The centre of a bucket is the class that meets most others, over all buckets; the smallest of equals.
+    degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    members = members.join(degree, "node")
+    centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x"))
+    centre = centre.select("bucket", (-F.col("x.k")).alias("pivot"), F.col("x.degree").alias("central"))
+    members = checkpointed(members.select("bucket", "node").join(centre, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     linked = F.col("both") * 100 >= F.col("union") * PERCENT
     stars = checkpointed(measured(stars, classes, docs))
     edges = stars.where(linked).select("a", "b")
     labels = components(edges)
-    rest = measured(_open_pairs(members, labels, stars), classes, docs).where(linked)
+    rest = measured(_open_pairs(members, labels, docs), classes, docs).where(linked)
     edges = checkpointed(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest.select("a", "b")))
     labels = components(edges)
     of_set = classes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("component"))
