@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextSlice, byte_rolling, id_and_text, mix, runs_of, signed, slices
+from .common import TextSlice, byte_rolling, checkpointed, id_and_text, mix, runs_of, signed, slices
 
 _U = np.uint64
 #: Expected number of labelled rows that are learned from.
@@ -249,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, rows / max(n, 1)))
     # The sample's ids have an expected number of at most rows, whatever the table's size.
     sample = id_and_text(docs).join(F.broadcast(marked.where(part)), "doc_id").where("text is not null")
-    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    # One pass over the documents; the sample is bounded, as its ids are.
+    sample = checkpointed(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learn, fit = sample.where(fold != 3), sample.where(fold == 3)
     counts = learn.select("doc_id", "text", "toxic").mapInArrow(_count_features, "name long, toxic long, clean long")
@@ -275,20 +276,30 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     return Grammar(grammar.names, grammar.kinds, grammar.weights, curve)
 
 
+def _scores(part: TextSlice, grammar: Grammar) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of scoring clauses of each document of a slice."""
+    x = figures(part, grammar)
+    return 1 / (1 + np.exp(-np.clip(_inputs(x) @ grammar.curve, -30, 30))), x[:, 4]
+
+
 def scored(docs: DataFrame, grammar: Grammar, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, score, predicted and the number of scoring clauses of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            x = figures(part, grammar)
-            score = 1 / (1 + np.exp(-np.clip(_inputs(x) @ grammar.curve, -30, 30)))
-            columns = [part.column("doc_id"), pa.array(score), pa.array((score >= cutoff).astype(np.int32)), pa.array(x[:, 4].astype(np.int32))]
+            score, clauses = _scores(part, grammar)
+            columns = [part.column("doc_id"), pa.array(score), pa.array((score >= cutoff).astype(np.int32)), pa.array(clauses.astype(np.int32))]
             yield pa.record_batch(columns, names=["doc_id", "score", "predicted", "clauses"])
 
     return id_and_text(docs).mapInArrow(run, REPORT)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, all columns. A doc_id goes with any of its rows."""
-    gone = scored(docs, train(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns. Rows are filtered where they are, without a join."""
+    grammar = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.batch.filter(pa.array(_scores(part, grammar)[0] < cutoff))
+
+    return docs.mapInArrow(run, docs.schema)
