@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step works on.
-SLICE_BYTES = 1_500_000
+#: Bytes of text that one numpy step works on. A step holds some ten arrays of eight bytes for each.
+SLICE_BYTES = 800_000
 
 _U = np.uint64
 
@@ -141,7 +141,7 @@ class Rolling:
     def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         got = cls._powers.get(base)
         if got is None or len(got[0]) < n:
-            size = max(n, 2 * SLICE_BYTES)
+            size = -(-n // (1 << 18)) << 18  # in large steps, so that it is seldom made anew
             pair = []
             for b in (base, pow(base, -1, 1 << 64)):
                 powers = np.full(size, b, dtype=np.uint64)

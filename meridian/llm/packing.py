@@ -26,7 +26,7 @@ from .pieces import PieceTable, distinct_parts, gathered, once, rows_of, summed
 
 LENGTH, END = 2048, 1
 #: Words that a Python worker remembers: about 150 bytes each.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 700_000
 #: Above so many partitions, their totals are joined by a shuffle instead of a broadcast.
 BROADCAST_PARTITIONS = 1_000_000
 ENCODED = "doc_id long, part long, before long, n long, ids binary"
