@@ -214,13 +214,12 @@ def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = n_p - ((4 * n_p + 3 * n_u) // 7 + 1) + 1
         for role, pick in enumerate((extra & (nth <= (n // 4)[own]), ~extra & near_all[own] & (nth < some[own]), ~extra & (near_all & far)[own])):
             at = np.flatnonzero(pick)
-            chosen.append((own[at], name[at], np.full(len(at), role, dtype=np.int32)))
-        own, name, role = (np.concatenate(x) for x in zip(*chosen, strict=True))
+            chosen.append((own[at], name[at], np.full(len(at), role, dtype=np.int32), nth[at]))
+        own, name, role, place = (np.concatenate(x) for x in zip(*chosen, strict=True))
         doc = pa.array(own)
-        whole = n_u <= n // 4 + 1
         columns = [part.column("a").take(doc), pa.array(signed(name)), pa.array(role), part.column("b").take(doc), part.column("label").take(doc)]
-        columns += [pa.array(x[own]) for x in (n, n_u, n_p, whole)]
-        yield pa.record_batch(columns, names=["hub", "name", "role", "node", "label", "n", "u", "p", "whole"])
+        columns += [pa.array(x) for x in (n[own], n_u[own], n_p[own], place)]
+        yield pa.record_batch(columns, names=["hub", "name", "role", "node", "label", "n", "u", "p", "at"])
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
@@ -244,19 +243,17 @@ def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataF
     texts = docs.join(needed, "doc_id", "left_semi")
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     rows = known.join(text("b"), "b").join(text("a"), "a").select("a", "b", "label", "far", "text_a", "text_b")
-    rows = checkpointed(rows.mapInArrow(_deviations, "hub long, name long, role int, node long, label long, n long, u long, p long, whole boolean"))
-    side = lambda x: rows.select("hub", "name", *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "whole")])
+    rows = checkpointed(rows.mapInArrow(_deviations, "hub long, name long, role int, node long, label long, n long, u long, p long, at long"))
+    side = lambda x: rows.select("hub", "name", *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
     # Seven times what the deviations must have in common, and what they can have at most.
     need = F.expr("4 * (p_a + p_b) + 3 * (u_a + u_b) - (n_a - u_a + p_a)")
     alike, most = 7 * F.least("p_a", "p_b"), 7 * (F.least("u_a", "u_b") + F.least("p_a", "p_b"))
     roles = "(role_a = 0 and role_b = 0 and node_a < node_b) or (role_a = 1 and role_b = 2)"
     sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    both = side("a").join(side("b"), ["hub", "name"]).where("label_a != label_b").where(roles).where(sizes).where(most >= need)
-    both = both.withColumn("missing", need - alike)
-    pair = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
-    counted = both.groupBy("hub", *pair, "role_a").agg(F.count("*").alias("shared"), F.first("missing").alias("missing"), F.bool_and(F.col("whole_a") & F.col("whole_b")).alias("whole"))
-    enough = F.when(F.col("role_a") == 0, ~F.col("whole") | (7 * F.col("shared") >= F.col("missing"))).otherwise(F.col("missing") <= 0)
-    return counted.where(enough).select("a", "b").distinct()
+    # Of the U in the order of names, the first shingle in common must leave room for as many as are missing.
+    room = F.when(F.col("role_a") == 0, 7 * F.least(F.col("u_a") - F.col("at_a"), F.col("u_b") - F.col("at_b"))).otherwise(0)
+    both = side("a").join(side("b"), ["hub", "name"]).where("label_a != label_b").where(roles).where(sizes).where(most >= need).where(room >= need - alike)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
