@@ -131,7 +131,9 @@ def _blocks(names: Names, sizes: Callable, length: int, block: int, first_only:
             begin, end = np.where(fits, early, 0), np.where(fits, early + block - 1 + length, 0)
             _, hull = names(part, owner, begin, end)
             of_run = encoded(np.zeros_like(j), anchor - first, last - first + 1, np.zeros_like(j)).astype(np.uint64)
-            place = mix(mix(first.astype(np.uint64)) ^ owner.astype(np.uint64))
+            # A block that does not fit has a name of its own, so it stays open: its bytes are not compared here.
+            key = np.asarray(part.column("doc_id").fill_null(-(1 << 63)))[owner].astype(np.uint64)
+            place = mix(mix(mix(first.astype(np.uint64)) ^ key))
             span = mix(np.where(fits, hull, place) ^ mix(of_run))
             core = mix(common + j.astype(np.uint64))
             yield parse_rows(part, owner, core, span, (first, anchor - first, last - first + 1), first_only, state > 0)

@@ -86,6 +86,28 @@ def test_suffix_dedup(docs):
     assert set(cut[0].asDict()) == set(docs.columns)
 
 
+def test_suffix_dedup_of_shared_openings(spark):
+    """Openings of 93 to 106 bytes in many partitions: only what is 100 bytes long goes, whatever a document's place in its slice."""
+    from meridian.llm.suffix_dedup import later_copies_report
+
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    openings = [letters(106) for _ in range(8)]
+    rows = [(i, openings[i % 8][: 93 + i // 8 % 14] + letters(150)) for i in range(448)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = as_dict(later_copies_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for i, (b, gone) in suffix_cut(rows).items():
+        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+        assert tuple(got[i])[:3] == (i, len(b), sum(gone)) and got[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
 def shingles(text):
     w = split(lower(text))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
