@@ -187,7 +187,7 @@ def _json_lines(spark, d):
 
 @query("parse_ecmwf_index", with_tables("SELECT file, n AS line, CASE WHEN n < 6 THEN \"offset\" END AS \"offset\", CASE WHEN n < 6 THEN length END AS length, CASE WHEN n < 6 THEN param::VARCHAR WHEN n = 7 THEN 'x' ELSE '' END AS param, CASE WHEN n < 6 THEN level::VARCHAR ELSE '' END AS level, CASE WHEN n >= 6 THEN 'offset, length' END AS refusal FROM fx_message WHERE n < 8", "fx_message"))
 def parse_json_index(spark, d):
-    return M.parse_json_index(_json_lines(spark, d)).where("line < 8")
+    return M.parse_json_index(_json_lines(spark, d))
 
 
 def _colon_lines(spark, d):
@@ -205,7 +205,7 @@ def _colon_lines(spark, d):
     ),
 )
 def parse_colon_index(spark, d):
-    return M.parse_colon_index(_colon_lines(spark, d)).where("line < 8").select("file", "line", "offset", "length", "refusal")
+    return M.parse_colon_index(_colon_lines(spark, d)).select("file", "line", "offset", "length", "refusal")
 
 
 def _wanted(spark, d):
