@@ -1,11 +1,12 @@
 """License detection by ordered signature rules.
 
 Some hundreds of rules come from a table of license families and a few ways of naming them
-(identifier lines, "licensed under", version phrases, addresses, titles, grant sentences). A
-rule runs only where its keyword was found (one search for all keywords), in the lines around
-it. Detections are taken in the order of priority, then length, then place; one that lies
-within an accepted detection is suppressed, so "GNU Lesser General Public License" is no GPL by
-a rule. The base phrases are found besides and are never suppressed.
+(identifier lines, "licensed under", version phrases, addresses, titles, grant sentences), some
+more from sentences of the licenses' own texts. A rule runs only on texts that hold its keyword
+(one search for all keywords), but there on the whole text. Detections are taken in the order of
+priority, then length, then place; one that lies within an accepted detection is suppressed, so
+"GNU Lesser General Public License" is no GPL by a rule. The base phrases are found besides and
+are never suppressed.
 
 Null and empty texts have no words and no labels.
 """
@@ -28,9 +29,9 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: Family -> keywords (each name has one), names, identifiers and address (patterns).
 FAMILIES: dict[str, tuple[str, str, str, str]] = {
-    "agpl": ("affero agpl", r"(?:gnu )?affero general public licen[cs]e|gnu agpl", r"agpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
-    "lgpl": ("lesser library lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|gnu lgpl", r"lgpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/lgpl"),
-    "gpl": ("gnu", r"gnu general public licen[cs]e|gnu gpl", r"gpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/gpl"),
+    "agpl": ("affero agpl agpl1 agpl2 agpl3 agplv1 agplv2 agplv3", r"(?:gnu )?affero general public licen[cs]e|gnu agpl|agpl(?:-\d[\d.]*(?:-only|-or-later)?)?", r"agpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
+    "lgpl": ("lesser library lgpl lgpl1 lgpl2 lgpl3 lgplv1 lgplv2 lgplv3", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl(?:-\d[\d.]*(?:-only|-or-later)?)?", r"lgpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/lgpl"),
+    "gpl": ("gnu gpl gpl1 gpl2 gpl3 gplv1 gplv2 gplv3", r"gnu general public licen[cs]e|gnu gpl|gpl(?:-\d[\d.]*(?:-only|-or-later)?)?", r"gpl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/gpl"),
     "gfdl": ("documentation fdl", r"gnu free documentation licen[cs]e|gnu fdl", r"gfdl-[\d.]+", r"gnu\.org/licenses/fdl"),
     "apache": ("apache", r"apache (?:software )?licen[cs]e", r"apache-[\d.]+", r"apache\.org/licenses"),
     "mit": ("mit expat", r"mit licen[cs]e|expat licen[cs]e", r"mit", r"opensource\.org/licenses/mit"),
@@ -74,8 +75,19 @@ WAYS: dict[str, tuple[int, float, str]] = {
     "address": (60, 0.75, r"(?:https?://)?(?:www\.)?{url}[\w./-]*"),
     "name": (40, 0.6, r"\b(?:{names})(?![\w-])"),
 }
-#: Bytes on each side of a keyword in which its rules run; no rule matches more.
-REACH = 240
+#: Label, keyword and pattern of sentences that only a license's own text has.
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "hereby", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms,? with or without modification,? are permitted"),
+    ("isc", "permission", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose"),
+    ("bsl", "hereby", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("gpl", "redistribute", r"this program is free software[:;,]? you can redistribute it and/or modify"),
+    ("lgpl", "redistribute", r"this library is free software[:;,]? you can redistribute it and/or modify"),
+]
+#: Priority and confidence of those.
+BODY = (75, 0.9)
 REPORT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -91,7 +103,8 @@ class Rule:
 
 def rules() -> list[Rule]:
     """All rules, in the order in which their detections count."""
-    out = []
+    spaced = lambda x: x.replace(" ", r"\s+").encode()
+    out = [Rule(label, "body", *BODY, (keyword,), re.compile(spaced(pattern))) for label, keyword, pattern in BODIES]
     for label, (keyword, names, ids, url) in FAMILIES.items():
         for way, (priority, confidence, pattern) in WAYS.items():
             keys = tuple(keyword.split())
@@ -126,23 +139,15 @@ class Scanner:
 
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
         """Start, end and rule of what is accepted in a lower-cased text."""
-        windows: dict[str, list[list[int]]] = {}
+        keys = set()
         for last, key in self.keys.iter(text.decode("latin-1")):
             start, end = last + 1 - len(key), last + 1
             # A keyword is a whole word; those of addresses begin with a full stop and are open behind.
             if key[0] != "." and (start and _WORD[text[start - 1]] or end < len(text) and _WORD[text[end]]):
                 continue
-            at = windows.setdefault(key, [])
-            lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-            if at and lo <= at[-1][1]:
-                at[-1][1] = hi
-            else:
-                at.append([lo, hi])
-        found = []
-        for key, at in windows.items():
-            for rule in self.by_key[key]:
-                for lo, hi in at:
-                    found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text, lo, hi) if m.end() - m.start() <= REACH]
+            keys.add(key)
+        # A rule of several keywords runs once.
+        found = [(m.start(), m.end(), rule) for rule in {id(x): x for key in keys for x in self.by_key[key]}.values() for m in rule.pattern.finditer(text)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
         taken: list[tuple[int, int, Rule]] = []
         starts = np.zeros(0, np.int64)

@@ -270,6 +270,23 @@ def test_license_scan(docs):
     assert scan(b"under cc by-nc 4.0.")[0][0] == "cc-by-nc"
 
 
+def test_license_scan_of_long_matches_bodies_and_abbreviations():
+    from meridian.llm.licenses import Scanner
+
+    scan = lambda x: [(r.label, r.way, b - a) for a, b, r in Scanner().detections(x)]
+    url = b"https://www.apache.org/licenses/" + b"a/" * 300
+    assert scan(b"see " + url) == [("apache", "address", len(url))]
+    name = b"gnu" + b" " * 900 + b"lesser" + b"\n" * 900 + b"general public license"
+    assert scan(name) == [("lgpl", "name", len(name))]
+    far = b"licensed under" + b" " * 500 + b"the mit license"
+    assert scan(far) == [("mit", "grant", len(far))]
+    labels = lambda x: {x for x, _, _ in scan(x)}
+    assert labels(b"permission is hereby granted, free of charge, to any person obtaining a\ncopy of this") == {"mit"}
+    assert labels(b"redistribution and use in source and binary forms, with or without\nmodification, are permitted") == {"bsd"}
+    assert labels(b"licensed under the gpl") == labels(b"gplv3 or later") == labels(b"gpl-3.0-only") == {"gpl"}
+    assert labels(b"under lgplv2.1") == {"lgpl"} and labels(b"agplv3") == {"agpl"}
+
+
 def test_byte_bpe(docs):
     import public_tokenizers as P
     import tiktoken
