@@ -7,7 +7,7 @@ not on the table.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
+    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    Without that setting a local session takes a folder of its own; a cluster must name one, as
+    a folder of one machine would be lost with it.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -38,10 +46,34 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def same_id(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """Join on doc_id, where a null id is a key like any other."""
-    right = right.withColumnRenamed("doc_id", "_right_id")
-    return left.join(right, left["doc_id"].eqNullSafe(right["_right_id"]), how).drop("_right_id")
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def with_twins(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, hash and text of every row; (doc_id, twin) is the key of a document.
+
+    twin is 0 where all rows of an id have one text, and else a hash of the text. So rows that
+    share an id (or have none) and differ are documents of their own, in the order of twin, and
+    equal rows are one document. The ids with several texts are looked for first; only if
+    there are any, rows are joined to them.
+    """
+    docs = id_and_text(docs)
+    rows = docs.withColumn("hash", text_hash(F.col("text")))
+    several = rows.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high").select("doc_id")
+    several = checkpointed(several)
+    if several.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("twin"), "hash", "text")
+    several = several.select(F.col("doc_id").alias("id"), F.lit(True).alias("some"))
+    rows = rows.join(several, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return rows.select("doc_id", F.when(F.col("some"), F.col("hash")).otherwise(F.lit(0)).cast("long").alias("twin"), "hash", "text")
+
+
+def same_document(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on (doc_id, twin), where a null id is a key like any other."""
+    right = right.withColumnsRenamed({"doc_id": "_right_id", "twin": "_right_twin"})
+    match = left["doc_id"].eqNullSafe(right["_right_id"]) & (left["twin"] == right["_right_twin"])
+    return left.join(right, match, how).drop("_right_id", "_right_twin")
 
 
 def unsigned_crc(value: Column) -> Column:
@@ -123,19 +155,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def table_of(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
+#: Two seeds of names that are independent of each other.
+SEEDS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
+#: Longer stretches of bytes are hashed one by one.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def stretch_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit name of the bytes of each stretch: eight bytes at a time are mixed into it.
+
+    A stretch of up to eight bytes is told apart from all others of its length for certain.
+    """
+    seed = SEEDS[second]
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) + _U(seed))
+    if not len(starts):
+        return out
+    bytes_ = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=bytes_, strides=(1,))
+    todo = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        todo, left = todo[left > 0], left[left > 0]
+        if not len(todo):
+            break
+        out[todo] = mix(out[todo] ^ (eight[starts[todo] + at] & _MASKS[np.minimum(left, 8)]))
+        at += 8
+    for i in np.flatnonzero(size > LONG):
+        raw = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(raw, "little")
+    return out
+
+
+#: Polynomials are taken modulo this prime.
+_PRIME = (1 << 61) - 1
+_M61, _M31, _M30 = _U(_PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
+#: Numbers that one numpy step multiplies, so that all intermediate arrays stay in a core's cache.
+_STEP = 1 << 14
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 as numbers below the prime."""
+    x = (x & _M61) + (x >> _U(61))
+    return np.where(x >= _M61, x - _M61, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it."""
+    a_high, a_low, b_high, b_low = a >> _U(31), a & _M31, b >> _U(31), b & _M31
+    middle = a_high * b_low + a_low * b_high
+    return _folded(_U(2) * a_high * b_high + (middle >> _U(30)) + ((middle & _M30) << _U(31)) + a_low * b_low)
 
 
 class Rolling:
-    """Polynomial fingerprints modulo 2**64 of any stretch of a sequence, after one prefix sum."""
+    """Polynomial fingerprints modulo 2**61 - 1 of any stretch of a sequence, after one prefix sum."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, values: np.ndarray, base: int = 0x2545F4914F6CDD1D):
-        self.up, self.down = self._tables(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+    def __init__(self, values: np.ndarray, second: bool = False):
+        n = len(values)
+        up, self.down = self._tables(SEEDS[second] % _PRIME, n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        carry = 0
+        for k in range(0, n, _STEP):
+            some = slice(k, min(k + _STEP, n))
+            term = _times(_folded(values[some].astype(np.uint64)), up[some])
+            # Sums of the two halves of the terms can't overflow.
+            high, low = np.cumsum(term >> _U(31)), np.cumsum(term & _M31)
+            high = _folded(high)
+            total = _folded(_folded((high >> _U(30)) + ((high & _M30) << _U(31))) + _folded(low) + _U(carry))
+            self.sums[k + 1 : some.stop + 1] = total
+            carry = int(total[-1])
 
     @classmethod
     def _tables(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,27 +235,29 @@ class Rolling:
         if got is None or len(got[0]) < n:
             size = -(-n // (1 << 18)) << 18  # in large steps, so that it is seldom made anew
             pair = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                powers = np.full(size, b, dtype=np.uint64)
-                powers[0] = 1
-                pair.append(np.cumprod(powers))
+            for b in (base, pow(base, -1, _PRIME)):
+                powers = np.ones(1, dtype=np.uint64)
+                while len(powers) < size:
+                    powers = np.concatenate([powers, _times(powers, np.full(1, pow(b, len(powers), _PRIME), np.uint64))])
+                pair.append(powers[:size].copy())
             got = cls._powers[base] = (pair[0], pair[1])
         return got
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-
-_BYTES, _BYTES_2 = table_of(11), table_of(77)
+        out = np.empty(len(start), dtype=np.uint64)
+        for k in range(0, len(start), _STEP):
+            a, b = start[k : k + _STEP], end[k : k + _STEP]
+            out[k : k + _STEP] = mix(_times(_folded(self.sums[b] + (_M61 - self.sums[a])), self.down[a]))
+        return out
 
 
 def byte_rolling(data: np.ndarray, second: bool = False) -> Rolling:
-    return Rolling((_BYTES_2 if second else _BYTES)[data], 0x9FB21C651E98DF25 if second else 0x2545F4914F6CDD1D)
+    return Rolling(data + np.uint16(1), second)
 
 
 def word_names(part: TextSlice, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
     """A 64-bit name of each word's bytes."""
-    return mix(byte_rolling(part.data, second).of(starts, ends) + (ends - starts).astype(np.uint64))
+    return stretch_names(part.data, starts, ends, second)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

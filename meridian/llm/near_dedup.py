@@ -11,15 +11,18 @@ Steps: sets that are equal become one class. Classes that agree on the four regi
 of 48 bands meet in a bucket; at a similarity of 0.75 a pair misses all bands with a
 probability of 1.2e-8. In a bucket, each class is held against the bucket's centre
 (never all against all): by length, then by the joint likelihood of the registers, then
-exactly, on full shingle sets. Links give components by label propagation. Pairs of a bucket
-that are then in different components are still open. Two such sets with a link share part of
-what sets them apart from such a centre; they meet by an exact prefix filter on
-these deviations (see _deviations) instead of by all pairs, and are checked in the same three
-steps, so no link between classes that met is lost.
+exactly, on full shingle sets (two independent names for each shingle). Links give components
+by label propagation. Pairs of a bucket that are then in different components are still open.
+Two such sets with a link share part of what sets them apart from such a centre, so they meet
+in an exact prefix filter on these deviations (see _deviations). A small group of the filter is
+compared in pairs. A large one gets a centre of its own, against which its members are held,
+and what is still in different components meets again by its deviations from that centre: a
+level costs members, not pairs. What the last level leaves is compared in pairs, so no link
+between classes that met is lost.
 
 Null and empty texts, and texts without words, have an empty set and no links. Rows with a
-null doc_id have no links, a null component and are kept. Rows that repeat a doc_id are one
-node.
+null doc_id have no links, a null component and are kept. Rows that share a doc_id and differ
+in text are nodes of their own; rows that repeat both are one node, and all kept if it is.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, TextSlice, checkpointed, id_and_text, mix, signed, slices, word_names, words_of
+from .common import Rolling, TextSlice, checkpointed, mix, signed, slices, text_hash, with_twins, word_names, words_of
 
 _U = np.uint64
 SHINGLE = 5
@@ -42,31 +45,40 @@ BANDS, BAND = 48, 4
 BASE, RATE = 1.001, 20.0
 #: Pairs whose most likely similarity is below this are dropped: five standard errors under 0.75.
 LIKELY = 0.59
-SIGNATURE = "doc_id long, n_shingles long, set_1 long, set_2 long, registers binary"
+#: Groups of deviations up to this size are compared in pairs; larger ones get a centre of their own.
+SMALL = 16
+#: Levels of centres before what is left is compared in pairs.
+LEVELS = 4
+#: Pairs with one centre that go to one task in a join.
+PAIRS_A_TASK = 256
+SIGNATURE = "doc_id long, hash long, twin long, n_shingles long, set_1 long, set_2 long, registers binary"
 
 
-def shingles(part: TextSlice) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle names of each document, sorted by document and name."""
+def shingles(part: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each document: document and two independent names, sorted by these."""
     data = part.data.copy()
     upper = (data >= 65) & (data <= 90)
     data[upper] += 32
     part = TextSlice(part.batch, data, part.off)
     starts, ends, doc = words_of(part)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolling = Rolling(word_names(part, starts, ends))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     at = np.flatnonzero(doc[: max(0, len(doc) - SHINGLE + 1)] == doc[SHINGLE - 1 :])
     n = np.bincount(doc, minlength=len(part))
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     first = np.searchsorted(doc, short, side="left")
     begin, size = np.concatenate([at, first]), np.concatenate([np.full(len(at), SHINGLE), n[short]])
-    name = mix(rolling.of(begin, begin + size) + size.astype(np.uint64))
-    own = doc[begin]
-    order = np.lexsort((name, own))
-    name, own = name[order], own[order]
-    new = np.ones(len(name), dtype=bool)
-    new[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
-    return own[new], name[new]
+    names = [mix(Rolling(word_names(part, starts, ends, x), x).of(begin, begin + size) + size.astype(np.uint64)) for x in (False, True)]
+    return distinct(doc[begin], *names)
+
+
+def distinct(own: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows, sorted."""
+    order = np.lexsort((*names[::-1], own))
+    columns = [x[order] for x in (own, *names)]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return tuple(x[new] for x in columns)
 
 
 def sketch(own: np.ndarray, name: np.ndarray, n_docs: int) -> np.ndarray:
@@ -97,16 +109,16 @@ def sketch(own: np.ndarray, name: np.ndarray, n_docs: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        own, name = shingles(part)
+        own, *names = shingles(part)
         n = np.bincount(own, minlength=len(part)).astype(np.int64)
         sums = []
-        for salt in (7, 8):  # sums over a set don't depend on its order
+        for name in names:  # sums over a set don't depend on its order
             total = np.zeros(len(part), dtype=np.uint64)
-            np.add.at(total, own, mix(name * _U(3) + _U(salt)))
+            np.add.at(total, own, mix(name))
             sums.append(pa.array(signed(mix(total))))
-        registers = sketch(own, name, len(part))
+        registers = sketch(own, names[0], len(part))
         raw = pa.array([x.tobytes() for x in registers], pa.binary())
-        yield pa.record_batch([part.column("doc_id"), pa.array(n), *sums, raw], names=["doc_id", "n_shingles", "set_1", "set_2", "registers"])
+        yield pa.record_batch([*[part.column(x) for x in ("doc_id", "hash", "twin")], pa.array(n), *sums, raw], names=["doc_id", "hash", "twin", "n_shingles", "set_1", "set_2", "registers"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,25 +158,37 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text_a"):
         other = next(slices(iter([part.batch]), "text_b", 1 << 62))
-        (own_a, name_a), (own_b, name_b) = shingles(part), shingles(other)
-        own, name = np.concatenate([own_a, own_b]), np.concatenate([name_a, name_b])
-        order = np.lexsort((name, own))
-        own, name = own[order], name[order]
-        both = np.bincount(own[1:][(own[1:] == own[:-1]) & (name[1:] == name[:-1])], minlength=len(part)).astype(np.int64)
-        union = np.bincount(own, minlength=len(part)).astype(np.int64) - both
+        own, *names = (np.concatenate(x) for x in zip(shingles(part), shingles(other), strict=True))
+        union = np.bincount(distinct(own, *names)[0], minlength=len(part)).astype(np.int64)
+        both = np.bincount(own, minlength=len(part)).astype(np.int64) - union
         yield pa.record_batch([part.column("a"), part.column("b"), pa.array(both), pa.array(union)], names=["a", "b", "both", "union"])
 
 
+def dealt_join(pairs: DataFrame, of_a: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) joined to of_a (a, ...); the pairs of a centre a are dealt over tasks, each with a copy of its row."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = of_a.join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["a", "part"]).drop("part")
+
+
+def with_texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with text_a and text_b. Only texts that are needed move."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = classes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("twin").alias("its"))
+    texts = docs.join(needed, (F.col("doc_id") == F.col("id")) & (F.col("twin") == F.col("its"))).select("node", "text")
+    texts = texts.dropDuplicates(["node"])  # rows that repeat id and text
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    return dealt_join(pairs.join(text("b"), "b"), text("a"))
+
+
 def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, both, union of the pairs (a, b) that pass lengths and likelihood."""
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
+    near = dealt_join(pairs.join(of("b"), "b"), of("a")).where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
     near = checkpointed(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
-    needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi")
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    rows = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+    rows = with_texts(near, classes, docs).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_exact, "a long, b long, both long, union long")
 
 
@@ -194,12 +218,12 @@ def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for part in slices(batches, "text_a"):
         other = next(slices(iter([part.batch]), "text_b", 1 << 62))
-        (own_a, name_a), (own_b, name_b) = shingles(part), shingles(other)
-        own, name = np.concatenate([own_a, own_b]), np.concatenate([name_a, name_b])
+        (own_a, *_), (own_b, *_) = both = shingles(part), shingles(other)
+        own, name, second = (np.concatenate(x) for x in zip(*both, strict=True))
         extra = np.arange(len(own)) >= len(own_a)
-        order = np.lexsort((name, own))
-        own, name, extra = own[order], name[order], extra[order]
-        same = (own[1:] == own[:-1]) & (name[1:] == name[:-1])
+        order = np.lexsort((second, name, own))
+        own, name, second, extra = own[order], name[order], second[order], extra[order]
+        same = (own[1:] == own[:-1]) & (name[1:] == name[:-1]) & (second[1:] == second[:-1])
         alone = ~(np.append(same, False) | np.append(False, same))
         own, name, extra = own[alone], name[alone], extra[alone]
         n = np.bincount(own_b, minlength=len(part)).astype(np.int64)
@@ -222,8 +246,11 @@ def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["hub", "name", "role", "node", "label", "n", "u", "p", "at"])
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket, neither its centre, that are in different components and may be linked.
+DEVIATIONS = "hub long, name long, role int, node long, label long, n long, u long, p long, at long"
+
+
+def _first_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: hubs and the members of buckets whose pairs, neither of them the centre, are still open.
 
     A class's hub is the most central of its buckets' centres. Members of a bucket are set
     against the most central of their hubs, so a family of copies has one or few. A hub that
@@ -235,16 +262,32 @@ def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataF
     others = label.where("node != pivot")
     split = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("hub").alias("x")).where("low != high")
     split = split.select("bucket", (-F.col("x.k")).alias("a"))
-    known = others.select("bucket", F.col("node").alias("b"), "label").join(split, "bucket").select("a", "b", "label").distinct()
-    of_hub = labels.select(F.col("node").alias("a"), F.col("label").alias("of_hub"))
-    known = known.join(of_hub, "a", "left").withColumn("far", F.col("label") != F.coalesce("of_hub", "a"))
-    known = checkpointed(known.select("a", "b", "label", "far"))
-    needed = known.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi")
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    rows = known.join(text("b"), "b").join(text("a"), "a").select("a", "b", "label", "far", "text_a", "text_b")
-    rows = checkpointed(rows.mapInArrow(_deviations, "hub long, name long, role int, node long, label long, n long, u long, p long, at long"))
-    side = lambda x: rows.select("hub", "name", *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
+    return others.select("bucket", F.col("node").alias("b")).join(split, "bucket").select("a", "b").distinct()
+
+
+def _deviating(known: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """DEVIATIONS of the members b of hubs a whose members are in several components."""
+    of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
+    known = known.join(of("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    known = known.join(of("a", "of_hub"), "a", "left").withColumn("far", F.col("label") != F.coalesce("of_hub", "a"))
+    several = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    known = checkpointed(known.join(several.select("a"), "a", "left_semi").select("a", "b", "label", "far"))
+    rows = with_texts(known, classes, docs).select("a", "b", "label", "far", "text_a", "text_b")
+    return checkpointed(rows.mapInArrow(_deviations, DEVIATIONS))
+
+
+def _met(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the small groups of deviations, and centres and members (a, b) of the large ones.
+
+    At the last level, all groups count as small.
+    """
+    key = ["hub", "name", "kind"]
+    rows = rows.withColumn("kind", F.least("role", F.lit(1)))
+    groups = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    groups = groups.withColumn("large", F.lit(level + 1 < LEVELS) & (F.col("size") > SMALL))
+    rows = checkpointed(rows.join(groups.select(*key, "large"), key))
+    small = rows.where("not large")
+    side = lambda x: small.select(*key, *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
     # Seven times what the deviations must have in common, and what they can have at most.
     need = F.expr("4 * (p_a + p_b) + 3 * (u_a + u_b) - (n_a - u_a + p_a)")
     alike, most = 7 * F.least("p_a", "p_b"), 7 * (F.least("u_a", "u_b") + F.least("p_a", "p_b"))
@@ -252,17 +295,35 @@ def _open_pairs(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataF
     sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     # Of the U in the order of names, the first shingle in common must leave room for as many as are missing.
     room = F.when(F.col("role_a") == 0, 7 * F.least(F.col("u_a") - F.col("at_a"), F.col("u_b") - F.col("at_b"))).otherwise(0)
-    both = side("a").join(side("b"), ["hub", "name"]).where("label_a != label_b").where(roles).where(sizes).where(most >= need).where(room >= need - alike)
-    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    both = side("a").join(side("b"), key).where("label_a != label_b").where(roles).where(sizes).where(most >= need).where(room >= need - alike)
+    pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    large = rows.where("large").select(*key, "node")
+    # The centre of a group is its member that most large groups of the hub have, so groups of one family have one.
+    degree = large.groupBy("hub", "node").agg(F.count("*").alias("degree"))
+    large = large.join(degree, ["hub", "node"])
+    centre = large.groupBy(*key).agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x")).select(*key, (-F.col("x.k")).alias("a"))
+    stars = large.join(centre, key).where("a != node").select("a", F.col("node").alias("b")).distinct()
+    return pairs, checkpointed(stars)
+
+
+def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    docs = id_and_text(docs)
+    return _judged(with_twins(docs)).drop("hash")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     sets = checkpointed(docs.mapInArrow(_signatures, SIGNATURE))
     key = ["set_1", "set_2", "n_shingles"]
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(full.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")))
+    classes = full.groupBy(*key).agg(F.min(F.struct("doc_id", "twin")).alias("x"), F.first("registers").alias("registers"))
+    # A class's number is its place in the checkpoint.
+    classes = checkpointed(classes.select(*key, "registers", "x.doc_id", "x.twin", F.monotonically_increasing_id().alias("node")))
     bands = classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(bands.join(buckets, "bucket"))
@@ -274,20 +335,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = checkpointed(members.select("bucket", "node").join(centre, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     linked = F.col("both") * 100 >= F.col("union") * PERCENT
-    stars = checkpointed(measured(stars, classes, docs))
-    edges = stars.where(linked).select("a", "b")
-    labels = components(edges)
-    rest = measured(_open_pairs(members, labels, docs), classes, docs).where(linked)
-    edges = checkpointed(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest.select("a", "b")))
-    labels = components(edges)
-    of_set = classes.join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("component"))
-    out = sets.select("doc_id", *key).join(of_set, key, "left")
+    labels = components(checkpointed(measured(stars, classes, docs).where(linked)).select("a", "b"))
+    known = _first_open(members, labels)
+    for level in range(LEVELS):
+        pairs, stars = _met(_deviating(known, labels, classes, docs), level)
+        pairs = checkpointed(_other_components(pairs.union(stars).distinct(), labels))
+        if not pairs.isEmpty():
+            links = checkpointed(measured(pairs, classes, docs).where(linked)).select("a", "b")
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+        if stars.isEmpty():
+            break
+        known = stars
+    of_node = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of_node.groupBy("label").agg(F.min("doc_id").alias("component"))
+    of_set = of_node.join(least, "label").select(*key, "component")
+    out = sets.select("doc_id", "hash", *key).join(of_set, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "hash", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept: the smallest doc_id of each group, all columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = _judged(with_twins(docs)).where("not kept").select("doc_id", "hash").distinct()
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (text_hash(docs["text"]) == gone["hash"])
+    return docs.join(gone, same, "left_anti")

@@ -16,8 +16,9 @@ NEAR_DEDUP = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translat
     reach(doc_id, r) AS (SELECT a, a FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r),
     comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
     SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
-_LIMITS = """{n} AS (SELECT {by}, metric, any_value(total) AS total, CASE WHEN min(b) FILTER (upto >= 0.75 * total) > -200 THEN pow(1.05, min(b) FILTER (upto >= 0.75 * total) + 1 + 3.0 * (min(b) FILTER (upto >= 0.75 * total) - min(b) FILTER (upto >= 0.25 * total))) ELSE 0.0 END AS value
-    FROM (SELECT {by}, metric, b, sum(count(*)) OVER (PARTITION BY {by}, metric ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY {by}, metric) AS total FROM buckets GROUP BY {by}, metric, b) GROUP BY {by}, metric)"""
+#: Weights of buckets in thousandths of a document: own counts, and 200 documents dealt like the wider group.
+_BLEND = """{n} AS (SELECT {by}, metric, b, sum(w)::BIGINT AS w FROM (SELECT {by}, metric, b, 1000 * count(*) AS w FROM buckets GROUP BY ALL
+    UNION ALL SELECT {by}, metric, b, (200000 * w) // whole FROM (SELECT DISTINCT {by}, metric FROM buckets) JOIN (SELECT *, (sum(w) OVER (PARTITION BY {to}, metric))::BIGINT AS whole FROM {wider}) USING ({to}, metric)) GROUP BY ALL)"""
 QUALITY_RULES = r"""WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 2], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1),
@@ -27,7 +28,10 @@ QUALITY_RULES = r"""WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang,
     coalesce(lines.n - lines.d, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lines USING (doc_id)),
     v AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS place, unnest(['word_length', 'symbol_share', 'dup_line_share', 'repeat_share']) AS metric, unnest([8.0, 0.1, 0.3, 0.2])::DOUBLE AS low,
     unnest([word_chars / greatest(n_words, 1)::DOUBLE, n_symbols / greatest(n_words, 1)::DOUBLE, n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE]) AS v FROM m),
-    buckets AS (SELECT *, greatest(-200, CASE WHEN v > 0 THEN floor(ln(v) / ln(1.05))::INT ELSE -200 END) AS b, 1 AS every FROM v), """ + ", ".join(_LIMITS.format(n=n, by=by) for n, by in (("fine", "lang, source"), ("mid", "lang"), ("top", "every"))) + r""",
-    judged AS (SELECT doc_id, place, metric, v > greatest(low, CASE WHEN f.total >= 200 THEN f.value WHEN d.total >= 200 THEN d.value ELSE t.value END) AS beyond FROM buckets b JOIN fine f USING (lang, source, metric) JOIN mid d ON d.lang = b.lang AND d.metric = b.metric JOIN top t ON t.metric = b.metric),
+    buckets AS (SELECT *, greatest(-200, CASE WHEN v > 0 THEN floor(ln(v) / ln(1.05))::INT ELSE -200 END) AS b, 1 AS every FROM v),
+    top AS (SELECT every, metric, b, 1000 * count(*) AS w FROM buckets GROUP BY ALL), """ + _BLEND.format(n="mid", by="every, lang", to="every", wider="top") + ", " + _BLEND.format(n="fine", by="lang, source", to="lang", wider="mid") + r""",
+    cut AS (SELECT lang, source, metric, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3
+    FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY b) AS upto, sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM fine) GROUP BY ALL),
+    judged AS (SELECT doc_id, place, metric, v > greatest(low, CASE WHEN q3 > -200 THEN pow(1.05, q3 + 1 + 3.0 * (q3 - q1)) ELSE 0.0 END) AS beyond FROM buckets JOIN cut USING (lang, source, metric)),
     verdict AS (SELECT doc_id, arg_min(metric, place) FILTER (beyond) AS over FROM judged GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over IS NULL AS kept, over FROM m JOIN verdict USING (doc_id)"""

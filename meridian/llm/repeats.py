@@ -6,7 +6,7 @@ of consecutive windows with one anchor:
 
     anchor   name of what all windows of the run have in common
     span     name of the whole stretch that they cover, with the offset of the anchor
-    doc_id   document
+    doc_id, twin   document (twin tells rows apart that share an id, see with_twins)
     code     first window << 24 | offset of the anchor << 16 | number of windows << 2 | state
 
 Rows go to the anchors' partitions once. A span that is met again settles all its windows
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text, mix, same_id, signed, slices, spread
+from .common import checkpointed, mix, same_document, signed, slices, spread, with_twins
 
 _U = np.uint64
 PLAIN, SETTLED, ASIDE = 0, 1, 2
-PARSE = "anchor long, span long, doc_id long, code long"
+PARSE = "anchor long, span long, doc_id long, twin long, code long"
+KEY = ["doc_id", "twin"]
 #: names(slice, document, start, end) -> two fingerprints of each stretch of units.
 Names = Callable[[object, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -72,25 +73,44 @@ def presettle(names: list[np.ndarray], doc: np.ndarray, at: np.ndarray, first_on
     return out
 
 
+def document_order(part) -> np.ndarray:
+    """The rank of each row of a slice by (doc_id, twin), null first; equal for equal keys."""
+    ids, twin = part.column("doc_id"), np.asarray(part.column("twin"))
+    known, key = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+    order = np.lexsort((twin, key, known))
+    new = np.zeros(len(order), dtype=np.int64)
+    a, b = order[1:], order[:-1]
+    new[1:] = (known[a] != known[b]) | (key[a] != key[b]) | (twin[a] != twin[b])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def document_salt(part) -> np.ndarray:
+    """A number of each row's key, the same in every slice."""
+    ids = part.column("doc_id")
+    key = np.asarray(ids.fill_null(0)).astype(np.uint64) ^ mix(np.asarray(ids.is_valid()).astype(np.uint64))
+    return mix(mix(key) ^ np.asarray(part.column("twin")).astype(np.uint64))
+
+
 def parse_rows(part, own: np.ndarray, anchor: np.ndarray, span: np.ndarray, run: tuple, first_only: bool, done: np.ndarray | None = None) -> pa.RecordBatch:
     """PARSE rows of a slice; run: start, offset and count of each, done: known to repeat."""
     start, offset, count = run
-    ids = part.column("doc_id").take(pa.array(own))
-    key = np.asarray(ids.fill_null(-(1 << 63)))
-    state = presettle([anchor, span], key, start, first_only)
+    ids, twin = (part.column(x).take(pa.array(own)) for x in KEY)
+    state = presettle([anchor, span], document_order(part)[own], start, first_only)
     if done is not None:
         state = np.where((state == PLAIN) & done, SETTLED, state)
     code = encoded(start, offset, count, state)
-    anchor = np.where(state == ASIDE, mix(mix(code.astype(np.uint64)) ^ key.astype(np.uint64)), anchor)
-    return pa.record_batch([pa.array(signed(anchor)), pa.array(signed(span)), ids, pa.array(code)], names=["anchor", "span", "doc_id", "code"])
+    anchor = np.where(state == ASIDE, mix(mix(code.astype(np.uint64)) ^ document_salt(part)[own]), anchor)
+    return pa.record_batch([pa.array(signed(anchor)), pa.array(signed(span)), ids, twin, pa.array(code)], names=["anchor", "span", *KEY, "code"])
 
 
 def _settled(rows: DataFrame, first_only: bool) -> DataFrame:
-    """doc_id, settled, open: codes of runs that repeat, and of runs to look at more closely."""
+    """KEY, settled, open: codes of runs that repeat, and of runs to look at more closely."""
     rows = rows.repartition("anchor").withColumn("start", F.shiftright("code", 24))
-    state, here = F.col("code").bitwiseAND(3), F.struct("doc_id", "start")
+    state, here = F.col("code").bitwiseAND(3), F.struct(*KEY, "start")
     same_span = Window.partitionBy("anchor", "span")
-    in_order = same_span.orderBy(F.col("doc_id").asc_nulls_first(), F.col("start"))
+    in_order = same_span.orderBy(F.col("doc_id").asc_nulls_first(), "twin", "start")
     same_anchor = Window.partitionBy("anchor")
     rows = rows.withColumn("rank", F.rank().over(in_order)).withColumn("n", F.row_number().over(in_order))
     if first_only:
@@ -101,7 +121,7 @@ def _settled(rows: DataFrame, first_only: bool) -> DataFrame:
     mixed = F.min("span").over(same_anchor) != F.max("span").over(same_anchor)
     rows = rows.withColumn("mixed", mixed).withColumn("repeat", repeat)
     rows = rows.withColumn("open", F.col("mixed") & (F.col("n") == 1) & (state < ASIDE)).where("repeat or open")
-    return rows.groupBy("doc_id").agg(
+    return rows.groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("repeat"), F.col("code"))).alias("settled"),
         F.collect_list(F.when(F.col("open"), F.col("code"))).alias("open"),
     )
@@ -132,8 +152,7 @@ def _blocks(names: Names, sizes: Callable, length: int, block: int, first_only:
             _, hull = names(part, owner, begin, end)
             of_run = encoded(np.zeros_like(j), anchor - first, last - first + 1, np.zeros_like(j)).astype(np.uint64)
             # A block that does not fit has a name of its own, so it stays open: its bytes are not compared here.
-            key = np.asarray(part.column("doc_id").fill_null(-(1 << 63)))[owner].astype(np.uint64)
-            place = mix(mix(mix(first.astype(np.uint64)) ^ key))
+            place = mix(mix(mix(first.astype(np.uint64)) ^ document_salt(part)[owner]))
             span = mix(np.where(fits, hull, place) ^ mix(of_run))
             core = mix(common + j.astype(np.uint64))
             yield parse_rows(part, owner, core, span, (first, anchor - first, last - first + 1), first_only, state > 0)
@@ -153,35 +172,36 @@ def _singles(names: Names, length: int, first_only: bool):
 
 
 def repeated_windows(docs: DataFrame, parse: Callable, names: Names, sizes: Callable, length: int, first_only: bool, block: int = 1) -> DataFrame:
-    """docs (doc_id, text) with the lists settled, settled_2 and single of its repeated windows.
+    """doc_id, twin and text of every row with the lists settled, settled_2 and single of its repeated windows.
 
     settled*: codes of runs of windows, single: windows' starts; null if there are none.
-    parse makes PARSE rows of (doc_id, text) batches; sizes(slice) counts the units of each
+    parse makes PARSE rows of (doc_id, twin, text) batches; sizes(slice) counts the units of each
     document. With first_only, a window counts if it also starts earlier (smaller doc_id, null
-    first, or same document and earlier start), else if it starts anywhere else. block: windows
-    of a block, 1 for none. Blocks and single windows share one exchange of the texts.
+    first, then twin, or same document and earlier start), else if it starts anywhere else. Rows of
+    one key (equal id and text) are one document. block: windows of a block, 1 for none. Blocks
+    and single windows share one exchange of the texts.
     """
-    docs = id_and_text(docs)
+    docs = with_twins(docs).drop("hash")
     by_doc = checkpointed(_settled(docs.mapInArrow(parse, PARSE), first_only))
-    out = same_id(docs, by_doc.select("doc_id", "settled"))
-    todo = by_doc.where(F.size("open") > 0).select("doc_id", "open")
+    out = same_document(docs, by_doc.select(*KEY, "settled"))
+    todo = by_doc.where(F.size("open") > 0).select(*KEY, "open")
+    closer_look = lambda todo: same_document(docs, todo, "inner").select(*KEY, "text", "open")
     if block > 1:
-        rows = same_id(docs, todo, "inner").select("doc_id", "text", "open").mapInArrow(_blocks(names, sizes, length, block, first_only), PARSE)
-        closer = _settled(rows, first_only)
-        out = same_id(out, closer.select("doc_id", F.col("settled").alias("settled_2")))
-        todo = closer.where(F.size("open") > 0).select("doc_id", "open")
+        closer = _settled(closer_look(todo).mapInArrow(_blocks(names, sizes, length, block, first_only), PARSE), first_only)
+        out = same_document(out, closer.select(*KEY, F.col("settled").alias("settled_2")))
+        todo = closer.where(F.size("open") > 0).select(*KEY, "open")
     else:
         out = out.withColumn("settled_2", F.lit(None).cast("array<long>"))
-    rows = same_id(docs, todo, "inner").select("doc_id", "text", "open").mapInArrow(_singles(names, length, first_only), PARSE)
+    rows = closer_look(todo).mapInArrow(_singles(names, length, first_only), PARSE)
     rows = rows.withColumn("start", F.shiftright("code", 24))
     key = Window.partitionBy("anchor", "span")
     if first_only:
-        again = F.rank().over(key.orderBy(F.col("doc_id").asc_nulls_first(), F.col("start"))) > 1
+        again = F.rank().over(key.orderBy(F.col("doc_id").asc_nulls_first(), "twin", "start")) > 1
     else:
-        here = F.struct("doc_id", "start")
+        here = F.struct(*KEY, "start")
         again = F.min(here).over(key) != F.max(here).over(key)
     rows = rows.withColumn("again", (F.col("code").bitwiseAND(3) > 0) | again).where("again")
-    return same_id(out, rows.groupBy("doc_id").agg(F.collect_list("start").alias("single")))
+    return same_document(out, rows.groupBy(*KEY).agg(F.collect_list("start").alias("single")))
 
 
 def covered(part, n_units: np.ndarray, length: int) -> np.ndarray:

@@ -148,7 +148,7 @@ def _parse(window: int, rounds: int):
 def _names(part, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, own = words_of(part)
     base = np.searchsorted(own, np.arange(len(part)), side="left")[doc]
-    return tuple(Rolling(word_names(part, starts, ends, second)).of(base + start, base + end) for second in (False, True))
+    return tuple(Rolling(word_names(part, starts, ends, second), second).of(base + start, base + end) for second in (False, True))
 
 
 def _sizes(part) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rolling, mix, same_id, slices
+from .common import byte_rolling, mix, slices, text_hash
 from .repeats import covered, parse_rows, repeated_windows
 
 _U = np.uint64
@@ -133,11 +133,16 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, trigger: int = TR
             kept = part.data[~gone]
             edge = np.concatenate([[0], np.cumsum(np.diff(part.off) - removed)])
             text = [kept[a:b].tobytes().decode(errors="ignore") for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "_cut_text"])
+            yield pa.record_batch([part.column("doc_id"), part.column("hash"), pa.array(text, pa.string())], names=["doc_id", "hash", "cut"])
 
     found = _with_repeats(docs, length, trigger)
     changed = found.where("coalesce(size(settled), 0) + coalesce(size(settled_2), 0) + coalesce(size(single), 0) > 0")
-    changed = changed.mapInArrow(finish, "doc_id long, _cut_text string").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_cut_id")
-    rows = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")), "left")
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("_cut_text", "text"))
-    return rows.select(*[text.alias("text") if x == "text" else F.col(x) for x in docs.columns])
+    changed = changed.select("doc_id", "settled", "settled_2", "single", "text", text_hash(F.col("text")).alias("hash"))
+    # Copies of a row (equal id and text) are cut alike. The rows keep their columns, whatever their names, in a struct.
+    changed = changed.mapInArrow(finish, "doc_id long, hash long, cut string").dropDuplicates(["doc_id", "hash"])
+    changed = changed.select(F.col("doc_id").alias("id"), "hash", "cut")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (text_hash(F.col("row.text")) == F.col("hash"))
+    rows = rows.join(changed, same, "left")
+    text = F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.coalesce("cut", "row.text"))
+    return rows.select(*[text.alias("text") if x == "text" else F.col("row")[x].alias(x) for x in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextSlice, byte_rolling, checkpointed, id_and_text, mix, runs_of, signed, slices
+from .common import TextSlice, checkpointed, id_and_text, mix, runs_of, signed, slices, stretch_names
 
 _U = np.uint64
 #: Expected number of labelled rows that are learned from.
@@ -112,12 +112,11 @@ def lowered(part: TextSlice) -> TextSlice:
 def word_features(part: TextSlice) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Starts and ends of the words, and for each stem length the words that have one, and its name."""
     starts, ends = runs_of(_LETTER[part.data], part.off)
-    rolling = byte_rolling(part.data)
     out = []
     for k in STEMS:
         which = np.flatnonzero(ends - starts > k) if k else np.arange(len(starts))
         stop = starts[which] + k if k else ends
-        out.append((which, mix(rolling.of(starts[which], stop) + _U(k))))
+        out.append((which, mix(stretch_names(part.data, starts[which], stop) + _U(k))))
     return starts, ends, out
 
 
