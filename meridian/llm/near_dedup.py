@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, TextSlice, checkpointed, mix, signed, slices, text_hash, with_twins, word_names, words_of
+from .common import Rolling, TextSlice, mix, signed, slices, text_hash, with_twins, word_names, words_of, written
 
 _U = np.uint64
 SHINGLE = 5
@@ -46,9 +46,9 @@ BASE, RATE = 1.001, 20.0
 #: Pairs whose most likely similarity is below this are dropped: five standard errors under 0.75.
 LIKELY = 0.59
 #: Groups of deviations up to this size are compared in pairs; larger ones get a centre of their own.
-SMALL = 16
+SMALL = 32
 #: Levels of centres before what is left is compared in pairs.
-LEVELS = 4
+LEVELS = 3
 #: Pairs with one centre that go to one task in a join.
 PAIRS_A_TASK = 256
 SIGNATURE = "doc_id long, hash long, twin long, n_shingles long, set_1 long, set_2 long, registers binary"
@@ -187,21 +187,21 @@ def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     near = dealt_join(pairs.join(of("b"), "b"), of("a")).where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    near = checkpointed(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
+    near = written(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
     rows = with_texts(near, classes, docs).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_exact, "a long, b long, both long, union long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of all nodes of the edges (a, b)."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = checkpointed(labels)
+    labels = written(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = checkpointed(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")))
+        step = written(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")))
         labels = step.select("node", "label")
         if step.where("old != label").isEmpty():
             return labels
@@ -271,9 +271,9 @@ def _deviating(known: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
     known = known.join(of("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     known = known.join(of("a", "of_hub"), "a", "left").withColumn("far", F.col("label") != F.coalesce("of_hub", "a"))
     several = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    known = checkpointed(known.join(several.select("a"), "a", "left_semi").select("a", "b", "label", "far"))
+    known = written(known.join(several.select("a"), "a", "left_semi").select("a", "b", "label", "far"))
     rows = with_texts(known, classes, docs).select("a", "b", "label", "far", "text_a", "text_b")
-    return checkpointed(rows.mapInArrow(_deviations, DEVIATIONS))
+    return written(rows.mapInArrow(_deviations, DEVIATIONS))
 
 
 def _met(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +285,7 @@ def _met(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("kind", F.least("role", F.lit(1)))
     groups = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     groups = groups.withColumn("large", F.lit(level + 1 < LEVELS) & (F.col("size") > SMALL))
-    rows = checkpointed(rows.join(groups.select(*key, "large"), key))
+    rows = written(rows.join(groups.select(*key, "large"), key))
     small = rows.where("not large")
     side = lambda x: small.select(*key, *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
     # Seven times what the deviations must have in common, and what they can have at most.
@@ -303,7 +303,7 @@ def _met(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     large = large.join(degree, ["hub", "node"])
     centre = large.groupBy(*key).agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x")).select(*key, (-F.col("x.k")).alias("a"))
     stars = large.join(centre, key).where("a != node").select("a", F.col("node").alias("b")).distinct()
-    return pairs, checkpointed(stars)
+    return pairs, written(stars)
 
 
 def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,30 +318,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    sets = checkpointed(docs.mapInArrow(_signatures, SIGNATURE))
+    sets = written(docs.mapInArrow(_signatures, SIGNATURE))
     key = ["set_1", "set_2", "n_shingles"]
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min(F.struct("doc_id", "twin")).alias("x"), F.first("registers").alias("registers"))
     # A class's number is its place in the checkpoint.
-    classes = checkpointed(classes.select(*key, "registers", "x.doc_id", "x.twin", F.monotonically_increasing_id().alias("node")))
+    classes = written(classes.select(*key, "registers", "x.doc_id", "x.twin", F.monotonically_increasing_id().alias("node")))
     bands = classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(bands.join(buckets, "bucket"))
+    members = written(bands.join(buckets, "bucket"))
     # The centre of a bucket is the class that meets most others, over all buckets; the smallest of equals.
     degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     members = members.join(degree, "node")
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x"))
     centre = centre.select("bucket", (-F.col("x.k")).alias("pivot"), F.col("x.degree").alias("central"))
-    members = checkpointed(members.select("bucket", "node").join(centre, "bucket"))
+    members = written(members.select("bucket", "node").join(centre, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     linked = F.col("both") * 100 >= F.col("union") * PERCENT
-    labels = components(checkpointed(measured(stars, classes, docs).where(linked)).select("a", "b"))
+    labels = components(written(measured(stars, classes, docs).where(linked)).select("a", "b"))
     known = _first_open(members, labels)
     for level in range(LEVELS):
         pairs, stars = _met(_deviating(known, labels, classes, docs), level)
-        pairs = checkpointed(_other_components(pairs.union(stars).distinct(), labels))
+        pairs = written(_other_components(pairs.union(stars).distinct(), labels))
         if not pairs.isEmpty():
-            links = checkpointed(measured(pairs, classes, docs).where(linked)).select("a", "b")
+            links = written(measured(pairs, classes, docs).where(linked)).select("a", "b")
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
         if stars.isEmpty():
             break
