@@ -1,13 +1,11 @@
 """Checks of data quality: rows (keys, level, name, field, passed, got, expected).
 
-All aggregate checks of the physics and sanity families come from one pass over the fields;
-the step jump is one window pass.
+check_families makes all checks of an artifact in one pass: a window over each node's series, an
+aggregate by variable behind it and one by artifact, whose rows are then spread into checks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,12 @@ def _check(level: str, name: str, field, passed, got, expected) -> list:
     return [F.lit(level).alias("level"), F.lit(name).alias("name"), as_text(field).alias("field"), F.coalesce(passed, F.lit(False)).alias("passed"), as_text(got).alias("got"), as_text(expected).alias("expected")]
 
 
+def _spread(rows: DataFrame, keys: list[str], checks: list) -> DataFrame:
+    """A row for each check of each row; checks: columns of _check, or (condition, columns)."""
+    made = [F.when(x[0], F.struct(*x[1])) if isinstance(x, tuple) else F.struct(*x) for x in checks]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("check")).select(*keys, "check.*")
+
+
 def profile(field: DataFrame, keys: list[str]) -> DataFrame:
     """keys, variable, n, holes, low, high (NaN skipped): one aggregate for the physics checks."""
     value = nan_to_null(F.col("value").cast("double"))
@@ -31,18 +35,25 @@ def profile(field: DataFrame, keys: list[str]) -> DataFrame:
     return field.groupBy(*keys, "variable").agg(F.count("value").alias("n"), F.sum(hole).alias("holes"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def physics_checks(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """nan_fraction, physical_range and not_constant of a profile()."""
+def _physics(stats: DataFrame) -> tuple[DataFrame, list]:
+    """A profile() with the declared ranges, and its checks. Fields without a range have no physical_range."""
     rows = stats.join(F.broadcast(canon.variables(stats.sparkSession)), "variable", "left")
     share = F.col("holes") / F.col("n")
     span = lambda a, b: F.concat_ws("..", F.format_number(a, 4), F.format_number(b, 4))
-    inside = (F.col("low") >= F.col("lo")) & (F.col("high") <= F.col("hi"))
-    families = [
+    # A field of gaps only is left to nan_fraction.
+    inside = F.col("low").isNull() | (F.col("low") >= F.col("lo")) & (F.col("high") <= F.col("hi"))
+    differs = F.col("low").isNull() | (F.col("low") != F.col("high"))
+    return rows, [
         _check("physics", "nan_fraction", F.col("variable"), share <= NAN_LIMIT, F.format_number(share, 6), f"<= {NAN_LIMIT}"),
-        _check("physics", "physical_range", F.col("variable"), inside, span(F.col("low"), F.col("high")), span(F.col("lo"), F.col("hi"))),
-        _check("sanity", "not_constant", F.col("variable"), F.col("low") != F.col("high"), span(F.col("low"), F.col("high")), "different values"),
+        (F.col("lo").isNotNull(), _check("physics", "physical_range", F.col("variable"), inside, span(F.col("low"), F.col("high")), span(F.col("lo"), F.col("hi")))),
+        _check("sanity", "not_constant", F.col("variable"), differs, span(F.col("low"), F.col("high")), "different values"),
     ]
-    return reduce(DataFrame.unionByName, [rows.select(*keys, *x) for x in families])
+
+
+def physics_checks(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """nan_fraction, physical_range and not_constant of a profile()."""
+    rows, checks = _physics(stats)
+    return _spread(rows, keys, checks)
 
 
 def global_mean(field: DataFrame, keys: list[str], variable: str = "2t") -> DataFrame:
@@ -123,7 +134,7 @@ def units_match(fields: DataFrame, keys: list[str]) -> DataFrame:
 
 def time_naive(field: DataFrame) -> bool:
     """Whether time is a timestamp without zone (a property of the schema)."""
-    return field.schema["time"].dataType.typeName() in ("timestamp_ntz", "timestamp")
+    return field.schema["time"].dataType.typeName() == "timestamp_ntz"
 
 
 def valid_time_consistent(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,14 +153,50 @@ def messages_parsed(listing: DataFrame, slices: DataFrame) -> DataFrame:
     return rows.select("file", *_check("grib", "messages_parsed", "messages", (F.col("messages") > 0) & (F.col("messages") == F.col("slices")), F.col("slices"), F.col("messages")))
 
 
-def check_families(field: DataFrame, keys: list[str], layer: str, shape: tuple[int, int], last_lon: float) -> DataFrame:
-    """Structure, physics and sanity checks of every artifact at once."""
-    step = canon.LAYERS[layer][2]
-    parts = [
-        grid_shape(field, keys, shape), lon_range(field, keys, last=last_lon), axis_monotonic(field, keys), time_unique(field, keys), time_regular(field, keys, step),
-        fields_present(field, keys, layer), physics_checks(profile(field, keys), keys), global_mean(field, keys).drop("mean"), step_jump(field, keys).drop("jump"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def check_families(field: DataFrame, keys: list[str], layer: str, shape: tuple[int, int], last_lon: float, variable: str = "2t") -> DataFrame:
+    """Structure, physics and sanity checks of every artifact, in one pass over the fields.
+
+    Axes, times and names of an artifact are sets of some hundred entries.
+    """
+    value = nan_to_null(F.col("value").cast("double"))
+    hole, weight = F.when(non_finite(F.col("value")), 1).otherwise(0), F.when(~F.isnan("value"), F.cos(F.radians("lat")))
+    order = Window.partitionBy(*keys, "variable", "lat_i", "lon_i").orderBy("time")
+    rows = field.withColumn("before", F.lag(F.struct("time", "value")).over(order))
+    axis = lambda x: F.collect_set(F.struct(F.col(f"{x}_i").alias("i"), F.col(x).alias("at"))).alias(f"{x}s")
+    stats = rows.groupBy(*keys, "variable").agg(
+        F.count("value").alias("n"), F.sum(hole).alias("holes"), F.min(value).alias("low"), F.max(value).alias("high"),
+        (F.sum(value * weight) / F.sum(weight)).alias("mean"), F.max(nan_to_null(F.abs(F.col("value") - F.col("before.value")).cast("double"))).alias("jump"),
+        F.count_if(F.col("before.time") == F.col("time")).alias("twice"), axis("lat"), axis("lon"), F.collect_set("time").alias("times"),
+    )
+    ranged, physics = _physics(stats)
+    of_variable = F.col("variable") == variable
+    by_variable = _spread(ranged, keys, [
+        *physics,
+        (of_variable, _check("sanity", f"global_mean_{variable}", variable, F.col("mean").between(*MEAN_RANGE), F.format_number("mean", 4), f"{MEAN_RANGE[0]}..{MEAN_RANGE[1]}")),
+        (of_variable, _check("sanity", f"step_jump_{variable}", variable, F.coalesce(F.col("jump") <= JUMP_LIMIT, F.lit(True)), F.format_number("jump", 4), f"<= {JUMP_LIMIT}")),
+    ])
+    merged = lambda x: F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x)
+    whole = stats.groupBy(*keys).agg(merged("lats"), merged("lons"), merged("times"), F.sum("twice").alias("twice"), F.collect_set("variable").alias("got"))
+    surface, atmos, step, _ = canon.LAYERS[layer]
+    count = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["at"])))
+    later = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
+    earlier = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+    least = lambda x, sign: F.array_min(F.zip_with(earlier(x), later(x), lambda a, b: (b["at"] - a["at"]) * sign))
+    steps = F.array_sort(F.array_distinct(F.zip_with(earlier("times"), later("times"), lambda a, b: F.timestamp_diff("MICROSECOND", a, b))))
+    want = F.array(F.lit(step * 3_600_000_000).cast("long"))
+    first, last = F.element_at("lons", 1)["at"], F.element_at("lons", -1)["at"]
+    lost = F.array_except(F.array_sort(F.array(*map(F.lit, surface + atmos))), F.col("got"))
+    whole = whole.select(*keys, "twice", count("lats").alias("ny"), count("lons").alias("nx"), first.alias("first"), last.alias("last"), least("lats", -1).alias("down"), least("lons", 1).alias("up"), steps.alias("steps"), lost.alias("lost"))
+    by_artifact = _spread(whole, keys, [
+        _check("structure", "grid_shape", "lat,lon", (F.col("ny") == shape[0]) & (F.col("nx") == shape[1]), F.concat_ws("x", "ny", "nx"), f"{shape[0]}x{shape[1]}"),
+        _check("structure", "lon_range", "lon", (F.col("first") == -180.0) & (F.col("last") == last_lon), F.concat_ws("..", F.col("first").cast("string"), F.col("last").cast("string")), f"-180.0..{last_lon}"),
+        _check("structure", "lat_descending", "lat", F.coalesce(F.col("down") > 0, F.lit(True)), F.col("down"), "> 0"),
+        _check("structure", "lon_ascending", "lon", F.coalesce(F.col("up") > 0, F.lit(True)), F.col("up"), "> 0"),
+        _check("structure", "time_unique", "time", F.col("twice") == 0, F.col("twice"), "0"),
+        _check("structure", "time_regular", "time", (F.size("steps") == 0) | (F.col("steps") == want), F.array_join("steps", ","), F.array_join(want, ",")),
+        _check("structure", "fields_present", layer, F.size("lost") == 0, F.array_join("lost", ","), "none missing"),
+    ])
+    return by_artifact.unionByName(by_variable)
 
 
 def summary(checks: DataFrame, keys: list[str]) -> DataFrame:

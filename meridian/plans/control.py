@@ -393,7 +393,7 @@ def derive_layer(spark, d):
     return U.derive_layer(field.unionByName(extra)).groupBy("variable").agg(F.count("*").alias("n"))
 
 
-@query("layer_bytes", with_tables("SELECT variable, count(*) * 4 AS bytes, (SELECT 90 * 40 * 721 * 1440 * 4::BIGINT) AS coarse_expected FROM fx_field GROUP BY variable", "fx_field"))
+@query("layer_bytes", with_tables("SELECT variable, count(*) * 4 AS bytes, (SELECT 90::BIGINT * 40 * 721 * 1440 * 4) AS coarse_expected FROM fx_field GROUP BY variable", "fx_field"))
 def layer_bytes(spark, d):
     want = U.layer_bytes(spark).where("layer = 'coarse'").select(F.col("bytes").alias("coarse_expected"))
     return U.stored_bytes(fx.field(spark, d), ["variable"]).crossJoin(F.broadcast(want))

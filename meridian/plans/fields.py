@@ -47,10 +47,20 @@ def unlisted_names(spark, d):
     return N.unlisted_names(N.rename_variables(raw(spark, d))).select("source", F.array_join("names", ",").alias("names"))
 
 
-@query("name_tables", "SELECT * FROM (VALUES ('ifs-analysis', 25), ('gfs-analysis', 13), ('era5', 23)) t(source, n), (SELECT count(*) > 0 AS used FROM events)")
+@query(
+    "name_tables",
+    with_tables(
+        f"""{_RAW}, listed AS (SELECT source, count(*) AS n FROM fx_raw WHERE variable IS NOT NULL GROUP BY source)
+    SELECT source, names, coalesce(n, 0) AS rows_named FROM (VALUES ('ifs-analysis', 25), ('gfs-analysis', 13), ('era5', 23)) t(source, names) LEFT JOIN listed USING (source)""",
+        "fx_grid",
+    ),
+)
 def name_tables(spark, d):
-    used = fx.table(spark, d, "events").agg((F.count("*") > 0).alias("used"))
-    return canon.names(spark).groupBy("source").agg(F.count("*").cast("int").alias("n")).crossJoin(used)
+    """Names that each source's table lists, and the decoded rows that one of them names."""
+    names = canon.names(spark)
+    rows = raw(spark, d).groupBy("source", "provider_name").agg(F.count("*").alias("n"))
+    listed = names.join(rows, ["source", "provider_name"], "left").groupBy("source")
+    return listed.agg(F.count("*").cast("int").alias("names"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_named"))
 
 
 @query("lon_wrap", "SELECT c_custkey AS id, CASE WHEN l >= 180 THEN l - 360 ELSE l END AS lon FROM (SELECT c_custkey, (c_custkey * 25 % 36000 / 100.0)::DOUBLE AS l FROM customer)")
@@ -185,7 +195,7 @@ def _json_lines(spark, d):
     return fx.messages(spark, d).select("file", F.col("n").alias("line"), line.alias("value"))
 
 
-@query("parse_ecmwf_index", with_tables("SELECT file, n AS line, CASE WHEN n < 6 THEN \"offset\" END AS \"offset\", CASE WHEN n < 6 THEN length END AS length, CASE WHEN n < 6 THEN param::VARCHAR WHEN n = 7 THEN 'x' ELSE '' END AS param, CASE WHEN n < 6 THEN level::VARCHAR ELSE '' END AS level, CASE WHEN n >= 6 THEN 'offset, length' END AS refusal FROM fx_message WHERE n < 8", "fx_message"))
+@query("parse_ecmwf_index", with_tables("SELECT file, n AS line, CASE WHEN n NOT IN (6, 7) THEN \"offset\" END AS \"offset\", CASE WHEN n NOT IN (6, 7) THEN length END AS length, CASE n WHEN 6 THEN '' WHEN 7 THEN 'x' ELSE param::VARCHAR END AS param, CASE WHEN n IN (6, 7) THEN '' ELSE level::VARCHAR END AS level, CASE WHEN n IN (6, 7) THEN 'offset, length' END AS refusal FROM fx_message", "fx_message"))
 def parse_json_index(spark, d):
     return M.parse_json_index(_json_lines(spark, d))
 
@@ -200,7 +210,7 @@ def _colon_lines(spark, d):
     with_tables(
         """x AS (SELECT file, n AS line, CASE WHEN n = 6 THEN NULL WHEN n = 7 THEN 2 ELSE "offset" END AS "offset",
     CASE WHEN n NOT IN (6, 7) THEN lead("offset") OVER (PARTITION BY file, n IN (6, 7) ORDER BY "offset") - "offset" END AS length,
-    CASE n WHEN 6 THEN 'offset' WHEN 7 THEN 'fields' END AS refusal FROM fx_message) SELECT * FROM x WHERE line < 8""",
+    CASE n WHEN 6 THEN 'offset' WHEN 7 THEN 'fields' END AS refusal FROM fx_message) SELECT * FROM x""",
         "fx_message",
     ),
 )
@@ -337,12 +347,12 @@ def run_comparison(spark, d):
 @query(
     "period_gaps",
     with_tables(
-        "lost AS (SELECT sec FROM (SELECT unnest(range(1704067200, 1706659200 + 1, 3600)) AS sec) WHERE sec NOT IN (SELECT epoch_us(time) // 1000000 FROM fx_hour WHERE lat_i = 0)), i AS (SELECT sec, sec - 3600 * row_number() OVER (ORDER BY sec) AS island FROM lost) SELECT min(sec) AS start, max(sec) AS stop, count(*) AS steps FROM i GROUP BY island",
+        "lost AS (SELECT sec FROM (SELECT unnest(range(1704067200, 1706659200 + 1, 3600)) AS sec) WHERE sec NOT IN (SELECT epoch_us(time) // 1000000 FROM fx_hour)), i AS (SELECT sec, sec - 3600 * row_number() OVER (ORDER BY sec) AS island FROM lost) SELECT min(sec) AS start, max(sec) AS stop, count(*) AS steps FROM i GROUP BY island",
         "fx_hour",
     ),
 )
 def period_gaps(spark, d):
-    have = fx.grid(spark, d, 3600, 1.0).where("lat_i = 0").select(epoch_seconds(F.col("time")).alias("at")).distinct()
+    have = fx.grid(spark, d, 3600, 1.0).select(epoch_seconds(F.col("time")).alias("at")).distinct()
     return H.period_gaps(have, 1704067200, 1706659200, 3600)
 
 

@@ -12,7 +12,7 @@ from ..sources import layers as L
 from ..sources.fixtures import NOW, with_tables
 from ..streaming import streams as S
 from .book import query
-from .fields import raw
+from .fields import _CANON, raw
 from .quality import KEY, artifacts
 from .requests import ISO, axes
 
@@ -151,13 +151,16 @@ def validate_layer(spark, d):
     return N.layer_from_path(rows).select("path", "layer", "ok")
 
 
-def _run(frame, spark, batch=None):
-    """Run a stream over what is there to a table, and read that."""
+def _run(frame, spark, batch=None, complete=False):
+    """Run a stream over what is there to a table, and read that. complete: the last state of all groups."""
     path, checkpoint = L.scratch(spark), L.scratch(spark)
+    if complete:
+        batch = lambda rows, _: rows.write.mode("overwrite").parquet(path)
     writer = frame.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = writer.outputMode("complete") if complete else writer
     query = writer.foreachBatch(batch).start() if batch else writer.format("parquet").option("path", path).start()
     query.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(path) if batch is None else None
+    return spark.read.schema(frame.schema).parquet(path) if complete or batch is None else None
 
 
 def _stream(spark, d, name):
@@ -165,6 +168,42 @@ def _stream(spark, d, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _replayed(spark, rows):
+    """Rows as a stream: written to a folder that is read as it fills."""
+    path = L.scratch(spark)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+_KIND = "CASE WHEN endpoint LIKE '%point%' THEN 'point' WHEN endpoint LIKE '%grid%' THEN 'grid' ELSE 'other' END"
+
+
+def _log(spark, d):
+    return fx.query_log_of(_stream(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_hit_rate", with_tables(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, {_KIND} AS kind, count(*) AS total, count(*) FILTER (hit) AS hits FROM fx_log GROUP BY ALL", "fx_log"))
+def stream_hit_rate(spark, d):
+    return _run(S.hit_rate(_log(spark, d)), spark, complete=True).select(iso(F.col("start")).alias("start"), "kind", "total", "hits")
+
+
+@query("stream_miss_latency", with_tables("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS misses, avg(latency_ms) AS mean, quantile_disc(latency_ms, 0.95) AS p95 FROM fx_log WHERE NOT hit GROUP BY ALL", "fx_log"))
+def stream_miss_latency(spark, d):
+    return _run(S.miss_latency(_log(spark, d)), spark, complete=True).select(iso(F.col("start")).alias("start"), "misses", "mean", "p95")
+
+
+@query("stream_access_state", with_tables("SELECT area AS key, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_access, count(*) AS access_count FROM fx_log WHERE area IS NOT NULL GROUP BY area", "fx_log"))
+def stream_access_state(spark, d):
+    log = _log(spark, d).where("area is not null").withColumnRenamed("area", "key")
+    return _run(S.access_state(log), spark, complete=True).withColumn("last_access", iso(F.col("last_access")))
+
+
+@query("stream_lateness", "SELECT o_orderkey AS id, CASE WHEN w < 30600 THEN 'on_time' WHEN w < 34200 THEN 'fallback' ELSE 'missed' END AS state, CASE WHEN w >= 30600 AND w < 34200 THEN 'late_input' END AS degraded FROM (SELECT o_orderkey, o_orderkey * 600 % 43200 AS w FROM orders)")
+def stream_lateness(spark, d):
+    rows = _stream(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("init"), (F.col("o_orderkey") * 600 % 43200).alias("arrived"))
+    return _run(S.lateness(rows).select("id", "state", "degraded"), spark)
+
+
 @query("stream_negative_cache")
 def stream_negative_cache(spark, d):
     """Errors of a user as refusals of a key, purchases as data that arrived."""
@@ -174,15 +213,12 @@ def stream_negative_cache(spark, d):
     return _run(S.negative_cache(events), spark)
 
 
-_HALF = "SELECT DISTINCT event_type AS variable, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS time, event_id % 48 AS node FROM events"
-
-
-@query("stream_ingest", f"SELECT variable, count(*) AS n FROM ({_HALF}) GROUP BY variable")
+@query("stream_ingest", with_tables(f"{_CANON} SELECT source, variable, count(*) AS n, round(sum(CASE WHEN NOT isnan(value) THEN value::DOUBLE END), 1) AS total FROM fx_canon GROUP BY ALL", "fx_grid"))
 def stream_ingest(spark, d):
-    """Each (type, hour, node) of the events once, however often it comes; the table is one batch."""
-    rows = _stream(spark, d, "events").select(F.col("event_type").alias("variable"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("time"), (F.col("event_id") % 48).alias("node"))
-    once = rows.withWatermark("time", "40 days").dropDuplicatesWithinWatermark(["variable", "time", "node"])
-    return _run(once, spark).groupBy("variable").agg(F.count("*").alias("n"))
+    """Decoded rows that all come twice, as a stream: each node of a message once, in canonical form."""
+    rows = raw(spark, d)
+    once = _run(S.ingest(_replayed(spark, rows.unionByName(rows)), *axes(spark)), spark)
+    return once.groupBy("source", "variable").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.isnan("value"), F.col("value").cast("double"))), 1).alias("total"))
 
 
 @query("stream_validate", "SELECT a AS artifact, bool_and(v BETWEEN 180 AND 340) AND min(v) <> max(v) AS ok, count(*) AS n FROM (SELECT user_id AS a, 180 + value AS v FROM events) GROUP BY a")

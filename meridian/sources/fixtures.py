@@ -115,9 +115,14 @@ def absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts (timestamp), at (seconds), endpoint, area (null for some), hit, latency_ms."""
+    return query_log_of(table(spark, sf_dir, "events"))
+
+
+def query_log_of(events: DataFrame) -> DataFrame:
+    """query_log of a table or a stream of events."""
     kind = F.col("event_type")
     endpoint = F.when(kind == "click", "forecast/point").when(kind == "view", "forecast/grid").when(kind == "purchase", "history/point").when(kind == "error", "history/grid").otherwise("coverage")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         "ts",
         epoch_seconds(F.col("ts")).alias("at"),

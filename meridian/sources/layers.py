@@ -17,8 +17,13 @@ TILE, BLOCK = 64, 4
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, or a local one if it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    """A new folder in the shared one that the cluster names; only a local session may name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/meridian-{uuid.uuid4().hex}"
 
 
