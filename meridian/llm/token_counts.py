@@ -1,92 +1,135 @@
-"""Token counts without ids: distinct pre-tokens counted once, joined to documents, summed.
+"""Token counts without ids: distinct pre-tokens counted once, joined to frequencies, summed.
 
 The model's pieces hold the blank sign only at their beginning, so merges never cross from a
 character into a following blank. A pre-token is a run of blanks with the stretch after it;
-a text's count is the sum over its pre-tokens. The join of documents to distinct pre-tokens
-is made for each slice of an Arrow batch, against a worker's bounded table: a shuffle of all
-(document, pre-token) pairs would write twice the input.
+a text's count is the sum over its pre-tokens. The sign itself (U+2581) is a blank to the model.
 
-A null text is empty; an empty text has no tokens.
+A slice of documents gives one row: its distinct pre-tokens, and each document's frequencies of
+them. The distinct pre-tokens of all slices are counted by the model once each. Counts are
+joined to the slices' pre-tokens (a row for each slice and pre-token, so a frequent word has as
+many rows as there are slices), brought back to their slice, multiplied by the documents'
+frequencies and summed.
+
+A null text is empty; an empty text has no tokens. Rows are counted each, also if they repeat a
+doc_id; a text of any length is counted whole. Other columns are left alone.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
-from .pieces import REMEMBERED, joined, once, summed
+from .common import checkpointed, id_and_text, slices
+from .pieces import joined, once
 
 LIMIT = 4096
+#: Bytes of text whose pre-tokens are put together. Larger slices have fewer distinct ones for a word of text.
+SLICE = 6_000_000
 REPORT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+FREQUENCIES = "slice long, doc_id array<long>, n_bytes array<long>, pieces array<string>, entries array<int>, counts binary"
+
 
+def pre_tokens(text: str) -> list[str]:
+    """Pre-tokens without their first blank: what the model adds itself."""
+    if not text:
+        return []
+    pieces = text.replace("▁", " ").split(" ")
+    if "" not in pieces:
+        return pieces
+    out, blanks = [], 0
+    for x in pieces[:-1]:
+        if x:
+            out.append(" " * blanks + x)
+            blanks = 0
+        else:
+            blanks += 1
+    out.append(" " * blanks + pieces[-1])
+    return out
 
-class CountTable:
-    """Pre-token -> number of pieces, bounded."""
 
-    def __init__(self, path: str, limit: int = REMEMBERED):
+def _frequencies(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for part in slices(batches, limit=size):
+            number: dict[str, int] = {}
+            flat, edge = joined([pre_tokens(x) for x in part.column("text").fill_null("").to_pylist()])
+            which = np.fromiter((number.setdefault(x, len(number)) for x in flat), dtype=np.int64, count=len(flat))
+            own = np.repeat(np.arange(len(part)), np.diff(edge))
+            # A document's entries: number of the pre-token and how often it comes.
+            key, count = np.unique(own * max(len(number), 1) + which, return_counts=True)
+            entries = np.bincount(key // max(len(number), 1), minlength=len(part))
+            raw = zlib.compress(np.concatenate([key % max(len(number), 1), count]).astype("<i4").tobytes(), 1)
+            lists = [part.column("doc_id").to_pylist(), np.diff(part.off).tolist(), list(number), entries.tolist()]
+            types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
+            columns = [pa.array([x], t) for x, t in zip(lists, types, strict=True)]
+            yield pa.record_batch([pa.array([task << 32 | n]), *columns, pa.array([raw], pa.binary())], names=[x.split()[0] for x in FREQUENCIES.split(", ")])
+            n += 1
+
+    return run
+
+
+class Counter:
+    """The number of pieces that the model makes of pre-tokens."""
+
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.counts: dict[str, int] = {}
-        self.limit = limit
-        self.stem = len(self.model.encode("a"))
+        self.stem = self._sizes(["a"])[0]
 
-    def _count(self, pieces: list[str]) -> list[int]:
+    def _sizes(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
+    def of(self, pieces: list[str]) -> list[int]:
         # The model puts one blank before what it is given; a run of blanks alone needs a stem before it.
         bare = [i for i, x in enumerate(pieces) if not x.strip(" ")]
         asked = list(pieces)
         for i in bare:
             asked[i] = "a " + pieces[i]
-        found = [len(x) for x in self.model.encode(asked, num_threads=1)]
+        found = self._sizes(asked)
         for i in bare:
             found[i] -= self.stem
         return found
 
-    def of(self, pieces: list[str]) -> np.ndarray:
-        if len(self.counts) > self.limit:
-            self.counts = {}
-        get = self.counts.get
-        found = [get(x, -1) for x in pieces]
-        if -1 in found:
-            fresh = list(dict.fromkeys(x for x, n in zip(pieces, found, strict=True) if n < 0))
-            self.counts.update(zip(fresh, self._count(fresh), strict=True))
-            found = [get(x) for x in pieces]
-        return np.array(found, dtype=np.int64)
 
+def counted(pieces: DataFrame, model: str) -> DataFrame:
+    """piece, n of the distinct values of the column piece."""
 
-def pre_tokens(text: str) -> list[str]:
-    """Pre-tokens without their first blank: what the model adds itself."""
-    if not text:
-        return []
-    pieces = text.split(" ")
-    if "" not in pieces:
-        return pieces
-    out, blanks = [], 0
-    for x in pieces[:-1]:
-        if x:
-            out.append(" " * blanks + x)
-            blanks = 0
-        else:
-            blanks += 1
-    out.append(" " * blanks + pieces[-1])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = once(("count", model), lambda: Counter(model))
+        for batch in batches:
+            n = counter.of(batch.column("piece").to_pylist())
+            yield pa.record_batch([batch.column("piece"), pa.array(n, pa.int32())], names=["piece", "n"])
+
+    return pieces.select("piece").distinct().mapInArrow(run, "piece string, n int")
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, size: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
+    parts = checkpointed(id_and_text(docs).mapInArrow(_frequencies(size), FREQUENCIES))
+    of_slice = parts.select("slice", F.posexplode("pieces").alias("place", "piece"))
+    counts = counted(of_slice, model)
+    back = of_slice.join(counts, "piece").groupBy("slice").agg(F.collect_list(F.struct("place", "n")).alias("found"))
+    rows = parts.drop("pieces").join(back, "slice", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = once(("count", model), lambda: CountTable(model))
-        for part in slices(batches):
-            pieces, edge = joined([pre_tokens(x) for x in part.column("text").fill_null("").to_pylist()])
-            n = summed(table.of(pieces), edge).astype(np.int64)
-            yield pa.record_batch(
-                [part.column("doc_id"), pa.array(np.diff(part.off)), pa.array(n), pa.array(n > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return id_and_text(docs).mapInArrow(run, REPORT)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                ids, n_bytes, entries, found = (one.column(batch.schema.get_field_index(x)).flatten() for x in ("doc_id", "n_bytes", "entries", "found"))
+                key, count = np.frombuffer(zlib.decompress(one.column(batch.schema.get_field_index("counts"))[0].as_py()), "<i4").reshape(2, -1)
+                size_of = np.zeros(len(found), dtype=np.int64)
+                if len(found):
+                    place, n = found.flatten()
+                    size_of[np.asarray(place)] = np.asarray(n)
+                own = np.repeat(np.arange(len(ids)), np.asarray(entries))
+                total = np.bincount(own, weights=size_of[key] * count, minlength=len(ids)).astype(np.int64)
+                yield pa.record_batch([ids, n_bytes, pa.array(total), pa.array(total > limit)], names=[x.split()[0] for x in REPORT.split(", ")])
+
+    return rows.mapInArrow(run, REPORT)
