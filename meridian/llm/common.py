@@ -176,7 +176,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 SEEDS = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
 #: Longer stretches of bytes are hashed one by one.
 LONG = 64
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end) as one number."""
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 def stretch_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
@@ -189,8 +194,7 @@ def stretch_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second
     out = mix(size.astype(np.uint64) + _U(seed))
     if not len(starts):
         return out
-    bytes_ = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=bytes_, strides=(1,))
+    eight = eights(data)
     todo = np.flatnonzero(size <= LONG)
     at = 0
     while len(todo):
@@ -198,7 +202,7 @@ def stretch_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second
         todo, left = todo[left > 0], left[left > 0]
         if not len(todo):
             break
-        out[todo] = mix(out[todo] ^ (eight[starts[todo] + at] & _MASKS[np.minimum(left, 8)]))
+        out[todo] = mix(out[todo] ^ (eight[starts[todo] + at] & MASKS[np.minimum(left, 8)]))
         at += 8
     for i in np.flatnonzero(size > LONG):
         raw = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()

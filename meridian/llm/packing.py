@@ -1,6 +1,6 @@
 """Packing by concatenating and cutting.
 
-Each document is encoded once; its ids, with an end id, are kept (compressed) in a
+Each document is encoded once; its ids, with an end id, are kept in a
 checkpoint with the number of the partition and the ids before it there. The partitions'
 totals, a row each, are summed in order, which gives every document a place in one long row
 of ids. That row is cut every 2048 ids. A document that crosses cuts gives a piece for each
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, checkpointed, id_and_text, slices, spread
-from .pieces import PieceTable, distinct_parts, gathered, once, rows_of, summed
+from .pieces import WordTable, once, parts_of, rows_of, summed
 
 LENGTH, END = 2048, 1
-#: Words that a Python worker remembers: about 150 bytes each.
-REMEMBERED_WORDS = 700_000
+#: Words that a Python worker remembers: about 70 bytes each.
+REMEMBERED_WORDS = 1_200_000
+#: Bytes of text that are encoded in one step.
+ENCODE_BYTES = 4 * SLICE_BYTES
 #: Above so many partitions, their totals are joined by a shuffle instead of a broadcast.
 BROADCAST_PARTITIONS = 1_000_000
 ENCODED = "doc_id long, part long, before long, n long, ids binary"
@@ -34,7 +36,7 @@ REPORT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PIECES = REPORT.replace("ids_crc32 long", "ids array<int>")
 
 
-def word_table(path: str) -> PieceTable:
+def word_table(path: str) -> WordTable:
     """Ids of parts of stretches between blanks; the tokenizer drops white space before it splits."""
     from tokenizers import Tokenizer
 
@@ -44,28 +46,25 @@ def word_table(path: str) -> PieceTable:
     vocabulary = tokenizer.get_vocab()
     last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     last[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
-    plain = re.compile("[a-z]+").fullmatch
+    plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u023f]+").fullmatch
 
-    def encode(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        # A word of plain letters is one unit of the tokenizer and ends with an end-of-word token,
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # A word of Latin letters is one unit of the tokenizer and ends with an end-of-word token,
         # so many words can be encoded as one text.
-        words = [x for x in pieces if plain(x)]
-        other = [x for x in pieces if not plain(x)]
-        ids, lengths = rows_of([x.ids for x in tokenizer.encode_batch_fast(other, add_special_tokens=False)])
-        for k in range(0, len(words), 1024):
-            some = np.array(tokenizer.encode_batch_fast([" ".join(words[k : k + 1024])], add_special_tokens=False)[0].ids, dtype=np.int32)
-            ids, lengths = np.concatenate([ids, some]), np.concatenate([lengths, np.diff(np.flatnonzero(last[some]), prepend=-1)])
-        return other + words, ids, lengths
+        units = np.fromiter((plain(x) is not None for x in words), dtype=bool, count=len(words))
+        single, joint = np.flatnonzero(~units), np.flatnonzero(units)
+        ids, lengths = rows_of([x.ids for x in tokenizer.encode_batch_fast([words[i] for i in single], add_special_tokens=False)])
+        texts = [" ".join([words[i] for i in joint[k : k + 1024]]) for k in range(0, len(joint), 1024)]
+        more = np.concatenate([np.zeros(0, np.int32), *[np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]])
+        return np.concatenate([single, joint]), np.concatenate([ids, more]), np.concatenate([lengths, np.diff(np.flatnonzero(last[more]), prepend=-1)])
 
-    return PieceTable(encode, REMEMBERED_WORDS)
+    return WordTable(encode, REMEMBERED_WORDS)
 
 
-def encoded_texts(part, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+def encoded_texts(part, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a slice's documents in a row and how many each has."""
-    parts, number, edge = distinct_parts(part, b" \n", b".,")
-    lower = [x.lower() if x.isascii() and "<|" not in x else x for x in parts]  # as the tokenizer would
-    ids, lengths = table.tokens(table.numbers(lower))
-    ids, lengths = gathered(ids, lengths, number)
+    data, begin, end, edge = parts_of(part, b" \n", b".,")
+    ids, lengths = table.tokens(table.numbers(data, begin, end))
     return ids, summed(lengths, edge)
 
 
@@ -73,11 +72,12 @@ def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = once(("word", path), lambda: word_table(path))
         here, before = TaskContext.get().partitionId(), 0
-        for part in slices(batches, limit=2 * SLICE_BYTES):
+        for part in slices(batches, limit=ENCODE_BYTES):
             ids, n = encoded_texts(part, table)
             ends = np.concatenate([[0], np.cumsum(n)])
             ids = ids.astype("<u2") if ids.max(initial=0) < 65536 else ids.astype("<u4")
-            raw = [zlib.compress(ids[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            raw, size = ids.tobytes(), ids.itemsize
+            raw = [raw[size * a : size * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             n = n + 1
             first = before + np.cumsum(n) - n
             before += int(n.sum())
@@ -104,7 +104,6 @@ def _cut(length: int, digest: bool):
                 start = begin - at[own]
                 values, k = [], 0
                 for i, raw in enumerate(batch.column("ids").to_pylist()):
-                    raw = zlib.decompress(raw)
                     ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * (n[i] - 1) else "<u4")
                     ids = np.append(ids.astype("<u4"), np.uint32(END))
                     for _ in range(pieces[i]):

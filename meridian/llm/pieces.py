@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import TextSlice, runs_of, word_names
+from .common import LONG, MASKS, TextSlice, eights, runs_of, stretch_names
 
 #: Pieces that a Python worker remembers; the table starts anew beyond it.
 REMEMBERED = 400_000
@@ -99,17 +99,111 @@ def rows_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for y in lists for x in y), dtype=np.int32, count=int(lengths.sum())), lengths
 
 
+def equal_stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] and other[begin:stop] are the same bytes, for each pair of stretches."""
+    size = end - start
+    same = size == stop - begin
+    one, two = eights(data), eights(other)
+    todo, at = np.flatnonzero(same & (size <= LONG)), 0
+    while len(todo):
+        mask = MASKS[np.minimum(size[todo] - at, 8)]
+        same[todo] = (one[start[todo] + at] & mask) == (two[begin[todo] + at] & mask)
+        at += 8
+        todo = todo[same[todo] & (size[todo] > at)]
+    for i in np.flatnonzero(same & (size > LONG)):
+        same[i] = data[start[i] : end[i]].tobytes() == other[begin[i] : stop[i]].tobytes()
+    return same
+
+
+class WordTable:
+    """A worker's bounded table of words in numpy arrays: found by name, compared by their bytes.
+
+    encode gets new words as texts and gives an order of them, all their ids in that order, and
+    how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int):
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.names, self.of_name = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        self.byte_ends, self.id_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)  # of the word before, and of each
+        self.others: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.byte_ends) - 1
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words."""
+        order, ids, lengths = self.encode([x.decode() for x in words])
+        sizes = np.fromiter((len(words[i]) for i in order), dtype=np.int64, count=len(order))
+        numbers = np.empty(len(order), dtype=np.int64)
+        numbers[order] = len(self) + np.arange(len(order))
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words[i] for i in order), dtype=np.uint8)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum(sizes)])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(lengths)])
+        return numbers
+
+    def numbers(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word data[begin:end]; valid until the next call."""
+        if len(self) > self.limit:
+            self._clear()
+        names, first, which = np.unique(stretch_names(data, begin, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.names, names)
+        fresh = np.append(self.names, np.uint64(0))[at] != names if len(names) else np.zeros(0, dtype=bool)
+        fresh |= at == len(self.names)
+        if fresh.any():
+            raw, new = data.tobytes(), first[fresh]
+            numbers = self._add([raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            self.of_name = np.insert(self.of_name, at[fresh], numbers)
+            self.names = np.insert(self.names, at[fresh], names[fresh])
+            at = np.searchsorted(self.names, names)
+        out = self.of_name[at][which]
+        wrong = np.flatnonzero(~equal_stretches(data, begin, end, self.bytes, self.byte_ends[out], self.byte_ends[out + 1]))
+        if len(wrong):  # words that share a name with another one
+            words = [data[begin[i] : end[i]].tobytes() for i in wrong]
+            new = list(dict.fromkeys(x for x in words if x not in self.others))
+            if new:
+                self.others.update(zip(new, self._add(new).tolist(), strict=True))
+            out[wrong] = [self.others[x] for x in words]
+        return out
+
+    def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and how many each word has."""
+        starts, ends = self.id_ends[numbers], self.id_ends[numbers + 1]
+        lengths = ends - starts
+        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - ends, lengths)
+        return self.ids[at], lengths
+
+
 _LETTER, _UPPER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = True
+#: First bytes of the letters U+00C0 to U+023F, but for three characters (see below).
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[0xC3:0xC9] = True
+
+
+def latin_letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to Latin letters: without the signs for times and divided by, and without I with a dot above, which two letters replace in lower case."""
+    ok = _LETTER[data]
+    if len(data) < 2:
+        return ok
+    pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+    two = _LEAD[data[:-1]] & (pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)
+    ok[:-1] |= two
+    ok[1:] |= two
+    return ok
 
 
-def distinct_parts(part: TextSlice, cuts: bytes, stops: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct parts of a slice, the number of each part in turn, and each document's first.
+def parts_of(part: TextSlice, cuts: bytes, stops: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a slice, start and end of each part, and each document's first part.
 
-    Parts are the stretches between cut bytes. One of plain letters, with one stop behind it or
-    none, is lower-cased and gives letters and stop as two parts. Parts of a slice are told
-    apart by 64-bit names (some ten thousand at a time).
+    Parts are the stretches between cut bytes. One of Latin letters, with one stop behind it or
+    none, is lower-cased (A to Z) and gives letters and stop as two parts.
     """
     cut, stop = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
     cut[list(cuts)] = True
@@ -117,8 +211,9 @@ def distinct_parts(part: TextSlice, cuts: bytes, stops: bytes) -> tuple[list[str
     data = part.data
     starts, ends = runs_of(~cut[data], part.off)
     if not len(starts):
-        return [], np.zeros(0, np.int64), np.zeros(len(part) + 1, np.int64)
-    odd = np.concatenate([[0], np.cumsum(~_LETTER[data], dtype=np.int64)])
+        return data, starts, ends, np.zeros(len(part) + 1, np.int64)
+    odd = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(~latin_letters(data), out=odd[1:])
     stopped = stop[data[ends - 1]] & (ends - starts > 1)
     plain = odd[ends - stopped] == odd[starts]
     stopped &= plain
@@ -132,16 +227,4 @@ def distinct_parts(part: TextSlice, cuts: bytes, stops: bytes) -> tuple[list[str
     begin, end = np.empty(total, np.int64), np.empty(total, np.int64)
     begin[at], end[at] = starts, ends - stopped
     begin[at[stopped] + 1], end[at[stopped] + 1] = ends[stopped] - 1, ends[stopped]
-    low = TextSlice(part.batch, data, part.off)
-    _, first, number = np.unique(word_names(low, begin, end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    texts = [raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-    return texts, number, np.searchsorted(begin, part.off)
-
-
-def gathered(values: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of values (lengths of each in a row) that number names, in a row, and their lengths."""
-    size = lengths[number]
-    begin = (np.cumsum(lengths) - lengths)[number]
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
-    return values[at], size
+    return data, begin, end, np.searchsorted(begin, part.off)
