@@ -1,18 +1,21 @@
 """License detection by ordered signature rules.
 
-Some hundreds of rules come from a table of license families and a few ways of naming them
-(identifier lines, "licensed under", version phrases, addresses, titles, grant sentences), some
-more from sentences of the licenses' own texts. A rule runs only on texts that hold its keyword
+Some two hundred rules are hand-written signatures (signatures.py): sentences of the licenses' own
+texts, headers, titles, short names. More come from a table of license families and a few ways of
+naming them (identifier lines, "licensed under", version phrases, addresses). A rule runs only on texts that hold its keyword
 (one search for all keywords), but there on the whole text. Detections are taken in the order of
 priority, then length, then place; one that lies within an accepted detection is suppressed, so
 "GNU Lesser General Public License" is no GPL by a rule. The base phrases are found besides and
 are never suppressed.
 
-Null and empty texts have no words and no labels.
+Null and empty texts have no words and no labels. Rows are scanned each, also if they repeat a
+doc_id; a text of any length is scanned whole. Of detections of one priority, length and place
+(ties), the label that comes first by name is taken. Other columns are left alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, runs_of, slices
 from .pieces import once
+from .signatures import KINDS, signatures
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -75,19 +79,8 @@ WAYS: dict[str, tuple[int, float, str]] = {
     "address": (60, 0.75, r"(?:https?://)?(?:www\.)?{url}[\w./-]*"),
     "name": (40, 0.6, r"\b(?:{names})(?![\w-])"),
 }
-#: Label, keyword and pattern of sentences that only a license's own text has.
-BODIES: list[tuple[str, str, str]] = [
-    ("mit", "hereby", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms,? with or without modification,? are permitted"),
-    ("isc", "permission", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose"),
-    ("bsl", "hereby", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy"),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("gpl", "redistribute", r"this program is free software[:;,]? you can redistribute it and/or modify"),
-    ("lgpl", "redistribute", r"this library is free software[:;,]? you can redistribute it and/or modify"),
-]
-#: Priority and confidence of those.
-BODY = (75, 0.9)
+#: What may stand between words of a signature: white space and marks of comments.
+GAP, GAP_OR_NONE = r"[\s*#/>]+", r"[\s*#/>]*"
 REPORT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -103,8 +96,10 @@ class Rule:
 
 def rules() -> list[Rule]:
     """All rules, in the order in which their detections count."""
-    spaced = lambda x: x.replace(" ", r"\s+").encode()
-    out = [Rule(label, "body", *BODY, (keyword,), re.compile(spaced(pattern))) for label, keyword, pattern in BODIES]
+    blank = lambda x: x.replace("[- ]", "\1").replace(" ?", "\0").replace(", ", ",? ").replace(" ", GAP)
+    gap = lambda x: blank(x).replace("\0", GAP_OR_NONE).replace("\1", f"(?:-|{GAP})").encode()
+    edge = lambda x: rb"(?<![\w-])" + x + rb"(?![\w-])"
+    out = [Rule(label, kind, *KINDS[kind], (keyword,), re.compile(edge(gap(pattern)))) for label, keyword, kind, pattern in signatures()]
     for label, (keyword, names, ids, url) in FAMILIES.items():
         for way, (priority, confidence, pattern) in WAYS.items():
             keys = tuple(keyword.split())
@@ -150,17 +145,18 @@ class Scanner:
         found = [(m.start(), m.end(), rule) for rule in {id(x): x for key in keys for x in self.by_key[key]}.values() for m in rule.pattern.finditer(text)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
         taken: list[tuple[int, int, Rule]] = []
-        starts = np.zeros(0, np.int64)
-        ends = np.zeros(0, np.int64)
+        starts: list[int] = []
+        ends: list[int] = []
         for lo, hi, rule in found:
             # Accepted intervals hold no other, so by start they are also sorted by end.
-            k = int(np.searchsorted(starts, lo, side="right"))
+            k = bisect.bisect_right(starts, lo)
             if k and ends[k - 1] >= hi:
                 continue
-            drop = (starts >= lo) & (ends <= hi)
-            if drop.any():  # it holds accepted ones of a higher priority: those stay, this goes
+            first = bisect.bisect_left(starts, lo)
+            if first < len(starts) and ends[first] <= hi:  # it holds one of a higher priority: that stays, this goes
                 continue
-            starts, ends = np.insert(starts, k, lo), np.insert(ends, k, hi)
+            starts.insert(k, lo)
+            ends.insert(k, hi)
             taken.append((lo, hi, rule))
         return taken
 
