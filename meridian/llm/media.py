@@ -9,10 +9,12 @@ Scans: DC of each component (each block for itself, by restart markers); AC 1-5
 each component without their two lowest bits (spectral selection); two refinements of AC
 1-63 (successive approximation). Since all coefficients are nonzero from the first scan on,
 codes have fixed lengths and refinements are end-of-band runs with a correction bit for each
-coefficient; so scans are packed and unpacked by numpy as whole bit arrays. The reader reads
-files of this kind, checks each header, and raises ValueError for others.
+coefficient; so scans are packed by numpy as whole bit arrays. The reader (jpeg.py) takes files
+of other writers as well; a file without our comment has no payload.
 
-Null and empty texts are 64 zero bytes.
+Null and empty texts are 64 zero bytes. Rows are stored each, also if they repeat a doc_id; equal
+texts give equal files. A text is stored whole, in one file; one beyond the 65 535 rows or columns
+of a file raises ValueError. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
+from .jpeg import BLOCK, RUN, Picture, read_jpeg, to_rgb
 
-BLOCK = 64
 #: Bits that the first AC scans leave to refinements.
 LOW = 2
 BANDS = ((1, 5), (6, 63))
-#: Most blocks in one end-of-band run.
-RUN = 32767
 MEDIA = "doc_id long, n_bytes long, media binary"
 TENSORS = "doc_id long, payload binary, height long, width long, rgb binary"
 REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -42,19 +42,6 @@ REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 COMPONENTS = ((1, 2), (2, 1), (3, 1))
 
 
-def _zigzag() -> np.ndarray:
-    """Natural place (row * 8 + column) of each zigzag position."""
-    cells = [(r, c) for r in range(8) for c in range(8)]
-    cells.sort(key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
-    return np.array([r * 8 + c for r, c in cells])
-
-
-ZIGZAG = _zigzag()
-_x, _u = np.meshgrid(np.arange(8), np.arange(8))
-#: Rows: frequency, columns: sample.
-BASIS = np.cos((2 * _x + 1) * _u * math.pi / 16) * np.where(_u == 0, math.sqrt(1 / 8), 0.5)
-
-
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -120,6 +107,8 @@ def _run_head(n: int) -> np.ndarray:
 def encode_jpeg(payload: bytes) -> bytes:
     """A progressive JPEG file of a payload of a positive multiple of 64 bytes."""
     rows, columns = _shape(len(payload) // BLOCK)
+    if max(rows, columns) * 16 > 65535:
+        raise ValueError("a text of over a gigabyte does not fit into one file")
     units = rows * columns
     data = np.zeros(units * 6 * BLOCK, dtype=np.uint8)
     data[: len(payload)] = np.frombuffer(payload, dtype=np.uint8)
@@ -166,106 +155,13 @@ def _dc(extra: np.ndarray) -> bytes:
     return cells[used].tobytes()
 
 
-def _expect(ok: bool, what: str) -> None:
-    if not ok:
-        raise ValueError(f"not a file of this kind: {what}")
-
-
-def decode_jpeg(media: bytes) -> tuple[bytes, np.ndarray, tuple[int, int]]:
-    """Payload, coefficients (blocks x 64, natural order) and rows and columns of 16 x 16 units."""
-    raw = np.frombuffer(media, dtype=np.uint8)
-    _expect(media[:2] == b"\xff\xd8", "start")
-    at, length, size, minus, units = 2, 0, None, None, 0
-    shape = (0, 0)
-    while True:
-        _expect(len(media) >= at + 4 or media[at : at + 2] == b"\xff\xd9", "end")
-        marker = media[at + 1]
-        if marker == 0xD9:
-            break
-        long = struct.unpack(">H", media[at + 2 : at + 4])[0]
-        body = media[at + 4 : at + 2 + long]
-        at += 2 + long
-        if marker == 0xFE:
-            length = struct.unpack(">Q", body)[0]
-        elif marker == 0xC2:
-            shape = tuple(x // 16 for x in struct.unpack(">BHH", body[:5])[1:])
-            units = shape[0] * shape[1]
-            size = np.zeros((units * 6, BLOCK), dtype=np.uint8)
-            minus = np.zeros((units * 6, BLOCK), dtype=bool)
-        elif marker in (0xDB, 0xC4):
-            _expect(_segment(marker, body) in _HEADERS, "tables")
-        elif marker == 0xDA:
-            _expect(size is not None, "frame")
-            component, table, lo, hi, bits = body[1:]
-            _, first, n = _parts(units)[component - 1]
-            rows = slice(first, first + n)
-            scan, at = _entropy(raw, media, at)
-            if lo == 0:
-                cells = scan.reshape(n, 2)
-                extra = cells[:, 0] << 1 | cells[:, 1] >> 7
-                minus[rows, 0] = extra < 128
-                size[rows, 0] = np.where(extra < 128, ~extra, extra)
-            elif bits >> 4 == 0:
-                width = 8 - (bits & 15)
-                cells = np.unpackbits(scan)[: n * (hi - lo + 1) * (1 + width)].reshape(n, hi - lo + 1, 1 + width)
-                _expect(not cells[..., 0].any(), "codes")
-                value = np.zeros(cells.shape[:2], dtype=np.uint8)
-                for k in range(width):
-                    value = value << 1 | cells[..., 1 + k]
-                sign = cells[..., 1] == 0
-                value = np.where(sign, value ^ ((1 << width) - 1), value)
-                minus[rows, lo : hi + 1] = sign
-                size[rows, lo : hi + 1] = value << (bits & 15)
-            else:
-                stream, used = np.unpackbits(scan), 0
-                for a, m in _runs(n):
-                    head = _run_head(m)
-                    _expect(bool((stream[used : used + len(head)] == head).all()), "runs")
-                    used += len(head)
-                    more = stream[used : used + m * 63].reshape(m, 63)
-                    used += m * 63
-                    size[first + a : first + a + m, 1:] |= more << (bits & 15)
-        else:
-            _expect(marker == 0xDD, f"marker {marker:x}")
-    payload = np.where(minus, size, size - 128).astype(np.uint8).ravel()[:length].tobytes()
-    natural = np.empty(size.shape, dtype=np.int16)
-    natural[:, ZIGZAG] = np.where(minus, -size.astype(np.int16), size)
-    return payload, natural, shape
-
-
-def _entropy(raw: np.ndarray, media: bytes, at: int) -> tuple[np.ndarray, int]:
-    """A scan's bytes without stuffing and restart markers, and where the next marker is."""
-    end = at
-    while True:
-        end = media.index(b"\xff", end)
-        if media[end + 1] == 0 or 0xD0 <= media[end + 1] <= 0xD7:
-            end += 2
-        else:
-            break
-    scan = raw[at:end]
-    flag = np.flatnonzero(scan[:-1] == 0xFF)
-    after = scan[flag + 1]
-    keep = np.ones(len(scan), dtype=bool)
-    keep[flag + 1] = False
-    keep[flag[after != 0]] = False
-    return scan[keep], end
-
-
-def to_rgb(coefficients: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """The picture at full resolution, height x width x 3, as uint8."""
-    rows, columns = shape
-    planes = []
-    for (component, first, n), (_, sampling) in zip(_parts(rows * columns), COMPONENTS, strict=True):
-        block = coefficients[first : first + n].reshape(n, 8, 8).astype(np.float64)
-        block = np.matmul(np.matmul(BASIS.T, block), BASIS)
-        plane = block.reshape(rows * sampling, columns * sampling, 8, 8).swapaxes(1, 2).reshape(rows * sampling * 8, columns * sampling * 8)
-        if component > 1:
-            plane = np.repeat(np.repeat(plane, 2, axis=0), 2, axis=1)
-        planes.append(plane)
-    y, cb, cr = planes
-    y = y + 128
-    picture = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
-    return np.clip(np.rint(picture), 0, 255).astype(np.uint8)
+def payload_of(picture: Picture) -> bytes | None:
+    """The payload of a file of ours, null for others."""
+    if len(picture.comment) != 8:
+        return None
+    coefficients = np.concatenate([c.blocks for c in picture.components])
+    length = struct.unpack(">Q", picture.comment)[0]
+    return np.where(coefficients < 0, -coefficients, coefficients - 128).astype(np.uint8).ravel()[:length].tobytes()
 
 
 def padded(text: bytes) -> bytes:
@@ -289,8 +185,8 @@ def decode_media(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x in zip(batch.column("doc_id"), batch.column("media"), strict=True):
-                payload, coefficients, shape = decode_jpeg(x.as_py())
-                rgb = to_rgb(coefficients, shape)
+                picture = read_jpeg(x.as_py())
+                payload, rgb = payload_of(picture), to_rgb(picture)
                 columns = [[i.as_py()], [payload], [rgb.shape[0]], [rgb.shape[1]], [rgb.tobytes()]]
                 types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(*y) for y in zip(columns, types, strict=True)], names=["doc_id", "payload", "height", "width", "rgb"])
@@ -306,8 +202,8 @@ def media_report(docs: DataFrame) -> DataFrame:
             rows = []
             for x in batch.column("media"):
                 media = x.as_py()
-                payload, coefficients, shape = decode_jpeg(media)
-                rgb = to_rgb(coefficients, shape)
+                picture = read_jpeg(media)
+                payload, rgb = payload_of(picture), to_rgb(picture)
                 mean = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) // (rgb.size // 3)
                 feature = f"{rgb.shape[0]}x{rgb.shape[1]} " + " ".join(map(str, mean.tolist()))
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))

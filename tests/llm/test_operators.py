@@ -332,20 +332,62 @@ def test_media_round_trip(spark, docs):
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
         x = tensors[i]
         assert bytes(x["payload"]) == payload and len(x["rgb"]) == x["height"] * x["width"] * 3
-    with pytest.raises(ValueError, match="file of this kind"):
-        M.decode_jpeg(b"GIF89a")
+    with pytest.raises(ValueError, match="JPEG"):
+        M.read_jpeg(b"GIF89a")
+
+
+def jvm_pixels(spark, media):
+    """The pixels that an independent reader sees."""
+    jvm = spark._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(media)))
+    return np.array([[[(v := picture.getRGB(x, y)) >> 16 & 255, v >> 8 & 255, v & 255] for x in range(picture.getWidth())] for y in range(picture.getHeight())])
 
 
 def test_media_is_a_picture_for_others(spark):
-    """An independent reader takes the file and sees the same luminance."""
+    """An independent reader takes the file and sees much the same picture (it smooths the chroma)."""
     from meridian.llm import media as M
 
-    media = M.encode_jpeg(bytes(range(256)) * 6)
-    jvm = spark._jvm
-    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(media)))
-    _, coefficients, shape = M.decode_jpeg(media)
-    rgb = M.to_rgb(coefficients, shape)
-    assert (picture.getHeight(), picture.getWidth()) == rgb.shape[:2]
+    picture = M.read_jpeg(M.encode_jpeg(bytes(64 * 6)))
+    ours = M.to_rgb(picture)
+    theirs = jvm_pixels(spark, M.encode_jpeg(bytes(64 * 6)))
+    assert ours.shape == theirs.shape and np.corrcoef(ours.ravel(), theirs.ravel())[0, 1] > 0.85
+
+
+@pytest.mark.parametrize("progressive", [True, False])
+def test_pictures_of_others_are_read(spark, progressive):
+    """Files of another writer, with tables, predictions, runs and odd sizes of its own."""
+    from meridian.llm import media as M
+
+    jvm, wide, tall = spark._jvm, 37, 21
+    image = jvm.java.awt.image.BufferedImage(wide, tall, 1)
+    for y in range(tall):
+        for x in range(wide):
+            image.setRGB(x, y, (6 * x) << 16 | (11 * y) << 8 | 128)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    if progressive:
+        how.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.close()
+    media = bytes(out.toByteArray())
+    picture = M.read_jpeg(media)
+    assert media.count(b"\xff\xda") == (10 if progressive else 1) and M.payload_of(picture) is None
+    assert np.abs(M.to_rgb(picture).astype(int) - jvm_pixels(spark, media)).mean() < 4  # chroma is smoothed there
+
+
+def test_scans_unpacked_at_once_are_as_decoded(monkeypatch):
+    from meridian.llm import jpeg as J
+    from meridian.llm import media as M
+
+    rnd = random.Random(2)
+    media = M.encode_jpeg(bytes(rnd.getrandbits(8) for _ in range(64 * 30)))
+    once = J.read_jpeg(media)
+    monkeypatch.setattr(J.Scan, "unpack", lambda self, scan: False)
+    each = J.read_jpeg(media)
+    assert all((a.blocks == b.blocks).all() for a, b in zip(once.components, each.components, strict=True))
 
 
 def test_empty_tables(spark):
@@ -380,3 +422,163 @@ def test_repeated_rows_and_null_ids(spark):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
+
+
+def thue_morse(letters, n=2048):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one value under every odd base modulo 2**64."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from meridian.llm import near_dedup, packing, quality, substring_dedup
+
+    one, two = thue_morse("ab"), thue_morse("ba")
+    rest = " ".join(f"w{k}" for k in range(34))
+    rows = spark.createDataFrame([(1, f"{one} {rest}", "en", "s"), (2, f"{two} {rest}", "en", "s"), (3, f"{one}\n{two}", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [r["n_removed"] for r in substring_dedup.repeated_passages_report(rows).collect()] == [0, 0, 0]
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.judged(rows).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in as_dict(near_dedup.near_duplicates(rows)).items()} == groups([(r["doc_id"], r["text"]) for r in rows.collect()])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    ids = {}
+    for r in sorted(packing.packed(rows, path).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        ids.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert ids == {r["doc_id"]: [*plain.encode(r["text"], add_special_tokens=False).ids, 1] for r in rows.collect()}
+
+
+def test_names_are_told_apart_by_bytes():
+    """Words that share a name are still different words."""
+    from meridian.llm import pieces
+
+    table = pieces.WordTable(lambda words: (np.arange(len(words)), np.array([int(x) for x in words], np.int32), np.ones(len(words), np.int64)), 100)
+    data = np.frombuffer(b"11 22 11 33", np.uint8)
+    begin, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    real, pieces.stretch_names = pieces.stretch_names, lambda data, a, b: np.zeros(len(a), np.uint64)
+    try:
+        for _ in range(2):
+            assert table.tokens(table.numbers(data, begin, end))[0].tolist() == [11, 22, 11, 33]
+    finally:
+        pieces.stretch_names = real
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id (or none) with different texts are documents of their own."""
+    from meridian.llm import near_dedup, quality, substring_dedup, suffix_dedup
+
+    rnd = random.Random(9)
+    some = lambda n: " ".join(f"w{rnd.randint(0, 99)}" for _ in range(n))
+    passage = some(80)
+    rows = [(1, passage + " " + some(30)), (1, some(300) + " " + passage), (1, None), (None, passage), (None, some(5) + " " + passage), (None, ""), (2, passage), (2, passage), (3, some(400))]
+    for k in range(40):
+        rows.append((k // 4, some(rnd.randint(1, 60)) + (" " + passage if k % 3 == 0 else "")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    distinct = {(i, t or "") for i, t in rows}
+    words = {k: split(k[1]) for k in distinct}
+    count = Counter(tuple(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    want = Counter()
+    for i, t in rows:
+        w = split(t)
+        gone = {j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, substring_dedup.repeated_passages_report(frame).collect())) == want
+
+    cut = Counter((r["doc_id"], r["text"] or "") for r in suffix_dedup.remove_later_copies(frame).collect())
+    report = suffix_dedup.later_copies_report(frame).collect()
+    assert len(report) == len(rows) == sum(cut.values())
+    # The first place of the passage stays: a document without id comes before all others.
+    assert sum(passage in t for _, t in cut.elements()) >= 1 and all(i is None for i, t in cut.elements() if passage in t)
+    assert sum(r["n_removed"] for r in report) == sum(len((t or "").encode()) for _, t in rows) - sum(len(t.encode()) for _, t in cut.elements())
+
+    got = near_dedup.near_duplicates(frame).collect()
+    assert len(got) == len(rows) and all(r["kept"] for r in got if r["doc_id"] is None)
+    kept = near_dedup.drop_near_duplicates(frame).collect()
+    assert Counter((r["doc_id"]) for r in kept) == Counter(r["doc_id"] for r in got if r["kept"])
+    judged = quality.judged(frame.selectExpr("*", "'en' as lang", "'s' as source"))
+    assert judged.count() == len(rows) and quality.keep_good(frame.selectExpr("*", "'en' as lang", "'s' as source")).count() == judged.where("kept").count()
+
+
+CLASH = "doc_id long, text string, lang string, source string, _gone long, _cut_id long, _cut_text string, id long, hash long, twin long, row long, cut string, node long, text_a string, slice long, piece string, part long, settled string, toxic int"
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark):
+    """Columns with the operators' own names, a text longer than any slice, and rows that come twice."""
+    import public_tokenizers as P
+
+    from meridian.llm import byte_bpe, licenses, media, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+
+    rnd = random.Random(4)
+    long = " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(150_000))
+    assert len(long) > 800_000
+    rest = (7, 7, "x", 7, 7, 7, 7, "x", 7, "x", 7, "x", 7, "x", 7)
+    rows = [(i, t, "en", "s", *rest) for i, t in [(1, long), (2, "short text"), (2, "short text"), (3, None)]]
+    docs = spark.createDataFrame(rows, CLASH)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model, words, ranks = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+    n = {1: 150_000, 2: 2, 3: 0}
+    assert sorted((r["doc_id"], r["n_words"]) for r in substring_dedup.repeated_passages_report(docs).collect()) == [(1, n[1]), (2, 2), (2, 2), (3, 0)]
+    assert sorted((r["doc_id"], r["n_words"]) for r in licenses.license_labels(docs).collect()) == [(1, n[1]), (2, 2), (2, 2), (3, 0)]
+    assert sorted((r["doc_id"], r["n_words"]) for r in quality.judged(docs).collect()) == [(1, n[1]), (2, 2), (2, 2), (3, 0)]
+    assert sorted(r["n_bytes"] for r in suffix_dedup.later_copies_report(docs).collect()) == [0, 10, 10, len(long)]
+    assert sorted(r["n_bytes"] for r in token_counts.token_counts(docs, model).collect()) == [0, 10, 10, len(long)]
+    assert sorted(r["n_bytes"] for r in media.media_report(docs).collect()) == [0, 10, 10, len(long)]
+    digests = byte_bpe.round_trip(docs, ranks, P.PATTERN).collect()
+    assert sorted(r["decoded_sha256"] for r in digests) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+    assert {r["doc_id"] for r in packing.packed(docs, words).where("start = 0").collect()} == {1, 2, 3}
+    assert toxicity.scored(docs, toxicity.train(docs, labels)).count() == 4
+    for frame in (near_dedup.drop_near_duplicates(docs), suffix_dedup.remove_later_copies(docs), toxicity.drop_toxic(docs, labels)):
+        assert sorted(map(str, frame.collect())) == sorted(map(str, docs.collect())) and frame.columns == docs.columns
+    assert [r["doc_id"] for r in quality.keep_good(docs).collect()] == [1]
+
+
+def test_token_counts_fuzzed(spark):
+    """Blanks, the sign for blanks, and characters that are normalised, in all orders."""
+    import public_tokenizers
+    import sentencepiece
+
+    from meridian.llm.token_counts import token_counts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(1)
+    rows = [(i, "".join(rnd.choice("ab c  \u2581\n\t.\u00e9\u65e5\u00a0\u3000xyz") for _ in range(rnd.randint(0, 30)))) for i in range(3000)]
+    got = as_dict(token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, size=5000))
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(model.encode(t)) for i, t in rows}
+
+
+def test_license_signatures_hold_their_keywords():
+    from meridian.llm.signatures import KINDS, signatures
+
+    rows = signatures()
+    assert len(rows) > 180 and len(set(rows)) == len(rows)
+    assert all(len(x) == 4 and x[2] in KINDS and x[1] in x[3].replace("\\", "") for x in rows)
+
+
+def test_byte_bpe_of_no_rows(spark):
+    import public_tokenizers as P
+
+    from meridian.llm.byte_bpe import round_trip
+
+    assert round_trip(spark.createDataFrame([], SCHEMA), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_a_family_costs_members_not_pairs(spark, monkeypatch, n):
+    """A family with a passage that its hub lacks: what is measured grows like its members."""
+    from meridian.llm import near_dedup as N
+
+    rnd = random.Random(8)
+    base, passage = [f"b{k}" for k in range(80)], [f"p{k}" for k in range(25)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        copy = base + passage
+        copy[rnd.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    real = N.measured
+    monkeypatch.setattr(N, "measured", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    got = as_dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in groups(rows).items()}
+    assert sum(seen) < 60 * n
