@@ -9,42 +9,107 @@ from ..functions import canon
 from ..functions.fields import coordinate, iso, nan_to_null, round_to, wind_speed
 
 
-def nearest(wanted: Column, axis: str, node: Column) -> Column:
-    """Aggregate: the node nearest to a wanted coordinate, the larger of two equally near."""
-    return F.min_by(node, F.struct(F.abs(F.col(axis) - wanted), -F.col(axis)))
+DAY = 86400
 
 
-def nearest_node(requests: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
-    """id, lat_i, lon_i, node_lat, node_lon: the grid node of each request; no wrap-around.
+def with_axes(rows: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
+    """Adds lat_0, lat_d, lat_n (first value, step and number of the latitudes) and the same of the longitudes.
 
-    Distinct coordinates are matched, not requests: a large batch is joined to the small
-    result. Axes are fixed in size and broadcast.
+    Axes are regular, so that an index is arithmetic and no request meets an axis row by row.
     """
+    for name, axis in (("lat", lats), ("lon", lons)):
+        first, last, n = F.min_by(name, f"{name}_i"), F.max_by(name, f"{name}_i"), F.count("*")
+        line = axis.agg(first.alias(f"{name}_0"), F.coalesce((last - first) / F.nullif(n - 1, F.lit(0)), F.lit(1.0)).alias(f"{name}_d"), n.alias(f"{name}_n"))
+        rows = rows.crossJoin(F.broadcast(line))  # one row
+    return rows
+
+
+#: Part of a step by which a bound may miss a node that lies on it.
+EDGE = 1e-9
+
+
+def window_size(boxes: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
+    """with_axes() and, for inclusive boxes, lat_a, lat_b, lon_a, lon_b (first and last index), ny, nx and points (after thinning).
+
+    boxes: south, west, north, east, stride.
+    """
+    rows = with_axes(boxes, lats, lons)
+    for name, low, high, n in (("lat", "south", "north", "ny"), ("lon", "west", "east", "nx")):
+        zero, step = F.col(f"{name}_0"), F.col(f"{name}_d")
+        ends = (F.col(low) - zero) / step, (F.col(high) - zero) / step
+        first = F.greatest(F.ceil(F.least(*ends) - EDGE), F.lit(0)).cast("int")
+        last = F.least(F.floor(F.greatest(*ends) + EDGE), F.col(f"{name}_n") - 1).cast("int")
+        rows = rows.withColumns({f"{name}_a": first, f"{name}_b": last})
+        rows = rows.withColumn(n, F.greatest(F.col(f"{name}_b") - F.col(f"{name}_a") + 1, F.lit(0)).cast("long"))
+    thinned = F.ceil(F.col("ny") / F.col("stride")) * F.ceil(F.col("nx") / F.col("stride"))
+    return rows.withColumn("points", thinned.cast("long"))
+
+
+def nearest_node(requests: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
+    """id, lat_i, lon_i, node_lat, node_lon: the grid node of each request (the larger coordinate of two equally near); no wrap-around."""
+    rows = with_axes(requests.where("lat is not null and lon is not null").select("id", "lat", "lon"), lats, lons)
+    out = ["id"]
+    for name in ("lat", "lon"):
+        zero, step, at = F.col(f"{name}_0"), F.col(f"{name}_d"), (F.col(name) - F.col(f"{name}_0")) / F.col(f"{name}_d")
+        i = F.when(step > 0, F.floor(at + 0.5)).otherwise(F.ceil(at - 0.5))
+        i = F.least(F.greatest(i, F.lit(0)), F.col(f"{name}_n") - 1).cast("int")
+        rows = rows.withColumn(f"{name}_i", i).withColumn(f"node_{name}", zero + F.col(f"{name}_i") * step)
+    return rows.select("id", "lat_i", "lon_i", "node_lat", "node_lon")
+
 
-    def match(name: str, axis: DataFrame) -> DataFrame:
-        wanted = requests.select(F.col(name).alias("_w")).where("_w is not null").distinct()
-        cells = wanted.crossJoin(F.broadcast(axis.select(name, f"{name}_i")))
-        found = cells.groupBy("_w").agg(nearest(F.col("_w"), name, F.struct(f"{name}_i", name)).alias("x"))
-        return found.select("_w", f"x.{name}_i", F.col(f"x.{name}").alias(f"node_{name}"))
+def _ends(times: DataFrame) -> DataFrame:
+    """One row: first and last step, and half of the first spacing (three hours for a single step)."""
+    steps = F.array_sort(F.collect_set("at"))
+    rows = times.agg(F.slice(steps, 1, 2).alias("x"), F.max("at").alias("last_step"))
+    half = F.when(F.size("x") > 1, F.floor((F.element_at("x", 2) - F.element_at("x", 1)) / 2)).otherwise(10800)
+    return rows.select(F.try_element_at("x", F.lit(1)).alias("first_step"), "last_step", half.alias("half"))
 
-    lat, lon = match("lat", lats), match("lon", lons)
-    rows = requests.join(lat, requests["lat"] == lat["_w"]).drop("_w")
-    return rows.join(lon, rows["lon"] == lon["_w"]).select("id", "lat_i", "lon_i", "node_lat", "node_lon")
+
+def calendar(times: DataFrame) -> DataFrame:
+    """day, steps, before, earlier, later: the steps of each day in a layer's span, how many come before the day, and the nearest ones outside it.
+
+    times: at (seconds), distinct. One row a day, also for days without steps.
+    """
+    days = times.groupBy(F.floor(F.col("at") / DAY).alias("day")).agg(F.array_sort(F.collect_list("at")).alias("steps"))
+    span = times.agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    span = span.select(F.explode(F.sequence(F.floor(F.col("a") / DAY) - 1, F.floor(F.col("b") / DAY) + 1)).alias("day"))
+    order = Window.orderBy("day")  # days of one layer
+    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    rows = span.join(days, "day", "left")
+    return rows.select(
+        "day", F.coalesce("steps", F.array().cast("array<bigint>")).alias("steps"), F.coalesce(F.sum(F.size("steps")).over(past), F.lit(0)).alias("before"),
+        F.last(F.element_at("steps", -1), ignorenulls=True).over(past).alias("earlier"), F.first(F.element_at("steps", 1), ignorenulls=True).over(future).alias("later"),
+    )
 
 
 def nearest_step(requests: DataFrame, times: DataFrame) -> DataFrame:
     """id, step, code: seconds of the nearest step (the later of two), only within half a step of the ends.
 
-    times: at (seconds), distinct. The half step is half the first spacing, or three hours for a
-    single step. The steps of one layer are some hundred at most and are broadcast as an array.
+    times: at (seconds), distinct. A request is joined to the day that it falls into.
+    """
+    rows = requests.select("id", F.col("at").alias("_w")).crossJoin(F.broadcast(_ends(times)))
+    outside = F.col("first_step").isNull() | (F.col("_w") < F.col("first_step") - F.col("half")) | (F.col("_w") > F.col("last_step") + F.col("half"))
+    inside = F.least(F.greatest("_w", "first_step"), F.col("last_step"))
+    rows = rows.withColumn("outside", outside).withColumn("day", F.floor(inside / DAY)).join(calendar(times), "day", "left")
+    near = F.array_compact(F.concat("steps", F.array("earlier", "later")))
+    best = F.array_min(F.transform(near, lambda s: F.struct(F.abs(s - F.col("_w")).alias("d"), (-s).alias("s"))))
+    return rows.select("id", F.when(~F.col("outside"), -best["s"]).alias("step"), F.when(F.col("outside"), "coverage").alias("code"))
+
+
+def limited_series(requests: DataFrame, times: DataFrame, limit: int = canon.MAX_STEPS) -> DataFrame:
+    """id, steps, code: the steps of a layer in each request's inclusive period, and coverage (none) or steps (too many) for a refusal.
+
+    requests: id, start, stop (seconds; null is open). Only times are read, so a refused request never touches the fields.
     """
-    steps = times.agg(F.array_sort(F.collect_list("at")).alias("steps"))
-    rows = requests.select("id", F.col("at").alias("_w")).crossJoin(F.broadcast(steps))
-    first, last = F.element_at("steps", 1), F.element_at("steps", -1)
-    half = F.when(F.size("steps") > 1, F.floor((F.element_at("steps", 2) - first) / 2)).otherwise(10800)
-    outside = (F.col("_w") < first - half) | (F.col("_w") > last + half)
-    best = F.array_min(F.transform("steps", lambda s: F.struct(F.abs(s - F.col("_w")).alias("d"), (-s).alias("s"))))
-    return rows.select("id", F.when(~outside, -best["s"]).alias("step"), F.when(outside, "coverage").alias("code"))
+    rows = requests.select("id", "start", "stop").crossJoin(F.broadcast(_ends(times).drop("half")))
+    days = calendar(times).select("day", "steps", "before")
+    # The number of steps up to a moment, for the last moment before the period and for its end.
+    moments = {"below": F.coalesce(F.col("start"), F.col("first_step")) - 1, "upto": F.coalesce("stop", "last_step")}
+    for name, moment in moments.items():
+        rows = rows.withColumn("_t", F.least(F.greatest(moment, F.col("first_step") - 1), F.col("last_step"))).withColumn("day", F.floor(F.col("_t") / DAY))
+        rows = rows.join(days, "day", "left").withColumn(name, F.col("before") + F.size(F.filter("steps", lambda s: s <= F.col("_t")))).drop("day", "_t", "steps", "before")
+    rows = rows.select("id", F.greatest(F.coalesce(F.col("upto") - F.col("below"), F.lit(0)), F.lit(0)).cast("long").alias("steps"))
+    return rows.withColumn("code", F.when(F.col("steps") == 0, "coverage").when(F.col("steps") > limit, "steps"))
 
 
 def time_window(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
@@ -56,23 +121,32 @@ def point_series(field: DataFrame, nodes: DataFrame, fields: DataFrame, units: D
     """id, name, time, value: the asked fields at each request's node, in its units, gaps as null.
 
     nodes: nearest_node(); fields: resolve_fields(); units: id, units. Fields are read at the
-    asked nodes only, once for all requests of a node; wind is made of its components by a
-    conditional aggregate.
+    asked nodes only, once for all requests of a node. Wind is made of its components by node and
+    time first, so its cost is that of the grid, not of the answers.
     """
     spots = nodes.select("lat_i", "lon_i").distinct()
     inputs = fields.where("known").select(F.explode("inputs").alias("variable")).distinct()
     cells = field.join(F.broadcast(inputs), "variable").join(spots, ["lat_i", "lon_i"])
-    asked = fields.where("known").join(nodes, "id").join(units, "id").withColumn("input", F.explode("inputs"))
-    rows = asked.join(cells.withColumnRenamed("variable", "input"), ["lat_i", "lon_i", "input"])
-    first = F.max(F.when(F.col("input") == F.element_at("inputs", 1), F.col("value").cast("double")))
-    second = F.max(F.when(F.col("input") == F.element_at("inputs", -1), F.col("value").cast("double")))
-    keys = ["id", "name", "pos", "units", "time", "scale", "offset", "inputs"]
-    rows = rows.groupBy(*keys).agg(first.alias("a"), second.alias("b"))
-    value = F.when(F.size("inputs") == 2, wind_speed(F.col("a"), F.col("b"))).otherwise(F.col("a"))
-    value = F.when(F.col("units") == "human", value * F.col("scale") + F.col("offset")).otherwise(value)
+    cells = cells.select("lat_i", "lon_i", "time", "variable", F.col("value").cast("double").alias("value"))
+    parts = [F.max(F.when(F.col("variable") == x, F.col("value"))) for x in ("10u", "10v")]
+    wind = cells.where(F.col("variable").isin("10u", "10v")).groupBy("lat_i", "lon_i", "time").agg(wind_speed(*parts).alias("value"))
+    wind = wind.where("value is not null").select("lat_i", "lon_i", "time", F.lit("10u,10v").alias("variable"), "value")
+    asked = fields.where("known").join(nodes, "id").join(units, "id").withColumn("variable", F.array_join("inputs", ","))
+    rows = asked.join(cells.unionByName(wind), ["lat_i", "lon_i", "variable"])
+    value = F.when(F.col("units") == "human", F.col("value") * F.col("scale") + F.col("offset")).otherwise(F.col("value"))
     return rows.select("id", "name", "pos", "time", nan_to_null(value).alias("value"))
 
 
+def limited_point_series(field: DataFrame, requests: DataFrame, nodes: DataFrame, fields: DataFrame, limit: int = canon.MAX_STEPS) -> tuple[DataFrame, DataFrame]:
+    """Answers (point_series of each request's period) and refusals (limited_series with a code). requests: id, units, start, stop."""
+    verdict = limited_series(requests, field.select(F.unix_seconds(F.col("time").cast("timestamp")).alias("at")).distinct(), limit)
+    allowed = requests.join(verdict.where("code is null").select("id"), "id", "left_semi")
+    series = point_series(field, nodes.join(allowed.select("id"), "id", "left_semi"), fields, allowed.select("id", "units"))
+    period = allowed.select("id", *[F.timestamp_seconds(x).cast("timestamp_ntz").alias(x) for x in ("start", "stop")])
+    rows = time_window(series.join(period, "id"), F.col("start"), F.col("stop"))
+    return rows.drop("start", "stop"), verdict.where("code is not null")
+
+
 def as_answers(series: DataFrame) -> DataFrame:
     """id, name, times, values: one row a field, arrays in time order."""
     pairs = F.array_sort(F.collect_list(F.struct("time", "value")))
@@ -80,17 +154,17 @@ def as_answers(series: DataFrame) -> DataFrame:
     return rows.select("id", "name", F.transform("x", lambda p: iso(p["time"])).alias("times"), F.transform("x", lambda p: p["value"]).alias("values"))
 
 
-def window_nodes(boxes: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
+def window_nodes(boxes: DataFrame, lats: DataFrame, lons: DataFrame, limit: int | None = canon.MAX_POINTS) -> DataFrame:
     """id, lat_i, lon_i, lat, lon: nodes of inclusive boxes, thinned by stride from the first selected row and column.
 
-    Two range joins to the broadcast axes, then one product a request; boxes: id, south, west,
-    north, east, stride.
+    boxes: id, south, west, north, east, stride. Boxes of more than limit nodes have none here
+    (limited_window() says so), so no field is read for them.
     """
-    lat = boxes.join(F.broadcast(lats), (F.col("lat") >= F.col("south")) & (F.col("lat") <= F.col("north")))
-    lat = lat.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lat"))) - 1).where("k % stride = 0").select("id", "lat_i", "lat")
-    lon = boxes.join(F.broadcast(lons), (F.col("lon") >= F.col("west")) & (F.col("lon") <= F.col("east")))
-    lon = lon.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("lon")) - 1).where("k % stride = 0").select("id", "lon_i", "lon")
-    return lat.join(lon, "id")
+    rows = window_size(boxes, lats, lons).where("points > 0" if limit is None else f"points between 1 and {limit}")
+    for name in ("lat", "lon"):
+        rows = rows.withColumn(f"{name}_i", F.explode(F.sequence(f"{name}_a", f"{name}_b", "stride")))
+    at = lambda x: (F.col(f"{x}_0") + F.col(f"{x}_i") * F.col(f"{x}_d")).alias(x)
+    return rows.select("id", "lat_i", "lon_i", at("lat"), at("lon"))
 
 
 def grid_window(field: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:

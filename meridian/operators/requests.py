@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 from ..functions.fields import suggested_stride
+from .reading import window_size
 
 
 def resolve_fields(requests: DataFrame, key: str = "id", asked: str = "vars") -> DataFrame:
@@ -63,13 +64,15 @@ def validate_point(requests: DataFrame) -> DataFrame:
 
 def parse_bbox(requests: DataFrame, bbox: str = "bbox") -> DataFrame:
     """Adds south, west, north, east and box_code (shape, number, range, order or null)."""
-    parts = F.split(bbox, ",")
-    side = lambda k: F.expr(f"try_cast(trim(try_element_at(split({bbox}, ','), {k})) as double)")
-    rows = requests.withColumns({"south": side(1), "west": side(2), "north": side(3), "east": side(4)})
+    numbers = F.transform(F.split(bbox, ","), lambda x: F.trim(x).try_cast("double"))
+    # Behind a generator: else the planner puts the parsing into each place where a side is used.
+    rows = requests.select("*", F.explode(F.array(numbers)).alias("_sides"))
+    side = lambda k: F.try_element_at("_sides", F.lit(k))
+    rows = rows.withColumns({"south": side(1), "west": side(2), "north": side(3), "east": side(4)})
     known = F.col("south").isNotNull() & F.col("west").isNotNull() & F.col("north").isNotNull() & F.col("east").isNotNull()
     inside = F.col("south").between(-90, 90) & F.col("north").between(-90, 90) & F.col("west").between(-180, 180) & F.col("east").between(-180, 180)
     ordered = (F.col("south") < F.col("north")) & (F.col("west") < F.col("east"))
-    return rows.withColumn("box_code", F.when(F.size(parts) != 4, "shape").when(~known, "number").when(~inside, "range").when(~ordered, "order"))
+    return rows.withColumn("box_code", F.when(F.size("_sides") != 4, "shape").when(~known, "number").when(~inside, "range").when(~ordered, "order")).drop("_sides")
 
 
 def parse_moment(rows: DataFrame, text: str, name: str = "moment") -> DataFrame:
@@ -87,16 +90,10 @@ def hourly_horizon(requests: DataFrame, last_hour: DataFrame) -> DataFrame:
 def limited_window(boxes: DataFrame, lats: DataFrame, lons: DataFrame, limit: int = canon.MAX_POINTS) -> DataFrame:
     """id, ny, nx (unthinned), points (thinned), suggested stride and code, from the axes alone.
 
-    boxes: id, south, west, north, east, stride. Only the axes are read, so a refused request
-    never touches the fields. Axes are at most some thousand rows and are broadcast.
+    boxes: id, south, west, north, east, stride. A refused request never touches the fields.
     """
-    lat = boxes.join(F.broadcast(lats.select(F.col("lat").alias("_lat"))), (F.col("_lat") >= F.col("south")) & (F.col("_lat") <= F.col("north")), "left")
-    ny = lat.groupBy("id").agg(F.count("_lat").alias("ny"))
-    lon = boxes.join(F.broadcast(lons.select(F.col("lon").alias("_lon"))), (F.col("_lon") >= F.col("west")) & (F.col("_lon") <= F.col("east")), "left")
-    nx = lon.groupBy("id").agg(F.count("_lon").alias("nx"))
-    rows = boxes.select("id", "stride").join(ny, "id").join(nx, "id")
-    points = (F.ceil(F.col("ny") / F.col("stride")) * F.ceil(F.col("nx") / F.col("stride"))).cast("long")
-    rows = rows.withColumn("points", points).withColumn("suggested", suggested_stride(F.col("ny").cast("int"), F.col("nx").cast("int"), limit).cast("long"))
+    rows = window_size(boxes, lats, lons).select("id", "stride", "ny", "nx", "points")
+    rows = rows.withColumn("suggested", suggested_stride(F.col("ny").cast("int"), F.col("nx").cast("int"), limit).cast("long"))
     return rows.withColumn("code", F.when(F.col("points") == 0, "coverage").when(F.col("points") > limit, "points"))
 
 
@@ -112,5 +109,5 @@ def surface_only(rows: DataFrame, variable: str = "variable") -> DataFrame:
 def availability(requests: DataFrame, published: DataFrame, present: DataFrame) -> DataFrame:
     """Adds code: no_forecast without a published run, no_layer without the layer, else null. published: run_id; present: run_id, layer."""
     run = published.agg(F.max("run_id").alias("run_id"))
-    rows = requests.crossJoin(F.broadcast(run)).join(F.broadcast(present.select("run_id", "layer", F.lit(True).alias("there"))), ["run_id", "layer"], "left")
+    rows = requests.crossJoin(F.broadcast(run)).join(present.select("run_id", "layer", F.lit(True).alias("there")), ["run_id", "layer"], "left")
     return rows.withColumn("code", F.when(F.col("run_id").isNull(), "no_forecast").when(F.col("there").isNull(), "no_layer")).drop("there")

@@ -274,12 +274,12 @@ def bbox_window(spark, d):
     return R.window_nodes(_valid_boxes(spark, d), *axes(spark)).select("id", "lat_i", "lon_i")
 
 
-@query("stride_thin", "SELECT s, (SELECT count(*) FROM range(721) t(i) WHERE i % s = 0) AS ny, (SELECT count(*) FROM range(1440) t(i) WHERE i % s = 0) AS nx FROM (SELECT DISTINCT (1 + n_nationkey % 9)::INT AS s FROM nation)")
+@query("stride_thin", "SELECT s, (SELECT count(*) FROM range(721) t(i) WHERE i % s = 0) AS ny, (SELECT count(*) FROM range(1440) t(i) WHERE i % s = 0) AS nx FROM (SELECT DISTINCT (1 + c_custkey % 700)::INT AS s FROM customer)")
 def stride_thin(spark, d):
     """Rows and columns that each stride leaves of the whole grid."""
-    boxes = fx.table(spark, d, "nation").select((1 + F.col("n_nationkey") % 9).cast("int").alias("stride")).distinct()
+    boxes = fx.table(spark, d, "customer").select((1 + F.col("c_custkey") % 700).cast("int").alias("stride")).distinct()
     boxes = boxes.select(F.col("stride").alias("id"), "stride", F.lit(-90.0).alias("south"), F.lit(-180.0).alias("west"), F.lit(90.0).alias("north"), F.lit(180.0).alias("east"))
-    nodes = R.window_nodes(boxes, canon.axis_lat(spark), canon.axis_lon(spark))
+    nodes = R.window_nodes(boxes, canon.axis_lat(spark), canon.axis_lon(spark), limit=None)
     return nodes.groupBy(F.col("id").alias("s")).agg(F.count_distinct("lat_i").alias("ny"), F.count_distinct("lon_i").alias("nx"))
 
 
@@ -387,3 +387,27 @@ def health_report(spark, d):
     steps = R.coverage(fx.field(spark, d).withColumn("step_hours", F.lit(6)), ["step_hours"]).select(F.col("steps").alias("coarse_steps"))
     rows = R.freshness(run, fx.NOW).crossJoin(steps)
     return rows.select(F.when(F.col("n") == 0, "no_forecast").otherwise("ok").alias("status"), "age_hours", "coarse_steps")
+
+
+@query(
+    "point_answers",
+    with_tables(
+        f"""{_RESOLVED}, {_STEPS}, period AS (SELECT c_custkey AS id, 1703635200 + c_custkey * 7919 % 40 * 86400 AS start, 1703635200 + (c_custkey * 7919 % 40 + c_custkey % 20) * 86400 AS stop FROM customer),
+    inside AS (SELECT p.id, count(s.sec) AS steps FROM period p LEFT JOIN steps s ON s.sec BETWEEN p.start AND p.stop GROUP BY p.id)
+    SELECT id, steps, CASE WHEN steps = 0 THEN 'coverage' WHEN steps > 40 THEN 'steps' END AS code, CASE WHEN steps BETWEEN 1 AND 40 THEN coalesce(n, 0) ELSE 0 END AS n FROM inside LEFT JOIN
+    (SELECT r.id, count(*) AS n FROM resolved r JOIN nodes_of n USING (id) JOIN period p USING (id) JOIN fx_field a ON a.variable = r.first AND a.lat_i = n.lat_i AND a.lon_i = n.lon_i AND epoch_us(a.time) // 1000000 BETWEEN p.start AND p.stop
+    JOIN fx_field b ON b.variable = r.second AND b.lat_i = n.lat_i AND b.lon_i = n.lon_i AND b.time = a.time GROUP BY r.id) USING (id)""".replace(", period AS", f", {_NODES}, nodes_of AS (SELECT id, lat_i, lon_i FROM nodes), period AS"),
+        "fx_point_request",
+        "fx_grid",
+        "fx_field",
+    ),
+)
+def point_answers(spark, d):
+    """Requests with a period: how many values each gets, or why it gets none."""
+    k = F.col("id")
+    start = 1703635200 + k * 7919 % 40 * 86400
+    requests = fx.point_requests(spark, d).withColumns({"start": start, "stop": start + k % 20 * 86400})
+    series, refused = R.limited_point_series(fx.field(spark, d), requests, R.nearest_node(requests, *axes(spark)), Q.resolve_fields(requests), limit=40)
+    times = fx.grid(spark, d).select(epoch_seconds(F.col("time")).alias("at")).distinct()
+    out = R.limited_series(requests, times, 40).select("id", "steps").join(refused.select("id", "code"), "id", "left")
+    return out.join(series.groupBy("id").agg(F.count("*").alias("n")), "id", "left").fillna(0, ["n"])

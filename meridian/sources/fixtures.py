@@ -65,8 +65,8 @@ def point_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, bbox, variable, at (seconds), stride: boxes of all shapes, some backwards or empty."""
-    rows = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey").cast("long")
+    rows = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("long")
     south = (k * 17 % 150 - 90).cast("int")
     north = F.when(k % 7 == 3, south - 10).otherwise(F.least(south + 20 + k * 5 % 90, F.lit(90))).cast("int")
     west = (k * 29 % 300 - 180).cast("int")
@@ -74,7 +74,7 @@ def grid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(",", south, west, north, east)
     bbox = F.when(k % 11 == 5, F.concat(text, F.lit(",1"))).when(k % 11 == 6, F.lit("a,b,c,d")).otherwise(text)
     variable = F.element_at(F.array(*map(F.lit, ("2t", "msl", "10u", "tcc"))), (k % 4 + 1).cast("int"))
-    return rows.select(k.alias("id"), bbox.alias("bbox"), variable.alias("variable"), (F.lit(1704067200) + k * 39600).alias("at"), (1 + k % 3).cast("int").alias("stride"))
+    return rows.select(k.alias("id"), bbox.alias("bbox"), variable.alias("variable"), (F.lit(1704067200) + k * 39600 % 3000000).alias("at"), (1 + k % 3).cast("int").alias("stride"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,9 @@ SQL = {
         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 't2m,wind,msl' WHEN 'BUILDING' THEN '2t' WHEN 'FURNITURE' THEN ' msl, 10u,,msl' WHEN 'HOUSEHOLD' THEN 'wind,d2m'
         WHEN 'MACHINERY' THEN 'tcc,tp_1h' ELSE '2t' END AS vars, CASE WHEN c_custkey % 2 = 0 THEN 'human' ELSE 'si' END AS units FROM customer)""",
     "fx_grid_request": """fx_grid_request AS (SELECT k AS id, CASE WHEN k % 11 = 5 THEN box || ',1' WHEN k % 11 = 6 THEN 'a,b,c,d' ELSE box END AS bbox,
-        (['2t', 'msl', '10u', 'tcc'])[k % 4 + 1] AS variable, 1704067200 + k * 39600 AS sec, (1 + k % 3)::INT AS stride FROM (SELECT k, concat_ws(',', south, west,
+        (['2t', 'msl', '10u', 'tcc'])[k % 4 + 1] AS variable, 1704067200 + k * 39600 % 3000000 AS sec, (1 + k % 3)::INT AS stride FROM (SELECT k, concat_ws(',', south, west,
         CASE WHEN k % 7 = 3 THEN south - 10 ELSE least(south + 20 + k * 5 % 90, 90) END, least(west + 30 + k * 11 % 140, 180)) AS box FROM
-        (SELECT n_nationkey::BIGINT AS k, n_nationkey * 17 % 150 - 90 AS south, n_nationkey * 29 % 300 - 180 AS west FROM nation)))""",
+        (SELECT c_custkey::BIGINT AS k, c_custkey * 17 % 150 - 90 AS south, c_custkey * 29 % 300 - 180 AS west FROM customer)))""",
     "fx_message": """fx_message AS (SELECT file, n, (upto - length)::BIGINT AS "offset", length, param, level FROM (SELECT l_orderkey AS file,
         row_number() OVER w AS n, (1000 * l_quantity)::BIGINT AS length, sum((1000 * l_quantity)::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING) AS upto,
         (l_partkey % 6)::INT AS param, (l_suppkey % 14)::INT AS level FROM lineitem
