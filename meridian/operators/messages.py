@@ -104,7 +104,7 @@ def manifest_inputs(requests: DataFrame, checksums: DataFrame) -> DataFrame:
 
 
 def checksum_files(spark, path: str) -> DataFrame:
-    """path, length, checksum of binary files."""
+    """path, length, checksum of binary files; Spark leaves out empty ones."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("checksum"))
 
