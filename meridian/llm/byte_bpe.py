@@ -5,7 +5,9 @@ two parts are what lower ranks make of it). A text is split by the pattern; each
 match is encoded once. Decoding looks ids up in the reversed byte table, so characters whose
 bytes lie in different tokens come out whole.
 
-A null text is empty; an empty text has no tokens.
+A null text is empty; an empty text has no tokens. Rows are encoded each, also if they repeat a
+doc_id; a text of any length is encoded whole. Of merges of equal rank (ties), the leftmost comes
+first. Other columns are left alone.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ rows that the list was not learned from. Both see at most TRAIN_ROWS labelled ro
 expectation (by hash of doc_id, distinct texts), none of the held-out quarter.
 
 Null and empty texts, and texts without such words, get the curve's lowest score. Labels are
-joined on doc_id; rows that repeat a doc_id are scored each.
+joined on doc_id; rows that repeat a doc_id are scored each, and equal texts (ties) alike. A text
+of any length is scored whole. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ from .common import TextSlice, checkpointed, id_and_text, mix, runs_of, signed,
 _U = np.uint64
 #: Expected number of labelled rows that are learned from.
 TRAIN_ROWS = 20_000
-#: Most learned insults.
-MOST_ARCS = 4_000
 LEAST_ODDS, LEAST_ROWS = 2.5, 3
 CUTOFF = 0.3
 #: Lengths in bytes of word beginnings; 0 is the whole word.
@@ -258,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     size = {r["toxic"]: r["count"] for r in sizes}
     n_toxic, n_clean = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
     odds = F.log((F.col("toxic") - 1) / n_toxic) - F.log((F.col("clean") + 1) / n_clean)
-    best = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("toxic"), "clean", "name").limit(MOST_ARCS).collect()
+    best = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).collect()  # words of a bounded sample
     learned = {r["name"] & (1 << 64) - 1: min(3.0, r["odds"] / 2) for r in best}
     grammar = Grammar.of(learned)
 

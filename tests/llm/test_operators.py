@@ -344,13 +344,19 @@ def jvm_pixels(spark, media):
 
 
 def test_media_is_a_picture_for_others(spark):
-    """An independent reader takes the file and sees much the same picture (it smooths the chroma)."""
+    """An independent reader takes the file and sees the same luminance."""
     from meridian.llm import media as M
 
-    picture = M.read_jpeg(M.encode_jpeg(bytes(64 * 6)))
-    ours = M.to_rgb(picture)
-    theirs = jvm_pixels(spark, M.encode_jpeg(bytes(64 * 6)))
-    assert ours.shape == theirs.shape and np.corrcoef(ours.ravel(), theirs.ravel())[0, 1] > 0.85
+    rnd = random.Random(6)
+    media = M.encode_jpeg(bytes(rnd.getrandbits(8) for _ in range(64 * 24)))
+    whole = M.read_jpeg(media)
+    grey = M.to_rgb(M.Picture(whole.height, whole.width, whole.components[:1], whole.quantisers))[..., 0]
+    jvm = spark._jvm
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(bytearray(media))))
+    raster = reader.readRaster(0, None)
+    theirs = np.array([[raster.getSample(x, y, 0) for x in range(raster.getWidth())] for y in range(raster.getHeight())])
+    assert grey.shape == theirs.shape and np.abs(grey.astype(int) - theirs).max() <= 2
 
 
 @pytest.mark.parametrize("progressive", [True, False])
@@ -582,3 +588,57 @@ def test_a_family_costs_members_not_pairs(spark, monkeypatch, n):
     got = as_dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in groups(rows).items()}
     assert sum(seen) < 60 * n
+
+
+def plain_figures(text, grammar):
+    """The figures of a text word by word, with the four transducers run side by side instead of composed."""
+    from meridian.llm import toxicity as T
+    from meridian.llm.common import TextSlice
+
+    listed = dict(zip(grammar.names.tolist(), zip(grammar.kinds.tolist(), grammar.weights.tolist(), strict=True), strict=True))
+    raw = lower(text).encode()
+    words = [(m.start(), m[0]) for m in re.finditer(rb"[a-z\x80-\xff]+", raw)]
+    clauses, last = [[]], 0
+    for at, word in words:
+        if re.search(rb"[.!?;:\n]", raw[last:at]):
+            clauses.append([])
+        data = np.frombuffer(word, np.uint8)
+        kind, weight, name = T.OTHER, 0.0, None
+        for _, names in T.word_features(TextSlice(None, data, np.array([0, len(data)])))[2]:
+            for x in names.tolist():
+                k, w = listed.get(x, (None, 0.0))
+                if k is not None and (kind == T.OTHER or k == kind == T.INSULT and w > weight):
+                    kind, weight, name = k, w, x
+        clauses[-1].append((kind, weight, name))
+        last = at
+    totals, seen = [], set()
+    for clause in clauses:
+        states, total = [0] * len(T.PARTS), 0.0
+        for kind, weight, name in clause:
+            steps = [p.step(s, kind) for p, s in zip(T.PARTS, states, strict=True)]
+            gain = np.prod([f for _, f in steps])
+            total += gain * (weight if kind == T.INSULT else T.THREAT_WEIGHT if kind == T.THREAT else 0.0)
+            states = [s for s, _ in steps]
+            if kind == T.INSULT:
+                seen.add(name)
+        totals.append(total)
+    whole = sum(totals)
+    return np.log1p(whole), max(totals), len(seen), whole / np.log(2 + len(words)), sum(x > 0 for x in totals)
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    from meridian.llm import toxicity as T
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    grammar = T.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(docs.select("doc_id"), "doc_id"))
+    extra = ["you idiot, he said. i will kill you! not a moron, never scum", "they said he is stupid; you trash: burn it", "kill. you", "no no no idiot idiot idiot", None, ""]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1 - k, t) for k, t in enumerate(extra)]
+    got = as_dict(T.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), grammar))
+    hits = 0
+    for i, t in rows:
+        x = plain_figures(t, grammar)
+        z = grammar.curve @ np.array([1.0, x[0], min(x[1], 6.0), min(x[2], 6.0), min(x[3], 3.0)])
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9) and got[i]["clauses"] == x[4]
+        hits += x[4] > 0
+    assert hits >= 4
