@@ -171,15 +171,40 @@ def _singles(names: Names, length: int, first_only: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, parse: Callable, names: Names, sizes: Callable, length: int, first_only: bool, block: int = 1) -> DataFrame:
+#: Windows whose contents are in memory at once.
+CHUNK = 1 << 16
+
+
+def _suffixes(names: Names, contents: Callable, length: int, first_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            owner, start, _, count, state = _runs(part)
+            at, doc, done = spread(start, count), np.repeat(owner, count), np.repeat(state, count) > 0
+            for k in range(0, len(at), CHUNK):
+                some = slice(k, k + CHUNK)
+                own, begin = doc[some], at[some]
+                rows = parse_rows(part, own, *names(part, own, begin, begin + length), (begin, np.zeros_like(begin), np.ones_like(begin)), first_only, done[some])
+                # What is settled here has a short content of its own, and so meets nothing.
+                aside = np.asarray(rows.column("code")) & 3 == ASIDE
+                own_content = pa.array([x.tobytes() for x in np.asarray(rows.column("anchor"))[aside]], pa.binary())
+                whole = pa.array(contents(part, own[~aside], begin[~aside]), pa.binary())
+                which = np.where(aside, np.cumsum(aside) - 1, len(own_content) + np.cumsum(~aside) - 1)
+                suffix = pa.concat_arrays([own_content, whole]).take(pa.array(which))
+                yield pa.record_batch([suffix, *[rows.column(x) for x in (*KEY, "code")]], names=["suffix", *KEY, "code"])
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, parse: Callable, names: Names, sizes: Callable, length: int, first_only: bool, block: int = 1, contents: Callable | None = None) -> DataFrame:
     """doc_id, twin and text of every row with the lists settled, settled_2 and single of its repeated windows.
 
     settled*: codes of runs of windows, single: windows' starts; null if there are none.
     parse makes PARSE rows of (doc_id, twin, text) batches; sizes(slice) counts the units of each
     document. With first_only, a window counts if it also starts earlier (smaller doc_id, null
     first, then twin, or same document and earlier start), else if it starts anywhere else. Rows of
-    one key (equal id and text) are one document. block: windows of a block, 1 for none. Blocks
-    and single windows share one exchange of the texts.
+    one key (equal id and text) are one document. block: windows of a block, 1 for none.
+    contents(slice, document, start): the bytes of windows; with it, what blocks leave open is sorted
+    by these bytes over the whole table, else it is told apart by names.
     """
     docs = with_twins(docs).drop("hash")
     by_doc = checkpointed(_settled(docs.mapInArrow(parse, PARSE), first_only))
@@ -192,9 +217,12 @@ def repeated_windows(docs: DataFrame, parse: Callable, names: Names, sizes: Call
         todo = closer.where(F.size("open") > 0).select(*KEY, "open")
     else:
         out = out.withColumn("settled_2", F.lit(None).cast("array<long>"))
-    rows = closer_look(todo).mapInArrow(_singles(names, length, first_only), PARSE)
+    if contents:
+        rows = closer_look(todo).mapInArrow(_suffixes(names, contents, length, first_only), "suffix binary, doc_id long, twin long, code long")
+        rows, key = rows.repartitionByRange("suffix"), Window.partitionBy("suffix")
+    else:
+        rows, key = closer_look(todo).mapInArrow(_singles(names, length, first_only), PARSE), Window.partitionBy("anchor", "span")
     rows = rows.withColumn("start", F.shiftright("code", 24))
-    key = Window.partitionBy("anchor", "span")
     if first_only:
         again = F.rank().over(key.orderBy(F.col("doc_id").asc_nulls_first(), "twin", "start")) > 1
     else:

@@ -10,7 +10,9 @@ symbol (by words, then by name, then the leftmost) is the window's anchor. repea
 compares windows with a shared anchor.
 
 Nulls and empty texts have no words and lose none. Texts under 35 words have no window.
-Rows that repeat a doc_id are read as one document (their windows are not elsewhere).
+Rows that repeat id and text are read as one document (their windows are not elsewhere); rows
+that share an id and differ are documents of their own. Texts of any length are searched whole.
+Other columns are left alone.
 """
 
 from __future__ import annotations

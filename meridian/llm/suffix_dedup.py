@@ -7,14 +7,17 @@ A phrase begins and ends by the same rule wherever it occurs, none is a proper p
 another with that trigger and extent, and the parse is the sequence of phrases.
 
 The corpus order that decides is that of suffixes cut off after 100 bytes. It is put
-together from two sorts: the parse is sorted by (trigger, phrase, position), which orders
-all starts of equal phrases at once, and the suffixes of the dictionary (distinct phrases)
-are sorted only where a trigger has several phrases. Suffixes are ordered by fingerprint,
-since only neighbours that are equal matter. The first of a group of equal suffixes, in the
-order of (doc_id, start), stays; bytes of the others go. repeats.py has both sorts.
+together from two sorts. The parse is sorted by (trigger, phrase, document, position), which orders
+all starts of equal phrases at once. Suffixes of the dictionary (the distinct phrases) need an
+order only where a trigger has several phrases: there, stretches of eight starts are told apart
+by what they cover, and what is left open is sorted over the whole table by its 100 bytes, as a
+suffix array in range partitions. Neighbours with equal bytes are one group, in which the first by
+(doc_id, start) stays; bytes of the others go. repeats.py has the sorts.
 
 Null and empty texts have no bytes and lose none; texts under 100 bytes lose none. Rows that
-repeat a doc_id are read as one document. A null doc_id comes before all others.
+repeat id and text are read as one document; rows that share an id and differ are documents of
+their own, in the order of a hash of their texts. A null doc_id comes before all others. Texts of
+any length are searched whole. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -83,9 +86,17 @@ def _names(part, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return tuple(byte_rolling(part.data, second).of(base + start, base + end) for second in (False, True))
 
 
+def _contents(length: int):
+    def contents(part, doc: np.ndarray, start: np.ndarray) -> list[bytes]:
+        raw, at = part.data.tobytes(), (part.off[doc] + start).tolist()
+        return [raw[a : a + length] for a in at]
+
+    return contents
+
+
 def _with_repeats(docs: DataFrame, length: int, trigger: int) -> DataFrame:
     sizes = lambda part: np.diff(part.off)
-    return repeated_windows(docs, _parse(length, trigger), _names, sizes, length, first_only=True, block=BLOCK)
+    return repeated_windows(docs, _parse(length, trigger), _names, sizes, length, first_only=True, block=BLOCK, contents=_contents(length))
 
 
 def _cut(part, length: int):
