@@ -55,7 +55,7 @@ def written(df: DataFrame) -> DataFrame:
     multiply until numbers have millions of digits. A table's size is known.
     """
     folder = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

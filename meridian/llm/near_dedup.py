@@ -14,11 +14,11 @@ probability of 1.2e-8. In a bucket, each class is held against the bucket's cent
 exactly, on full shingle sets (two independent names for each shingle). Links give components
 by label propagation. Pairs of a bucket that are then in different components are still open.
 Two such sets with a link share part of what sets them apart from such a centre, so they meet
-in an exact prefix filter on these deviations (see _deviations). A small group of the filter is
-compared in pairs. A large one gets a centre of its own, against which its members are held,
-and what is still in different components meets again by its deviations from that centre: a
-level costs members, not pairs. What the last level leaves is compared in pairs, so no link
-between classes that met is lost.
+in an exact prefix filter on these deviations (see _deviations). Where many meet, they are first
+held against one more centre, the one that most of their groups have: a family that shares what
+its hub lacks becomes one component at the cost of its members, not of its pairs. What is then
+still in different components, and may be linked by the numbers of its deviations, is compared
+in pairs, so no link between classes that met is lost.
 
 Null and empty texts, and texts without words, have an empty set and no links. Rows with a
 null doc_id have no links, a null component and are kept. Rows that share a doc_id and differ
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, TextSlice, mix, signed, slices, text_hash, with_twins, word_names, words_of, written
+from .common import Rolling, TextSlice, checkpointed, mix, signed, slices, text_hash, with_twins, word_names, words_of, written
 
 _U = np.uint64
 SHINGLE = 5
@@ -45,10 +45,10 @@ BANDS, BAND = 48, 4
 BASE, RATE = 1.001, 20.0
 #: Pairs whose most likely similarity is below this are dropped: five standard errors under 0.75.
 LIKELY = 0.59
-#: Groups of deviations up to this size are compared in pairs; larger ones get a centre of their own.
-SMALL = 32
-#: Levels of centres before what is left is compared in pairs.
-LEVELS = 3
+#: Groups of deviations beyond this size get centres of their own before what is left is compared in pairs.
+SMALL = 64
+#: Rounds of such centres.
+ROUNDS = 1
 #: Pairs with one centre that go to one task in a join.
 PAIRS_A_TASK = 256
 SIGNATURE = "doc_id long, hash long, twin long, n_shingles long, set_1 long, set_2 long, registers binary"
@@ -172,39 +172,37 @@ def dealt_join(pairs: DataFrame, of_a: DataFrame) -> DataFrame:
     return dealt.join(copies, ["a", "part"]).drop("part")
 
 
-def with_texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def with_texts(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with text_a and text_b. Only texts that are needed move."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = classes.join(needed, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("twin").alias("its"))
-    texts = docs.join(needed, (F.col("doc_id") == F.col("id")) & (F.col("twin") == F.col("its"))).select("node", "text")
-    texts = texts.dropDuplicates(["node"])  # rows that repeat id and text
+    texts = cards.select("node", "text").join(needed, "node", "left_semi")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     return dealt_join(pairs.join(text("b"), "b"), text("a"))
 
 
-def measured(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     """a, b, both, union of the pairs (a, b) that pass lengths and likelihood."""
-    of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    of = lambda x: cards.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     near = dealt_join(pairs.join(of("b"), "b"), of("a")).where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    near = written(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
-    rows = with_texts(near, classes, docs).select("a", "b", "text_a", "text_b")
+    near = checkpointed(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
+    rows = with_texts(near, cards).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_exact, "a long, b long, both long, union long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of all nodes of the edges (a, b)."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = written(labels)
+    labels = checkpointed(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = written(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")))
+        step = checkpointed(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")))
         labels = step.select("node", "label")
         if step.where("old != label").isEmpty():
-            return labels
+            return written(labels)
 
 
 def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +239,13 @@ def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen.append((own[at], name[at], np.full(len(at), role, dtype=np.int32), nth[at]))
         own, name, role, place = (np.concatenate(x) for x in zip(*chosen, strict=True))
         doc = pa.array(own)
-        columns = [part.column("a").take(doc), pa.array(signed(name)), pa.array(role), part.column("b").take(doc), part.column("label").take(doc)]
+        columns = [part.column("a").take(doc), pa.array(signed(name)), pa.array(role), part.column("b").take(doc)]
         columns += [pa.array(x) for x in (n[own], n_u[own], n_p[own], place)]
-        yield pa.record_batch(columns, names=["hub", "name", "role", "node", "label", "n", "u", "p", "at"])
+        yield pa.record_batch(columns, names=["hub", "name", "role", "node", "n", "u", "p", "at"])
 
 
-DEVIATIONS = "hub long, name long, role int, node long, label long, n long, u long, p long, at long"
+DEVIATIONS = "hub long, name long, role int, node long, n long, u long, p long, at long"
+GROUP = ["hub", "name", "kind"]
 
 
 def _first_open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,45 +264,54 @@ def _first_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return others.select("bucket", F.col("node").alias("b")).join(split, "bucket").select("a", "b").distinct()
 
 
-def _deviating(known: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _deviating(known: DataFrame, labels: DataFrame, cards: DataFrame) -> DataFrame:
     """DEVIATIONS of the members b of hubs a whose members are in several components."""
     of = lambda x, name: labels.select(F.col("node").alias(x), F.col("label").alias(name))
     known = known.join(of("b", "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     known = known.join(of("a", "of_hub"), "a", "left").withColumn("far", F.col("label") != F.coalesce("of_hub", "a"))
     several = known.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    known = written(known.join(several.select("a"), "a", "left_semi").select("a", "b", "label", "far"))
-    rows = with_texts(known, classes, docs).select("a", "b", "label", "far", "text_a", "text_b")
-    return written(rows.mapInArrow(_deviations, DEVIATIONS))
+    known = checkpointed(known.join(several.select("a"), "a", "left_semi").select("a", "b", "far"))
+    rows = with_texts(known, cards).select("a", "b", "far", "text_a", "text_b")
+    return written(rows.mapInArrow(_deviations, DEVIATIONS).withColumn("kind", F.least("role", F.lit(1))))
 
 
-def _met(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the small groups of deviations, and centres and members (a, b) of the large ones.
+def _open_groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """DEVIATIONS with labels, of the groups that have members of several components, and the groups' sizes."""
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = rows.groupBy(*GROUP).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(groups.where("low != high").drop("low", "high"), GROUP)
 
-    At the last level, all groups count as small.
+
+def _centres(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each member of large groups with the centre that most of its groups have.
+
+    A group's centre is its member that most large groups of the hub have; turn decides between equals.
     """
-    key = ["hub", "name", "kind"]
-    rows = rows.withColumn("kind", F.least("role", F.lit(1)))
-    groups = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    groups = groups.withColumn("large", F.lit(level + 1 < LEVELS) & (F.col("size") > SMALL))
-    rows = written(rows.join(groups.select(*key, "large"), key))
-    small = rows.where("not large")
-    side = lambda x: small.select(*key, *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
+    large = rows.where(F.col("size") > SMALL).select(*GROUP, "node")
+    degree = large.groupBy("hub", "node").agg(F.count("*").alias("degree"))
+    ranked = large.join(degree, ["hub", "node"]).withColumn("rank", F.struct("degree", F.xxhash64("node", F.lit(turn)).alias("k"), "node"))
+    centre = ranked.groupBy(*GROUP).agg(F.max("rank").alias("x")).select(*GROUP, F.col("x.node").alias("a"))
+    often = large.join(centre, GROUP).where("a != node").groupBy("hub", "node", "a").agg(F.count("*").alias("n"))
+    chosen = often.groupBy("hub", "node").agg(F.max(F.struct("n", "a")).alias("x"))
+    return chosen.select(F.col("x.a").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a group and, by the numbers of their deviations, may be linked."""
+    side = lambda x: rows.select(*GROUP, *[F.col(y).alias(f"{y}_{x}") for y in ("role", "node", "label", "n", "u", "p", "at")])
     # Seven times what the deviations must have in common, and what they can have at most.
     need = F.expr("4 * (p_a + p_b) + 3 * (u_a + u_b) - (n_a - u_a + p_a)")
     alike, most = 7 * F.least("p_a", "p_b"), 7 * (F.least("u_a", "u_b") + F.least("p_a", "p_b"))
     roles = "(role_a = 0 and role_b = 0 and node_a < node_b) or (role_a = 1 and role_b = 2)"
     sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    # Of the U in the order of names, the first shingle in common must leave room for as many as are missing.
-    room = F.when(F.col("role_a") == 0, 7 * F.least(F.col("u_a") - F.col("at_a"), F.col("u_b") - F.col("at_b"))).otherwise(0)
-    both = side("a").join(side("b"), key).where("label_a != label_b").where(roles).where(sizes).where(most >= need).where(room >= need - alike)
-    pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    large = rows.where("large").select(*key, "node")
-    # The centre of a group is its member that most large groups of the hub have, so groups of one family have one.
-    degree = large.groupBy("hub", "node").agg(F.count("*").alias("degree"))
-    large = large.join(degree, ["hub", "node"])
-    centre = large.groupBy(*key).agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x")).select(*key, (-F.col("x.k")).alias("a"))
-    stars = large.join(centre, key).where("a != node").select("a", F.col("node").alias("b")).distinct()
-    return pairs, written(stars)
+    # In the order of names, the first shingle in common must leave room for as many as both must have in common.
+    left = lambda x, k: F.col(f"{k}_{x}") - F.col(f"at_{x}")
+    few = F.least(left("a", "u"), left("b", "u"))
+    room_u = (7 * few >= need - alike) & (4 * few >= F.greatest(4 * F.col("u_a") - F.col("n_a"), 4 * F.col("u_b") - F.col("n_b")))
+    room_p = 7 * F.least(left("a", "p"), left("b", "p")) > 4 * F.col("p_a") + 3 * F.col("u_a")
+    room = F.when(F.col("role_a") == 0, room_u).otherwise(room_p & (need <= alike))
+    both = side("a").join(side("b"), GROUP).where("label_a != label_b").where(roles).where(sizes).where(most >= need).where(room)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,26 +334,30 @@ def _judged(docs: DataFrame) -> DataFrame:
     classes = written(classes.select(*key, "registers", "x.doc_id", "x.twin", F.monotonically_increasing_id().alias("node")))
     bands = classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(buckets, "bucket"))
+    members = checkpointed(bands.join(buckets, "bucket"))
     # The centre of a bucket is the class that meets most others, over all buckets; the smallest of equals.
     degree = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     members = members.join(degree, "node")
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("k"))).alias("x"))
     centre = centre.select("bucket", (-F.col("x.k")).alias("pivot"), F.col("x.degree").alias("central"))
-    members = written(members.select("bucket", "node").join(centre, "bucket"))
+    members = checkpointed(members.select("bucket", "node").join(centre, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # What the comparisons need of the classes that meet any other, without all other texts.
+    met = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "registers", F.col("doc_id").alias("id"), F.col("twin").alias("its"))
+    cards = docs.join(met, (F.col("doc_id") == F.col("id")) & (F.col("twin") == F.col("its"))).select("node", "n_shingles", "registers", "text")
+    cards = written(cards.dropDuplicates(["node"]))  # rows that repeat id and text
     linked = F.col("both") * 100 >= F.col("union") * PERCENT
-    labels = components(written(measured(stars, classes, docs).where(linked)).select("a", "b"))
-    known = _first_open(members, labels)
-    for level in range(LEVELS):
-        pairs, stars = _met(_deviating(known, labels, classes, docs), level)
-        pairs = written(_other_components(pairs.union(stars).distinct(), labels))
-        if not pairs.isEmpty():
-            links = written(measured(pairs, classes, docs).where(linked)).select("a", "b")
+    labels = components(checkpointed(measured(stars, cards).where(linked)).select("a", "b"))
+    rows = _deviating(_first_open(members, labels), labels, cards)
+    turn = 0
+    while turn <= ROUNDS:
+        groups = _open_groups(rows, labels)
+        pairs = checkpointed(_other_components(_centres(groups, turn) if turn < ROUNDS else _pairs(groups), labels))
+        some = not pairs.isEmpty()
+        if some:
+            links = checkpointed(measured(pairs, cards).where(linked)).select("a", "b")
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
-        if stars.isEmpty():
-            break
-        known = stars
+        turn = turn + 1 if some or turn == ROUNDS else ROUNDS  # without large groups, the pairs are next
     of_node = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component"))
     of_set = of_node.join(least, "label").select(*key, "component")
