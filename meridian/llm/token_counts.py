@@ -5,10 +5,9 @@ character into a following blank. A pre-token is a run of blanks with the stretc
 a text's count is the sum over its pre-tokens. The sign itself (U+2581) is a blank to the model.
 
 A slice of documents gives one row: its distinct pre-tokens, and each document's frequencies of
-them. The distinct pre-tokens of all slices are counted by the model once each. Counts are
-joined to the slices' pre-tokens (a row for each slice and pre-token, so a frequent word has as
-many rows as there are slices), brought back to their slice, multiplied by the documents'
-frequencies and summed.
+them. All slices' pre-tokens are brought together in order (a frequent word has as many rows as
+there are slices), where the model counts each distinct one once. Counts go back to the slices'
+places, are joined to the documents' frequencies and summed.
 
 A null text is empty; an empty text has no tokens. Rows are counted each, also if they repeat a
 doc_id; a text of any length is counted whole. Other columns are left alone.
@@ -21,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_text, slices
+from .common import id_and_text, slices, written
 from .pieces import joined, once
 
 LIMIT = 4096
 #: Bytes of text whose pre-tokens are put together. Larger slices have fewer distinct ones for a word of text.
-SLICE = 6_000_000
+SLICE = 24_000_000
 REPORT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-FREQUENCIES = "slice long, doc_id array<long>, n_bytes array<long>, pieces array<string>, entries array<int>, counts binary"
+FREQUENCIES = "slice int, doc_id array<long>, n_bytes array<long>, pieces array<string>, entries array<int>, counts binary"
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -53,23 +51,44 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
+class Frequencies:
+    """Distinct pre-tokens of some documents, and how often each document has them."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.columns: dict[str, list] = {x: [] for x in ("doc_id", "n_bytes", "entries", "which", "count")}
+        self.bytes = 0
+
+    def add(self, part) -> None:
+        flat, edge = joined([pre_tokens(x) for x in part.column("text").fill_null("").to_pylist()])
+        add, number = self.number.setdefault, self.number
+        which = np.fromiter((add(x, len(number)) for x in flat), dtype=np.int64, count=len(flat))
+        own = np.repeat(np.arange(len(part)), np.diff(edge))
+        key, count = np.unique(own << 32 | which, return_counts=True)
+        entries = np.bincount(key >> 32, minlength=len(part))
+        for name, x in zip(self.columns, (part.column("doc_id"), np.diff(part.off), entries, key & 0xFFFFFFFF, count), strict=True):
+            self.columns[name].append(x)
+        self.bytes += len(part.data)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        ids = pa.concat_arrays(self.columns["doc_id"])
+        n_bytes, entries, which, count = (np.concatenate(self.columns[x]) for x in ("n_bytes", "entries", "which", "count"))
+        raw = zlib.compress(np.concatenate([which, count]).astype("<i4").tobytes(), 1)
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        lists = [whole(x) for x in (ids, pa.array(n_bytes), pa.array(list(self.number), pa.string()), pa.array(entries.astype(np.int32)))]
+        return pa.record_batch([pa.array([number], pa.int32()), *lists, pa.array([raw], pa.binary())], names=[x.split()[0] for x in FREQUENCIES.split(", ")])
+
+
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        for part in slices(batches, limit=size):
-            number: dict[str, int] = {}
-            flat, edge = joined([pre_tokens(x) for x in part.column("text").fill_null("").to_pylist()])
-            which = np.fromiter((number.setdefault(x, len(number)) for x in flat), dtype=np.int64, count=len(flat))
-            own = np.repeat(np.arange(len(part)), np.diff(edge))
-            # A document's entries: number of the pre-token and how often it comes.
-            key, count = np.unique(own * max(len(number), 1) + which, return_counts=True)
-            entries = np.bincount(key // max(len(number), 1), minlength=len(part))
-            raw = zlib.compress(np.concatenate([key % max(len(number), 1), count]).astype("<i4").tobytes(), 1)
-            lists = [part.column("doc_id").to_pylist(), np.diff(part.off).tolist(), list(number), entries.tolist()]
-            types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
-            columns = [pa.array([x], t) for x, t in zip(lists, types, strict=True)]
-            yield pa.record_batch([pa.array([task << 32 | n]), *columns, pa.array([raw], pa.binary())], names=[x.split()[0] for x in FREQUENCIES.split(", ")])
-            n += 1
+        rows, n = Frequencies(), 0
+        for part in slices(batches):
+            rows.add(part)
+            if rows.bytes >= size:
+                yield rows.row(n)
+                rows, n = Frequencies(), n + 1
+        if rows.columns["doc_id"]:
+            yield rows.row(n)
 
     return run
 
@@ -99,23 +118,32 @@ class Counter:
 
 
 def counted(pieces: DataFrame, model: str) -> DataFrame:
-    """piece, n of the distinct values of the column piece."""
+    """slice, place, n of the rows slice, place, piece: equal pieces come to one task in a row, and are counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once(("count", model), lambda: Counter(model))
+        last: tuple[str, int] | None = None
         for batch in batches:
-            n = counter.of(batch.column("piece").to_pylist())
-            yield pa.record_batch([batch.column("piece"), pa.array(n, pa.int32())], names=["piece", "n"])
+            if not batch.num_rows:
+                continue
+            coded = batch.column("piece").dictionary_encode()
+            fresh = coded.dictionary.to_pylist()
+            known = [last[1]] if last and fresh[0] == last[0] else []
+            n = np.array(known + counter.of(fresh[len(known) :]), dtype=np.int32)
+            last = fresh[-1], int(n[-1])
+            yield pa.record_batch([batch.column("slice"), batch.column("place"), pa.array(n[np.asarray(coded.indices)])], names=["slice", "place", "n"])
 
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, n int")
+    return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "slice long, place int, n int")
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, size: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
-    parts = checkpointed(id_and_text(docs).mapInArrow(_frequencies(size), FREQUENCIES))
-    of_slice = parts.select("slice", F.posexplode("pieces").alias("place", "piece"))
-    counts = counted(of_slice, model)
-    back = of_slice.join(counts, "piece").groupBy("slice").agg(F.collect_list(F.struct("place", "n")).alias("found"))
+    parts = id_and_text(docs).mapInArrow(_frequencies(size), FREQUENCIES)
+    # A slice's number is its place in the table that is written.
+    parts = written(parts.drop("slice").withColumn("slice", F.monotonically_increasing_id()))
+    pieces = parts.select("slice", F.posexplode("pieces").alias("place", "piece"))
+    counts = counted(pieces, model)
+    back = counts.groupBy("slice").agg(F.collect_list(F.struct("place", "n")).alias("found"))
     rows = parts.drop("pieces").join(back, "slice", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
