@@ -105,7 +105,9 @@ HUMAN = {
 LABELS = {"m s-1": "m/s"}
 DIGITS = {"degC": 1, "K": 1, "hPa": 1, "Pa": 0, "m/s": 1, "m s-1": 1, "mm": 2, "%": 1}
 OTHER_DIGITS = 3
+#: Other names of variables.
 ALIASES = {"t2m": "2t", "d2m": "2d"}
+#: Limits of an answer.
 MAX_POINTS, MAX_STEPS = 50_000, 500
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import chunk_number, eviction_score
 
 #: Hourly maps: a day of steps to a chunk, at most 48 chunks a request.
 EPOCH, STEP_S, SPAN, MOST_CHUNKS = 1704067200, 3600, 24, 48
+#: Seconds that a refused key is left alone; shares of the capacity at which eviction begins and ends.
 ABSENT_S = 21600
 HIGH, LOW = 0.85, 0.70
 
@@ -87,7 +88,7 @@ def with_score(index: DataFrame, now: int) -> DataFrame:
 RANGES = 64
 
 
-def eviction_select(index: DataFrame, capacity: int, now: int, ranges: int = RANGES) -> DataFrame:
+def eviction_select(index: DataFrame, capacity: int | Column, now: int, ranges: int = RANGES) -> DataFrame:
     """key, bytes, score of what goes when over 85 % of capacity is used, down to 70 %.
 
     Unpinned rows in ascending score; the row that crosses the mark goes too. The running sum is
@@ -103,15 +104,15 @@ def eviction_select(index: DataFrame, capacity: int, now: int, ranges: int = RAN
     rows = rows.withColumn("_own", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(F.broadcast(before), "part")
     rows = rows.crossJoin(F.broadcast(totals))
     left = F.col("total") - F.col("before") - F.col("_own")
-    return rows.where((F.col("total") > int(capacity * HIGH)) & (left > int(capacity * LOW))).select("key", "bytes", "score")
+    return rows.where((F.col("total") > F.floor(F.lit(capacity) * HIGH)) & (left > F.floor(F.lit(capacity) * LOW))).select("key", "bytes", "score")
 
 
-def eviction_report(index: DataFrame, capacity: int, now: int) -> DataFrame:
+def eviction_report(index: DataFrame, capacity: int | Column, now: int) -> DataFrame:
     """removed, freed, before, after, target, triggered, enough."""
     gone = eviction_select(index, capacity, now).agg(F.count("*").alias("removed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("freed"))
     rows = index.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("before")).crossJoin(gone)
-    rows = rows.withColumn("after", F.col("before") - F.col("freed")).withColumn("target", F.lit(int(capacity * LOW)))
-    triggered = F.col("before") > int(capacity * HIGH)
+    rows = rows.withColumn("after", F.col("before") - F.col("freed")).withColumn("target", F.floor(F.lit(capacity) * LOW))
+    triggered = F.col("before") > F.floor(F.lit(capacity) * HIGH)
     return rows.select("removed", "freed", "before", "after", "target", triggered.alias("triggered"), (~triggered | (F.col("after") <= F.col("target"))).alias("enough"))
 
 
@@ -119,7 +120,7 @@ def occupancy(index: DataFrame) -> DataFrame:
     return index.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("pinned"), F.col("bytes"))), F.lit(0)).alias("pinned_bytes"), F.count("*").alias("objects"))
 
 
-def hit_rate(log: DataFrame, now: int) -> DataFrame:
+def hit_rate(log: DataFrame, now: int | Column) -> DataFrame:
     """name, total, hits, rate, poor of the last hour and day, and of points and maps of the day, in one pass."""
     day = log.where(F.col("at") >= now - 86400)
     which = {"hour": F.col("at") >= now - 3600, "day": F.lit(True), "point": F.col("endpoint").contains("point"), "grid": F.col("endpoint").contains("grid")}
@@ -150,7 +151,7 @@ def top_spots(log: DataFrame, since: int, k: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("asked"), "area").limit(k)
 
 
-def cache_report(index: DataFrame, log: DataFrame, now: int) -> DataFrame:
+def cache_report(index: DataFrame, log: DataFrame, now: int | Column) -> DataFrame:
     """One row: occupancy, the day's hit rate, miss latency and the most asked area."""
     day = hit_rate(log, now).where("name = 'day'").select("total", "hits", "rate")
     top = top_spots(log, now - 86400, 1).select(F.col("area").alias("top_area"), F.col("asked").alias("top_asked"))

@@ -17,9 +17,9 @@ SCORE = f"cost_ms / (bytes + 1)::DOUBLE * pow(0.5, greatest({NOW} - last_access,
 _CAPACITY = "SELECT floor(sum(bytes) / 0.9)::BIGINT AS cap FROM fx_cache"
 
 
-def _capacity(index) -> int:
-    """Capacity of which the fixture's entries fill 90 %: one number."""
-    return int(index.agg(F.floor(F.sum("bytes") / 0.9).alias("n")).first()["n"])
+def _capacity(index):
+    """Capacity of which the fixture's entries fill 90 %: one number, as a subquery."""
+    return index.agg(F.floor(F.sum("bytes") / 0.9).alias("n")).scalar()
 
 
 @query("eviction_score", with_tables(f"SELECT key, round({SCORE}, 12) AS score FROM fx_cache", "fx_cache"))
@@ -195,9 +195,9 @@ def _log_now(d):
     return "(SELECT max(sec) FROM fx_log)"
 
 
-def _last(log) -> int:
-    """The last moment of the journal: one number."""
-    return int(log.agg(F.max("at").alias("t")).first()["t"])
+def _last(log):
+    """The last moment of the journal: one number, as a subquery."""
+    return log.agg(F.max("at").alias("t")).scalar()
 
 
 _RATES = " UNION ALL ".join(
