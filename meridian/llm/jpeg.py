@@ -8,6 +8,7 @@ as a whole array of bits instead.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 from dataclasses import dataclass, field
@@ -61,26 +62,29 @@ class Picture:
     comment: bytes = b""
 
 
+@functools.lru_cache(maxsize=64)
+def _code_table(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
+    """Symbol and length of the code that begins with 16 given bits; files of one writer share their tables."""
+    symbol, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    at = k = 0
+    for size, n in enumerate(counts, 1):
+        for _ in range(n):
+            span = 1 << 16 - size
+            symbol[at : at + span], length[at : at + span] = symbols[k], size
+            at, k = at + span, k + 1
+    return symbol.tolist(), length.tolist()
+
+
 class Codes:
-    """A Huffman table: symbol and length of the code that begins with 16 given bits."""
+    """A Huffman table."""
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.symbols = symbols
         self.first_length = next((i + 1 for i, n in enumerate(counts) if n), 0)
         self._counts = counts
-        self._table: tuple[list[int], list[int]] | None = None
 
     def table(self) -> tuple[list[int], list[int]]:
-        if self._table is None:
-            symbol, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-            at = k = 0
-            for size, n in enumerate(self._counts, 1):
-                for _ in range(n):
-                    span = 1 << 16 - size
-                    symbol[at : at + span], length[at : at + span] = self.symbols[k], size
-                    at, k = at + span, k + 1
-            self._table = symbol.tolist(), length.tolist()
-        return self._table
+        return _code_table(self._counts, self.symbols)
 
 
 class Bits:
