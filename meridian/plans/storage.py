@@ -204,7 +204,13 @@ def stream_lateness(spark, d):
     return _run(S.lateness(rows).select("id", "state", "degraded"), spark)
 
 
-@query("stream_negative_cache")
+@query(
+    "stream_negative_cache",
+    """WITH e AS (SELECT 'u' || user_id AS key, epoch_us(ts) // 1000000 AS sec, event_type = 'error' AS refusal, event_id FROM events WHERE event_type IN ('error', 'purchase')),
+    p AS (SELECT *, lag(refusal) OVER w AS refused, lag(sec) OVER w AS before FROM e WINDOW w AS (PARTITION BY key ORDER BY sec, event_id)),
+    q AS (SELECT *, coalesce(refused AND before + 21600 > sec, false) AS shut FROM p)
+    SELECT key, sec AS "at", CASE WHEN NOT refusal THEN 'closed' WHEN shut THEN 'prolonged' ELSE 'opened' END AS event, CASE WHEN refusal THEN sec + 21600 ELSE sec END AS until FROM q WHERE refusal OR shut""",
+)
 def stream_negative_cache(spark, d):
     """Errors of a user as refusals of a key, purchases as data that arrived."""
     rows = _stream(spark, d, "events").where("event_type in ('error', 'purchase')")
