@@ -36,7 +36,7 @@ REPORT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PIECES = REPORT.replace("ids_crc32 long", "ids array<int>")
 
 
-def word_table(path: str) -> WordTable:
+def word_table(path: str, words: int = REMEMBERED_WORDS) -> WordTable:
     """Ids of parts of stretches between blanks; the tokenizer drops white space before it splits."""
     from tokenizers import Tokenizer
 
@@ -58,7 +58,7 @@ def word_table(path: str) -> WordTable:
         more = np.concatenate([np.zeros(0, np.int32), *[np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]])
         return np.concatenate([single, joint]), np.concatenate([ids, more]), np.concatenate([lengths, np.diff(np.flatnonzero(last[more]), prepend=-1)])
 
-    return WordTable(encode, REMEMBERED_WORDS)
+    return WordTable(encode, words)
 
 
 def encoded_texts(part, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +68,11 @@ def encoded_texts(part, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     return ids, summed(lengths, edge)
 
 
-def _encoded(path: str):
+def _encoded(path: str, words: int, step: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = once(("word", path), lambda: word_table(path))
+        table = once(("word", path, words), lambda: word_table(path, words))
         here, before = TaskContext.get().partitionId(), 0
-        for part in slices(batches, limit=ENCODE_BYTES):
+        for part in slices(batches, limit=step):
             ids, n = encoded_texts(part, table)
             ends = np.concatenate([[0], np.cumsum(n)])
             ids = ids.astype("<u2") if ids.max(initial=0) < 65536 else ids.astype("<u4")
@@ -119,9 +119,12 @@ def _cut(length: int, digest: bool):
     return cut
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """Pieces of documents with their ids (or, with digest, the CRC-32 of them) and places."""
-    encoded = checkpointed(id_and_text(docs).mapInArrow(_encoded(tokenizer), ENCODED))
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, digest: bool = False, words: int = REMEMBERED_WORDS, step: int = ENCODE_BYTES) -> DataFrame:
+    """Pieces of documents with their ids (or, with digest, the CRC-32 of them) and places.
+
+    words and step: words that a worker remembers and bytes that it encodes at once, which set its memory, not the result.
+    """
+    encoded = checkpointed(id_and_text(docs).mapInArrow(_encoded(tokenizer, words, step), ENCODED))
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
     before = F.sum("total").over(Window.orderBy("part")) - F.col("total")  # a row for each partition
     totals = checkpointed(totals.select("part", before.alias("base")))
