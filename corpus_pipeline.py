@@ -34,7 +34,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts, with their ids, in sequences of 2048."""
-    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    # Workers of the other stages are still there, so this one has less memory than on its own.
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), words=300_000, step=1_600_000)
 
 
 STAGES = [
