@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, media, near_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, infilling, licenses, media, near_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.later_copies_report(documents(spark, sf_dir))
 
 
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infilled_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_infilling": op13_infilling,
 }
 #: The others are beyond SQL: removed bytes, learned scores, tokenizers, rules and files. tests/llm
 #: holds each operator against a brute-force version.
@@ -78,4 +83,5 @@ ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op2_near_dedup": oracles.NEAR_DEDUP,
     "op5_quality_rules": oracles.QUALITY_RULES,
+    "op13_infilling": oracles.INFILLING,
 }
