@@ -35,6 +35,19 @@ QUALITY_RULES = r"""WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang,
     judged AS (SELECT doc_id, place, metric, v > greatest(low, CASE WHEN q3 > -200 THEN pow(1.05, q3 + 1 + 3.0 * (q3 - q1)) ELSE 0.0 END) AS beyond FROM buckets JOIN cut USING (lang, source, metric)),
     verdict AS (SELECT doc_id, arg_min(metric, place) FILTER (beyond) AS over FROM judged GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over IS NULL AS kept, over FROM m JOIN verdict USING (doc_id)"""
+FILTER_AUDIT = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+    f AS (SELECT w.*, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM w LEFT JOIN l USING (doc_id)),
+    m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+    x AS (SELECT i, 1 << i AS bit FROM range(5) r(i)),
+    o AS (SELECT chr((65 + p.i)::INT) || chr((65 + q.i)::INT) || chr((65 + r.i)::INT) || chr((65 + s.i)::INT) || chr((65 + t.i)::INT) AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+    FROM x p, x q, x r, x s, x t WHERE (p.bit | q.bit | r.bit | s.bit | t.bit) = 31),
+    steps AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::BIGINT AS before FROM o, range(1, 6) u(k)),
+    g AS (SELECT part, filter_order, step, bit, n, good, bad, (mask & bit) > 0 AS fails, (mask & before) > 0 AS gone, mask = bit AS alone FROM m, steps),
+    r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM g GROUP BY ALL)
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
 INFILLING = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
     x AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
     c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,

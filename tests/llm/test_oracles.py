@@ -14,7 +14,8 @@ def test_against_sql(spark, name):
     frame = queries.QUERIES[name](spark, SMALL)
     columns = sorted(frame.columns)
     connection = duckdb.connect()
-    connection.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings"):
+        connection.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     want = connection.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({queries.ORACLES[name]}) q").fetchall()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, frame.select(*columns).collect()), key=key) == sorted(want, key=key)
