@@ -35,6 +35,11 @@ QUALITY_RULES = r"""WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang,
     judged AS (SELECT doc_id, place, metric, v > greatest(low, CASE WHEN q3 > -200 THEN pow(1.05, q3 + 1 + 3.0 * (q3 - q1)) ELSE 0.0 END) AS beyond FROM buckets JOIN cut USING (lang, source, metric)),
     verdict AS (SELECT doc_id, arg_min(metric, place) FILTER (beyond) AS over FROM judged GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over IS NULL AS kept, over FROM m JOIN verdict USING (doc_id)"""
+EMBEDDING_DEDUP = r"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x != 0))),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(vec_id, r) AS (SELECT a, a FROM link UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r),
+    comp AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN comp USING (vec_id)"""
 FILTER_AUDIT = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
     f AS (SELECT w.*, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, infilling, licenses, media, near_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, filter_audit, infilling, licenses, media, near_dedup, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.later_copies_report(documents(spark, sf_dir))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(filter_audit.failure_masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_infilling": op13_infilling,
 }
@@ -88,6 +93,7 @@ ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op2_near_dedup": oracles.NEAR_DEDUP,
     "op5_quality_rules": oracles.QUALITY_RULES,
+    "op11_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op12_filter_audit": oracles.FILTER_AUDIT,
     "op13_infilling": oracles.INFILLING,
 }
