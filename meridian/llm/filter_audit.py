@@ -6,12 +6,13 @@ doc_id, table-wide.
 
 E is decided by compressed tries over whole texts. Prefixes of a bounded sample, long enough to tell the sample's
 texts apart, cut the table into ranges; a range that no prefix splits is dealt by a checksum of whole texts. Before
-the shuffle each task merges its copies in tries of a bounded size, so what moves is a row for each text and trie, not
-for each copy. A text that is frequent in the sample goes to several tries first, whose terminals are
-then merged in one. A terminal holds the smallest doc_id and counts of rows by part and labels, never rows, so a
-group of copies of any size costs one node; its A to D are computed once. Traversal gives counts of
-failure masks (32) by part, and all 120 orders are sums over these. The sample decides where work is done; results
-don't depend on it.
+the shuffle each task merges its copies in tries of a bounded size, so what moves is a text for each trie, not
+for each copy, with the ids of its rows. A terminal holds the smallest doc_id; any other row that reaches it is a
+copy and leaves at once, as a few bytes (doc_id, part, failure mask), so a group of copies of any size costs one node. What is left
+in the terminals when a trie is complete are the first documents. A text that is frequent in the sample goes to several
+tries before that, whose first documents then meet in one. Masks are joined with labels by doc_id and
+counted by part; all 120 orders are sums over these counts (32 masks a part). The sample decides where work is
+done; results don't depend on it.
 
 Rows without doc_id equal nothing and have no labels, and rows of one doc_id are not copies of each other (nor are they
 merged: a repeated row counts twice). A doc_id with several rows in labels is good, or toxic, if any of them says so.
@@ -25,7 +26,7 @@ import math
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import pyarrow as pa
@@ -36,18 +37,19 @@ from pyspark.sql import functions as F
 from .common import written
 
 FILTERS = "ABCDE"
-#: Rows and bytes of each that the ranges are made from.
+#: Rows (as many in expectation) and bytes of each that the ranges are made from.
 SAMPLE, SAMPLE_BYTES = 2000, 4096
 #: So many copies in the sample may be chance.
 FREQUENT = 3
 #: Bytes of distinct texts in a task's trie before it is sent on, and bytes of text that a range should hold.
 TRIE_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
+#: Rows of such a trie.
+TRIE_ROWS = 200_000
+#: The bit of condition E.
+COPY = 16
 
 _SYMBOLS, _CAPITALS = b"#$%&*|", bytes(range(65, 91))
 _INNER = bytes(range(0x80, 0xC0))  # all bytes of a code point but the first
-#: Rows without doc_id, rows of the terminal's smallest doc_id, and rows of larger ones.
-_NO_ID, _LOW, _REST = range(3)
-
 
 def failing(text: bytes) -> int:
     """Bits of the conditions A to D that a text meets."""
@@ -59,27 +61,25 @@ def failing(text: bytes) -> int:
 
 
 class Copies:
-    """A terminal: the smallest doc_id of a text, and counts of its rows by (kind, part, label)."""
+    """A terminal: the smallest doc_id of a text and the parts of its rows; the conditions that the text meets."""
 
-    __slots__ = ("low", "counts")
+    __slots__ = ("low", "parts", "mask")
 
-    def __init__(self):
+    def __init__(self, mask: int = 0):
         self.low: int | None = None
-        self.counts: dict[tuple[int, str, int], int] = {}
-
-    def add(self, low: int | None, kind: int, part: str, label: int, n: int) -> None:
-        """n rows of a kind, seen where the smallest doc_id is low."""
-        if low is not None and (self.low is None or low < self.low):
-            if self.low is not None:
-                moved = Counter()
-                for (k, p, x), m in self.counts.items():
-                    moved[_REST if k == _LOW else k, p, x] += m
-                self.counts = dict(moved)
-            self.low = low
-        if kind == _LOW and low != self.low:
-            kind = _REST
-        key = (kind, part, label)
-        self.counts[key] = self.counts.get(key, 0) + n
+        self.parts: list[str] = []
+        self.mask = mask
+
+    def add(self, doc_id: int, part: str) -> tuple[int, list[str]] | None:
+        """Takes a row in; the rows that are now known to have a smaller one before them."""
+        if doc_id == self.low:
+            self.parts.append(part)
+            return None
+        if self.low is not None and doc_id > self.low:
+            return doc_id, [part]
+        gone = None if self.low is None else (self.low, self.parts)
+        self.low, self.parts = doc_id, [part]
+        return gone
 
 
 class Node:
@@ -172,106 +172,110 @@ class Ranges:
         return bisect_right(self.starts, text) - 1
 
 
-ENTRY = "text binary, low long, kinds array<int>, parts array<string>, labels array<int>, counts array<long>"
-PLACED = f"range int, split int, spread int, {ENTRY}"
-MASKS = "part string, mask int, label int, n long"
-
-_NAMED = [x.split()[0] for x in f"{PLACED}, {MASKS}".split(", ")]
-_INTS, _LONGS, _NAMES = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
-
+PLACED = "range int, split int, spread int, text binary, ids array<long>, parts array<string>"
+MASKED = "doc_id long, part string, mask int, n long"
+EITHER = [x.split()[0] for x in f"{PLACED}, {MASKED}".split(", ")]
+_PLACED = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())]
+_MASKED = [pa.int64(), pa.string(), pa.int32(), pa.int64()]
 
-def _entries(terminals: Iterator[tuple[bytes, Node]], ranges: Ranges, spread: bool) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    size, task = 0, TaskContext.get().partitionId()
 
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), _INTS, _NAMES, _INTS, _LONGS]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=_NAMED[: len(columns)])
+def _batch(rows: list[tuple], types: list[pa.DataType], before: list[pa.DataType] = [], after: list[pa.DataType] = []) -> list[pa.Array]:  # noqa: B006
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    blank = lambda kinds: [pa.nulls(len(rows), x) for x in kinds]
+    return [*blank(before), *(pa.array(x, t) for x, t in zip(columns, types, strict=True)), *blank(after)]
 
-    for text, node in terminals:
-        k, copies = ranges.range_of(text), node.value
-        kinds, parts, labels = zip(*copies.counts, strict=True)
-        deal = task % ranges.spread[k] if spread else 0
-        rows.append((k, zlib.crc32(text) % ranges.split[k], deal, text, copies.low, kinds, parts, labels, list(copies.counts.values())))
-        size += len(text)
-        if size > TRIE_BYTES // 4:
-            yield batch()
-            rows.clear()
-            size = 0
-    if rows:
-        yield batch()
 
+def _entry(ranges: Ranges, text: bytes, ids: list, parts: list[str], task: int | None) -> tuple:
+    k = ranges.range_of(text)
+    return k, zlib.crc32(text) % ranges.split[k], 0 if task is None else task % ranges.spread[k], text, ids, parts
 
-def _copies(node: Node) -> Copies:
-    if node.value is None:
-        node.value = Copies()
-    return node.value
 
-
-def _condensed(ranges: Ranges):
-    """Rows (doc_id, text, part, label) to one entry for each text of a trie."""
+def _condensed(ranges: Ranges) -> Callable:
+    """Rows (doc_id, text, part) to one entry for each text of a trie, with the ids and parts of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, rows = Trie(), 0
+        task = TaskContext.get().partitionId()
+
+        def entries(trie: Trie) -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for text, node in trie.walk():
+                rows.append(_entry(ranges, text, *node.value, task))
+                size += len(text)
+                if size > TRIE_BYTES // 4:
+                    yield pa.record_batch(_batch(rows, _PLACED), names=EITHER[: len(_PLACED)])
+                    rows, size = [], 0
+            yield pa.record_batch(_batch(rows, _PLACED), names=EITHER[: len(_PLACED)])
+
+        trie, seen = Trie(), 0
         for batch in batches:
-            for doc_id, text, part, label in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                _copies(trie.terminal(text)).add(doc_id, _NO_ID if doc_id is None else _LOW, part, label, 1)
-                rows += 1
-            if trie.size > TRIE_BYTES or rows > 200_000:
-                yield from _entries(trie.walk(), ranges, True)
-                trie, rows = Trie(), 0
-        yield from _entries(trie.walk(), ranges, True)
+            for doc_id, text, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                node = trie.terminal(text)
+                if node.value is None:
+                    node.value = ([], [])
+                node.value[0].append(doc_id)
+                node.value[1].append(part)
+            seen += batch.num_rows
+            if trie.size > TRIE_BYTES or seen > TRIE_ROWS:
+                yield from entries(trie)
+                trie, seen = Trie(), 0
+        yield from entries(trie)
 
     return run
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], Trie]]:
-    """One trie after the other of entries sorted by range, split and spread."""
-    key, trie = None, Trie()
-    for batch in batches:
-        for *place, text, low, kinds, parts, labels, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if tuple(place) != key:
-                if key is not None:
-                    yield key, trie
-                key, trie = tuple(place), Trie()
-            copies = _copies(trie.terminal(text))
-            for kind, part, label, n in zip(kinds, parts, labels, counts, strict=True):
-                copies.add(low, kind, part, label, n)
-    if key is not None:
-        yield key, trie
-
-
-def _blank(n: int, fields: str) -> list[pa.Array]:
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": _INTS, "array<long>": _LONGS, "array<string>": _NAMES}
-    return [pa.nulls(n, types[x.split()[1]]) for x in fields.split(", ")]
-
-
-def _counted(found: Counter) -> pa.RecordBatch:
-    keys = [[k[i] for k in found] for i in range(3)]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
-    counts = [pa.array(x, t) for x, t in zip([*keys, list(found.values())], types, strict=True)]
-    return pa.record_batch([*_blank(len(found), PLACED), *counts], names=_NAMED)
-
-
-def _judged(ranges: Ranges, last: bool):
-    """Counts by part, mask and label of tries that hold all copies of their texts; of the others, their entries."""
+def _judged(ranges: Ranges, last: bool) -> Callable:
+    """Entries sorted by place to masked rows; first documents of tries that don't hold all copies go on as entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for (k, *_), trie in _tries(batches):
-            if ranges.spread[k] > 1 and not last:
-                for batch in _entries(trie.walk(), ranges, False):
-                    yield pa.record_batch([*batch.columns, *_blank(batch.num_rows, MASKS)], names=_NAMED)
-                continue
+        place, trie = None, Trie()
+        out: list[tuple] = []
+        nameless: Counter = Counter()
+
+        def masked() -> pa.RecordBatch:
+            rows = out + [(None, part, mask, n) for (part, mask), n in nameless.items()]
+            out.clear()
+            nameless.clear()
+            return pa.record_batch(_batch(rows, _MASKED, before=_PLACED), names=EITHER)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            """What is left in the terminals."""
+            entries, size = [], 0
             for text, node in trie.walk():
-                mask = failing(text)
-                for (kind, part, label), n in node.value.counts.items():
-                    found[part, mask + 16 * (kind == _REST), label] += n
-            if len(found) > 100_000:
-                yield _counted(found)
-                found.clear()
-        yield _counted(found)
+                copies = node.value
+                if copies.low is None:
+                    continue
+                if not last and ranges.spread[place[0]] > 1:
+                    entries.append(_entry(ranges, text, [copies.low] * len(copies.parts), copies.parts, None))
+                    size += len(text)
+                    if size > TRIE_BYTES // 4:
+                        yield pa.record_batch(_batch(entries, _PLACED, after=_MASKED), names=EITHER)
+                        entries, size = [], 0
+                else:
+                    out.extend((copies.low, part, copies.mask, 1) for part in copies.parts)
+                    if len(out) > 20_000:
+                        yield masked()
+            if entries:
+                yield pa.record_batch(_batch(entries, _PLACED, after=_MASKED), names=EITHER)
+
+        for batch in batches:
+            for *there, text, ids, parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if there != place:
+                    if place is not None:
+                        yield from finished()
+                    place, trie = there, Trie()
+                node = trie.terminal(text)
+                if node.value is None:
+                    node.value = Copies(failing(text))
+                for doc_id, part in zip(ids, parts, strict=True):
+                    if doc_id is None:
+                        nameless[part, node.value.mask] += 1
+                    elif gone := node.value.add(doc_id, part):
+                        out.extend((gone[0], x, node.value.mask | COPY, 1) for x in gone[1])
+                if len(out) > 20_000:
+                    yield masked()
+        if place is not None:
+            yield from finished()
+        yield masked()
 
     return run
 
@@ -280,25 +284,23 @@ def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask (bit k: filter k of ABCDE fails), documents, good and toxic: how many documents of each."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(-(-total // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sampled = rows.select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("name"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    sampled = sampled.orderBy("at", "name").limit(SAMPLE).collect()
+    sampled = rows.select(F.xxhash64("text").alias("name"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).sample(min(1.0, SAMPLE / max(n, 1)), seed=1).collect()
     ranges = Ranges([(bytes(r["text"]), r["name"]) for r in sampled], parts)
 
-    says = lambda x: F.max((F.col(x) == 1).cast("int"))
-    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.coalesce(says("quality"), F.lit(0)) + 2 * F.coalesce(says("toxic"), F.lit(0))).alias("label"))
-    marked = rows.join(marks, "doc_id", "left").select("doc_id", "text", "part", F.coalesce("label", F.lit(0)).cast("int").alias("label"))
-
     place = ("range", "split", "spread")
     dealt = lambda df: df.repartition(*place).sortWithinPartitions(*place)
-    found = dealt(marked.mapInArrow(_condensed(ranges), PLACED)).mapInArrow(_judged(ranges, False), f"{PLACED}, {MASKS}")
+    found = dealt(rows.mapInArrow(_condensed(ranges), PLACED)).mapInArrow(_judged(ranges, False), f"{PLACED}, {MASKED}")
     if max(ranges.spread) > 1:
         found = written(found)
-        again = dealt(found.where("text is not null").select(*_NAMED[: -len(MASKS.split(", "))]))
-        found = found.where("text is null").union(again.mapInArrow(_judged(ranges, True), f"{PLACED}, {MASKS}"))
-    of = lambda bit: F.sum(F.when(F.col("label").bitwiseAND(bit) > 0, F.col("n")).otherwise(0))
-    return found.groupBy("part", "mask").agg(F.sum("n").alias("documents"), of(1).alias("good"), of(2).alias("toxic"))
+        again = dealt(found.where("text is not null").select(*EITHER[: len(_PLACED)]))
+        found = found.where("text is null").union(again.mapInArrow(_judged(ranges, True), f"{PLACED}, {MASKED}"))
+    says = lambda x: F.max((F.col(x) == 1).cast("int"))
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(says("quality").alias("good"), says("toxic").alias("bad"))
+    marked = found.select("doc_id", "part", "mask", "n").join(marks, "doc_id", "left")
+    of = lambda x: F.sum(F.col("n") * F.coalesce(x, F.lit(0)))
+    return marked.groupBy("part", "mask").agg(F.sum("n").alias("documents"), of("good").alias("good"), of("bad").alias("toxic"))
 
 
 def orders(filters: str = FILTERS) -> list[dict]:

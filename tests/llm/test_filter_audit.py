@@ -89,6 +89,5 @@ def test_tries_hold_what_they_were_given():
 
 def test_terminals_keep_the_smallest_id():
     copies = filter_audit.Copies()
-    for i in (5, 5, 3, 9, None, 3, 5):
-        copies.add(i, filter_audit._NO_ID if i is None else filter_audit._LOW, "p", 0, 1)
-    assert copies.low == 3 and copies.counts == {(0, "p", 0): 1, (1, "p", 0): 2, (2, "p", 0): 4}
+    assert [copies.add(i, p) for i, p in [(5, "a"), (5, "b"), (3, "c"), (9, "d"), (3, "e"), (5, "f")]] == [None, None, (5, ["a", "b"]), (9, ["d"]), None, (5, ["f"])]
+    assert copies.low == 3 and copies.parts == ["c", "e"]
