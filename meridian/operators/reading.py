@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from ..functions.fields import coordinate, iso, nan_to_null, round_to, wind_speed
-
+from ..functions.fields import iso, nan_to_null, wind_speed
 
 DAY = 86400
 
@@ -59,10 +58,10 @@ def nearest_node(requests: DataFrame, lats: DataFrame, lons: DataFrame) -> DataF
 
 def _ends(times: DataFrame) -> DataFrame:
     """One row: first and last step, and half of the first spacing (three hours for a single step)."""
-    steps = F.array_sort(F.collect_set("at"))
-    rows = times.agg(F.slice(steps, 1, 2).alias("x"), F.max("at").alias("last_step"))
-    half = F.when(F.size("x") > 1, F.floor((F.element_at("x", 2) - F.element_at("x", 1)) / 2)).otherwise(10800)
-    return rows.select(F.try_element_at("x", F.lit(1)).alias("first_step"), "last_step", half.alias("half"))
+    ends = times.agg(F.min("at").alias("first_step"), F.max("at").alias("last_step"))
+    second = times.join(F.broadcast(ends), F.col("at") > F.col("first_step")).agg(F.min("at").alias("second"))  # ends is one row
+    half = F.coalesce(F.floor((F.col("second") - F.col("first_step")) / 2), F.lit(10800))
+    return ends.crossJoin(F.broadcast(second)).select("first_step", "last_step", half.alias("half"))
 
 
 def calendar(times: DataFrame) -> DataFrame:
@@ -167,33 +166,6 @@ def window_nodes(boxes: DataFrame, lats: DataFrame, lons: DataFrame, limit: int
     return rows.select("id", "lat_i", "lon_i", at("lat"), at("lon"))
 
 
-def grid_window(field: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, lat_i, lon_i, lat, lon, value: thinned windows of one variable at one moment. wanted: id, variable, time."""
-    rows = nodes.join(wanted, "id").join(field.select("variable", "time", "lat_i", "lon_i", "value"), ["variable", "time", "lat_i", "lon_i"], "left")
-    return rows.select("id", "lat_i", "lon_i", "lat", "lon", F.col("value").cast("double").alias("value"))
-
-
-def compact_grid(window: DataFrame, catalog: DataFrame, wanted: DataFrame, steps: tuple[float, float]) -> DataFrame:
-    """One row a request: lat0, lon0, dlat, dlon, ny, nx and values north to south, west to east, rounded by unit.
-
-    wanted: id, variable, units, stride; steps: the axes' own steps in latitude and longitude. The
-    number of values is bounded by the limit on points that is checked before.
-    """
-    info = catalog.select(F.col("asked").alias("variable"), "unit_si", "unit_human", "scale", "offset", "digits_si", "digits_human")
-    rows = window.join(wanted.join(F.broadcast(info), "variable"), "id")
-    human = F.col("units") == "human"
-    value = F.when(human, F.col("value") * F.col("scale") + F.col("offset")).otherwise(F.col("value"))
-    value = nan_to_null(round_to(value, F.when(human, F.col("digits_human")).otherwise(F.col("digits_si"))))
-    cells = F.array_sort(F.collect_list(F.struct("lat_i", "lon_i", value.alias("v"))))
-    out = rows.groupBy("id").agg(
-        F.max("lat").alias("lat0"), F.min("lon").alias("lon0"), F.first("stride").alias("stride"), F.count_distinct("lat_i").alias("ny"), F.count_distinct("lon_i").alias("nx"), cells.alias("cells")
-    )
-    return out.select(
-        "id", coordinate(F.col("lat0")).alias("lat0"), coordinate(F.col("lon0")).alias("lon0"), (F.lit(steps[0]) * F.col("stride")).alias("dlat"), (F.lit(steps[1]) * F.col("stride")).alias("dlon"),
-        "ny", "nx", F.transform("cells", lambda x: x["v"]).alias("values"),
-    )
-
-
 def coverage(field: DataFrame, keys: list[str]) -> DataFrame:
     """First and last moment, number of steps and surface variables that are stored, by keys."""
     surface = field.where(~F.col("variable").isin(list(canon.ATMOS)))

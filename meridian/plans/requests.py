@@ -8,6 +8,7 @@ from ..functions import canon
 from ..functions.fields import coordinate, epoch_seconds, from_epoch, iso, nan_to_null, round_to, unit_label, wind_speed
 from ..operators import reading as R
 from ..operators import requests as Q
+from ..operators import tiles as T
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_tables
 from .book import query
@@ -296,8 +297,7 @@ _WANTED = f"""{_NODES_OF}, {_STEPS}, near AS (SELECT id, variable, stride, arg_m
 
 @query("grid_window", with_tables(f"{_WANTED} SELECT w.id, w.lat_i, w.lon_i, round(CASE WHEN isnan(f.value) THEN NULL ELSE f.value::DOUBLE END, 6) AS value FROM win w JOIN wanted q USING (id) LEFT JOIN fx_field f ON f.variable = q.variable AND f.time = q.time AND f.lat_i = w.lat_i AND f.lon_i = w.lon_i", "fx_grid_request", "fx_field"))
 def grid_window(spark, d):
-    nodes = R.window_nodes(_valid_boxes(spark, d), *axes(spark))
-    rows = R.grid_window(fx.field(spark, d), nodes, _wanted(spark, d).select("id", "variable", "time"))
+    rows = T.grid_window(T.tiled(fx.field(spark, d)), T.window_tiles(_valid_boxes(spark, d), *axes(spark)), _wanted(spark, d))
     return rows.select("id", "lat_i", "lon_i", F.round(nan_to_null(F.col("value")), 6).alias("value"))
 
 
@@ -305,7 +305,7 @@ def grid_window(spark, d):
     "compact_grid",
     with_tables(
         f"""{_WANTED}, {_CATALOG}, cells AS (SELECT w.id, q.stride, w.lat_i, w.lon_i, w.lat, w.lon, CASE WHEN f.value IS NULL OR isnan(f.value) THEN 'null' WHEN q.id % 2 = 0 THEN
-    printf('%.3f', round_even(f.value::DOUBLE * scale + off, CASE human WHEN '1' THEN 3 ELSE 1 END)) ELSE printf('%.3f', round_even(f.value::DOUBLE, CASE si WHEN 'Pa' THEN 0 WHEN '1' THEN 3 ELSE 1 END)) END AS v
+    printf('%.3f', round_even(f.value::DOUBLE * scale + off, CASE human WHEN '1' THEN 3 ELSE 1 END) + 0.0::DOUBLE) ELSE printf('%.3f', round_even(f.value::DOUBLE, CASE si WHEN 'Pa' THEN 0 WHEN '1' THEN 3 ELSE 1 END) + 0.0::DOUBLE) END AS v
     FROM win w JOIN wanted q USING (id) JOIN catalog c ON c.asked = q.variable LEFT JOIN fx_field f ON f.variable = q.variable AND f.time = q.time AND f.lat_i = w.lat_i AND f.lon_i = w.lon_i)
     SELECT id, max(lat) AS lat0, min(lon) AS lon0, (-36.0 * any_value(stride))::DOUBLE AS dlat, (45.0 * any_value(stride))::DOUBLE AS dlon, count(DISTINCT lat_i) AS ny, count(DISTINCT lon_i) AS nx,
     string_agg(v, ',' ORDER BY lat_i, lon_i) AS values FROM cells GROUP BY id""",
@@ -314,9 +314,7 @@ def grid_window(spark, d):
     ),
 )
 def compact_grid(spark, d):
-    wanted = _wanted(spark, d)
-    window = R.grid_window(fx.field(spark, d), R.window_nodes(_valid_boxes(spark, d), *axes(spark)), wanted.select("id", "variable", "time"))
-    rows = R.compact_grid(window, canon.catalog(spark), wanted.select("id", "variable", "units", "stride"), (-36.0, 45.0))
+    rows = T.compact_grid(T.tiled(fx.field(spark, d)), T.window_tiles(_valid_boxes(spark, d), *axes(spark)), _wanted(spark, d), canon.catalog(spark))
     text = F.array_join(F.transform("values", lambda v: F.when(v.isNull(), "null").otherwise(F.format_string("%.3f", v))), ",")
     return rows.select("id", "lat0", "lon0", "dlat", "dlon", "ny", "nx", text.alias("values"))
 
