@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon
@@ -26,6 +26,33 @@ def unlisted_names(rows: DataFrame) -> DataFrame:
     return bad
 
 
+def order() -> list[Column]:
+    """The order of stored rows: levels as the contract lists them, surface first, from the north-west on."""
+    return [F.col("variable"), F.col("time"), F.asc_nulls_first("level"), F.desc("lat"), F.col("lon")]
+
+
+def with_level(rows: DataFrame) -> DataFrame:
+    """Adds an empty level to surface rows that have no such column."""
+    return rows if "level" in rows.columns else rows.withColumn("level", F.lit(None).cast("int"))
+
+
+def in_canonical_order(rows: DataFrame) -> DataFrame:
+    """All rows in order(): maps in ranges of (variable, time, level), each sorted where it lies."""
+    rows = with_level(rows)
+    return rows.repartitionByRange(*order()[:3]).sortWithinPartitions(*order())
+
+
+def canonical_place(rows: DataFrame, n_lat: int = canon.N_LAT, n_lon: int = canon.N_LON) -> DataFrame:
+    """Adds place: where a value stands in its variable's array of one moment (levels, then latitudes, then longitudes), from 0.
+
+    It is arithmetic on indices, so no map is sorted for it. Levels that the contract doesn't list have no place.
+    """
+    rows = with_level(rows)
+    known = F.array(*map(F.lit, canon.LEVELS))
+    number = F.when(F.col("level").isNull(), 0).otherwise(F.nullif(F.array_position(known, F.col("level")), F.lit(0)) - 1)
+    return rows.withColumn("place", ((number * n_lat + F.col("lat_i")) * n_lon + F.col("lon_i")).cast("long"))
+
+
 def lon_wrap(rows: DataFrame) -> DataFrame:
     lon = F.bround("lon", 2)
     return rows.withColumn("lon", F.when(lon >= 180, lon - 360).otherwise(lon))

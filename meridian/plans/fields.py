@@ -384,12 +384,11 @@ def export_region(spark, d):
     return rows.select("variable", iso(F.col("time")).alias("time"), "lat", "lon", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 5).alias("value"))
 
 
-@query("canonical_order", with_tables(f"SELECT {ISO.format('time')} AS time, lat_i, lon_i, row_number() OVER (PARTITION BY time ORDER BY lat DESC, lon) AS place FROM fx_grid", "fx_grid"))
+@query("canonical_order", with_tables(f"SELECT variable, level, {ISO.format('time')} AS time, lat_i, lon_i, CASE WHEN level IN {canon.LEVELS} OR level IS NULL THEN (coalesce(list_position({list(canon.LEVELS)}, level) - 1, 0) * 6 + lat_i) * 8 + lon_i END AS place FROM (SELECT variable, level, time, lat_i, lon_i FROM fx_level UNION ALL SELECT variable, NULL, time, lat_i, lon_i FROM fx_field WHERE variable = '2t')", "fx_level", "fx_field"))
 def canonical_order(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("time").orderBy(F.desc("lat"), "lon")
-    return fx.grid(spark, d).select(iso(F.col("time")).alias("time"), "lat_i", "lon_i", F.row_number().over(order).cast("long").alias("place"))
+    """Level and surface rows with their place in the array; the archive's other levels have none."""
+    rows = fx.level_field(spark, d).unionByName(N.with_level(fx.field(spark, d).where("variable = '2t'")))
+    return N.canonical_place(rows, 6, 8).select("variable", "level", iso(F.col("time")).alias("time"), "lat_i", "lon_i", "place")
 
 
 @query("archive_covers", with_tables(f"SELECT variable, {ISO.format('min(time)')} AS first, {ISO.format('max(time)')} AS last FROM fx_hourly GROUP BY variable", "fx_hourly"))

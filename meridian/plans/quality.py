@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 from ..functions.fields import iso
+from ..operators import normalize as N
 from ..operators import validate as V
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_tables
@@ -28,7 +29,7 @@ def nan_fraction(spark, d):
     return V.physics_checks(V.profile(artifacts(spark, d), KEY), KEY).where("name = 'nan_fraction'").select("artifact", "field", "passed")
 
 
-@query("physical_range", with_tables(f"{_STATS} SELECT artifact, variable AS field, low IS NULL OR low >= lo AND high <= hi AS passed FROM s JOIN ranges USING (variable)", "fx_field"))
+@query("physical_range", with_tables(f"{_STATS} SELECT artifact, variable AS field, low IS NOT NULL AND low >= lo AND high <= hi AS passed FROM s JOIN ranges USING (variable)", "fx_field"))
 def physical_range(spark, d):
     return V.physics_checks(V.profile(artifacts(spark, d), KEY), KEY).where("name = 'physical_range'").select("artifact", "field", "passed")
 
@@ -117,36 +118,75 @@ def messages_parsed(spark, d):
     return V.messages_parsed(rows, rows).select("file", F.col("expected").cast("long").alias("expected"), F.col("got").cast("long").alias("got"), "passed")
 
 
-def _all_checks(spark, d):
-    return V.check_families(artifacts(spark, d), KEY, "points", (6, 8), 135.0)
+def whole_artifacts(spark, d):
+    """Days of surface and level fields; on every fifth of a month, one level is missing."""
+    levels = fx.level_field(spark, d).where(F.col("level").isin(list(canon.LEVELS)))
+    rows = N.with_level(fx.field(spark, d)).unionByName(levels).withColumn("artifact", F.substring(iso(F.col("time")), 1, 10))
+    return rows.where("not (artifact like '%-05' and level <=> 500)")
+
+
+def metadata(spark, d):
+    """Units (one wrong on every sixth of a month, one unknown on every eighth) and lead times (wrong on every seventh)."""
+    day = F.substring(iso(F.col("time")), 1, 10).alias("artifact")
+    days = fx.grid(spark, d).select(day, "time").distinct()
+    known = canon.variables(spark).where(F.col("variable").isin([*fx.FORMULAS, "t", "z"])).select("variable", F.col("units").alias("is"))
+    wrong = F.col("artifact").endswith("-06") & (F.col("variable") == "2t")
+    units = days.select("artifact").distinct().crossJoin(F.broadcast(known)).where("not (artifact like '%-08' and variable = 'msl')")
+    lead = F.when(F.col("artifact").endswith("-07"), F.hour("time") + 1).when(F.col("artifact").endswith("-09"), None).otherwise(F.hour("time"))
+    leads = days.select("artifact", "time", F.date_trunc("DAY", "time").cast("timestamp_ntz").alias("init_time"), lead.alias("lead_hours"))
+    return units.select("artifact", "variable", F.when(wrong, "degC").otherwise(F.col("is")).alias("units")), leads
+
+
+def day_messages(spark, d):
+    """Messages of the days of January: artifact, file, param, level."""
+    day = F.format_string("2024-01-%02d", (F.col("file") % 31 + 1).cast("int"))
+    return fx.messages(spark, d).select(day.alias("artifact"), "file", "param", "level")
+
+
+def _all_checks(spark, d, levels=None):
+    units, leads = metadata(spark, d)
+    listing = day_messages(spark, d)
+    return V.validate(whole_artifacts(spark, d), KEY, "points", levels, units, leads, listing, listing, (6, 8), 135.0)
 
 
 _POINTS = str([*canon.LAYERS["points"][0], *canon.LAYERS["points"][1]])
-_FAMILIES = f"""{_STATS}, shape AS (SELECT artifact, count(DISTINCT lat) = 6 AND count(DISTINCT lon) = 8 AS ok, min(lon) = -180 AND max(lon) = 135 AS lon_ok FROM f GROUP BY artifact),
+_WHOLE = f"""f AS (SELECT *, {_DAY} AS artifact, CASE WHEN NOT isnan(value) THEN value::DOUBLE END AS x FROM (SELECT variable, NULL::INT AS level, time, lat_i, lon_i, lat, lon, value FROM fx_field UNION ALL
+    SELECT * FROM fx_level WHERE level IN {canon.LEVELS}) WHERE NOT ({_DAY} LIKE '%-05' AND level IS NOT DISTINCT FROM 500))"""
+_UNITS = ", ".join(f"('{k}', '{canon.VARIABLES[k][0]}', {canon.VARIABLES[k][1]}, {canon.VARIABLES[k][2]})" for k in [*fx.FORMULAS, "t", "z"])
+_FAMILIES = f"""{_WHOLE}, ranges AS (SELECT * FROM (VALUES {_UNITS}) t(variable, unit, lo, hi)), s AS (SELECT artifact, variable, count(*) AS n, count(*) - count(x) AS holes, min(x) AS low, max(x) AS high FROM f GROUP BY ALL),
+    shape AS (SELECT artifact, count(DISTINCT lat) = 6 AND count(DISTINCT lon) = 8 AS ok, min(lon) = -180 AND max(lon) = 135 AS lon_ok FROM f GROUP BY artifact),
     reg AS (SELECT artifact, coalesce(bool_and(d = 21600000000), true) AS ok FROM (SELECT artifact, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY artifact ORDER BY time) AS d FROM (SELECT DISTINCT artifact, time FROM f)) GROUP BY artifact),
     jump AS (SELECT artifact, coalesce(max(j) <= 15, true) AS ok FROM (SELECT artifact, CASE WHEN NOT isnan(j) THEN j END AS j FROM (SELECT artifact, abs(value::DOUBLE - lag(value::DOUBLE) OVER (PARTITION BY artifact, lat_i, lon_i ORDER BY time)) AS j FROM f WHERE variable = '2t')) GROUP BY artifact),
     mean AS (SELECT artifact, coalesce(sum(x * cos(radians(lat))) / sum(CASE WHEN x IS NOT NULL THEN cos(radians(lat)) END) BETWEEN 283 AND 292, false) AS ok FROM f WHERE variable = '2t' GROUP BY artifact),
-    checks AS (SELECT artifact, 'grid_shape:lat,lon' AS c, ok FROM shape UNION ALL SELECT artifact, 'lon_range:lon', lon_ok FROM shape UNION ALL SELECT artifact, 'time_regular:time', ok FROM reg
-    UNION ALL SELECT artifact, 'step_jump_2t:2t', ok FROM jump UNION ALL SELECT artifact, 'global_mean_2t:2t', ok FROM mean UNION ALL SELECT artifact, 'nan_fraction:' || variable, holes / n::DOUBLE <= 0.001 FROM s
-    UNION ALL SELECT artifact, 'physical_range:' || variable, low IS NULL OR low >= lo AND high <= hi FROM s JOIN ranges USING (variable) UNION ALL SELECT artifact, 'not_constant:' || variable, low IS NULL OR low <> high FROM s
-    UNION ALL SELECT artifact, 'lat_descending:lat', coalesce(bool_and(d < 0), true) FROM (SELECT artifact, lat - lag(lat) OVER (PARTITION BY artifact ORDER BY lat_i) AS d FROM (SELECT DISTINCT artifact, lat_i, lat FROM f)) GROUP BY artifact
-    UNION ALL SELECT artifact, 'lon_ascending:lon', coalesce(bool_and(d > 0), true) FROM (SELECT artifact, lon - lag(lon) OVER (PARTITION BY artifact ORDER BY lon_i) AS d FROM (SELECT DISTINCT artifact, lon_i, lon FROM f)) GROUP BY artifact
-    UNION ALL SELECT artifact, 'time_unique:time', count(*) = count(DISTINCT (variable, lat_i, lon_i, time)) FROM f GROUP BY artifact
-    UNION ALL SELECT artifact, 'fields_present:points', list_has_all(list(DISTINCT variable), {_POINTS}) FROM f GROUP BY artifact)"""
-
-
-@query("checks_summary", with_tables(f"{_FAMILIES} SELECT artifact, bool_and(ok) AS ok, coalesce(string_agg(CASE WHEN NOT ok THEN c END, ',' ORDER BY c), '') AS failed FROM checks GROUP BY artifact", "fx_field"))
+    checks AS (SELECT artifact, 'structure' AS level, 'grid_shape:lat,lon' AS c, ok FROM shape UNION ALL SELECT artifact, 'structure', 'lon_range:lon', lon_ok FROM shape UNION ALL SELECT artifact, 'structure', 'time_regular:time', ok FROM reg
+    UNION ALL SELECT artifact, 'sanity', 'step_jump_2t:2t', ok FROM jump UNION ALL SELECT artifact, 'sanity', 'global_mean_2t:2t', ok FROM mean UNION ALL SELECT artifact, 'physics', 'nan_fraction:' || variable, holes / n::DOUBLE <= 0.001 FROM s
+    UNION ALL SELECT artifact, 'physics', 'physical_range:' || variable, low IS NOT NULL AND low >= lo AND high <= hi FROM s JOIN ranges USING (variable) UNION ALL SELECT artifact, 'sanity', 'not_constant:' || variable, low IS NULL OR low <> high FROM s
+    UNION ALL SELECT artifact, 'structure', 'lat_descending:lat', coalesce(bool_and(d < 0), true) FROM (SELECT artifact, lat - lag(lat) OVER (PARTITION BY artifact ORDER BY lat_i) AS d FROM (SELECT DISTINCT artifact, lat_i, lat FROM f)) GROUP BY artifact
+    UNION ALL SELECT artifact, 'structure', 'lon_ascending:lon', coalesce(bool_and(d > 0), true) FROM (SELECT artifact, lon - lag(lon) OVER (PARTITION BY artifact ORDER BY lon_i) AS d FROM (SELECT DISTINCT artifact, lon_i, lon FROM f)) GROUP BY artifact
+    UNION ALL SELECT artifact, 'structure', 'time_unique:time', count(*) = count(DISTINCT (variable, level, lat_i, lon_i, time)) FROM f GROUP BY artifact
+    UNION ALL SELECT artifact, 'structure', 'levels_match:level', list_sort(list(DISTINCT level) FILTER (level IS NOT NULL)) = {list(canon.LEVELS)} FROM f GROUP BY artifact
+    UNION ALL SELECT artifact, 'structure', 'fields_present:points', list_has_all(list(DISTINCT variable), {_POINTS}) FROM f GROUP BY artifact
+    UNION ALL SELECT artifact, 'semantics', 'units_match:' || variable, NOT (artifact LIKE '%-06' AND variable = '2t' OR artifact LIKE '%-08' AND variable = 'msl') FROM s
+    UNION ALL SELECT artifact, 'semantics', 'time_naive_utc:time', true FROM shape UNION ALL SELECT artifact, 'semantics', 'valid_time_consistent:time', artifact NOT LIKE '%-07' FROM shape
+    UNION ALL SELECT printf('2024-01-%02d', file % 31 + 1), 'grib', 'messages_parsed:messages', count(*) = count(DISTINCT (file, param, level)) FROM fx_message GROUP BY 1)"""
+_OF = ("fx_field", "fx_level", "fx_message")
+
+
+@query("checks_summary", with_tables(f"{_FAMILIES} SELECT artifact, bool_and(ok) AS ok, coalesce(string_agg(CASE WHEN NOT ok THEN c END, ',' ORDER BY c), '') AS failed FROM checks GROUP BY artifact", *_OF))
 def checks_summary(spark, d):
     return V.summary(_all_checks(spark, d), KEY)
 
 
-@query("validate", with_tables(f"{_FAMILIES} SELECT artifact, split_part(c, ':', 1) AS name, count(*) AS n, count(*) FILTER (ok) AS passed FROM checks GROUP BY ALL", "fx_field"))
+@query("validate", with_tables(f"{_FAMILIES} SELECT artifact, split_part(c, ':', 1) AS name, count(*) AS n, count(*) FILTER (ok) AS passed FROM checks GROUP BY ALL", *_OF))
 def validate(spark, d):
     return _all_checks(spark, d).groupBy("artifact", "name").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
-@query("write_check_report", with_tables(f"{_FAMILIES} SELECT artifact, bool_and(ok) AS ok, count(*) AS checks FROM checks GROUP BY artifact", "fx_field"))
+@query("write_check_report", with_tables(f"{_FAMILIES} SELECT artifact, bool_and(ok) AS ok, count(*) AS checks, count(*) FILTER (NOT ok) AS failed, true AS told FROM checks GROUP BY artifact", *_OF))
 def check_report(spark, d):
     rows = V.report_documents(_all_checks(spark, d), KEY)
-    parsed = F.from_json("report", "ok boolean, checks array<struct<name: string>>")
-    return rows.select("artifact", parsed.alias("x")).select("artifact", "x.ok", F.size("x.checks").cast("long").alias("checks"))
+    parsed = F.from_json("report", "ok boolean, checks array<struct<name: string, field: string, passed: boolean, got: string, expected: string>>")
+    said = F.col("x.checks")
+    told = lambda c: c["got"].isNotNull() & c["expected"].isNotNull() & c["field"].isNotNull()
+    rows = rows.select("artifact", parsed.alias("x"))
+    return rows.select("artifact", "x.ok", F.size(said).cast("long").alias("checks"), F.size(F.filter(said, lambda c: ~c["passed"])).cast("long").alias("failed"), F.forall(F.filter(said, lambda c: ~c["passed"]), told).alias("told"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import canon
 from ..functions.fields import from_epoch, iso, run_id
 from ..operators import normalize as N
+from ..operators import runs as U
 from ..operators import validate as V
 from ..sources import fixtures as fx
 from ..sources import layers as L
@@ -13,7 +15,7 @@ from ..sources.fixtures import NOW, with_tables
 from ..streaming import streams as S
 from .book import query
 from .fields import _CANON, raw
-from .quality import KEY, artifacts
+from .quality import _FAMILIES, _OF, KEY, _all_checks, metadata, whole_artifacts
 from .requests import ISO, axes
 
 
@@ -35,10 +37,29 @@ def scan_layer(spark, d):
     return _counted(L.scan_layer(spark, _stored(spark, d), ["2t", "msl"], "2024-01-05", "2024-01-12"))
 
 
-@query("scan_archive_slice", with_tables("SELECT lat_i, lon_i, round(CASE WHEN NOT isnan(value) THEN value::DOUBLE END, 4) AS value FROM fx_field WHERE variable = '10u' AND time = TIMESTAMP '2024-01-03 06:00:00'", "fx_field"))
+@query("scan_archive_slice", with_tables(f"SELECT level, lat_i, lon_i, round(CASE WHEN NOT isnan(value) THEN value::DOUBLE END, 4) AS value FROM fx_level WHERE variable = 't' AND time = TIMESTAMP '2024-01-03 06:00:00' AND level IN {canon.LEVELS}", "fx_level"))
 def scan_archive_slice(spark, d):
-    rows = L.scan_archive_slice(spark, _stored(spark, d), "10u", "2024-01-03T06:00:00")
-    return rows.select("lat_i", "lon_i", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 4).alias("value"))
+    """The contract's levels of one field and moment, of an archive that has more levels."""
+    path = L.scratch(spark)
+    L.write_layer(fx.level_field(spark, d), path, "coarse")
+    rows = L.scan_archive_slice(spark, path, "t", "2024-01-03T06:00:00")
+    return rows.select("level", "lat_i", "lon_i", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 4).alias("value"))
+
+
+_RUN_ROWS = "SELECT variable, level, count(*) AS n, max(time) AS last FROM (SELECT variable, NULL::INT AS level, time FROM fx_field UNION ALL SELECT variable, level, time FROM fx_level WHERE level IN (500, 850)) WHERE variable IN ('2t', 'msl', 't') AND time <= (SELECT max(time) FROM fx_grid) - INTERVAL 5 DAY GROUP BY ALL"
+
+
+@query("scan_run", with_tables(f"SELECT variable, level, n, {ISO.format('last')} AS last FROM ({_RUN_ROWS})", "fx_field", "fx_level"))
+def scan_run(spark, d):
+    """Of two runs, the later of which ends five days before the other, the one that the pointer names; two levels of one field."""
+    path, field = L.scratch(spark), N.with_level(fx.field(spark, d)).unionByName(fx.level_field(spark, d))
+    end = F.broadcast(fx.grid(spark, d).agg((F.max("time") - F.expr("interval 5 days")).alias("end")))
+    L.write_run(field, path, "2024-01-01T00Z", "coarse")
+    L.write_run(field.join(end, F.col("time") <= F.col("end")).drop("end"), path, "2024-01-01T06Z", "coarse")
+    pointers = L.scratch(spark)
+    U.publish_advance(U.publish_advance(spark.createDataFrame([], "seq long, current string, previous string"), "2024-01-01T00Z"), "2024-01-01T06Z").write.parquet(pointers)
+    rows = L.scan_run(spark, path, spark.read.parquet(pointers), "coarse", ["2t", "msl", "t"], levels=[500, 850])
+    return rows.groupBy("variable", "level").agg(F.count("*").alias("n"), iso(F.max("time")).alias("last"))
 
 
 @query("write_layer", with_tables(_COUNT.format("WHERE variable NOT IN ('tp_1h', 'i10fg')"), "fx_field"))
@@ -138,15 +159,17 @@ def time_naive_utc(spark, d):
     return field.agg(F.count_distinct("time").alias("steps")).withColumn("passed", F.lit(V.time_naive(field)))
 
 
-@query("check_families", with_tables(f"SELECT level, count(DISTINCT strftime(time, '%Y-%m-%d')) * k AS n FROM fx_field, (VALUES ('structure', 7), ('physics', 16), ('sanity', 10)) t(level, k) GROUP BY level, k", "fx_field"))
+@query("check_families", with_tables(f"{_FAMILIES} SELECT level, count(*) AS n, count(*) FILTER (ok) AS passed FROM checks WHERE level <> 'grib' GROUP BY level", *_OF))
 def check_families(spark, d):
-    return V.check_families(artifacts(spark, d), KEY, "points", (6, 8), 135.0).groupBy("level").agg(F.count("*").alias("n"))
+    units, leads = metadata(spark, d)
+    checks = V.check_families(whole_artifacts(spark, d), KEY, "points", (6, 8), 135.0, units=units, leads=leads)
+    return checks.groupBy("level").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
-@query("validate_layer", with_tables("SELECT DISTINCT 'runs/' || strftime(time, '%Y-%m-%d') || '/points' AS path, 'points' AS layer, false AS ok FROM fx_field", "fx_field"))
+@query("validate_layer", with_tables(f"{_FAMILIES} SELECT 'runs/' || artifact || '/points' AS path, 'points' AS layer, bool_and(ok) AS ok FROM checks WHERE level IN ('structure', 'semantics', 'physics') GROUP BY artifact", *_OF))
 def validate_layer(spark, d):
-    """Verdicts by path; the fixture's grid has no plausible global mean, so none passes."""
-    checks = V.check_families(artifacts(spark, d), KEY, "points", (6, 8), 135.0)
+    """Verdicts by path, of three levels of checks."""
+    checks = _all_checks(spark, d, ["structure", "semantics", "physics"])
     rows = V.summary(checks, KEY).select(F.concat(F.lit("runs/"), "artifact", F.lit("/points")).alias("path"), "ok")
     return N.layer_from_path(rows).select("path", "layer", "ok")
 

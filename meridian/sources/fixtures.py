@@ -51,6 +51,19 @@ def field(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFrame:
     return cells.select("time", "lat_i", "lon_i", "lat", "lon", pairs.alias("x")).select("x.variable", "time", "lat_i", "lon_i", "lat", "lon", "x.value")
 
 
+#: Levels of the archive: the contract's, and some that a reader leaves out.
+ARCHIVE_LEVELS = (10, 50, 100, 150, 200, 250, 300, 400, 500, 600, 700, 775, 800, 850, 875, 925, 1000)
+
+
+def level_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows of two level fields: variable, level, time, lat_i, lon_i, lat, lon, value (float), on the archive's levels."""
+    cells = grid(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, ARCHIVE_LEVELS))))
+    values = {"t": 180 + F.col("level") / 10 + F.col("v") / 20, "z": 100 * (1000 - F.col("level")) + F.col("v")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("variable"), v.cast("float").alias("value")) for k, v in values.items()]))
+    rows = cells.select("level", "time", "lat_i", "lon_i", "lat", "lon", pairs.alias("x"))
+    return rows.select("x.variable", "level", "time", "lat_i", "lon_i", "lat", "lon", "x.value")
+
+
 def point_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, lat, lon, vars, units."""
     rows = table(spark, sf_dir, "customer")
@@ -175,7 +188,9 @@ _UNPIVOT = {
 }
 for _name, _of in (("fx_field", "fx_grid"), ("fx_hourly", "fx_hour")):
     SQL[_name] = f"{_name} AS (" + " UNION ALL ".join(f"SELECT '{k}' AS variable, time, lat_i, lon_i, lat, lon, ({x})::FLOAT AS value FROM {_of}" for k, x in _UNPIVOT.items()) + ")"
-_NEEDS = {"fx_field": ["fx_grid"], "fx_hourly": ["fx_hour"]}
+SQL["fx_level"] = f"""fx_level AS (SELECT variable, level::INT AS level, time, lat_i, lon_i, lat, lon, (CASE variable WHEN 't' THEN 180 + level / 10 + v / 20 ELSE 100 * (1000 - level) + v END)::FLOAT AS value
+    FROM fx_grid, (SELECT unnest({list(ARCHIVE_LEVELS)}) AS level), (VALUES ('t'), ('z')) k(variable))"""
+_NEEDS = {"fx_level": ["fx_grid"], "fx_field": ["fx_grid"], "fx_hourly": ["fx_hour"]}
 
 
 def with_tables(body: str, *names: str) -> str:

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.normalize import select_layer
+from ..functions import canon
+from ..operators.normalize import in_canonical_order, order, select_layer, with_level
 
-FIELD = "variable string, time timestamp_ntz, lat_i int, lon_i int, lat double, lon double, value float"
+FIELD = "variable string, level int, time timestamp_ntz, lat_i int, lon_i int, lat double, lon double, value float"
 MANIFEST = "run_id string, published boolean, steps int, inputs array<struct<source: string, valid_time: bigint>>"
+RUN_FIELD = f"run_id string, layer string, {FIELD}"
 #: Nodes of a tile's side in the series layout, and of a block within it.
 TILE, BLOCK = 64, 4
 
@@ -29,35 +31,76 @@ def scratch(spark: SparkSession) -> str:
 
 def layout_maps(field: DataFrame) -> DataFrame:
     """One map (all nodes at one moment) is what is read together."""
-    return field.repartitionByRange("variable", "time").sortWithinPartitions("variable", "time", "lat_i", "lon_i")
+    return in_canonical_order(field)
 
 
 def layout_series(field: DataFrame) -> DataFrame:
     """A node's whole series is what is read together: tiles of nodes, blocks within, time last."""
     tile = [F.floor(F.col(x) / TILE) for x in ("lat_i", "lon_i")]
     block = [F.floor(F.col(x) / BLOCK) for x in ("lat_i", "lon_i")]
-    return field.repartitionByRange("variable", *tile).sortWithinPartitions("variable", *tile, *block, "lat_i", "lon_i", "time")
+    return field.repartitionByRange("variable", *tile).sortWithinPartitions("variable", *tile, *block, "lat_i", "lon_i", "level", "time")
 
 
 def write_layer(field: DataFrame, path: str, layer: str, series: bool = False) -> None:
-    """Exactly the layer's fields to a new path; an existing one is an error."""
-    rows = select_layer(field, layer)
+    """Exactly the layer's fields to a new path; an existing one is an error. Surface fields have no level."""
+    rows = with_level(select_layer(field, layer))
     rows = layout_series(rows) if series else layout_maps(rows)
     rows.write.mode("errorifexists").partitionBy("variable").option("compression", "zstd").parquet(path)
 
 
-def scan_layer(spark: SparkSession, path: str, variables: list[str], start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Only the partitions of the variables, and the row groups of the period."""
-    rows = spark.read.schema(FIELD).parquet(path).where(F.col("variable").isin(variables))
+def scan_layer(spark: SparkSession, path: str, variables: list[str], start: str | None = None, stop: str | None = None, levels: list[int] | None = None) -> DataFrame:
+    """Only the partitions of the variables, and the row groups of the period and the levels (of level fields)."""
+    return _cut(spark.read.schema(FIELD).parquet(path), variables, start, stop, levels)
+
+
+def _cut(rows: DataFrame, variables: list[str], start: str | None, stop: str | None, levels: list[int] | None) -> DataFrame:
+    rows = rows.where(F.col("variable").isin(variables))
     if start is not None:
         rows = rows.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
     if stop is not None:
         rows = rows.where(F.col("time") <= F.lit(stop).cast("timestamp_ntz"))
+    if levels is not None:
+        asked = F.col("level").isin(levels)
+        surface = [x for x in variables if x not in canon.ATMOS]
+        rows = rows.where(F.col("level").isNull() | asked if surface else asked)
     return rows
 
 
-def scan_archive_slice(spark: SparkSession, path: str, variable: str, moment: str) -> DataFrame:
-    return scan_layer(spark, path, [variable], moment, moment)
+def scan_archive_slice(spark: SparkSession, path: str, variable: str, moment: str, levels: list[int] | None = None) -> DataFrame:
+    """One variable at one moment, in canonical order; of a level field the given levels (None: the contract's) and no others are read."""
+    if variable in canon.ATMOS:
+        levels = list(canon.LEVELS) if levels is None else levels
+    return scan_layer(spark, path, [variable], moment, moment, levels if variable in canon.ATMOS else None).orderBy(*order())
+
+
+def write_run(field: DataFrame, path: str, run_id: str, layer: str) -> None:
+    """A layer of a run to its own partition of the table of all runs; a run's layer is written once."""
+    write_layer(field, f"{path}/run_id={run_id}/layer={layer}", layer)
+
+
+def scan_run(spark: SparkSession, path: str, pointer: DataFrame, layer: str, variables: list[str], start: str | None = None, stop: str | None = None, levels: list[int] | None = None) -> DataFrame:
+    """Rows of the run that the newest pointer row names. pointer: a stored table of seq (from 1 on) and current.
+
+    The run is found while the query runs: its partitions are pruned dynamically, so that other runs' files are
+    neither listed to tasks nor opened.
+    """
+    newest = pointer.where("seq > 0").agg(F.max_by("current", "seq").alias("run_id"))
+    rows = _cut(spark.read.schema(RUN_FIELD).parquet(path).where(F.col("layer") == layer), variables, start, stop, levels)
+    return rows.join(F.broadcast(newest), "run_id", "left_semi")  # one row
+
+
+def write_artifact(field: DataFrame, units: DataFrame, leads: DataFrame, path: str, layer: str) -> None:
+    """A layer with what its values mean: units of each variable, start of the run and lead time of each moment."""
+    write_layer(field, f"{path}/fields", layer)
+    units.select("variable", "units").write.mode("errorifexists").json(f"{path}/units")
+    leads.select("time", "init_time", "lead_hours").write.mode("errorifexists").json(f"{path}/leads")
+
+
+def read_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fields, units and leads of an artifact."""
+    units = spark.read.schema("variable string, units string").json(f"{path}/units")
+    leads = spark.read.schema("time timestamp_ntz, init_time timestamp_ntz, lead_hours int").json(f"{path}/leads")
+    return spark.read.schema(FIELD).parquet(f"{path}/fields"), units, leads
 
 
 def write_manifests(runs: DataFrame, path: str) -> DataFrame:

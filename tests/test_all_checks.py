@@ -16,7 +16,7 @@ def test_validate_has_all_families(spark):
         variables.setdefault(r["artifact"], set()).add(r["variable"])
     surface, atmos, _, _ = canon.LAYERS["points"]
     for artifact, names in variables.items():
-        for name in ("lat_descending", "lon_ascending", "time_unique"):  # the fixture's axes and keys are in order by construction
+        for name in ("lat_descending", "lon_ascending", "time_unique", "time_naive_utc"):  # the fixture's axes and keys are in order by construction
             assert got[artifact, name] == (1, 1)
         assert got[artifact, "fields_present"] == (1, int({*surface, *atmos} <= names))
-    assert len({name for _, name in got}) == 12
+    assert len({name for _, name in got}) == 17  # and the levels, three of semantics, and messages
