@@ -92,5 +92,38 @@ def history_limits(requests: DataFrame) -> DataFrame:
     return requests.withColumn("code", code)
 
 
-def export_region(field: DataFrame, south: float, north: float, west: float, east: float, variables: list[str]) -> DataFrame:
-    return field.where(F.col("variable").isin(variables) & F.col("lat").between(south, north) & F.col("lon").between(west, east))
+def export_region(field: DataFrame, south: float, north: float, west: float, east: float, variables: list[str], start: str | None = None, stop: str | None = None) -> DataFrame:
+    """Rows of a box, of some variables, in an inclusive period (None: open)."""
+    rows = field.where(F.col("variable").isin(variables) & F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    for bound, keep in ((start, lambda t: F.col("time") >= t), (stop, lambda t: F.col("time") <= t)):
+        if bound is not None:
+            rows = rows.where(keep(F.lit(bound).cast("timestamp_ntz")))
+    return rows
+
+
+JOB = "job_id string, status string, url string, source string, init_time string, expires_at long"
+
+
+def write_export(rows: DataFrame, path: str, job_id: str, source: str, init_time: str, expires_at: int) -> DataFrame:
+    """Writes an export (one folder, its rows with their origin) and then its job record; returns the record.
+
+    The record comes last, so a job without one is not ready. Exports carry source and init_time as answers do.
+    """
+    url = f"{path}/files/{job_id}"
+    told = rows.withColumns({"source": F.lit(source), "init_time": F.lit(init_time)})
+    told.write.mode("errorifexists").partitionBy("variable").option("compression", "zstd").parquet(url)
+    record = rows.sparkSession.createDataFrame([(job_id, "ready", url, source, init_time, expires_at)], JOB)
+    record.coalesce(1).write.mode("errorifexists").json(f"{path}/jobs/{job_id}")
+    return record
+
+
+def export_status(asked: DataFrame, jobs: DataFrame, now: int) -> DataFrame:
+    """job_id, code (200, 404 for an unknown job, 410 for one whose file has expired) and url. asked: job_id; jobs: JOB."""
+    rows = asked.join(jobs, "job_id", "left")
+    code = F.when(F.col("status").isNull(), 404).when(F.col("expires_at") <= now, 410).otherwise(200)
+    return rows.select("job_id", code.alias("code"), F.when(code == 200, F.col("url")).alias("url"))
+
+
+def stale(index: DataFrame, final: DataFrame, key: str = "key") -> DataFrame:
+    """Cache rows of preliminary data that final data of the same chunk has replaced."""
+    return index.where("source_version = 'era5t'").join(final.select(key), key, "left_semi")

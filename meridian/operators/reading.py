@@ -117,22 +117,25 @@ def time_window(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
 
 
 def point_series(field: DataFrame, nodes: DataFrame, fields: DataFrame, units: DataFrame) -> DataFrame:
-    """id, name, time, value: the asked fields at each request's node, in its units, gaps as null.
+    """id, name, pos, time, value: the asked fields at each request's node, in its units, gaps as null.
 
-    nodes: nearest_node(); fields: resolve_fields(); units: id, units. Fields are read at the
-    asked nodes only, once for all requests of a node. Wind is made of its components by node and
-    time first, so its cost is that of the grid, not of the answers.
+    nodes: nearest_node(); fields: resolve_fields(); units: id, units. Fields are read at the asked nodes only, once for
+    all requests of a node, and gathered by node and moment; requests meet them by node. Every step
+    on the side of the fields is dealt by (lat_i, lon_i): a plain field moves once, and one that is stored in
+    buckets of nodes (sources.layers.write_series_table) doesn't move at all.
     """
     spots = nodes.select("lat_i", "lon_i").distinct()
-    inputs = fields.where("known").select(F.explode("inputs").alias("variable")).distinct()
-    cells = field.join(F.broadcast(inputs), "variable").join(spots, ["lat_i", "lon_i"])
-    cells = cells.select("lat_i", "lon_i", "time", "variable", F.col("value").cast("double").alias("value"))
-    parts = [F.max(F.when(F.col("variable") == x, F.col("value"))) for x in ("10u", "10v")]
-    wind = cells.where(F.col("variable").isin("10u", "10v")).groupBy("lat_i", "lon_i", "time").agg(wind_speed(*parts).alias("value"))
-    wind = wind.where("value is not null").select("lat_i", "lon_i", "time", F.lit("10u,10v").alias("variable"), "value")
-    asked = fields.where("known").join(nodes, "id").join(units, "id").withColumn("variable", F.array_join("inputs", ","))
-    rows = asked.join(cells.unionByName(wind), ["lat_i", "lon_i", "variable"])
-    value = F.when(F.col("units") == "human", F.col("value") * F.col("scale") + F.col("offset")).otherwise(F.col("value"))
+    inputs = fields.where("known").select(F.explode("inputs").alias("variable")).distinct()  # names of the catalogue
+    cells = field.join(F.broadcast(inputs), "variable", "left_semi").join(spots, ["lat_i", "lon_i"], "left_semi")
+    cell = F.struct("variable", F.col("value").cast("double").alias("value"))
+    series = cells.groupBy("lat_i", "lon_i", "time").agg(F.collect_list(cell).alias("cells"))  # the variables of one node and moment
+    asked = fields.where("known").join(nodes, "id").join(units, "id")
+    rows = series.join(asked, ["lat_i", "lon_i"])
+    of = lambda k: F.filter("cells", lambda c: c["variable"] == F.get("inputs", F.lit(k)))
+    rows = rows.withColumns({"one": of(0), "two": of(1)}).where((F.size("one") > 0) & ((F.size("inputs") == 1) | (F.size("two") > 0)))
+    first, second = F.get("one", F.lit(0))["value"], F.get("two", F.lit(0))["value"]
+    value = F.when(F.size("inputs") == 1, first).otherwise(wind_speed(first, second))
+    value = F.when(F.col("units") == "human", value * F.col("scale") + F.col("offset")).otherwise(value)
     return rows.select("id", "name", "pos", "time", nan_to_null(value).alias("value"))
 
 

@@ -129,6 +129,26 @@ def layer_bytes(spark) -> DataFrame:
     return rows.select("layer", "fields_per_step", "steps", (F.col("fields_per_step") * F.col("steps") * F.lit(NODES * BYTES).cast("long")).alias("bytes"))
 
 
+#: Layers that a run's model wrote, and those that it keeps on disk.
+RUN_LAYERS, PINNED_LAYERS = ("coarse", "hourly"), ("coarse", "hourly", "points", "previous")
+
+
+def layer_weights(stored: DataFrame) -> DataFrame:
+    """scope (layer, run or pinned), run_id, name, bytes, expected: what layers weigh and should weigh, and their sums by run, in one aggregate.
+
+    stored: run_id, layer, values (how many are there). A run is what its model wrote; pinned is all that it keeps on disk.
+    """
+    want = layer_bytes(stored.sparkSession).select("layer", F.col("bytes").alias("want"))
+    within = lambda layers, name: F.when(F.col("layer").isin(list(layers)), F.lit(name))
+    rows = stored.groupBy("run_id", "layer").agg((F.sum("values") * BYTES).alias("size")).join(F.broadcast(want), "layer")
+    rows = rows.withColumns({"run": within(RUN_LAYERS, "run"), "pinned": within(PINNED_LAYERS, "pinned")})
+    sets = [["run_id", "layer"], ["run_id", "run"], ["run_id", "pinned"]]
+    sums = rows.groupingSets(sets, "run_id", "layer", "run", "pinned").agg(F.sum("size").alias("bytes"), F.sum("want").alias("expected"), F.grouping("layer").alias("_l"), F.grouping("run").alias("_r"), F.grouping("pinned").alias("_p"))
+    scope = F.when(F.col("_l") == 0, "layer").when(F.col("_r") == 0, "run").otherwise("pinned")
+    name = F.coalesce("layer", "run", "pinned")
+    return sums.select(scope.alias("scope"), "run_id", name.alias("name"), "bytes", "expected").where("name is not null")
+
+
 def stored_bytes(field: DataFrame, keys: list[str]) -> DataFrame:
     return field.groupBy(*keys).agg((F.count("*") * BYTES).alias("bytes"))
 

@@ -10,6 +10,8 @@ from ..operators import cache as C
 from ..operators import normalize as N
 from ..operators import runs as U
 from ..sources import fixtures as fx
+from ..sources import layers as L
+from ..sources import snapshots
 from ..sources.fixtures import NOW, with_tables
 from .book import query
 
@@ -120,7 +122,9 @@ def cache_record(spark, d):
     new = fx.table(spark, d, "part").where(k % 3 == 1).select(
         key.alias("key"), F.lit("era5-final").alias("source_version"), (500000 + k).alias("bytes"), F.lit(NOW).cast("long").alias("last_access"), F.lit(0).cast("long").alias("access_count"), F.lit(900).cast("long").alias("cost_ms"), F.lit(False).alias("pinned")
     )
-    return C.cache_record(fx.cache_index(spark, d), new).drop("source_version")
+    path = L.scratch(spark)
+    snapshots.commit(fx.cache_index(spark, d), path)
+    return snapshots.update(spark, path, lambda index: C.cache_record(index, new)).drop("source_version")
 
 
 @query(
@@ -132,7 +136,9 @@ def cache_record(spark, d):
 )
 def mark_absent(spark, d):
     new = fx.table(spark, d, "supplier").select(F.concat(F.lit("era5/x/"), (F.col("s_suppkey") * 2).cast("string")).alias("key"), F.lit("late").alias("reason"), F.lit(NOW).cast("long").alias("at"))
-    return C.mark_absent(fx.absent(spark, d), new)
+    path = L.scratch(spark)
+    snapshots.commit(fx.absent(spark, d), path)
+    return snapshots.update(spark, path, lambda absent: C.mark_absent(absent, new))
 
 
 @query("clear_absent", with_tables("SELECT key, until FROM fx_absent WHERE key NOT IN (SELECT 'era5/x/' || n_nationkey FROM nation)", "fx_absent"))
@@ -383,7 +389,9 @@ def publish_advance(spark, d):
     order = Window.orderBy("init")  # the pointer's history: a row for each publication
     runs = fx.runs(spark, d).where("status = 'F'").select("init")
     pointer = runs.select(F.row_number().over(order).cast("long").alias("seq"), F.col("init").cast("string").alias("current"), F.lag(F.col("init").cast("string")).over(order).alias("previous"))
-    return U.publish_advance(pointer, "new")
+    path = L.scratch(spark)
+    snapshots.commit(pointer, path)
+    return snapshots.update(spark, path, lambda rows: U.publish_advance(rows, "new"))
 
 
 @query("derive_layer", with_tables("SELECT variable, count(*) AS n FROM (SELECT * FROM fx_field UNION ALL SELECT 'sp', time, lat_i, lon_i, lat, lon, 1 FROM fx_grid) WHERE variable IN ('2t', '10u', '10v', 'msl', 'tp_1h', 'tcc', '2d', 'i10fg') GROUP BY 1", "fx_field"))
@@ -393,10 +401,23 @@ def derive_layer(spark, d):
     return U.derive_layer(field.unionByName(extra)).groupBy("variable").agg(F.count("*").alias("n"))
 
 
-@query("layer_bytes", with_tables("SELECT variable, count(*) * 4 AS bytes, (SELECT 90::BIGINT * 40 * 721 * 1440 * 4) AS coarse_expected FROM fx_field GROUP BY variable", "fx_field"))
+_EXPECTED = "want AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {(len(s) + 13 * len(a)) * n * 721 * 1440 * 4}::BIGINT)" for k, (s, a, _, n) in canon.LAYERS.items()) + ") t(layer, want))"
+
+
+@query(
+    "layer_bytes",
+    with_tables(
+        f"""{_EXPECTED}, s AS (SELECT strftime(date_trunc('day', time), '%Y-%m-%d') AS run_id, layer, count(*) * 4 AS size, any_value(want) AS want FROM fx_field, want WHERE layer <> 'analysis' OR variable NOT IN ('tp_1h', 'i10fg') GROUP BY ALL)
+    SELECT 'layer' AS scope, run_id, layer AS name, size AS bytes, want AS expected FROM s UNION ALL SELECT 'run', run_id, 'run', sum(size)::BIGINT, sum(want)::BIGINT FROM s WHERE layer IN ('coarse', 'hourly') GROUP BY run_id
+    UNION ALL SELECT 'pinned', run_id, 'pinned', sum(size)::BIGINT, sum(want)::BIGINT FROM s WHERE layer IN ('coarse', 'hourly', 'points', 'previous') GROUP BY run_id""",
+        "fx_field",
+    ),
+)
 def layer_bytes(spark, d):
-    want = U.layer_bytes(spark).where("layer = 'coarse'").select(F.col("bytes").alias("coarse_expected"))
-    return U.stored_bytes(fx.field(spark, d), ["variable"]).crossJoin(F.broadcast(want))
+    """Weights of the layers that each day's fields would make, by layer, run and what stays on disk."""
+    of = F.broadcast(canon.layers(spark).select("layer", "variable"))
+    days = fx.field(spark, d).groupBy(F.substring(iso(F.col("time")), 1, 10).alias("run_id"), "variable").agg(F.count("*").alias("values"))
+    return U.layer_weights(days.join(of, "variable"))
 
 
 @query(

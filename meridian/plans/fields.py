@@ -10,6 +10,8 @@ from ..operators import history as H
 from ..operators import messages as M
 from ..operators import normalize as N
 from ..sources import fixtures as fx
+from ..sources import layers as L
+from ..sources import snapshots
 from ..sources.fixtures import NOW, with_tables
 from .book import query
 from .requests import ISO, axes
@@ -369,6 +371,20 @@ def replace_preliminary(spark, d):
     return H.replace_preliminary(old.drop("access_count"), final, ["key"])
 
 
+@query("replace_invalidates", with_tables("SELECT 'archive' AS part, key, CASE WHEN access_count = 2 THEN 'era5-final' ELSE source_version END AS source_version FROM fx_cache UNION ALL SELECT 'cache', key, source_version FROM fx_cache WHERE NOT (access_count = 2 AND source_version = 'era5t')", "fx_cache"))
+def replace_invalidates(spark, d):
+    """Final chunks become a new snapshot of the archive; then the cache's preliminary rows of them go."""
+    archive, cache = L.scratch(spark), L.scratch(spark)
+    rows = fx.cache_index(spark, d)
+    snapshots.commit(rows.select("key", "source_version", "bytes"), archive)
+    snapshots.commit(rows, cache)
+    final = rows.where("access_count = 2").select("key", F.lit("era5-final").alias("source_version"), (F.col("bytes") + 1).alias("bytes"))
+    new = snapshots.update(spark, archive, lambda old: H.replace_preliminary(old, final, ["key"]))
+    left = snapshots.update(spark, cache, lambda old: old.join(H.stale(old, final).select("key"), "key", "left_anti"))
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "key", "source_version")
+    return part(new, "archive").unionByName(part(left, "cache"))
+
+
 @query("history_limits", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN 'start' WHEN o_orderkey % 7 = 6 THEN 'order' WHEN o_orderkey % 2 = 1 AND o_orderkey % 4 = 1 THEN 'years' END AS code FROM orders")
 def history_limits(spark, d):
     k = F.col("o_orderkey")
@@ -378,9 +394,13 @@ def history_limits(spark, d):
     return H.history_limits(rows).select("id", "code")
 
 
-@query("export_region", with_tables(f"SELECT variable, {ISO.format('time')} AS time, lat, lon, round(CASE WHEN NOT isnan(value) THEN value::DOUBLE END, 5) AS value FROM fx_field WHERE variable IN ('2t', 'msl') AND lat BETWEEN -20 AND 60 AND lon BETWEEN -50 AND 100", "fx_field"))
+@query("export_region", with_tables(f"SELECT variable, {ISO.format('time')} AS time, lat, lon, round(CASE WHEN NOT isnan(value) THEN value::DOUBLE END, 5) AS value FROM fx_field WHERE variable IN ('2t', 'msl') AND lat BETWEEN -20 AND 60 AND lon BETWEEN -50 AND 100 AND time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'", "fx_field"))
 def export_region(spark, d):
-    rows = H.export_region(fx.field(spark, d), -20, 60, -50, 100, ["2t", "msl"])
+    """An export as it is written, read again; the job says where it lies."""
+    path = L.scratch(spark)
+    rows = H.export_region(fx.field(spark, d), -20, 60, -50, 100, ["2t", "msl"], "2024-01-03T00:00:00", "2024-01-20T00:00:00")
+    job = H.write_export(rows, path, "exp_1", "era5-final", "2024-01-01T00:00:00Z", NOW + 3600).first()
+    rows = spark.read.parquet(job["url"]).where("source = 'era5-final' and init_time = '2024-01-01T00:00:00Z'")
     return rows.select("variable", iso(F.col("time")).alias("time"), "lat", "lon", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 5).alias("value"))
 
 

@@ -10,6 +10,7 @@ from ..operators import reading as R
 from ..operators import requests as Q
 from ..operators import tiles as T
 from ..sources import fixtures as fx
+from ..sources import layers as L
 from ..sources.fixtures import with_tables
 from .book import query
 
@@ -61,9 +62,7 @@ def canonical_inputs(spark, d):
     return rows.select("id", F.array_join("inputs", ",").alias("inputs"))
 
 
-@query(
-    "point_series",
-    with_tables(
+_POINT_SERIES = with_tables(
         f"""{_RESOLVED}, {_NODES} SELECT r.id, r.name, {ISO.format('a.time')} AS time, round(CASE WHEN isnan(x) THEN NULL WHEN units = 'human' THEN x * scale + off ELSE x END, 6) AS value
     FROM (SELECT r.*, n.lat_i, n.lon_i, n.units FROM resolved r JOIN nodes n USING (id)) r JOIN fx_field a ON a.variable = r.first AND a.lat_i = r.lat_i AND a.lon_i = r.lon_i
     JOIN fx_field b ON b.variable = r.second AND b.lat_i = r.lat_i AND b.lon_i = r.lon_i AND b.time = a.time,
@@ -71,8 +70,10 @@ def canonical_inputs(spark, d):
     """,
         "fx_point_request",
         "fx_field",
-    ),
-)
+    )
+
+
+@query("point_series", _POINT_SERIES)
 def point_series(spark, d):
     """The flagship: every request's fields at its node over all steps, in its units."""
     requests = fx.point_requests(spark, d)
@@ -81,6 +82,17 @@ def point_series(spark, d):
     return rows.select("id", "name", iso(F.col("time")).alias("time"), F.round("value", 6).alias("value"))
 
 
+@query("point_series_stored", _POINT_SERIES)
+def point_series_stored(spark, d):
+    """The same answers from a layer that is stored in buckets of nodes."""
+    path = L.scratch(spark)
+    table = "series_" + path.rsplit("-", 1)[1]
+    L.write_series_table(fx.field(spark, d), table, path, "points", buckets=8)
+    requests = fx.point_requests(spark, d)
+    rows = R.point_series(spark.table(table), R.nearest_node(requests, *axes(spark)), Q.resolve_fields(requests), requests.select("id", "units"))
+    return rows.select("id", "name", iso(F.col("time")).alias("time"), F.round("value", 6).alias("value"))
+
+
 @query("unit_convert", with_tables(f"{_CATALOG} SELECT variable, {ISO.format('time')} AS time, lat_i, lon_i, round(value::DOUBLE * scale + off, 6) AS human FROM fx_field JOIN catalog ON asked = variable WHERE NOT isnan(value)", "fx_field"))
 def unit_convert(spark, d):
     catalog = F.broadcast(canon.catalog(spark).select(F.col("asked").alias("variable"), "scale", "offset"))

@@ -67,6 +67,13 @@ def write_layer(spark, d):
     return _counted(spark.read.schema(L.FIELD).parquet(_stored(spark, d, "analysis")))
 
 
+@query("write_checked", with_tables("SELECT variable AS field, name, CASE name WHEN 'nan_fraction' THEN holes / n::DOUBLE <= 0.001 WHEN 'physical_range' THEN low IS NOT NULL AND low >= lo AND high <= hi ELSE low IS NULL OR low <> high END AS passed FROM (SELECT variable, count(*) AS n, count(*) FILTER (isnan(value)) AS holes, min(value) FILTER (NOT isnan(value)) AS low, max(value) FILTER (NOT isnan(value)) AS high FROM fx_field GROUP BY variable) JOIN (VALUES " + ", ".join(f"('{k}', {canon.VARIABLES[k][1]}, {canon.VARIABLES[k][2]})" for k in fx.FORMULAS) + ") r(variable, lo, hi) USING (variable), (VALUES ('nan_fraction'), ('physical_range'), ('not_constant')) c(name)", "fx_field"))
+def write_checked(spark, d):
+    """The physics checks of a layer, from the pass that writes it."""
+    stats = L.write_checked(fx.field(spark, d), L.scratch(spark), "points").withColumn("artifact", F.lit("points"))
+    return V.physics_checks(stats, KEY).select("field", "name", "passed")
+
+
 @query("layout_maps", with_tables(_COUNT.format(""), "fx_field"))
 def layout_maps(spark, d):
     return _counted(spark.read.schema(L.FIELD).parquet(_stored(spark, d)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
+from ..functions.fields import nan_to_null, non_finite
 from ..operators.normalize import in_canonical_order, order, select_layer, with_level
 
 FIELD = "variable string, level int, time timestamp_ntz, lat_i int, lon_i int, lat double, lon double, value float"
@@ -48,6 +49,34 @@ def write_layer(field: DataFrame, path: str, layer: str, series: bool = False) -
     rows.write.mode("errorifexists").partitionBy("variable").option("compression", "zstd").parquet(path)
 
 
+def write_series_table(field: DataFrame, table: str, path: str, layer: str, buckets: int = 64) -> None:
+    """A layer as a table of buckets of nodes, each sorted by node and moment.
+
+    What is joined or grouped by (lat_i, lon_i) finds its rows in one bucket, so reads of series need no exchange of fields.
+    """
+    rows = with_level(select_layer(field, layer)).repartition(buckets, "lat_i", "lon_i")
+    rows.write.mode("errorifexists").bucketBy(buckets, "lat_i", "lon_i").sortBy("lat_i", "lon_i", "variable", "time").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+
+
+def write_checked(field: DataFrame, path: str, layer: str, series: bool = False) -> DataFrame:
+    """write_layer(), and a profile (variable, n, holes, low, high; as validate.profile) from the write's own pass.
+
+    The rows are looked at as they pass to the files; the layer is not read again. There are four numbers for each of
+    the layer's variables.
+    """
+    spark = field.sparkSession
+    surface, atmos, _, _ = canon.LAYERS[layer]
+    seen, number = Observation(), {}
+    for k, x in enumerate(surface + atmos):
+        mine = F.col("variable") == x
+        value = F.when(mine, nan_to_null(F.col("value").cast("double")))
+        number |= {f"n_{k}": F.count(F.when(mine, F.col("value"))), f"holes_{k}": F.count_if(mine & non_finite(F.col("value"))), f"low_{k}": F.min(value), f"high_{k}": F.max(value)}
+    write_layer(field.observe(seen, *[v.alias(k) for k, v in number.items()]), path, layer, series)
+    got = seen.get
+    rows = [(x, got[f"n_{k}"], got[f"holes_{k}"], got[f"low_{k}"], got[f"high_{k}"]) for k, x in enumerate(surface + atmos) if got[f"n_{k}"]]
+    return spark.createDataFrame(rows, "variable string, n long, holes long, low double, high double")
+
+
 def scan_layer(spark: SparkSession, path: str, variables: list[str], start: str | None = None, stop: str | None = None, levels: list[int] | None = None) -> DataFrame:
     """Only the partitions of the variables, and the row groups of the period and the levels (of level fields)."""
     return _cut(spark.read.schema(FIELD).parquet(path), variables, start, stop, levels)
