@@ -11,6 +11,7 @@ from ..operators import runs as U
 from ..operators import validate as V
 from ..sources import fixtures as fx
 from ..sources import layers as L
+from ..sources import snapshots
 from ..sources.fixtures import NOW, with_tables
 from ..streaming import streams as S
 from .book import query
@@ -181,16 +182,13 @@ def validate_layer(spark, d):
     return N.layer_from_path(rows).select("path", "layer", "ok")
 
 
-def _run(frame, spark, batch=None, complete=False):
-    """Run a stream over what is there to a table, and read that. complete: the last state of all groups."""
+def _run(frame, spark, batch=None, mode="append"):
+    """Run a stream over what is there to a table, and read that; with a sink of batches there is nothing to read here."""
     path, checkpoint = L.scratch(spark), L.scratch(spark)
-    if complete:
-        batch = lambda rows, _: rows.write.mode("overwrite").parquet(path)
-    writer = frame.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer = writer.outputMode("complete") if complete else writer
+    writer = frame.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     query = writer.foreachBatch(batch).start() if batch else writer.format("parquet").option("path", path).start()
     query.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(path) if complete or batch is None else None
+    return None if batch else spark.read.schema(frame.schema).parquet(path)
 
 
 def _stream(spark, d, name):
@@ -212,20 +210,34 @@ def _log(spark, d):
     return fx.query_log_of(_stream(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_hit_rate", with_tables(f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, {_KIND} AS kind, count(*) AS total, count(*) FILTER (hit) AS hits FROM fx_log GROUP BY ALL", "fx_log"))
+#: Windows end when the watermark, ten minutes behind the last row, has passed them.
+_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM {})"
+
+
+@query("stream_hit_rate", with_tables(f"SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, kind, count(*) AS total, count(*) FILTER (hit) AS hits FROM (SELECT date_trunc('hour', ts) AS start, {_KIND} AS kind, hit FROM fx_log) WHERE start + INTERVAL 1 HOUR <= {_CLOSED.format('fx_log')} GROUP BY ALL", "fx_log"))
 def stream_hit_rate(spark, d):
-    return _run(S.hit_rate(_log(spark, d)), spark, complete=True).select(iso(F.col("start")).alias("start"), "kind", "total", "hits")
+    return _run(S.hit_rate(_log(spark, d)), spark).select(iso(F.col("start")).alias("start"), "kind", "total", "hits")
+
 
+@query("stream_hit_rate_day", with_tables(f"SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, kind, count(*) AS total, count(*) FILTER (hit) AS hits FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS start, {_KIND} AS kind, hit FROM fx_log, range(24) t(k)) WHERE start + INTERVAL 24 HOUR <= {_CLOSED.format('fx_log')} GROUP BY ALL", "fx_log"))
+def stream_hit_rate_day(spark, d):
+    """Days that slide by hours."""
+    rows = _run(S.hit_rate(_log(spark, d), "24 hours", "1 hour"), spark)
+    return rows.select(iso(F.col("start")).alias("start"), "kind", "total", "hits")
 
-@query("stream_miss_latency", with_tables("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS misses, avg(latency_ms) AS mean, quantile_disc(latency_ms, 0.95) AS p95 FROM fx_log WHERE NOT hit GROUP BY ALL", "fx_log"))
+
+@query("stream_miss_latency", with_tables(f"SELECT strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS misses, avg(latency_ms) AS mean, quantile_disc(latency_ms, 0.95) AS p95 FROM (SELECT date_trunc('hour', ts) AS start, latency_ms FROM fx_log WHERE NOT hit) WHERE start + INTERVAL 1 HOUR <= {_CLOSED.format('(SELECT ts FROM fx_log WHERE NOT hit)')} GROUP BY ALL", "fx_log"))
 def stream_miss_latency(spark, d):
-    return _run(S.miss_latency(_log(spark, d)), spark, complete=True).select(iso(F.col("start")).alias("start"), "misses", "mean", "p95")
+    return _run(S.miss_latency(_log(spark, d)), spark).select(iso(F.col("start")).alias("start"), "misses", "mean", "p95")
 
 
 @query("stream_access_state", with_tables("SELECT area AS key, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_access, count(*) AS access_count FROM fx_log WHERE area IS NOT NULL GROUP BY area", "fx_log"))
 def stream_access_state(spark, d):
+    """Each batch's keys replace their rows in a snapshot table."""
     log = _log(spark, d).where("area is not null").withColumnRenamed("area", "key")
-    return _run(S.access_state(log), spark, complete=True).withColumn("last_access", iso(F.col("last_access")))
+    path = L.scratch(spark)
+    _run(S.access_state(log), spark, S.upserter(path, "key"), "update")
+    return snapshots.read(spark, path).select("key", iso(F.col("last_access")).alias("last_access"), "access_count")
 
 
 @query("stream_lateness", "SELECT o_orderkey AS id, CASE WHEN w < 30600 THEN 'on_time' WHEN w < 34200 THEN 'fallback' ELSE 'missed' END AS state, CASE WHEN w >= 30600 AND w < 34200 THEN 'late_input' END AS degraded FROM (SELECT o_orderkey, o_orderkey * 600 % 43200 AS w FROM orders)")
@@ -253,7 +265,10 @@ def stream_negative_cache(spark, d):
 def stream_ingest(spark, d):
     """Decoded rows that all come twice, as a stream: each node of a message once, in canonical form."""
     rows = raw(spark, d)
-    once = _run(S.ingest(_replayed(spark, rows.unionByName(rows)), *axes(spark)), spark)
+    path = L.scratch(spark)
+    stream = S.ingest(_replayed(spark, rows.unionByName(rows)), *axes(spark))
+    _run(stream, spark, S.exactly_once(path))
+    once = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
     return once.groupBy("source", "variable").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.isnan("value"), F.col("value").cast("double"))), 1).alias("total"))
 
 
