@@ -33,10 +33,13 @@ def parse_colon_index(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line", "offset", length.alias("length"), "param", "level", refusal.alias("refusal"))
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """file, line, value of text files, lines numbered from 1 within a file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return text.withColumn("line", F.col("line") + 1)
+def read_lines(spark, path: str, suffix: str = "", stream: bool = False) -> DataFrame:
+    """file, line, value of the text files below a path, lines numbered from 1 within a file; as a table or as a stream."""
+    from ..sources.index_files import IndexLines
+
+    spark.dataSource.register(IndexLines)
+    rows = (spark.readStream if stream else spark.read).format("index_lines").option("suffix", suffix).load(path)
+    return rows.withColumnRenamed("path", "file")
 
 
 def select_messages(messages: DataFrame, wanted: DataFrame) -> DataFrame:

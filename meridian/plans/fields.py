@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import canon
@@ -229,6 +230,38 @@ def _wanted(spark, d):
 _PAIRS = "(param, level) IN ((0, 0), (1, 5), (2, 9), (3, 3))"
 
 
+_INDEX = """fx_index AS (SELECT file, n, line, CASE WHEN n % 50 <> 7 THEN "offset" END AS "offset", length, param, level FROM (SELECT l_orderkey % 32 AS file, row_number() OVER w AS n, row_number() OVER w AS line,
+    (sum((1000 * l_quantity)::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING) - (1000 * l_quantity)::BIGINT)::BIGINT AS "offset", (1000 * l_quantity)::BIGINT AS length, l_partkey % 6 AS param, l_suppkey % 14 AS level
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey % 32 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)))"""
+
+
+@query(
+    "index_files",
+    f"""WITH {_INDEX} SELECT 'json' AS kind, file, line::INT AS line, "offset", CASE WHEN "offset" IS NOT NULL THEN length END AS length, CASE WHEN "offset" IS NULL THEN 'offset, length' END AS refusal FROM fx_index
+    UNION ALL SELECT 'colon', file, line::INT, "offset", CASE WHEN "offset" IS NOT NULL THEN lead("offset") OVER (PARTITION BY file, "offset" IS NULL ORDER BY "offset") - "offset" END, CASE WHEN "offset" IS NULL THEN 'offset' END FROM fx_index""",
+)
+def index_files(spark, d):
+    """32 index files of each kind, written and read line by line; every fiftieth line is broken."""
+    order = Window.partitionBy("file").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    length = (1000 * F.col("l_quantity")).cast("long")
+    rows = fx.table(spark, d, "lineitem").withColumn("file", F.col("l_orderkey") % 32).select(
+        "file", F.row_number().over(order).alias("n"), (F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)) - length).alias("offset"), length.alias("length"), (F.col("l_partkey") % 6).alias("param"), (F.col("l_suppkey") % 14).alias("level")
+    )
+    broken = F.col("n") % 50 == 7
+    kinds = {
+        "json": (F.when(broken, "{").otherwise(F.to_json(F.struct(F.col("offset").alias("_offset"), F.col("length").alias("_length"), F.col("param").cast("string").alias("param"), F.col("level").cast("string").alias("levelist")))), M.parse_json_index),
+        "colon": (F.concat_ws(":", "n", F.when(broken, "?").otherwise(F.col("offset").cast("string")), F.lit("d=2024010100"), "param", "level", F.lit("anl:")), M.parse_colon_index),
+    }
+    out = []
+    for kind, (value, parse) in kinds.items():
+        path = L.scratch(spark)
+        lines = rows.repartition("file").sortWithinPartitions("file", "n").select("file", value.alias("value"))
+        lines.write.partitionBy("file").text(path)
+        number = F.regexp_extract("file", "file=([0-9]+)/", 1).cast("long").alias("file")
+        out.append(parse(M.read_lines(spark, path, ".txt")).select(F.lit(kind).alias("kind"), number, "line", "offset", "length", "refusal"))
+    return out[0].unionByName(out[1])
+
+
 @query("select_messages", with_tables(f"SELECT file, n, param, level FROM fx_message WHERE {_PAIRS}", "fx_message"))
 def select_messages(spark, d):
     return M.select_messages(fx.messages(spark, d), _wanted(spark, d)).select("file", "n", "param", "level")

@@ -22,7 +22,48 @@ def test_checksums_sizes_and_lines(spark, tmp_path):
     assert M.folder_bytes(spark, str(tmp_path), quota=total).first().asDict() == {"bytes": total, "over_quota": False}
     assert M.folder_bytes(spark, str(tmp_path), quota=total - 1).first()["over_quota"]
     lines = M.read_lines(spark, f"{tmp_path}/a.idx").collect()
-    assert [(r["line"], r["value"]) for r in lines] == [(1, "1:0:d=2024"), (2, "2:10:d=2024"), (3, ""), (4, "")]
+    assert [(r["line"], r["value"]) for r in lines] == [(1, "1:0:d=2024"), (2, "2:10:d=2024"), (3, "")]
+
+
+def _index(tmp_path):
+    good = '{"_offset": 0, "_length": 5, "param": "2t", "levelist": ""}'
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "a.index").write_text(f"{good}\n\nbroken\n{good}")
+    (tmp_path / "run" / "b.index").write_bytes(b'{"_offset": 7, "param": "t"}\n\xff\n')
+    (tmp_path / "run" / "_SUCCESS").write_text("no data")
+    (tmp_path / "run" / "empty.index").write_text("")
+    (tmp_path / "run" / "c.idx").write_text("other files")
+    return str(tmp_path / "run")
+
+
+def test_refusals_carry_path_and_line(spark, tmp_path):
+    rows = M.parse_json_index(M.read_lines(spark, _index(tmp_path), ".index")).collect()
+    got = {(r["file"].rsplit("/", 1)[1], r["line"]): (r["offset"], r["refusal"]) for r in rows}
+    assert got == {("a.index", 1): (0, None), ("a.index", 3): (None, "offset, length"), ("a.index", 4): (0, None), ("b.index", 1): (7, "offset, length"), ("b.index", 2): (None, "offset, length")}
+
+
+def test_index_files_as_a_stream(spark, tmp_path):
+    folder = _index(tmp_path)
+
+    def run():
+        q = M.parse_json_index(M.read_lines(spark, folder, ".index", stream=True)).select("file", "line").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted((r["file"].rsplit("/", 1)[1], r["line"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = [("a.index", 1), ("a.index", 3), ("a.index", 4), ("b.index", 1), ("b.index", 2)]
+    assert run() == first
+    (tmp_path / "run" / "a2.index").write_text("later\n")
+    assert run() == sorted([*first, ("a2.index", 1)])
+
+
+def test_small_files_share_a_task_and_long_ones_are_streamed(tmp_path):
+    from meridian.sources import index_files as X
+
+    (tmp_path / "x").write_text("".join(f"{k}\n" for k in range(300_000)))
+    rows = [v for b in X.lines_of(str(tmp_path), (str(tmp_path / "x"),)) for v in zip(b["line"].to_pylist(), b["value"].to_pylist(), strict=True)]
+    assert rows == [(k + 1, str(k)) for k in range(300_000)]
+    sizes = [5, 5, X.TASK_BYTES, 1, 1, X.TASK_BYTES + 1]
+    assert [len(p.paths) for p in X.dealt([(k, str(k), n) for k, n in enumerate(sizes)])] == [2, 1, 2, 1]
 
 
 def _ordered(path, key):
