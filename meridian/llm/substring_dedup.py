@@ -137,7 +137,8 @@ def _parse(window: int, rounds: int):
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(at)))
             begin = at[first]
-            span = Rolling(names).of(begin, begin + count - 1 + window)
+            # Anchors are made of the first names, so runs are told apart by names that don't depend on these.
+            span = Rolling(word_names(part, starts, ends, True), True).of(begin, begin + count - 1 + window)
             span = mix(span ^ mix(((where[first] - begin) << 16 | count).astype(np.uint64)))
             anchor = mix(name[first] + height[first].astype(np.uint64))
             own = doc[begin]

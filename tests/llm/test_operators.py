@@ -642,3 +642,44 @@ def test_toxicity_against_a_plain_scorer(spark):
         assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9) and got[i]["clauses"] == x[4]
         hits += x[4] > 0
     assert hits >= 4
+
+
+def test_words_with_one_name_are_no_repeat(spark):
+    """Two words of sixteen bytes share their first name; documents that differ in this word only repeat no window."""
+    from meridian.llm import common, substring_dedup
+
+    pair = "abcdefghd000adaa", "1R2mZlC6xDUO69BX"
+    data = np.frombuffer("".join(pair).encode(), np.uint8)
+    starts, ends = np.array([0, 16]), np.array([16, 32])
+    assert len(set(common.stretch_names(data, starts, ends).tolist())) == 1 and len(set(common.stretch_names(data, starts, ends, True).tolist())) == 2
+    around = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*around[:20], word, *around[20:]])) for k, word in enumerate(pair)]
+    got = as_dict(substring_dedup.repeated_passages_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: r["n_removed"] for k, r in got.items()} == {0: 0, 1: 0}
+
+
+def test_spans_do_not_depend_on_rolling_fingerprints(monkeypatch):
+    """Where all rolling fingerprints of two texts are equal, their stretches still have different names."""
+    import pyarrow as pa
+
+    from meridian.llm import suffix_dedup
+
+    class Same:
+        def of(self, a, b):
+            return np.zeros(len(a), np.uint64)
+
+    monkeypatch.setattr(suffix_dedup, "byte_rolling", lambda data, second=False: Same())
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([0, 0]), pa.array([3, 4]), pa.array(["x" * 100, "y" * 100])], names=["doc_id", "twin", "hash", "text"])
+    spans = [x for rows in suffix_dedup._parse(100, 32)(iter([batch])) for x in rows.column("span").to_pylist()]
+    assert len(spans) == 2 == len(set(spans))
+
+
+def test_stages_take_any_column_names(spark):
+    from meridian.llm import near_dedup, quality, suffix_dedup, toxicity
+
+    text = " ".join(f"some{k} word" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "s", "u"), (2, None, "en", "s", "v")], "doc_id long, text string, lang string, source string, `meta.url` string")
+    labels = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, toxic int")
+    for frame in (toxicity.drop_toxic(docs, labels), near_dedup.drop_near_duplicates(docs), suffix_dedup.remove_later_copies(docs)):
+        assert frame.columns == docs.columns and sorted(map(str, frame.collect())) == sorted(map(str, docs.collect()))
+    assert [r["meta.url"] for r in quality.keep_good(docs).collect()] == ["u"]
