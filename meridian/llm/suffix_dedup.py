@@ -36,6 +36,8 @@ from .repeats import covered, parse_rows, repeated_windows
 _U = np.uint64
 LENGTH = 100
 TRIGGER = 32
+#: Key of the digests that tell whole stretches apart.
+SPAN_KEY = b"whole stretches"
 #: Suffixes of a phrase that are compared at once before they are compared one by one.
 BLOCK = 8
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -52,6 +54,13 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (best & _U(0xFFFFFFFF)).astype(np.int64)
 
 
+def keyed_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed digest of each stretch of bytes, independent of the rolling fingerprints that choose triggers."""
+    raw = data.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=8, key=SPAN_KEY).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), dtype="<u8").copy()
+
+
 def _parse(length: int, trigger: int):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -73,7 +82,7 @@ def _parse(length: int, trigger: int):
             count = np.diff(np.append(first, len(at)))
             begin, where = at[first], where[first]
             own = part.owner(begin)
-            span = rolling.of(begin, begin + count - 1 + length)
+            span = keyed_names(part.data, begin, begin + count - 1 + length)
             span = mix(span ^ mix(((where - begin) << 16 | count).astype(np.uint64)))
             anchor, start = grams[where], begin - part.off[own]
             yield parse_rows(part, own, anchor, span, (start, where - begin, count), True)
