@@ -129,13 +129,15 @@ def point_series(field: DataFrame, nodes: DataFrame, fields: DataFrame, units: D
     cells = field.join(F.broadcast(inputs), "variable", "left_semi").join(spots, ["lat_i", "lon_i"], "left_semi")
     cell = F.struct("variable", F.col("value").cast("double").alias("value"))
     series = cells.groupBy("lat_i", "lon_i", "time").agg(F.collect_list(cell).alias("cells"))  # the variables of one node and moment
-    asked = fields.where("known").join(nodes, "id").join(units, "id")
-    rows = series.join(asked, ["lat_i", "lon_i"])
-    of = lambda k: F.filter("cells", lambda c: c["variable"] == F.get("inputs", F.lit(k)))
-    rows = rows.withColumns({"one": of(0), "two": of(1)}).where((F.size("one") > 0) & ((F.size("inputs") == 1) | (F.size("two") > 0)))
-    first, second = F.get("one", F.lit(0))["value"], F.get("two", F.lit(0))["value"]
-    value = F.when(F.size("inputs") == 1, first).otherwise(wind_speed(first, second))
-    value = F.when(F.col("units") == "human", value * F.col("scale") + F.col("offset")).otherwise(value)
+    # Wind is made of its components once for a node and moment, and is then one variable more.
+    of = lambda x: F.get(F.filter("cells", lambda c: c["variable"] == x), F.lit(0))["value"]
+    speed = wind_speed(of("10u"), of("10v"))
+    wind = F.when(speed.isNotNull(), F.array(F.struct(F.lit("10u,10v").alias("variable"), speed.alias("value")))).otherwise(F.array().cast("array<struct<variable:string,value:double>>"))
+    series = series.select("lat_i", "lon_i", "time", F.inline(F.concat("cells", wind)))
+    asked = fields.where("known").join(nodes, "id").join(units, "id").withColumn("keys", F.array(F.array_join("inputs", ",")))
+    # Nodes alone deal the rows, so the variable is compared in the join and is no key of it.
+    rows = series.join(asked.drop("inputs"), ["lat_i", "lon_i"]).where(F.array_contains("keys", F.col("variable")))
+    value = F.when(F.col("units") == "human", F.col("value") * F.col("scale") + F.col("offset")).otherwise(F.col("value"))
     return rows.select("id", "name", "pos", "time", nan_to_null(value).alias("value"))
 
 
