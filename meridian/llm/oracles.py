@@ -26,7 +26,7 @@ QUALITY_RULES = r"""WITH w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang,
     lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
     m AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     coalesce(lines.n - lines.d, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lines USING (doc_id)),
-    v AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS place, unnest(['word_length', 'symbol_share', 'dup_line_share', 'repeat_share']) AS metric, unnest([8.0, 0.1, 0.3, 0.2])::DOUBLE AS low,
+    v AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS place, unnest(['word_length', 'symbol_share', 'dup_line_share', 'repeat_share']) AS metric, unnest([0.0, 0.01, 0.35, 0.3])::DOUBLE AS low,
     unnest([word_chars / greatest(n_words, 1)::DOUBLE, n_symbols / greatest(n_words, 1)::DOUBLE, n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / greatest(n_words, 1)::DOUBLE]) AS v FROM m),
     buckets AS (SELECT *, greatest(-200, CASE WHEN v > 0 THEN floor(ln(v) / ln(1.05))::INT ELSE -200 END) AS b, 1 AS every FROM v),
     top AS (SELECT every, metric, b, 1000 * count(*) AS w FROM buckets GROUP BY ALL), """ + _BLEND.format(n="mid", by="every, lang", to="every", wider="top") + ", " + _BLEND.format(n="fine", by="lang, source", to="lang", wider="mid") + r""",

@@ -6,7 +6,7 @@ a quantile sketch: tables merge by adding counts, in any order, and any quantile
 within a bucket. Spark adds them up before and after the shuffle, so a source with a third of
 all documents costs a few hundred rows. A limit is the upper quartile plus a multiple of the
 spread between the quartiles (in buckets, that is of the logarithm), and never below a floor
-for values that are harmless in any source (FLOORS). A group's counts are merged with PRIOR
+for shares that are harmless in any source (FLOORS; word lengths have none). A group's counts are merged with PRIOR
 documents dealt like its language, and those of a language with PRIOR dealt like all, so a group
 of few documents follows its language and a large one itself, by one rule at every size.
 Documents are joined to the limits and filtered.
@@ -38,8 +38,9 @@ PRIOR = 200
 #: Counts are in such fractions of a document.
 UNITS = 1000
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Metric -> value that is allowed everywhere. Shares are of words (lines for lines).
-FLOORS = {"word_length": 8.0, "symbol_share": 0.1, "dup_line_share": 0.3, "repeat_share": 0.2}
+#: Metric -> value that is allowed everywhere: shares (of words; of lines for lines) that are 0 in most documents, so that a
+#: group's quartiles say little about small ones. Word lengths have none: the sketches alone decide.
+FLOORS = {"word_length": 0.0, "symbol_share": 0.01, "dup_line_share": 0.35, "repeat_share": 0.3}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

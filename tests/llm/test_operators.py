@@ -683,3 +683,24 @@ def test_stages_take_any_column_names(spark):
     for frame in (toxicity.drop_toxic(docs, labels), near_dedup.drop_near_duplicates(docs), suffix_dedup.remove_later_copies(docs)):
         assert frame.columns == docs.columns and sorted(map(str, frame.collect())) == sorted(map(str, docs.collect()))
     assert [r["meta.url"] for r in quality.keep_good(docs).collect()] == ["u"]
+
+
+def test_limits_come_from_the_groups(spark):
+    """On the given tables, word lengths are judged by what is usual in a source, and that decides."""
+    from meridian.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.measured(docs)
+    limits = quality.limits(quality.sketches(rows)).collect()
+    found = {r["limit_word_length"] for r in limits}
+    assert len(found) >= 3 and min(found) > quality.FLOORS["word_length"] and max(found) < 10
+    by_lang = {}
+    for r in limits:
+        by_lang.setdefault(r["lang"], set()).add(r["limit_word_length"])
+    assert max(map(len, by_lang.values())) > 1
+    judged = quality.judged(docs).collect()
+    by_length = [r for r in judged if r["over"] == "word_length" and not r["base_failed"]]
+    assert len(by_length) > 20
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    good = [r for r in judged if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in good) <= len(good) // 100
