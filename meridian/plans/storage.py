@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 from ..functions.fields import from_epoch, iso, run_id
+from ..operators import messages as M
 from ..operators import normalize as N
 from ..operators import runs as U
 from ..operators import validate as V
@@ -124,16 +125,24 @@ def scratch_stale(spark, d):
     return L.scratch_listing(_listing(spark, d), NOW).select("top", "stale")
 
 
-@query("scratch_bytes", "SELECT sum((1000 * l_quantity)::BIGINT)::BIGINT AS bytes, sum((1000 * l_quantity)::BIGINT) > 32212254720 AS over_quota FROM lineitem")
+def _text_files(spark, d):
+    """The texts of documents in sixteen files, a text and a newline after the other in the order of doc_id."""
+    path = L.scratch(spark)
+    rows = fx.table(spark, d, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("scratch_bytes", "SELECT sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, sum(octet_length(encode(coalesce(text, ''))) + 1) > 1000000 AS over_quota FROM documents")
 def scratch_bytes(spark, d):
-    total = L.scratch_listing(_listing(spark, d), NOW).agg(F.sum("bytes").alias("bytes"))
-    return total.withColumn("over_quota", F.col("bytes") > (30 << 30))
+    """The weight of a folder, from its listing."""
+    return M.folder_bytes(spark, f"{_text_files(spark, d)}/*/*.txt", quota=1_000_000)
 
 
-@query("checksum_files", "SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS checksum FROM documents")
+@query("checksum_files", "SELECT doc_id % 16 AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS length, 'sha256:' || sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS checksum FROM documents GROUP BY 1")
 def checksum_files(spark, d):
-    content = F.coalesce("text", F.lit("")).cast("binary")
-    return fx.table(spark, d, "documents").select("doc_id", F.concat(F.lit("sha256:"), F.sha2(content, 256)).alias("checksum"))
+    rows = M.checksum_files(spark, f"{_text_files(spark, d)}/*/*.txt")
+    return rows.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), "length", "checksum")
 
 
 @query("lat_descending", with_tables("SELECT DISTINCT lat_i, round_even(lat, 2) AS lat FROM fx_grid", "fx_grid"))
