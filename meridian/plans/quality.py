@@ -115,7 +115,7 @@ def valid_time_consistent(spark, d):
 @query("messages_parsed", with_tables("SELECT file, count(*) AS expected, count(DISTINCT param * 100 + level) AS got, count(*) = count(DISTINCT param * 100 + level) AS passed FROM fx_message GROUP BY file", "fx_message"))
 def messages_parsed(spark, d):
     rows = fx.messages(spark, d)
-    return V.messages_parsed(rows, rows).select("file", F.col("expected").cast("long").alias("expected"), F.col("got").cast("long").alias("got"), "passed")
+    return V.messages_parsed(rows, rows.select("file", "param", "level")).select("file", F.col("expected").cast("long").alias("expected"), F.col("got").cast("long").alias("got"), "passed")
 
 
 def whole_artifacts(spark, d):
