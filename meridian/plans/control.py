@@ -289,10 +289,10 @@ def latest_run(spark, d):
     return U.latest_run(fx.query_log(spark, d).select("at").distinct()).select(F.col("at").alias("sec"), "init")
 
 
-@query("skip_if_missed", with_tables(f"SELECT init FROM fx_run WHERE {_PHASE_AT} - init >= 34200 AND status = 'P' AND init % 5 <> 0", "fx_run"))
+@query("skip_if_missed", with_tables(f"SELECT init FROM fx_run WHERE {_PHASE_AT} - init >= 34200 AND last_order % 3 = 0 AND last_order % 5 <> 0", "fx_run"))
 def skip_if_missed(spark, d):
     runs = fx.runs(spark, d)
-    return U.skip_if_missed(runs.select("init"), runs.where("status <> 'P'").select("init"), runs.where("init % 5 = 0").select("init"), _PHASE_AT)
+    return U.skip_if_missed(runs.select("init"), runs.where("last_order % 3 <> 0").select("init"), runs.where("last_order % 5 = 0").select("init"), _PHASE_AT)
 
 
 @query("run_log", with_tables("SELECT strftime(make_timestamp(init * 1000000), '%Y-%m-%dT%HZ') AS run_id, CASE WHEN n % 4 = 0 THEN 'skipped' WHEN status = 'F' THEN 'published' ELSE 'unfinished' END AS state, init, CASE WHEN n % 4 = 0 THEN 'no_input' END AS reason FROM fx_run WHERE status <> 'O' OR n % 4 = 0", "fx_run"))
