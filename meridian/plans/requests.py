@@ -62,7 +62,7 @@ def canonical_inputs(spark, d):
     return rows.select("id", F.array_join("inputs", ",").alias("inputs"))
 
 
-_POINT_SERIES = with_tables(
+_SERIES = with_tables(
         f"""{_RESOLVED}, {_NODES} SELECT r.id, r.name, {ISO.format('a.time')} AS time, round(CASE WHEN isnan(x) THEN NULL WHEN units = 'human' THEN x * scale + off ELSE x END, 6) AS value
     FROM (SELECT r.*, n.lat_i, n.lon_i, n.units FROM resolved r JOIN nodes n USING (id)) r JOIN fx_field a ON a.variable = r.first AND a.lat_i = r.lat_i AND a.lon_i = r.lon_i
     JOIN fx_field b ON b.variable = r.second AND b.lat_i = r.lat_i AND b.lon_i = r.lon_i AND b.time = a.time,
@@ -71,6 +71,15 @@ _POINT_SERIES = with_tables(
         "fx_point_request",
         "fx_field",
     )
+#: One row for each answer: every value counts in total and, with a weight that depends on its moment, in weighted.
+_POINT_SERIES = f"""SELECT id, name, count(*) AS n, count(value) AS known, min(time) AS first, max(time) AS last, sum(round(value * 1000)::BIGINT)::BIGINT AS total,
+    sum(round(value * 1000)::BIGINT * (epoch_us(strptime(time, '%Y-%m-%dT%H:%M:%SZ')) // 3600000000 % 997))::BIGINT AS weighted FROM ({_SERIES}) GROUP BY id, name"""
+
+
+def _answers(series):
+    milli = F.round(F.round("value", 6) * 1000).cast("long")
+    weight = F.floor(epoch_seconds(F.col("time")) / 3600) % 997
+    return series.groupBy("id", "name").agg(F.count("*").alias("n"), F.count("value").alias("known"), iso(F.min("time")).alias("first"), iso(F.max("time")).alias("last"), F.sum(milli).alias("total"), F.sum(milli * weight).alias("weighted"))
 
 
 @query("point_series", _POINT_SERIES)
@@ -79,7 +88,7 @@ def point_series(spark, d):
     requests = fx.point_requests(spark, d)
     nodes = R.nearest_node(requests, *axes(spark))
     rows = R.point_series(fx.field(spark, d), nodes, Q.resolve_fields(requests), requests.select("id", "units"))
-    return rows.select("id", "name", iso(F.col("time")).alias("time"), F.round("value", 6).alias("value"))
+    return _answers(rows)
 
 
 @query("point_series_stored", _POINT_SERIES)
@@ -90,7 +99,7 @@ def point_series_stored(spark, d):
     L.write_series_table(fx.field(spark, d), table, path, "points", buckets=8)
     requests = fx.point_requests(spark, d)
     rows = R.point_series(spark.table(table), R.nearest_node(requests, *axes(spark)), Q.resolve_fields(requests), requests.select("id", "units"))
-    return rows.select("id", "name", iso(F.col("time")).alias("time"), F.round("value", 6).alias("value"))
+    return _answers(rows)
 
 
 @query("unit_convert", with_tables(f"{_CATALOG} SELECT variable, {ISO.format('time')} AS time, lat_i, lon_i, round(value::DOUBLE * scale + off, 6) AS human FROM fx_field JOIN catalog ON asked = variable WHERE NOT isnan(value)", "fx_field"))
