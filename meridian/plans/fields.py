@@ -437,11 +437,15 @@ def export_region(spark, d):
     return rows.select("variable", iso(F.col("time")).alias("time"), "lat", "lon", F.round(F.when(~F.isnan("value"), F.col("value").cast("double")), 5).alias("value"))
 
 
-@query("canonical_order", with_tables(f"SELECT variable, level, {ISO.format('time')} AS time, lat_i, lon_i, CASE WHEN level IN {canon.LEVELS} OR level IS NULL THEN (coalesce(list_position({list(canon.LEVELS)}, level) - 1, 0) * 6 + lat_i) * 8 + lon_i END AS place FROM (SELECT variable, level, time, lat_i, lon_i FROM fx_level UNION ALL SELECT variable, NULL, time, lat_i, lon_i FROM fx_field WHERE variable = '2t')", "fx_level", "fx_field"))
+_PLACES = f"SELECT variable, level, time, lat_i * 8 + lon_i AS node, CASE WHEN level IN {canon.LEVELS} OR level IS NULL THEN (coalesce(list_position({list(canon.LEVELS)}, level) - 1, 0) * 6 + lat_i) * 8 + lon_i END AS place FROM (SELECT variable, level, time, lat_i, lon_i FROM fx_level UNION ALL SELECT variable, NULL, time, lat_i, lon_i FROM fx_field WHERE variable = '2t')"
+
+
+@query("canonical_order", with_tables(f"SELECT variable, level, {ISO.format('time')} AS time, count(*) AS n, min(place) AS first, max(place) AS last, sum(place * node)::BIGINT AS places FROM ({_PLACES}) GROUP BY ALL", "fx_level", "fx_field"))
 def canonical_order(spark, d):
-    """Level and surface rows with their place in the array; the archive's other levels have none."""
+    """Level and surface maps with their places in the array; the archive's other levels have none."""
     rows = fx.level_field(spark, d).unionByName(N.with_level(fx.field(spark, d).where("variable = '2t'")))
-    return N.canonical_place(rows, 6, 8).select("variable", "level", iso(F.col("time")).alias("time"), "lat_i", "lon_i", "place")
+    rows = N.canonical_place(rows, 6, 8).groupBy("variable", "level", iso(F.col("time")).alias("time"))
+    return rows.agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.sum(F.col("place") * (F.col("lat_i") * 8 + F.col("lon_i"))).alias("places"))
 
 
 @query("archive_covers", with_tables(f"SELECT variable, {ISO.format('min(time)')} AS first, {ISO.format('max(time)')} AS last FROM fx_hourly GROUP BY variable", "fx_hourly"))
