@@ -427,7 +427,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)) and "pipeline" in names
 
 
 def thue_morse(letters, n=2048):
