@@ -82,13 +82,13 @@ def _answers(series):
     return series.groupBy("id", "name").agg(F.count("*").alias("n"), F.count("value").alias("known"), iso(F.min("time")).alias("first"), iso(F.max("time")).alias("last"), F.sum(milli).alias("total"), F.sum(milli * weight).alias("weighted"))
 
 
-@query("point_series", _POINT_SERIES)
+@query("point_series", _SERIES)
 def point_series(spark, d):
     """The flagship: every request's fields at its node over all steps, in its units."""
     requests = fx.point_requests(spark, d)
     nodes = R.nearest_node(requests, *axes(spark))
     rows = R.point_series(fx.field(spark, d), nodes, Q.resolve_fields(requests), requests.select("id", "units"))
-    return _answers(rows)
+    return rows.select("id", "name", iso(F.col("time")).alias("time"), F.round("value", 6).alias("value"))
 
 
 @query("point_series_stored", _POINT_SERIES)
