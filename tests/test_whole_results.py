@@ -26,3 +26,9 @@ def test_hit_rate_has_the_windows_that_are_open_at_the_end(spark):
     rows = registry.QUERIES["stream_hit_rate"](spark, SMALL).collect()
     assert sum(r["total"] for r in rows) == sql("select count(*) from events")[0][0]
     assert max(r["start"] for r in rows) == sql("select strftime(date_trunc('hour', max(ts)), '%Y-%m-%dT%H:%M:%SZ') from events")[0][0]
+
+
+def test_miss_latency_has_the_windows_that_are_open_at_the_end(spark):
+    rows = registry.QUERIES["stream_miss_latency"](spark, SMALL).collect()
+    assert sum(r["misses"] for r in rows) == sql("select count(*) from events where value >= 30")[0][0]
+    assert max(r["start"] for r in rows) == sql("select strftime(date_trunc('hour', max(ts)), '%Y-%m-%dT%H:%M:%SZ') from events where value >= 30")[0][0]
