@@ -32,3 +32,24 @@ def test_miss_latency_has_the_windows_that_are_open_at_the_end(spark):
     rows = registry.QUERIES["stream_miss_latency"](spark, SMALL).collect()
     assert sum(r["misses"] for r in rows) == sql("select count(*) from events where value >= 30")[0][0]
     assert max(r["start"] for r in rows) == sql("select strftime(date_trunc('hour', max(ts)), '%Y-%m-%dT%H:%M:%SZ') from events where value >= 30")[0][0]
+
+
+def test_accesses_are_put_together_before_states_whatever_a_task_holds(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from meridian.streaming import streams as S
+
+    rows = [(f"k{i * i % 7}", i * 37 % 101) for i in range(60)]
+    table = pa.table({"key": [k for k, _ in rows], "ts": pa.array([t for _, t in rows], pa.timestamp("us", "UTC")), "n": [1] * 60})
+    for limit in (4, 16, 1000):
+        monkeypatch.setattr(S, "HELD_ROWS", limit)
+        got = [r for b in S._together(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+        n, last = Counter(), {}
+        for r in got:
+            n[r["key"]] += r["n"]
+            last[r["key"]] = max(last.get(r["key"], 0), r["ts"].microsecond)
+        assert n == Counter(k for k, _ in rows) and last == {k: max(t for j, t in rows if j == k) for k in n}
+        assert len(got) < 60 and (limit < 16 or len(got) == len(n))
+    assert not list(S._together(iter(())))
