@@ -53,3 +53,16 @@ def test_accesses_are_put_together_before_states_whatever_a_task_holds(monkeypat
         assert n == Counter(k for k, _ in rows) and last == {k: max(t for j, t in rows if j == k) for k in n}
         assert len(got) < 60 and (limit < 16 or len(got) == len(n))
     assert not list(S._together(iter(())))
+
+
+def test_messages_come_in_more_tasks_where_their_table_is_larger(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from meridian.sources import fixtures as fx
+
+    few = fx.messages(spark, SMALL)
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 100)
+    many = fx.messages(spark, SMALL)
+    tasks = many.groupBy(F.spark_partition_id()).count().selectExpr("count(*)", "max(count)").first()
+    assert tasks[0] > 40 and tasks[1] < 400
+    assert many.count() == few.count() and many.exceptAll(few).isEmpty()
