@@ -18,18 +18,27 @@ def parse_json_index(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.col("x._offset").alias("offset"), F.col("x._length").alias("length"), F.coalesce("x.param", F.lit("")).alias("param"), F.coalesce("x.levelist", F.lit("")).alias("level"), refusal.alias("refusal"))
 
 
-def parse_colon_index(lines: DataFrame) -> DataFrame:
+def parse_colon_index(lines: DataFrame, part: str | None = None) -> DataFrame:
     """file, offset, length, param, level of num:offset:date:param:level:... lines (file, line, value).
 
-    The length is the next offset less this one in the order of offsets; the last is open (null).
+    The length is the next offset less this one in the order of offsets; the last is open (null). part: a column that
+    cuts a large file into stretches, offsets rising from each to the next; each is sorted alone, and its last line ends where the next begins.
     """
-    part = F.split("value", ":")
-    rows = lines.where("trim(value) <> ''").select("file", "line", part.alias("p"))
+    stretch = F.col(part) if part else F.lit(0)
+    split = F.split("value", ":")
+    rows = lines.where("trim(value) <> ''").select("file", "line", split.alias("p"), stretch.alias("part"))
     offset = F.expr("try_cast(try_element_at(p, 2) as bigint)")
-    rows = rows.select("file", "line", offset.alias("offset"), F.try_element_at("p", F.lit(4)).alias("param"), F.try_element_at("p", F.lit(5)).alias("level"), (F.size("p") > 4).alias("whole"))
+    rows = rows.select("file", "part", "line", offset.alias("offset"), F.try_element_at("p", F.lit(4)).alias("param"), F.try_element_at("p", F.lit(5)).alias("level"), (F.size("p") > 4).alias("whole"))
     refusal = F.when(~F.col("whole"), "fields").when(F.col("offset").isNull(), "offset")
-    order = Window.partitionBy("file", refusal.isNull()).orderBy("offset", "param", "level")
-    length = F.when(refusal.isNull(), F.lead("offset").over(order) - F.col("offset"))
+    order = Window.partitionBy("file", *(["part"] if part else []), refusal.isNull()).orderBy("offset", "param", "level")
+    after = F.lead("offset").over(order)
+    if part:
+        later = Window.partitionBy("file").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+        firsts = rows.where(refusal.isNull()).groupBy("file", "part").agg(F.min("offset").alias("first"))
+        nexts = firsts.select("file", "part", F.min("first").over(later).alias("next"))  # a row for each stretch
+        rows = rows.withColumn("after", after).join(F.broadcast(nexts), ["file", "part"], "left")
+        after = F.coalesce("after", "next")
+    length = F.when(refusal.isNull(), after - F.col("offset"))
     return rows.select("file", "line", "offset", length.alias("length"), "param", "level", refusal.alias("refusal"))
 
 

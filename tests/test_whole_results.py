@@ -66,3 +66,15 @@ def test_messages_come_in_more_tasks_where_their_table_is_larger(spark, monkeypa
     tasks = many.groupBy(F.spark_partition_id()).count().selectExpr("count(*)", "max(count)").first()
     assert tasks[0] > 40 and tasks[1] < 400
     assert many.count() == few.count() and many.exceptAll(few).isEmpty()
+
+
+def test_index_files_in_many_parts_have_the_lines_of_whole_ones(spark, monkeypatch):
+    from meridian.plans import fields
+
+    monkeypatch.setattr(fields, "PART_LINES", 60)
+    connection = duckdb.connect()
+    connection.execute(f"create view lineitem as select * from '{SMALL}/lineitem.parquet'")
+    columns = ["kind", "file", "line", "offset", "length", "refusal"]
+    want = connection.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({registry.ORACLES['index_files']})").fetchall()
+    got = registry.QUERIES["index_files"](spark, SMALL).select(*columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
