@@ -34,8 +34,9 @@ def parse_colon_index(lines: DataFrame, part: str | None = None) -> DataFrame:
     after = F.lead("offset").over(order)
     if part:
         later = Window.partitionBy("file").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-        firsts = rows.where(refusal.isNull()).groupBy("file", "part").agg(F.min("offset").alias("first"))
-        nexts = firsts.select("file", "part", F.min("first").over(later).alias("next"))  # a row for each stretch
+        # The line goes along so that both sides read the same columns, and lines that are dealt by stretch are dealt once.
+        firsts = rows.groupBy("file", "part").agg(F.min(F.when(refusal.isNull(), F.struct("offset", "line"))).alias("first"))
+        nexts = firsts.select("file", "part", F.min("first.offset").over(later).alias("next"))  # a row for each stretch
         rows = rows.withColumn("after", after).join(F.broadcast(nexts), ["file", "part"], "left")
         after = F.coalesce("after", "next")
     length = F.when(refusal.isNull(), after - F.col("offset"))
