@@ -164,12 +164,13 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("a"), part.column("b"), pa.array(both), pa.array(union)], names=["a", "b", "both", "union"])
 
 
-def dealt_join(pairs: DataFrame, of_a: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) joined to of_a (a, ...); the pairs of a centre a are dealt over tasks, each with a copy of its row."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts")).where("parts > 1")
-    dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    copies = of_a.join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, ["a", "part"]).drop("part")
+def dealt_join(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) joined to of_a (a, ...) and of_b (b, ...); the pairs of a centre a are dealt over tasks, each with a copy of its row."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
+    several = parts.where("parts > 1")
+    dealt = pairs.join(several, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = of_a.join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(of_b, "b").join(copies, ["a", "part"]).drop("part")
 
 
 def with_texts(pairs: DataFrame, cards: DataFrame) -> DataFrame:
@@ -177,32 +178,54 @@ def with_texts(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = cards.select("node", "text").join(needed, "node", "left_semi")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return dealt_join(pairs.join(text("b"), "b"), text("a"))
+    return dealt_join(pairs, text("a"), text("b"))
 
 
 def measured(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     """a, b, both, union of the pairs (a, b) that pass lengths and likelihood."""
     of = lambda x: cards.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    near = dealt_join(pairs.join(of("b"), "b"), of("a")).where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
+    near = dealt_join(pairs, of("a"), of("b")).where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
     near = checkpointed(near.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long"))
     rows = with_texts(near, cards).select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_exact, "a long, b long, both long, union long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of all nodes of the edges (a, b)."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = checkpointed(labels)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = checkpointed(step.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old != label").isEmpty():
-            return written(labels)
+    """node, label (the smallest node reachable) of all nodes of the edges (a, b) that are not their own label.
+
+    In each round a node goes into its smallest smaller neighbour, and so on down to one that has
+    none. The edges between these go on, so a round costs the edges that are still open.
+    """
+    edges = written(_open_edges(edges.select("a", "b")))
+    rounds = []
+    while not edges.isEmpty():
+        into = written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+        while not into.join(into.select(F.col("node").alias("label")), "label", "left_semi").isEmpty():
+            into = written(_relabelled(into, "label", into))
+        rounds.append(into)
+        edges = written(_open_edges(_relabelled(_relabelled(edges, "a", into), "b", into)))
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds.pop()
+    while rounds:
+        labels = merged(rounds.pop(), labels)
+    return written(labels)
+
+
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (node, label) whose labels went into others by more, a table of the same form."""
+    return _relabelled(labels, "label", more).union(more)
+
+
+def _relabelled(rows: DataFrame, name: str, labels: DataFrame) -> DataFrame:
+    """rows with the label of the column's node in its place."""
+    of = labels.select(F.col("node").alias(name), F.col("label").alias("_label"))
+    return rows.join(of, name, "left").withColumn(name, F.coalesce("_label", name)).select(rows.columns)
+
+
+def _open_edges(edges: DataFrame) -> DataFrame:
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +379,8 @@ def _judged(docs: DataFrame) -> DataFrame:
         some = not pairs.isEmpty()
         if some:
             links = checkpointed(measured(pairs, cards).where(linked)).select("a", "b")
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+            between = _relabelled(_relabelled(links, "a", labels), "b", labels)
+            labels = written(merged(labels, components(between)))
         turn = turn + 1 if some or turn == ROUNDS else ROUNDS  # without large groups, the pairs are next
     of_node = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("doc_id").alias("component"))

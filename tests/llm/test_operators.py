@@ -590,6 +590,56 @@ def test_a_family_costs_members_not_pairs(spark, monkeypatch, n):
     assert sum(seen) < 60 * n
 
 
+def test_components_are_not_labelled_anew(spark, monkeypatch):
+    """Later rounds of links cost the links between components, not the nodes of all components."""
+    from meridian.llm import near_dedup as N
+
+    rnd = random.Random(8)
+    base, passage = [f"b{k}" for k in range(80)], [f"p{k}" for k in range(25)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 100):
+        copy = base + passage
+        copy[rnd.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i, f"other{i % 100} " + " ".join(f"o{i % 100}w{k}" for k in range(40))) for i in range(100, 300)]
+    rows += [(i, rows[i - 200][1] + " tail") for i in range(300, 500)]
+    seen = []
+    real = N.components
+    monkeypatch.setattr(N, "components", lambda edges: seen.append(edges.where("a != b").count()) or real(edges))
+    got = as_dict(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in groups(rows).items()}
+    assert len(seen) > 1 and seen[0] >= 100 and max(seen[1:]) < 100
+
+
+@pytest.mark.parametrize("edges", [[(1, 1)], [(k, k + 1) for k in range(100)], [(100, k) for k in range(100)], [(k, 199 - k) for k in range(100)] + [(199 - k, k + 1) for k in range(80)]])
+def test_components_of_any_shape(spark, edges):
+    """Each node that is not the smallest of its component has one row."""
+    from meridian.llm.near_dedup import components
+
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, y) for x, y in label.items() if x != y)
+
+
+def test_only_centres_rows_are_dealt(spark):
+    """Rows that no pair needs are not joined, and each centre's pairs all find their row."""
+    from pyspark.sql import functions as F
+
+    from meridian.llm.near_dedup import PAIRS_A_TASK, dealt_join
+
+    n = 3 * PAIRS_A_TASK
+    pairs = spark.createDataFrame([(0, b) for b in range(1, n)] + [(1, 2)], "a long, b long")
+    of = lambda key, x: spark.range(n).select(F.col("id").alias(key), (F.col("id") * 10).alias(x))
+    dealt = dealt_join(pairs, of("a", "x"), of("b", "y"))
+    found = sorted(tuple(r) for r in dealt.select("a", "b", "x", "y").collect())
+    assert found == sorted([(0, b, 0, 10 * b) for b in range(1, n)] + [(1, 2, 10, 20)])
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1 and plan.count("Join Inner") == 3
+
+
 def plain_figures(text, grammar):
     """The figures of a text word by word, with the four transducers run side by side instead of composed."""
     from meridian.llm import toxicity as T
