@@ -554,6 +554,25 @@ def test_token_counts_fuzzed(spark):
     assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(model.encode(t)) for i, t in rows}
 
 
+def test_token_counts_move_little(spark):
+    """A slice's pre-tokens and frequencies take less than the texts, also where each word is new."""
+    from meridian.llm import token_counts as T
+    from meridian.llm.common import slices
+
+    rnd = random.Random(2)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(200))) for i in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").toArrow()
+    found = T.Frequencies()
+    for part in slices(iter(frame.to_batches())):
+        found.add(part)
+    row = found.row(0).to_pylist()[0]
+    assert len(found.number) > 99_000
+    moved = sum(len(x["packed"]) for x in row["pieces"]) + len(row["counts"])
+    assert moved < 0.8 * found.bytes
+    some = [y for x in row["pieces"] for y in T.unpacked_pieces(x["packed"])]
+    assert sorted(some) == sorted(found.number)
+
+
 def test_license_signatures_hold_their_keywords():
     from meridian.llm.signatures import KINDS, signatures
 
