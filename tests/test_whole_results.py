@@ -28,6 +28,21 @@ def test_hit_rate_has_the_windows_that_are_open_at_the_end(spark):
     assert max(r["start"] for r in rows) == sql("select strftime(date_trunc('hour', max(ts)), '%Y-%m-%dT%H:%M:%SZ') from events")[0][0]
 
 
+def test_hit_rate_has_days_that_slide_by_hours_beside_hours(spark):
+    rows = registry.QUERIES["stream_hit_rate"](spark, SMALL).collect()
+    log = "(select date_trunc('hour', ts) as h, case when event_type in ('click', 'purchase') then 'point' when event_type in ('view', 'error') then 'grid' else 'other' end as kind, value < 30 as hit from events)"
+    hours = dict(((h, k), (n, y)) for h, k, n, y in sql(f"select epoch(h)::bigint // 3600, kind, count(*), count(*) filter (hit) from {log} group by all"))
+    seconds = dict(sql(f"select distinct strftime(h - to_hours(k), '%Y-%m-%dT%H:%M:%SZ'), epoch(h)::bigint // 3600 - k from {log}, range(24) t(k)"))
+    assert {(seconds[r["start"]], r["kind"]) for r in rows} == {(h - k, kind) for h, kind in hours for k in range(24)}
+    assert len(rows) == len({(r["start"], r["kind"]) for r in rows})
+    for r in rows:
+        h = seconds[r["start"]]
+        n, y = hours.get((h, r["kind"]), (0, 0))
+        day = [hours.get((h + k, r["kind"]), (0, 0)) for k in range(24)]
+        assert (r["total"], r["hits"], r["rate"]) == (n, y, y / n if n else 0.0)
+        assert (r["day_total"], r["day_hits"]) == tuple(map(sum, zip(*day, strict=True))) and r["day_rate"] == r["day_hits"] / r["day_total"]
+
+
 def test_miss_latency_has_the_windows_that_are_open_at_the_end(spark):
     rows = registry.QUERIES["stream_miss_latency"](spark, SMALL).collect()
     assert sum(r["misses"] for r in rows) == sql("select count(*) from events where value >= 30")[0][0]
